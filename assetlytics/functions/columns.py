@@ -77,3 +77,11 @@ def r(c, nd: int = 4) -> Column:
 def latin1_clean(c) -> Column:
     """Keep ASCII and the Latin-1 letters range, then strip."""
     return F.trim(F.regexp_replace(col_(c).cast("string"), r"[^\x00-\x7F\xC0-\xFF]", ""))
+
+
+def round_doubles(df, nd: int = 6):
+    """Round every floating column (stable value hashes in result tables)."""
+    from pyspark.sql.types import DoubleType, FloatType
+    return df.select(*[F.round(F.col(f.name), nd).alias(f.name)
+                       if isinstance(f.dataType, (DoubleType, FloatType)) else F.col(f.name)
+                       for f in df.schema.fields])
