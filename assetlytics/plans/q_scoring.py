@@ -234,4 +234,4 @@ def q_baseline_first(spark, sf_dir):
     from ..sources.tables import read_table
     ev = read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "value"])
     out = SC.baseline_first(ev)
-    return out.select("user_id", "baseline", F.unix_micros("first_ts").alias("first_ts_us"), "n_events")
+    return out.select("user_id", "baseline", F.unix_micros(F.col("first_ts").cast("timestamp")).alias("first_ts_us"), "n_events")
