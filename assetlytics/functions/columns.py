@@ -75,8 +75,9 @@ def r(c, nd: int = 4) -> Column:
 
 
 def latin1_clean(c) -> Column:
-    """Keep ASCII and the Latin-1 letters range, then strip."""
-    return F.trim(F.regexp_replace(col_(c).cast("string"), r"[^\x00-\x7F\xC0-\xFF]", ""))
+    """Keep ASCII and the Latin-1 letters range, then strip surrounding whitespace."""
+    kept = F.regexp_replace(col_(c).cast("string"), r"[^\x00-\x7F\xC0-\xFF]", "")
+    return F.regexp_replace(kept, r"^[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$", "")
 
 
 def round_doubles(df, nd: int = 6):
