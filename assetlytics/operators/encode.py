@@ -24,15 +24,16 @@ class EncoderParams:
 
 
 def fit_encoder(df: DataFrame, cols: list[str], target: str | None = None,
-                threshold: int = 10, max_levels: int = 10_000) -> EncoderParams:
+                threshold: int = 10) -> EncoderParams:
     """<= threshold distinct values -> one-hot (levels sorted alphabetically,
     first dropped); otherwise target mean per category. One distinct-count
     pass routes all columns; levels of low-cardinality columns are collected
     (at most ``threshold`` each, so bounded)."""
+    from .missing import _distinct_le
     cols = [c for c in cols if c in df.columns]
-    nd = df.agg(*[F.count_distinct(c).alias(c) for c in cols]).first()
+    few = _distinct_le(df, cols, threshold)
     p = EncoderParams()
-    low = [c for c in cols if nd[c] <= threshold]
+    low = [c for c in cols if few[c]]
     if low:
         lv = df.agg(*[F.array_sort(F.collect_set(F.col(c).cast("string"))).alias(c) for c in low]).first()
         p.onehot = {c: list(lv[c]) for c in low}

@@ -25,26 +25,51 @@ def _is_num(df: DataFrame, c: str) -> bool:
     return isinstance(df.schema[c].dataType, NumericType)
 
 
-def _column_stats(df: DataFrame, cols: list[str], approx_distinct: bool = False,
-                  medians: bool = False) -> dict:
-    """One pass: n, null count, distinct count, mean (and median) per column."""
-    dist = (lambda c: F.approx_count_distinct(c)) if approx_distinct else F.count_distinct
+# Above this many rows, medians switch from exact to a bounded-memory sketch.
+EXACT_QUANTILE_MAX_ROWS = 20_000_000
+
+
+def _median(c, approx: bool):
+    x = F.col(c).cast("double")
+    return F.percentile_approx(x, 0.5, 1_000_000) if approx else F.median(x)
+
+
+def _column_stats(df: DataFrame, cols: list[str], medians: bool = False, approx: bool | None = None) -> dict:
+    """One pass over all columns: row count, null count, mean (numeric),
+    median (optional) and whether the column holds at most one distinct
+    non-null value (``min == max``: exact, no distinct-count expansion)."""
+    if approx is None and medians:
+        approx = df.count() > EXACT_QUANTILE_MAX_ROWS
     aggs = [F.count(F.lit(1)).alias("__n")]
     for i, c in enumerate(cols):
-        aggs += [F.sum(F.col(c).isNull().cast("long")).alias(f"nn{i}"), dist(F.col(c)).alias(f"nd{i}")]
+        aggs += [F.sum(F.col(c).isNull().cast("long")).alias(f"nn{i}"),
+                 (F.coalesce(F.min(c) == F.max(c), F.lit(True))).alias(f"one{i}")]
         if _is_num(df, c):
             aggs.append(F.avg(F.col(c).cast("double")).alias(f"mu{i}"))
             if medians:
-                aggs.append(F.median(F.col(c).cast("double")).alias(f"md{i}"))
+                aggs.append(_median(c, bool(approx)).alias(f"md{i}"))
     row = df.agg(*aggs).first().asDict()
     n = row["__n"]
     out = {}
     for i, c in enumerate(cols):
-        out[c] = {"null_frac": (row[f"nn{i}"] / n) if n else 0.0, "n_distinct": row[f"nd{i}"],
+        out[c] = {"null_frac": (row[f"nn{i}"] / n) if n else 0.0, "at_most_one": row[f"one{i}"],
                   "mean": row.get(f"mu{i}"), "median": row.get(f"md{i}"), "numeric": _is_num(df, c)}
     return out
 
 
+def _distinct_le(df: DataFrame, cols: list[str], k: int) -> dict:
+    """Exact ``count(distinct c) <= k`` per column without buffering
+    unbounded sets: values are stacked, de-duplicated by a distributed
+    groupBy (map-side combine) and counted per column."""
+    if not cols:
+        return {}
+    stacked = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v"))
+                                           for c in cols]))).where(F.col("v").isNotNull())
+    nd = stacked.distinct().groupBy("column").agg(F.count(F.lit(1)).alias("nd"))
+    got = {r["column"]: r["nd"] for r in nd.collect()}
+    return {c: got.get(c, 0) <= k for c in cols}
+
+
 def _modes(df: DataFrame, cols: list[str]) -> dict:
     if not cols:
         return {}
@@ -75,17 +100,20 @@ class MissingParams:
 
 
 def fit_missing_simple(df: DataFrame, cols: list[str] | None = None, threshold_missing=0.70,
-                       threshold_unique=1, threshold_impute=0.10,
-                       approx_distinct: bool = False) -> MissingParams:
+                       threshold_unique=1, threshold_impute=0.10) -> MissingParams:
     """Drop if null share > threshold_missing; then drop if distinct <=
     threshold_unique; then for 0 < null share < threshold_impute learn the
     mean (numeric) or mode (other). Columns in between are left alone."""
     cols = cols or df.columns
-    st = _column_stats(df, cols, approx_distinct)
+    st = _column_stats(df, cols)
     p = MissingParams()
     p.drop_missing = [c for c in cols if st[c]["null_frac"] > threshold_missing]
     rest = [c for c in cols if c not in p.drop_missing]
-    p.drop_unique = [c for c in rest if st[c]["n_distinct"] <= threshold_unique]
+    if threshold_unique == 1:
+        few = {c: st[c]["at_most_one"] for c in rest}
+    else:
+        few = _distinct_le(df, rest, threshold_unique)
+    p.drop_unique = [c for c in rest if few[c]]
     rest = [c for c in rest if c not in p.drop_unique]
     to_impute = [c for c in rest if 0 < st[c]["null_frac"] < threshold_impute]
     modes = _modes(df, [c for c in to_impute if not st[c]["numeric"]])
@@ -262,7 +290,7 @@ def fit_missing_advanced(df: DataFrame, cols: list[str] | None = None, threshold
     cols = cols or df.columns
     st = _column_stats(df, cols, medians=True)
     p = MissingParams()
-    p.drop_unique = [c for c in cols if st[c]["n_distinct"] <= 1]
+    p.drop_unique = [c for c in cols if st[c]["at_most_one"]]
     rest = [c for c in cols if c not in p.drop_unique]
     p.drop_missing = [c for c in rest if st[c]["null_frac"] > threshold_drop]
     rest = [c for c in rest if c not in p.drop_missing]
