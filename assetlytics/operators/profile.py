@@ -77,24 +77,41 @@ def distinct_profile(df: DataFrame, cols: list[str] | None = None,
     return _unpivot_wide(wide, cols, {"n_distinct": "bigint"})
 
 
+# Above this many rows, exact percentiles (which buffer every distinct value
+# of a group) switch to the bounded-memory percentile sketch.
+EXACT_QUANTILE_MAX_ROWS = 20_000_000
+
+
 def _pct(c, q, approx):
-    return F.percentile_approx(c, q, 10000) if approx else F.percentile(c, q)
+    """Exact (linear interpolation) or sketch percentile; ``q`` may be a list."""
+    return F.percentile_approx(c, q, 1_000_000) if approx else F.percentile(c, q)
+
+
+def resolve_approx(df: DataFrame, approx: bool | None) -> bool:
+    """``None`` -> decide from the row count (one pruned scan)."""
+    if approx is not None:
+        return approx
+    return df.limit(EXACT_QUANTILE_MAX_ROWS + 1).count() > EXACT_QUANTILE_MAX_ROWS
 
 
 def describe_numeric(df: DataFrame, cols: list[str] | None = None,
-                     approx: bool = False) -> DataFrame:
-    """count, mean, std (ddof 1), min, 25/50/75 % (linear), max per column."""
+                     approx: bool | None = None) -> DataFrame:
+    """count, mean, std (ddof 1), min, 25/50/75 % (linear), max per column;
+    one multi-percentile buffer per column."""
     cols = cols or numeric_columns(df.schema)
+    approx = resolve_approx(df, approx)
     aggs = []
     for c in cols:
         x = F.col(c).cast("double")
         aggs += [F.count(x).alias(f"{c}__count"), F.avg(x).alias(f"{c}__mean"),
                  F.stddev_samp(x).alias(f"{c}__std"), F.min(x).alias(f"{c}__min"),
-                 _pct(x, 0.25, approx).alias(f"{c}__q25"), _pct(x, 0.5, approx).alias(f"{c}__q50"),
-                 _pct(x, 0.75, approx).alias(f"{c}__q75"), F.max(x).alias(f"{c}__max")]
+                 _pct(x, [0.25, 0.5, 0.75], approx).alias(f"{c}__qs"), F.max(x).alias(f"{c}__max")]
+    wide = df.agg(*aggs)
+    wide = wide.select("*", *[F.col(f"{c}__qs")[i].alias(f"{c}__{n}") for c in cols
+                              for i, n in enumerate(("q25", "q50", "q75"))])
     fields = {"count": "bigint", "mean": "double", "std": "double", "min": "double",
               "q25": "double", "q50": "double", "q75": "double", "max": "double"}
-    long = _unpivot_wide(df.agg(*aggs), cols, fields)
+    long = _unpivot_wide(wide, cols, fields)
     return long.select("column", "count", *[F.round(f, 6).alias(f) for f in list(fields)[1:]])
 
 
@@ -138,15 +155,18 @@ def histogram(df: DataFrame, c: str, bins: int = 30) -> DataFrame:
 
 
 def boxplot_stats(df: DataFrame, cat: str, c: str, k: float = 1.5,
-                  approx: bool = False) -> DataFrame:
+                  approx: bool | None = None) -> DataFrame:
     """Per category: quartiles, IQR, whiskers (furthest points inside the
     k*IQR fences) and outlier count. Two aggregations; the quartile table has
-    one row per category and joins back on the category key."""
+    one row per category and joins back on the category key (size-checked
+    broadcast)."""
+    from ..functions.joins import checked_broadcast
     x = F.col(c).cast("double")
-    q = df.groupBy(cat).agg(_pct(x, 0.25, approx).alias("q1"), _pct(x, 0.5, approx).alias("median"),
-                            _pct(x, 0.75, approx).alias("q3"), F.count(x).alias("n"))
+    approx = resolve_approx(df, approx)
+    q = df.groupBy(cat).agg(_pct(x, [0.25, 0.5, 0.75], approx).alias("qs"), F.count(x).alias("n"))
+    q = q.select(cat, "n", F.col("qs")[0].alias("q1"), F.col("qs")[1].alias("median"), F.col("qs")[2].alias("q3"))
     q = q.withColumn("iqr", F.col("q3") - F.col("q1"))
-    j = df.select(cat, x.alias("_x")).where(F.col("_x").isNotNull()).join(q, cat)
+    j = df.select(cat, x.alias("_x")).where(F.col("_x").isNotNull()).join(checked_broadcast(q), cat)
     lo_f = F.col("q1") - k * F.col("iqr")
     hi_f = F.col("q3") + k * F.col("iqr")
     out = j.groupBy(cat, "q1", "median", "q3", "iqr", "n").agg(
