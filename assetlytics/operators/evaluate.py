@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import col_, dlit
+from ..functions.quantiles import percentile, use_sketch
 from ..functions.stats import norm_inv_cdf
 
 
@@ -49,11 +50,14 @@ def regression_metrics(df: DataFrame, y: str, yhat: str, is_train: Column, group
                           "overfitting_rmse": F.col("test_rmse_log") - F.col("train_rmse_log")})
 
 
-def residual_stats(df: DataFrame, resid: str) -> DataFrame:
+def residual_stats(df: DataFrame, resid: str, approx: bool | None = None) -> DataFrame:
     r = F.col(resid).cast("double")
+    sk = use_sketch(df, approx)
+    qs = percentile(r, [0.25, 0.5, 0.75], sk)
     return df.agg(F.avg(r).alias("mean"), F.stddev_samp(r).alias("std"), F.min(r).alias("min"),
-                  F.max(r).alias("max"), F.median(r).alias("median"),
-                  F.percentile(r, 0.25).alias("q25"), F.percentile(r, 0.75).alias("q75"))
+                  F.max(r).alias("max"), qs.alias("_qs")).select(
+        "mean", "std", "min", "max", F.col("_qs")[1].alias("median"), F.col("_qs")[0].alias("q25"),
+        F.col("_qs")[2].alias("q75"))
 
 
 def jarque_bera(df: DataFrame, resid: str) -> DataFrame:
@@ -95,7 +99,7 @@ def prediction_interval(df: DataFrame, y: str, yhat: str, resid_std: float, conf
 def quantile_bins(df: DataFrame, y: str, quantiles=(0.25, 0.5, 0.75)) -> Column:
     """``qcut`` bin index (right-closed, lowest included, duplicate edges
     dropped) from exact inner quantile edges computed in one aggregate."""
-    edges = df.agg(F.percentile(F.col(y), list(quantiles)).alias("e")).first()["e"]
+    edges = df.agg(percentile(y, list(quantiles), use_sketch(df)).alias("e")).first()["e"]
     inner = F.array_distinct(F.array(*[dlit(float(e)) for e in edges]))
     return F.size(F.filter(inner, lambda e: e < F.col(y)))
 

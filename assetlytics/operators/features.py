@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import floor_at, safe_ratio
 from ..functions.joins import lookup_join
+from ..functions.quantiles import median, use_sketch
 from .profile import numeric_mode
 
 
@@ -61,7 +62,7 @@ def all_features(df: DataFrame, ratio_defs=None, interaction_defs=None, polynomi
 
 
 # ------------------------------------------------- per-group target statistics
-_AGGS = {"mean": F.avg, "median": F.median, "std": F.stddev_samp}
+_AGGS = {"mean": F.avg, "median": None, "std": F.stddev_samp}
 
 
 @dataclass
@@ -76,11 +77,13 @@ def fit_aggregated_features(df: DataFrame, target: str, group_cols: list[str],
     """One groupBy per group column; unknown aggregate names are skipped
     (``count`` is accepted but, as in the reference, not stored)."""
     use = [a for a in aggs if a in _AGGS]
+    sk = use_sketch(df) if "median" in use else False
+    fns = {a: (lambda x: median(x, sk)) if a == "median" else _AGGS[a] for a in use}
     out = GroupStats(target)
     for g in group_cols:
         if g not in df.columns or not use:
             continue
-        out.tables[g] = df.groupBy(g).agg(*[_AGGS[a](F.col(target).cast("double")).alias(f"{g}_{a}")
+        out.tables[g] = df.groupBy(g).agg(*[fns[a](F.col(target).cast("double")).alias(f"{g}_{a}")
                                             for a in use])
     out.global_mean = df.agg(F.avg(F.col(target).cast("double"))).first()[0]
     return out

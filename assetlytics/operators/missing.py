@@ -25,13 +25,9 @@ def _is_num(df: DataFrame, c: str) -> bool:
     return isinstance(df.schema[c].dataType, NumericType)
 
 
-# Above this many rows, medians switch from exact to a bounded-memory sketch.
-EXACT_QUANTILE_MAX_ROWS = 20_000_000
-
-
 def _median(c, approx: bool):
-    x = F.col(c).cast("double")
-    return F.percentile_approx(x, 0.5, 1_000_000) if approx else F.median(x)
+    from ..functions.quantiles import median
+    return median(c, approx)
 
 
 def _column_stats(df: DataFrame, cols: list[str], medians: bool = False, approx: bool | None = None) -> dict:
@@ -39,7 +35,8 @@ def _column_stats(df: DataFrame, cols: list[str], medians: bool = False, approx:
     median (optional) and whether the column holds at most one distinct
     non-null value (``min == max``: exact, no distinct-count expansion)."""
     if approx is None and medians:
-        approx = df.count() > EXACT_QUANTILE_MAX_ROWS
+        from ..functions.quantiles import use_sketch
+        approx = use_sketch(df)
     aggs = [F.count(F.lit(1)).alias("__n")]
     for i, c in enumerate(cols):
         aggs += [F.sum(F.col(c).isNull().cast("long")).alias(f"nn{i}"),
@@ -321,7 +318,9 @@ def fit_missing_advanced(df: DataFrame, cols: list[str] | None = None, threshold
 
 def impute_median(train: DataFrame, df: DataFrame, cols: list[str]) -> DataFrame:
     """Fill ``cols`` with medians learned on ``train``."""
-    med = train.agg(*[F.median(F.col(c).cast("double")).alias(c) for c in cols]).first()
+    from ..functions.quantiles import median, use_sketch
+    sk = use_sketch(train)
+    med = train.agg(*[median(c, sk).alias(c) for c in cols]).first()
     return df.select(*[F.coalesce(F.col(c), F.lit(med[c]).cast(df.schema[c].dataType)).alias(c)
                        if c in cols else F.col(c) for c in df.columns])
 

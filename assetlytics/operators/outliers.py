@@ -17,23 +17,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import clip
+from ..functions.quantiles import median, percentile, use_sketch
 
 
-def _pct(c, q, approx):
-    return F.percentile_approx(c, q, 10000) if approx else F.percentile(c, q)
-
-
-def iqr_bounds(df: DataFrame, cols: list[str], k: float = 1.5, approx: bool = False) -> dict:
-    aggs = []
-    for i, c in enumerate(cols):
-        x = F.col(c).cast("double")
-        aggs += [_pct(x, 0.25, approx).alias(f"a{i}"), _pct(x, 0.75, approx).alias(f"b{i}")]
-    r = df.agg(*aggs).first()
+def iqr_bounds(df: DataFrame, cols: list[str], k: float = 1.5, approx: bool | None = None) -> dict:
+    """Q1 - k*IQR, Q3 + k*IQR per column: one two-quantile buffer per column."""
+    sk = use_sketch(df, approx)
+    r = df.agg(*[percentile(c, [0.25, 0.75], sk).alias(f"q{i}") for i, c in enumerate(cols)]).first()
     out = {}
     for i, c in enumerate(cols):
-        q1, q3 = r[f"a{i}"], r[f"b{i}"]
-        if q1 is None:
+        if r[f"q{i}"] is None or r[f"q{i}"][0] is None:
             continue
+        q1, q3 = r[f"q{i}"]
         out[c] = (q1 - k * (q3 - q1), q3 + k * (q3 - q1))
     return out
 
@@ -51,10 +46,10 @@ def zscore_bounds(df: DataFrame, cols: list[str], k: float = 3.0, ddof: int = 1)
     return out
 
 
-def percentile_bounds(df: DataFrame, cols: list[str], lo=0.05, hi=0.95, approx=False) -> dict:
-    r = df.agg(*[_pct(F.col(c).cast("double"), lo, approx).alias(f"a{i}") for i, c in enumerate(cols)],
-               *[_pct(F.col(c).cast("double"), hi, approx).alias(f"b{i}") for i, c in enumerate(cols)]).first()
-    return {c: (r[f"a{i}"], r[f"b{i}"]) for i, c in enumerate(cols) if r[f"a{i}"] is not None}
+def percentile_bounds(df: DataFrame, cols: list[str], lo=0.05, hi=0.95, approx: bool | None = None) -> dict:
+    sk = use_sketch(df, approx)
+    r = df.agg(*[percentile(c, [lo, hi], sk).alias(f"q{i}") for i, c in enumerate(cols)]).first()
+    return {c: tuple(r[f"q{i}"]) for i, c in enumerate(cols) if r[f"q{i}"] is not None and r[f"q{i}"][0] is not None}
 
 
 def flag_outside(df: DataFrame, bounds: dict, key: str, prefix: str = "out_") -> DataFrame:
@@ -95,7 +90,7 @@ class CapParams:
         return spark.createDataFrame(self.rows(), "column string, method string, lower double, upper double")
 
 
-def fit_caps(df: DataFrame, cols: list[str], method: str = "winsorize", approx: bool = False) -> CapParams:
+def fit_caps(df: DataFrame, cols: list[str], method: str = "winsorize", approx: bool | None = None) -> CapParams:
     """winsorize: P5/P95; iqr: Q1-1.5IQR / Q3+1.5IQR; zscore: mean +- 3 std (ddof 1)."""
     if method == "winsorize":
         b = percentile_bounds(df, cols, 0.05, 0.95, approx)
@@ -143,7 +138,8 @@ def influence(df: DataFrame, y: str, xs: list[str], key: str, standard: bool = F
     the studentising factor); ``standard=True`` uses the textbook forms."""
     cols = list(xs)
     med = {}
-    r = df.agg(*[F.median(F.col(c).cast("double")).alias(f"md_{c}") for c in cols + [y]],
+    sk = use_sketch(df) if fill_median else False
+    r = df.agg(*[median(c, sk).alias(f"md_{c}") for c in cols + [y]],
                *[F.avg(F.col(c).cast("double")).alias(f"mu_{c}") for c in cols]).first()
     if fill_median:
         med = {c: r[f"md_{c}"] for c in cols + [y]}

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import dlit, numeric_columns
 from ..functions.normal import norm_ppf
+from ..functions.quantiles import median, use_sketch
 
 
 def _unpivot_wide(wide: DataFrame, cols: list[str], fields: dict[str, str],
@@ -77,21 +78,15 @@ def distinct_profile(df: DataFrame, cols: list[str] | None = None,
     return _unpivot_wide(wide, cols, {"n_distinct": "bigint"})
 
 
-# Above this many rows, exact percentiles (which buffer every distinct value
-# of a group) switch to the bounded-memory percentile sketch.
-EXACT_QUANTILE_MAX_ROWS = 20_000_000
-
-
 def _pct(c, q, approx):
     """Exact (linear interpolation) or sketch percentile; ``q`` may be a list."""
-    return F.percentile_approx(c, q, 1_000_000) if approx else F.percentile(c, q)
+    from ..functions.quantiles import percentile
+    return percentile(c, q, approx)
 
 
 def resolve_approx(df: DataFrame, approx: bool | None) -> bool:
-    """``None`` -> decide from the row count (one pruned scan)."""
-    if approx is not None:
-        return approx
-    return df.limit(EXACT_QUANTILE_MAX_ROWS + 1).count() > EXACT_QUANTILE_MAX_ROWS
+    """``None`` -> exact below EXACT_QUANTILE_MAX_ROWS rows, sketch above."""
+    return use_sketch(df, approx)
 
 
 def describe_numeric(df: DataFrame, cols: list[str] | None = None,
@@ -125,13 +120,14 @@ def corr_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     return wide.select(F.inline(F.array(*rows)))
 
 
-def shape_stats(df: DataFrame, cols: list[str]) -> DataFrame:
+def shape_stats(df: DataFrame, cols: list[str], approx: bool | None = None) -> DataFrame:
     """Population skewness, excess kurtosis (scipy defaults), mean/median."""
+    sk = use_sketch(df, approx)
     aggs = []
     for c in cols:
         x = F.col(c).cast("double")
         aggs += [F.skewness(x).alias(f"{c}__skew"), F.kurtosis(x).alias(f"{c}__kurt"),
-                 F.try_divide(F.avg(x), F.median(x)).alias(f"{c}__mean_median")]
+                 F.try_divide(F.avg(x), median(x, sk)).alias(f"{c}__mean_median")]
     long = _unpivot_wide(df.agg(*aggs), cols,
                          {"skew": "double", "kurt": "double", "mean_median": "double"})
     return long.select("column", *[F.round(f, 6).alias(f) for f in ("skew", "kurt", "mean_median")])
