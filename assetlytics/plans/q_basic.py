@@ -261,7 +261,8 @@ def q_scalar_math(spark, sf_dir):
 @query("text_clean_latin1", """
 WITH c AS (SELECT doc_id, text, regexp_replace(regexp_replace(text, '[^\\x00-\\x7F\\xC0-\\xFF]', '', 'g'),
                                            '^[ \\t\\n\\r\\f\\x0B]+|[ \\t\\n\\r\\f\\x0B]+$', '', 'g') AS clean FROM documents)
-SELECT doc_id, length(clean) AS n_chars_clean, length(text) - length(clean) AS n_removed, md5(clean) AS clean_md5 FROM c""",
+SELECT doc_id, CAST(length(clean) AS INTEGER) AS n_chars_clean, CAST(length(text) - length(clean) AS INTEGER) AS n_removed,
+       md5(clean) AS clean_md5 FROM c""",
        raw_sql=True)
 def q_text_clean_latin1(spark, sf_dir):
     """Whole-text Latin-1 cleaning of every document (built-in regex, no UDF)."""

@@ -140,7 +140,7 @@ def q_metric_grade(spark, sf_dir):
 
 
 @query("model_ranking", PRED_CTE + metrics_cte("m", "true", ["scenario", "model"]) + """
-SELECT scenario, model, test_r2, row_number() OVER (ORDER BY test_r2 DESC, scenario, model) AS rank FROM m""")
+SELECT scenario, model, test_r2, CAST(row_number() OVER (ORDER BY test_r2 DESC, scenario, model) AS INTEGER) AS rank FROM m""")
 def q_model_ranking(spark, sf_dir):
     m = _spark_metrics(long_predictions(predictions(spark, sf_dir)), ["scenario", "model"])
     # A handful of (scenario, model) rows: the global window is over a tiny table.
@@ -255,7 +255,7 @@ def q_prediction_interval(spark, sf_dir):
 , t AS (SELECT exp(y) - 1 AS y_true, exp(p2) - 1 AS y_pred FROM pr WHERE NOT is_train),
 e AS (SELECT list_distinct(quantile_cont(y_true, [0.25, 0.5, 0.75])) AS edges FROM t),
 b AS (SELECT t.*, len(list_filter(edges, lambda q: q < y_true)) AS quantile FROM t, e)
-SELECT quantile, round(min(y_true), 4) AS y_true_min, round(max(y_true), 4) AS y_true_max, count(y_true) AS y_true_count,
+SELECT CAST(quantile AS INTEGER) AS quantile, round(min(y_true), 4) AS y_true_min, round(max(y_true), 4) AS y_true_max, count(y_true) AS y_true_count,
        round(avg(y_true - y_pred), 4) AS error_mean, round(avg(abs(y_true - y_pred)), 4) AS abs_error_mean,
        round(avg(abs((y_true - y_pred) / y_true) * 100), 4) AS pct_error_mean FROM b GROUP BY quantile""")
 def q_error_by_quantile(spark, sf_dir):

@@ -248,7 +248,7 @@ def q_outliers_zscore(spark, sf_dir):
 @query("outlier_counts", ", q AS (SELECT count(*) AS n, " + ", ".join(
     f"quantile_cont({c}, 0.25) AS a{i}, quantile_cont({c}, 0.75) AS b{i}" for i, c in enumerate(OUT_COLS))
     + " FROM asset) " + "\nUNION ALL ".join(
-    f"SELECT '{c}' AS \"column\", coalesce(sum(CAST({c} < a{i} - 1.5 * (b{i} - a{i}) OR {c} > b{i} + 1.5 * (b{i} - a{i}) AS BIGINT)), 0) AS n_outliers, "
+    f"SELECT '{c}' AS \"column\", CAST(coalesce(sum(CAST({c} < a{i} - 1.5 * (b{i} - a{i}) OR {c} > b{i} + 1.5 * (b{i} - a{i}) AS BIGINT)), 0) AS BIGINT) AS n_outliers, "
     f"round(coalesce(sum(CAST({c} < a{i} - 1.5 * (b{i} - a{i}) OR {c} > b{i} + 1.5 * (b{i} - a{i}) AS BIGINT)), 0) * 100.0 / max(n), 4) AS pct FROM asset, q"
     for i, c in enumerate(OUT_COLS)))
 def q_outlier_counts(spark, sf_dir):

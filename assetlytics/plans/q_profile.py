@@ -46,7 +46,7 @@ _PAIRS = [(a, a) for a in NULLABLE] + list(combinations(NULLABLE, 2))
 
 
 @query("co_missing", "SELECT * FROM (" + _union([
-    f"SELECT '{a}' AS col_a, '{b}' AS col_b, sum(CAST({a} IS NULL AND {b} IS NULL AS BIGINT)) AS both_null FROM asset"
+    f"SELECT '{a}' AS col_a, '{b}' AS col_b, CAST(sum(CAST({a} IS NULL AND {b} IS NULL AS BIGINT)) AS BIGINT) AS both_null FROM asset"
     for a, b in _PAIRS]) + ")")
 def q_co_missing(spark, sf_dir):
     return P.co_missing(asset(spark, sf_dir), NULLABLE)
@@ -116,7 +116,7 @@ SELECT a.property_type, q.n, round(q1, 6) AS q1, round(med, 6) AS median, round(
        round(q3 - q1, 6) AS iqr,
        round(min(CASE WHEN emissions >= q1 - 1.5 * (q3 - q1) THEN emissions END), 6) AS whisker_lo,
        round(max(CASE WHEN emissions <= q3 + 1.5 * (q3 - q1) THEN emissions END), 6) AS whisker_hi,
-       sum(CAST(emissions < q1 - 1.5 * (q3 - q1) OR emissions > q3 + 1.5 * (q3 - q1) AS BIGINT)) AS n_outliers
+       CAST(sum(CAST(emissions < q1 - 1.5 * (q3 - q1) OR emissions > q3 + 1.5 * (q3 - q1) AS BIGINT)) AS BIGINT) AS n_outliers
 FROM asset a JOIN q USING (property_type) WHERE emissions IS NOT NULL
 GROUP BY a.property_type, q.n, q1, med, q3""")
 def q_boxplot_stats(spark, sf_dir):
@@ -125,7 +125,7 @@ def q_boxplot_stats(spark, sf_dir):
 
 @query("ecdf", """
 , v AS (SELECT emissions, count(*) AS n FROM asset WHERE emissions IS NOT NULL GROUP BY 1)
-SELECT emissions, n, sum(n) OVER (ORDER BY emissions) AS cum_n,
+SELECT emissions, n, CAST(sum(n) OVER (ORDER BY emissions) AS BIGINT) AS cum_n,
        round(sum(n) OVER (ORDER BY emissions) / (SELECT sum(n) FROM v), 6) AS ecdf FROM v""")
 def q_ecdf(spark, sf_dir):
     return P.ecdf(asset(spark, sf_dir), "emissions")

@@ -101,7 +101,7 @@ def q_score_defaults(spark, sf_dir):
     {'idx': 2, 'feature': 'building_age', 'impact': 0.15 * ((2026 - coalesce(year_built, 1980)) / 50.0)},
     {'idx': 3, 'feature': 'energy_score', 'impact': -0.4 * (coalesce(energy_score, 60.0) / 100.0)},
     {'idx': 4, 'feature': 'location', 'impact': 0.1}]) AS x FROM asset)
-SELECT asset_id, row_number() OVER (PARTITION BY asset_id ORDER BY abs(x.impact) DESC, x.idx) AS rank,
+SELECT asset_id, CAST(row_number() OVER (PARTITION BY asset_id ORDER BY abs(x.impact) DESC, x.idx) AS INTEGER) AS rank,
        x.feature AS feature, round(CAST(x.impact AS DOUBLE), 6) AS impact FROM t""")
 def q_explain_terms(spark, sf_dir):
     out = S.explain_terms(asset(spark, sf_dir), "asset_id")
@@ -134,7 +134,7 @@ def q_score_suggestion(spark, sf_dir):
     CASE WHEN contains(coalesce({TYPE_SQL}, 'Office'), 'Office') THEN 'smart_heating' END,
     CASE WHEN contains(coalesce({TYPE_SQL}, 'Office'), 'Hospital') OR contains(coalesce({TYPE_SQL}, 'Office'), 'Hotel')
          THEN 'efficient_hot_water' END, 'solar_panels', 'insulation'], lambda x: x IS NOT NULL) AS recos FROM asset)
-SELECT asset_id, len(recos) AS n_recos, array_to_string(recos, '|') AS recos FROM r""")
+SELECT asset_id, CAST(len(recos) AS INTEGER) AS n_recos, array_to_string(recos, '|') AS recos FROM r""")
 def q_recommendations(spark, sf_dir):
     a = asset(spark, sf_dir).withColumn("building_type_ref", S.map_segment("property_type"))
     r = a.select("asset_id", S.recommendations("building_type_ref", "energy_score").alias("recos"))
@@ -154,7 +154,7 @@ v AS (SELECT asset_id, list_filter([
    CASE WHEN yr IS NULL OR yr < 1800 THEN 'year_min' END,
    CASE WHEN yr > 2026 THEN 'year_future' END,
    CASE WHEN score IS NOT NULL AND (score < 0 OR score > 100) THEN 'score_range' END], lambda e: e IS NOT NULL) AS vs FROM x)
-SELECT asset_id, len(vs) AS n_violations, array_to_string(vs, '|') AS violations, len(vs) = 0 AS valid FROM v""")
+SELECT asset_id, CAST(len(vs) AS INTEGER) AS n_violations, array_to_string(vs, '|') AS violations, len(vs) = 0 AS valid FROM v""")
 def q_validate_rules(spark, sf_dir):
     a = asset(spark, sf_dir).select("asset_id", F.col("gfa_total").alias("area"),
                                     (F.col("n_floors") - 1).alias("floors"), (F.col("year_built") + 10).alias("yr"),
