@@ -176,24 +176,32 @@ def boxplot_stats(df: DataFrame, cat: str, c: str, k: float = 1.5,
 
 def _prefix_counts(df: DataFrame, c: str, buckets: int = 1024) -> tuple[DataFrame, int]:
     """Distinct values of ``c`` with their count and the cumulative count of
-    all values <= it. Two-level prefix sum: value-range buckets (bounded
-    number, so the offset window is tiny) then a window per bucket."""
+    all values <= it. Two-level prefix sum: the distinct values (hot values
+    collapse here) are cut into equi-depth buckets by sketch quantiles and a
+    JVM-side binary search (``Bucketizer``), so every window partition holds
+    about n_distinct / buckets values; the bucket-offset table has at most
+    ``buckets`` rows (a proven broadcast bound)."""
+    from pyspark import StorageLevel
+    from pyspark.ml.feature import Bucketizer
     x = F.col(c).cast("double")
-    st = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.count(x).alias("n")).first()
-    lo, hi, n = st["lo"], st["hi"], st["n"]
-    v = df.where(x.isNotNull()).groupBy(x.alias("x")).agg(F.count(F.lit(1)).alias("cnt"))
+    v = (df.where(x.isNotNull()).groupBy(x.alias("x")).agg(F.count(F.lit(1)).alias("cnt"))
+           .persist(StorageLevel.MEMORY_AND_DISK))
+    probs = [i / buckets for i in range(1, buckets)]
+    st = v.agg(F.sum("cnt").alias("n"), F.percentile_approx("x", probs, 10 * buckets).alias("e")).first()
+    n = st["n"] or 0
     if not n:
-        return v.withColumn("cum", F.lit(0)), 0
-    width = (hi - lo) if hi > lo else 1.0
-    v = v.withColumn("b", F.least(F.floor((F.col("x") - F.lit(lo)) / F.lit(width)
-                                          * F.lit(buckets)).cast("int"), F.lit(buckets - 1)))
-    per_b = v.groupBy("b").agg(F.sum("cnt").alias("bn"))
+        return v.withColumn("cum", F.lit(0).cast("bigint")), 0
+    edges = sorted(set(float(e) for e in st["e"]))
+    splits = [float("-inf")] + edges + [float("inf")]
+    vb = Bucketizer(splits=splits, inputCol="x", outputCol="bd").transform(v) \
+        .withColumn("b", F.col("bd").cast("int")).drop("bd")
+    per_b = vb.groupBy("b").agg(F.sum("cnt").alias("bn"))
+    # At most len(splits) - 1 rows: the global window is over that tiny table.
     off = per_b.select("b", (F.sum("bn").over(Window.orderBy("b")) - F.col("bn")).alias("off"))
     w = Window.partitionBy("b").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    # ``off`` has at most ``buckets`` rows by construction: a proven broadcast bound.
-    out = (v.withColumn("run", F.sum("cnt").over(w))
-            .join(F.broadcast(off), "b")
-            .select("x", "cnt", (F.col("off") + F.col("run")).alias("cum")))
+    out = (vb.withColumn("run", F.sum("cnt").over(w))
+             .join(F.broadcast(off), "b")
+             .select("x", "cnt", (F.col("off") + F.col("run")).alias("cum")))
     return out, n
 
 
@@ -265,7 +273,3 @@ def top_extremes(df: DataFrame, c: str, key: str, k: int = 10, threshold: float
     return (df.select(key, F.col(c).alias("value"), F.round(x, 6).alias("value_log"),
                       F.round(z, 6).alias("abs_z"), (z > threshold).alias("is_extreme"))
               .orderBy(F.desc("abs_z"), F.asc(key)).limit(k))
-
-
-def constant_value(v, name: str):
-    return dlit(v).alias(name)

@@ -69,19 +69,6 @@ def raw_metric_sql(prefix, cond, original=True):
     return [s.replace("round(", "(").replace(", 6) AS", ") AS") for s in metric_sql(prefix, cond, original)]
 
 
-def _metrics_sql(group):
-    gsel = ", ".join(group)
-    aggs = raw_metric_sql("train_", "is_train", False) + raw_metric_sql("test_", "NOT is_train")
-    return f"SELECT {gsel + ', ' if gsel else ''}{', '.join(aggs)} FROM lg WHERE model IS NOT NULL"
-
-
-def _round_metrics(sel_from):
-    cols = ["train_n", "test_n"]
-    r6 = ["train_r2", "train_rmse_log", "train_mae_log", "test_r2", "test_rmse_log", "test_mae_log",
-          "test_rmse_original", "test_mae_original", "test_mape"]
-    return cols, r6
-
-
 R6 = ["train_r2", "train_rmse_log", "train_mae_log", "test_r2", "test_rmse_log", "test_mae_log",
       "test_rmse_original", "test_mae_original", "test_mape", "overfitting_r2", "overfitting_rmse"]
 

@@ -98,3 +98,17 @@ def test_chi2_yates_on_2x2(spark):
     r = M.mar_chi2_stats(df, "v", "cat").first()
     assert r["dof"] == 1
     assert abs(r["statistic"] - 0.4464285714285714) < 1e-9
+
+
+def test_qq_points_match_bruteforce(asset_df):
+    pdf = asset_df.select(F.log1p("emissions").alias("v")).toPandas()
+    got = P.qq_points(asset_df.select(F.log1p("emissions").alias("v")), "v", buckets=5).toPandas()
+    got = got.sort_values("rank")
+    n = len(pdf)
+    xs = pdf["v"].sort_values().values
+    i = got["rank"].values.astype(float)
+    m = [(1 - 0.5 ** (1 / n)) if r == 1 else (0.5 ** (1 / n)) if r == n else (r - 0.3175) / (n + 0.365) for r in i]
+    exp = [NormalDist().inv_cdf(p) for p in m]
+    assert len(got) == n
+    assert max(abs(got["theoretical"].values - exp)) < 1e-6
+    assert max(abs(got["sample"].values - xs)) < 1e-6
