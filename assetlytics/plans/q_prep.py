@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import round_doubles
 from ..operators import missing as M
 from ..operators import outliers as O
+from ..operators import profile as P
 from ..sources.asset import NUMERIC_COLUMNS
 from .common import SQL_TEST, SQL_TRAIN, asset, is_train
 from .registry import query
@@ -191,8 +192,7 @@ def q_missing_mechanism(spark, sf_dir):
 def q_mechanism_summary(spark, sf_dir):
     """Per-column Little test on the column alone (parity mode) with null %."""
     tr = _train(spark, sf_dir).cache()
-    prof = {r["column"]: r["null_pct"] for r in
-            __import__("assetlytics.operators.profile", fromlist=["x"]).null_profile(tr, MECH_COLS).collect()}
+    prof = {r["column"]: r["null_pct"] for r in P.null_profile(tr, MECH_COLS).collect()}
     rows = []
     for c in MECH_COLS:
         if c in NUM:

@@ -234,4 +234,8 @@ def q_baseline_first(spark, sf_dir):
     from ..sources.tables import read_table
     ev = read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "value"])
     out = SC.baseline_first(ev)
-    return out.select("user_id", "baseline", F.unix_micros(F.col("first_ts").cast("timestamp")).alias("first_ts_us"), "n_events")
+    # Microseconds since the epoch of a TIMESTAMP_NTZ: a difference of two NTZ
+    # values, independent of the session time zone.
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    first_us = F.timestamp_diff("MICROSECOND", epoch, F.col("first_ts").cast("timestamp_ntz"))
+    return out.select("user_id", "baseline", first_us.alias("first_ts_us"), "n_events")
