@@ -54,11 +54,15 @@ def benchmark_table(spark: SparkSession, table: dict | None = None) -> DataFrame
 
 
 def with_benchmark(df: DataFrame, type_col: str, default: float = DEFAULT_BENCHMARK,
-                   table: dict | None = None, out: str = "benchmark") -> DataFrame:
-    """Left lookup on the fixed benchmark table (22 rows: broadcast) with a default."""
+                   table: dict | None = None, out: str = "benchmark", extra_defaults: dict | None = None) -> DataFrame:
+    """Left lookup on the fixed benchmark table (22 rows: broadcast) with a
+    default; ``extra_defaults`` ({column: default}) derives more columns from
+    the same single join."""
     bt = F.broadcast(benchmark_table(df.sparkSession, table).withColumnRenamed("benchmark", "_bench"))
     j = df.join(bt, F.col(type_col) == bt.type_name, "left")
-    return j.withColumn(out, F.coalesce(F.col("_bench"), F.lit(default))).drop("type_name", "_bench")
+    outs = {out: F.coalesce(F.col("_bench"), F.lit(default))}
+    outs.update({k: F.coalesce(F.col("_bench"), F.lit(v)) for k, v in (extra_defaults or {}).items()})
+    return j.withColumns(outs).drop("type_name", "_bench")
 
 
 def round_half_up(x: Column, digits: int) -> Column:

@@ -5,12 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.asset import load_asset
+from ..sources.asset import SPLIT_MOD, TEST_BELOW, load_asset
 
-# Split/fold rule shared by Spark plans and oracle SQL: 31 is coprime to every
-# modulus used in the asset view, so flag/null rates agree across partitions.
-SPLIT_MOD = 31
-TEST_BELOW = 6
+# Split/fold rule shared by Spark plans and oracle SQL (see sources.asset).
 N_FOLDS = 5
 
 SQL_TRAIN = f"asset_id % {SPLIT_MOD} >= {TEST_BELOW}"
@@ -25,8 +22,10 @@ def asset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load_asset(spark, sf_dir)
 
 
-def is_train(c="asset_id"):
-    return (F.col(c) % SPLIT_MOD) >= TEST_BELOW
+def is_train():
+    """The asset table's partition flag (= asset_id % 31 >= 6): filters on it
+    prune partitions at the scan."""
+    return F.col("is_train")
 
 
 def fold_of(c="asset_id"):

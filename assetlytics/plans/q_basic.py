@@ -186,7 +186,7 @@ LEAK = ["electricity_kwh", "gas_therms", "steam_kbtu", "neighborhood_raw", "stat
 @query("leakage_drop", "SELECT asset_id, neighborhood, city, property_type, building_type, latitude, longitude, "
        "year_built, n_floors, gfa_total, gfa_parking, energy_score, acctbal, second_use, mostly_null, emissions FROM asset")
 def q_leakage_drop(spark, sf_dir):
-    return asset(spark, sf_dir).drop(*LEAK)
+    return asset(spark, sf_dir).drop(*LEAK, "is_train")
 
 
 @query("dedup_columns")

@@ -41,8 +41,8 @@ def scored(spark, sf_dir):
     """Scoring view: asset + reference type + benchmarks (150 default for the
     score, 100 for report references) + heuristic prediction."""
     a = asset(spark, sf_dir).withColumn("building_type_ref", S.map_segment("property_type"))
-    a = S.with_benchmark(a, "building_type_ref", S.DEFAULT_BENCHMARK)
-    a = S.with_benchmark(a, "building_type_ref", S.REPORT_DEFAULT_BENCHMARK, out="ref_benchmark")
+    a = S.with_benchmark(a, "building_type_ref", S.DEFAULT_BENCHMARK,
+                         extra_defaults={"ref_benchmark": S.REPORT_DEFAULT_BENCHMARK})
     return a.withColumn("prediction", S.heuristic_score("gfa_total", "benchmark", "energy_score"))
 
 
