@@ -185,27 +185,39 @@ def boxplot_stats(df: DataFrame, cat: str, c: str, k: float = 1.5,
                       "n_outliers")
 
 
-def _prefix_counts(df: DataFrame, c: str, buckets: int = 1024) -> tuple[DataFrame, int]:
+# Distinct values per window partition of the prefix sum (upper target).
+PREFIX_BUCKET_ROWS = 2_000_000
+
+
+def _prefix_counts(df: DataFrame, c: str, buckets: int = 1024,
+                   bucket_rows: int = PREFIX_BUCKET_ROWS) -> tuple[DataFrame, int]:
     """Distinct values of ``c`` with their count and the cumulative count of
     all values <= it. Two-level prefix sum: the distinct values (hot values
     collapse here) are cut into equi-depth buckets by sketch quantiles and a
     JVM-side binary search (``Bucketizer``), so every window partition holds
-    about n_distinct / buckets values; the bucket-offset table has at most
-    ``buckets`` rows (a proven broadcast bound)."""
+    about PREFIX_BUCKET_ROWS distinct values at most; the bucket-offset table
+    has at most ``buckets`` rows (a proven broadcast bound)."""
+    import math
+
     from pyspark import StorageLevel
     from pyspark.ml.feature import Bucketizer
     x = F.col(c).cast("double")
     v = (df.where(x.isNotNull()).groupBy(x.alias("x")).agg(F.count(F.lit(1)).alias("cnt"))
            .persist(StorageLevel.MEMORY_AND_DISK))
-    probs = [i / buckets for i in range(1, buckets)]
-    st = v.agg(F.sum("cnt").alias("n"), F.percentile_approx("x", probs, 10 * buckets).alias("e")).first()
+    st = v.agg(F.sum("cnt").alias("n"), F.count(F.lit(1)).alias("nd")).first()
     n = st["n"] or 0
     if not n:
         return v.withColumn("cum", F.lit(0).cast("bigint")), 0
-    edges = sorted(set(float(e) for e in st["e"]))
-    splits = [float("-inf")] + edges + [float("inf")]
-    vb = Bucketizer(splits=splits, inputCol="x", outputCol="bd").transform(v) \
-        .withColumn("b", F.col("bd").cast("int")).drop("bd")
+    nb = max(1, min(buckets, math.ceil(st["nd"] / bucket_rows)))
+    probs = [i / nb for i in range(1, nb)]
+    raw = v.agg(F.percentile_approx("x", probs, 10 * nb).alias("e")).first()["e"] if probs else []
+    edges = sorted(set(float(e) for e in raw))
+    if edges:
+        splits = [float("-inf")] + edges + [float("inf")]
+        vb = Bucketizer(splits=splits, inputCol="x", outputCol="bd").transform(v) \
+            .withColumn("b", F.col("bd").cast("int")).drop("bd")
+    else:
+        vb = v.withColumn("b", F.lit(0))
     per_b = vb.groupBy("b").agg(F.sum("cnt").alias("bn"))
     # At most len(splits) - 1 rows: the global window is over that tiny table.
     off = per_b.select("b", (F.sum("bn").over(Window.orderBy("b")) - F.col("bn")).alias("off"))
@@ -216,17 +228,17 @@ def _prefix_counts(df: DataFrame, c: str, buckets: int = 1024) -> tuple[DataFram
     return out, n
 
 
-def ecdf(df: DataFrame, c: str, buckets: int = 1024) -> DataFrame:
+def ecdf(df: DataFrame, c: str, buckets: int = 1024, bucket_rows: int = PREFIX_BUCKET_ROWS) -> DataFrame:
     """Empirical CDF at every distinct value: F(x) = #(values <= x) / n."""
-    pc, n = _prefix_counts(df, c, buckets)
+    pc, n = _prefix_counts(df, c, buckets, bucket_rows)
     return pc.select(F.col("x").alias(c), F.col("cnt").alias("n"), F.col("cum").alias("cum_n"),
                      F.round(F.col("cum") / F.lit(float(max(n, 1))), 6).alias("ecdf"))
 
 
-def qq_points(df: DataFrame, c: str, buckets: int = 1024) -> DataFrame:
+def qq_points(df: DataFrame, c: str, buckets: int = 1024, bucket_rows: int = PREFIX_BUCKET_ROWS) -> DataFrame:
     """Normal QQ pairs with Filliben plotting positions (ordered value vs
     standard-normal quantile of its rank position)."""
-    pc, n = _prefix_counts(df, c, buckets)
+    pc, n = _prefix_counts(df, c, buckets, bucket_rows)
     rk = F.explode(F.sequence(F.col("cum") - F.col("cnt") + 1, F.col("cum")))
     pts = pc.select(F.col("x").alias("sample"), rk.alias("rank"))
     nn = float(n)
