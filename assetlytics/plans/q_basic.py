@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from ..functions.columns import clip, floor_at, latin1_clean, round_doubles, safe_ratio, title_case
 from ..operators import kpi
 from ..operators import scoring as S
-from ..session import shared_path
+from ..session import app_id, shared_path
 from ..sources import files
 from ..sources.tables import read_table
 from .common import SQL_TEST, SQL_TRAIN, asset, is_train
@@ -22,7 +22,7 @@ from .sqlfrag import nbh_clean, title
 
 
 def _tag(spark, sf_dir, name):
-    h = hashlib.sha1(f"{spark.sparkContext.applicationId}|{sf_dir}|{name}".encode()).hexdigest()[:10]
+    h = hashlib.sha1(f"{app_id(spark)}|{sf_dir}|{name}".encode()).hexdigest()[:10]
     return shared_path(spark, f"{name}_{h}")
 
 

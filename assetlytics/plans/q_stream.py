@@ -4,11 +4,12 @@ batch scoring on the same rows."""
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import functions as F
 
 from ..operators import scoring as S
-from ..session import shared_path
+from ..session import app_id, shared_path
 from ..streaming import run_to_completion
 from .common import asset
 from .q_scoring import BASE_CTE, BATCH_PRED
@@ -19,7 +20,9 @@ from .registry import query
 def q_stream_batch_score(spark, sf_dir):
     """The asset table is dropped into an inbox as several upload files
     (hash-split on the key); the stream drains them in micro-batches."""
-    tag = hashlib.sha1(f"{spark.sparkContext.applicationId}|{sf_dir}".encode()).hexdigest()[:10]
+    # A fresh inbox/sink/checkpoint per call: re-running the query must not
+    # resume an earlier stream's offsets.
+    tag = hashlib.sha1(f"{app_id(spark)}|{sf_dir}|{uuid.uuid4()}".encode()).hexdigest()[:12]
     inbox, out, ckpt = (shared_path(spark, f"stream_{tag}_{x}") for x in ("inbox", "out", "ckpt"))
     up = asset(spark, sf_dir).select("asset_id", "gfa_total", S.map_segment("property_type").alias("building_type_ref"),
                                      "energy_score")

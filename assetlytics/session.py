@@ -41,10 +41,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not d:
         d = tempfile.mkdtemp(prefix="assetlytics-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    try:  # classic sessions: RDD/Dataset checkpoints go to the same folder
+        spark.sparkContext.setCheckpointDir(d)
+    except Exception:  # noqa: BLE001 - sessions without a SparkContext handle
+        pass
     return d
 
 
+def app_id(spark: SparkSession) -> str:
+    """Application id from the session conf (no SparkContext needed)."""
+    return spark.conf.get("spark.app.id", None) or spark.conf.get("spark.app.name", "app")
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for written intermediate tables."""
     return os.path.join(ensure_checkpoint_dir(spark), name)

@@ -21,7 +21,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_path
+from ..session import app_id, shared_path
 from .tables import read_table
 
 # Oracle text of the same view (DuckDB); identical rows to asset_view().
@@ -134,7 +134,7 @@ def materialize_asset(spark: SparkSession, sf_dir: str) -> DataFrame:
     partitioned by the train/test flag, and return a scan of it: lineage is
     cut, fits read only the train partition and transforms only the test
     one (partition pruning), columns are pruned at the scan."""
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+    key = (app_id(spark), os.path.abspath(sf_dir))
     path = _MATERIALIZED.get(key)
     if path is None:
         tag = hashlib.sha1("|".join(key).encode()).hexdigest()[:12]
