@@ -188,3 +188,36 @@ def validate(df: DataFrame, area="gfa_total", floors="n_floors", year="year_buil
     arr = F.filter(F.array(*[F.when(rule(a, f, y, s), F.lit(name)) for name, rule in VALIDATION_RULES]),
                    lambda x: x.isNotNull())
     return df.withColumn("violations", arr).withColumn("valid", F.size("violations") == 0)
+
+
+def reliability_v2(score) -> Column:
+    """Three-level reliability from the score alone (NULL -> 50)."""
+    s = F.coalesce(col_(score).cast("double"), F.lit(50.0))
+    return F.when(s > 75, "high").when(s < 20, "low").otherwise("medium")
+
+
+# Suggestion codes, in the order they are emitted.
+SUGGESTION_CODES = ("check_insulation", "optimise_hvac", "presence_detectors", "hot_water_management")
+
+
+def smart_suggestions(type_col) -> Column:
+    """Two generic suggestions, plus one for offices and one for hospitals/hotels."""
+    t = F.coalesce(col_(type_col), F.lit(""))
+    items = [F.lit(SUGGESTION_CODES[0]), F.lit(SUGGESTION_CODES[1]),
+             F.when(t.contains("Office"), F.lit(SUGGESTION_CODES[2])),
+             F.when(t.contains("Hospital") | t.contains("Hotel"), F.lit(SUGGESTION_CODES[3]))]
+    return F.filter(F.array(*items), lambda x: x.isNotNull())
+
+
+# Decarbonisation actions (code, share of current emissions, cost band).
+DECARBONISATION_ACTIONS = [("deep_retrofit", 0.20, "$$$"), ("leds_smart_building", 0.05, "$"),
+                           ("solar_panels", 0.15, "$$")]
+
+
+def decarbonisation_plan(df: DataFrame, key: str, pred="prediction") -> DataFrame:
+    """One row per building and action: whole tonnes saved (truncated) and cost band."""
+    arr = F.array(*[F.struct(F.lit(i).alias("idx"), F.lit(c).alias("action"), F.lit(p).alias("share"),
+                             F.lit(cost).alias("cost")) for i, (c, p, cost) in enumerate(DECARBONISATION_ACTIONS)])
+    x = df.select(key, col_(pred).cast("double").alias("_p"), F.explode(arr).alias("a"))
+    return x.select(key, F.col("a.idx").alias("idx"), F.col("a.action").alias("action"),
+                    (F.col("_p") * F.col("a.share")).cast("bigint").alias("gain_t"), F.col("a.cost").alias("cost"))

@@ -272,3 +272,16 @@ def q_predictions_table(spark, sf_dir):
     return round_doubles(p.select("asset_id", yt.alias("y_true"), p1.alias("pred_m1"), p2.alias("pred_m2"),
                                   (yt - p1).alias("error_m1"), (yt - p2).alias("error_m2"),
                                   F.abs(yt - p1).alias("abs_error_m1"), F.abs(yt - p2).alias("abs_error_m2")), 6)
+
+
+@query("optimized_metrics", PRED_CTE + ", m AS (SELECT " + ", ".join(
+    metric_sql("train_", "is_train") + metric_sql("test_", "NOT is_train"))
+    + " FROM lg WHERE scenario = 'm2_with_score' AND model = 'ols') SELECT * FROM m")
+def q_optimized_metrics(spark, sf_dir):
+    """Train and test metrics, both on the log and the original scale
+    (train MAPE and RMSE included), for the with-score model."""
+    lg = long_predictions(predictions(spark, sf_dir))
+    d = lg.where((F.col("scenario") == "m2_with_score") & (F.col("model") == "ols"))
+    m = d.agg(*EV.metric_aggs("y", "yhat", "train_", F.col("is_train")),
+              *EV.metric_aggs("y", "yhat", "test_", ~F.col("is_train")))
+    return round_doubles(m, 6)

@@ -239,3 +239,29 @@ def q_baseline_first(spark, sf_dir):
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     first_us = F.timestamp_diff("MICROSECOND", epoch, F.col("first_ts").cast("timestamp_ntz"))
     return out.select("user_id", "baseline", first_us.alias("first_ts_us"), "n_events")
+
+
+@query("reliability_v2", """
+SELECT asset_id, CASE WHEN coalesce(energy_score, 50.0) > 75 THEN 'high' WHEN coalesce(energy_score, 50.0) < 20 THEN 'low'
+                      ELSE 'medium' END AS reliability FROM asset""")
+def q_reliability_v2(spark, sf_dir):
+    return asset(spark, sf_dir).select("asset_id", S.reliability_v2("energy_score").alias("reliability"))
+
+
+@query("smart_suggestions", f"""
+, r AS (SELECT asset_id, list_filter(['check_insulation', 'optimise_hvac',
+    CASE WHEN contains(coalesce({TYPE_SQL}, ''), 'Office') THEN 'presence_detectors' END,
+    CASE WHEN contains(coalesce({TYPE_SQL}, ''), 'Hospital') OR contains(coalesce({TYPE_SQL}, ''), 'Hotel')
+         THEN 'hot_water_management' END], lambda x: x IS NOT NULL) AS s FROM asset)
+SELECT asset_id, CAST(len(s) AS INTEGER) AS n_suggestions, array_to_string(s, '|') AS suggestions FROM r""")
+def q_smart_suggestions(spark, sf_dir):
+    a = asset(spark, sf_dir).withColumn("building_type_ref", S.map_segment("property_type"))
+    s = a.select("asset_id", S.smart_suggestions("building_type_ref").alias("s"))
+    return s.select("asset_id", F.size("s").alias("n_suggestions"), F.array_join("s", "|").alias("suggestions"))
+
+
+@query("decarbonisation_plan", BASE_CTE + ", p AS (SELECT asset_id, " + PRED + " AS p FROM sb) " + " UNION ALL ".join(
+    f"SELECT asset_id, {i} AS idx, '{c}' AS action, CAST(trunc(p * {share}) AS BIGINT) AS gain_t, '{cost}' AS cost FROM p"
+    for i, (c, share, cost) in enumerate(S.DECARBONISATION_ACTIONS)))
+def q_decarbonisation_plan(spark, sf_dir):
+    return S.decarbonisation_plan(scored(spark, sf_dir), "asset_id")
