@@ -101,8 +101,11 @@ def q_metrics_flatten(spark, sf_dir):
         F.map_from_entries(F.collect_list(F.struct("model", F.struct("test_r2", "test_mape")))).alias("models"))
     path = _tag(spark, sf_dir, "metrics_json")
     files.write_json(doc, path)
-    back = files.read_json(spark, path, "scenario string, models map<string, struct<test_r2: double, "
-                                        "test_mape: double, test_rmse_original: double>>")
+    # A flat CSV export is preferred when present; here only the JSON exists.
+    back = files.read_preferred(spark, [
+        ("csv", _tag(spark, sf_dir, "metrics_csv_absent"), "scenario string, model string, test_r2 double"),
+        ("json", path, "scenario string, models map<string, struct<test_r2: double, "
+                       "test_mape: double, test_rmse_original: double>>")])
     flat = back.select("scenario", F.explode("models").alias("model", "m"))
     return flat.select("scenario", "model", F.coalesce("m.test_r2", F.lit(0.68)).alias("test_r2"),
                        F.coalesce("m.test_mape", F.lit(10.0)).alias("test_mape"),

@@ -58,6 +58,22 @@ def check_contract(df: DataFrame, required: list[str]) -> DataFrame:
     return df
 
 
+def read_preferred(spark: SparkSession, candidates: list[tuple[str, str, StructType | str]]) -> DataFrame:
+    """First readable source of ``(format, path, schema)`` candidates (e.g. a
+    CSV export preferred, a JSON document as fallback)."""
+    from pyspark.errors import AnalysisException
+    last = None
+    for fmt, path, schema in candidates:
+        try:
+            reader = spark.read.schema(schema)
+            df = reader.option("header", True).csv(path) if fmt == "csv" else reader.format(fmt).load(path)
+            df.schema  # resolves the path now: a missing source raises here
+            return df
+        except AnalysisException as e:
+            last = e
+    raise last if last else ValueError("no candidate source")
+
+
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).json(path)
 
