@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -127,6 +128,7 @@ def asset_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _MATERIALIZED: dict[tuple[str, str], str] = {}
+_LOCK = threading.Lock()
 
 
 def materialize_asset(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,6 +137,14 @@ def materialize_asset(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut, fits read only the train partition and transforms only the test
     one (partition pruning), columns are pruned at the scan."""
     key = (app_id(spark), os.path.abspath(sf_dir))
+    with _LOCK:  # concurrent callers (driver threads) write the table once
+        path = _materialize_locked(spark, sf_dir, key)
+    # Partition values are discovered as strings; the cast is evaluated on
+    # partition values, so filters on the flag still prune directories.
+    return spark.read.parquet(path).withColumn("is_train", F.col("is_train").cast("boolean"))
+
+
+def _materialize_locked(spark: SparkSession, sf_dir: str, key: tuple[str, str]) -> str:
     path = _MATERIALIZED.get(key)
     if path is None:
         tag = hashlib.sha1("|".join(key).encode()).hexdigest()[:12]
@@ -142,9 +152,7 @@ def materialize_asset(spark: SparkSession, sf_dir: str) -> DataFrame:
         (asset_view(spark, sf_dir).withColumn("is_train", split_flag())
          .write.mode("overwrite").partitionBy("is_train").parquet(path))
         _MATERIALIZED[key] = path
-    # Partition values are discovered as strings; the cast is evaluated on
-    # partition values, so filters on the flag still prune directories.
-    return spark.read.parquet(path).withColumn("is_train", F.col("is_train").cast("boolean"))
+    return path
 
 
 def load_asset(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DataFrame:
