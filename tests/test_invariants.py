@@ -112,3 +112,32 @@ def test_qq_points_match_bruteforce(asset_df):
     assert len(got) == n
     assert max(abs(got["theoretical"].values - exp)) < 1e-6
     assert max(abs(got["sample"].values - xs)) < 1e-6
+
+
+def test_checked_broadcast_bound(spark):
+    from assetlytics.functions.joins import checked_broadcast
+    small = spark.range(10)
+    big = spark.range(1000)
+    plan_small = small.join(checked_broadcast(small.withColumnRenamed("id", "k"), max_rows=50),
+                            F.col("id") == F.col("k"))._jdf.queryExecution().optimizedPlan().toString()
+    plan_big = small.join(checked_broadcast(big.withColumnRenamed("id", "k"), max_rows=50),
+                          F.col("id") == F.col("k"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" in plan_small.lower()
+    assert "broadcast" not in plan_big.lower()
+
+
+def test_distinct_le_exact(spark):
+    df = spark.createDataFrame([(i % 3, i % 11, None) for i in range(100)], "a int, b int, c string")
+    got = M._distinct_le(df, ["a", "b", "c"], 10)
+    assert got == {"a": True, "b": False, "c": True}
+
+
+def test_tolerant_csv_rules(spark, tmp_path):
+    from pyspark.sql import types as T
+    from assetlytics.sources.files import read_csv_tolerant
+    p = tmp_path / "up.csv"
+    p.write_text('id,name,area,target\n1,"a,b",10.5,3.0\n2,x,n/a,4.0\n3,y,7.0,\n4,z,1.0,2.0,extra\n5,w,2.0,1.5\n')
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("name", T.StringType()),
+                           T.StructField("area", T.DoubleType()), T.StructField("target", T.DoubleType())])
+    rows = sorted(tuple(r) for r in read_csv_tolerant(spark, str(p), schema, target="target").collect())
+    assert rows == [(1, "a,b", 10.5, 3.0), (3, "y", 7.0, 0.0), (5, "w", 2.0, 1.5)]
