@@ -15,6 +15,20 @@ NEIGHBORHOOD_FIXES = {
 }
 
 
+# Substring rules of the csv-module variant (later rules win).
+NEIGHBORHOOD_SUBSTRING_RULES = [("Delridge", "Delridge"), ("Magnolia", "Magnolia / Queen Anne")]
+
+
+def substring_label(c, rules=None):
+    """Title-case, then every rule whose needle occurs replaces the label; a
+    later matching rule overrides an earlier one (sequential ``if``s)."""
+    x = title_case(c)
+    out = x
+    for needle, label in (NEIGHBORHOOD_SUBSTRING_RULES if rules is None else rules):
+        out = F.when(x.contains(needle), F.lit(label)).otherwise(out)
+    return out
+
+
 def normalise_label(c, mapping: dict | None = None):
     return value_map(title_case(c), NEIGHBORHOOD_FIXES if mapping is None else mapping)
 
