@@ -192,7 +192,7 @@ def q_leakage_drop(spark, sf_dir):
     return asset(spark, sf_dir).drop(*LEAK, "is_train")
 
 
-@query("dedup_columns")
+@query("dedup_columns", "SELECT asset_id, gfa_total, emissions FROM asset")
 def q_dedup_columns(spark, sf_dir):
     """Duplicated column names (e.g. after stacking exports) -> keep the first."""
     a = asset(spark, sf_dir)

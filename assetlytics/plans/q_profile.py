@@ -131,7 +131,17 @@ def q_ecdf(spark, sf_dir):
     return P.ecdf(asset(spark, sf_dir), "emissions")
 
 
-@query("qq_points")
+def _qq_sql():
+    from .sqlfrag import norm_ppf
+    return f"""
+, v AS (SELECT ln(1 + emissions) AS x FROM asset WHERE emissions IS NOT NULL),
+r AS (SELECT x, row_number() OVER (ORDER BY x) AS i, count(*) OVER () AS n FROM v),
+m AS (SELECT x, i, CASE WHEN i = 1 THEN 1.0 - power(0.5, 1.0 / n) WHEN i = n THEN power(0.5, 1.0 / n)
+                        ELSE (i - 0.3175) / (n + 0.365) END AS p FROM r)
+SELECT CAST(i AS BIGINT) AS rank, round({norm_ppf('p')}, 6) AS theoretical, round(x, 6) AS sample FROM m"""
+
+
+@query("qq_points", _qq_sql())
 def q_qq_points(spark, sf_dir):
     return P.qq_points(asset(spark, sf_dir).select(F.log1p("emissions").alias("log_emissions")),
                        "log_emissions")

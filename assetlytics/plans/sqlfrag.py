@@ -19,3 +19,24 @@ def log1p(x: str) -> str:
 
 def expm1(x: str) -> str:
     return f"(exp({x}) - 1)"
+
+
+def _horner(coefs, x: str) -> str:
+    acc = repr(coefs[0])
+    for c in coefs[1:]:
+        acc = f"(({acc}) * {x} + {c!r})"
+    return acc
+
+
+def norm_ppf(p: str) -> str:
+    """The same rational approximation as functions.normal.norm_ppf, in SQL."""
+    from ..functions.normal import _A, _B, _C, _D, _P_LOW
+    qlo = f"sqrt(-2.0 * ln({p}))"
+    qhi = f"sqrt(-2.0 * ln(1.0 - {p}))"
+    lo = f"({_horner(_C, qlo)} / ({_horner(_D, qlo)} * {qlo} + 1.0))"
+    hi = f"(-{_horner(_C, qhi)} / ({_horner(_D, qhi)} * {qhi} + 1.0))"
+    q = f"({p} - 0.5)"
+    r = f"({q} * {q})"
+    mid = f"({_horner(_A, r)} * {q} / ({_horner(_B, r)} * {r} + 1.0))"
+    return (f"(CASE WHEN {p} IS NULL OR {p} <= 0 OR {p} >= 1 THEN NULL WHEN {p} < {_P_LOW!r} THEN {lo} "
+            f"WHEN {p} > {1 - _P_LOW!r} THEN {hi} ELSE {mid} END)")
