@@ -37,3 +37,19 @@ def norm_ppf(p: Column) -> Column:
     mid = _horner(_A, r) * q / (_horner(_B, r) * r + F.lit(1.0))
     return (F.when((p <= 0) | (p >= 1) | p.isNull(), F.lit(None).cast("double"))
              .when(p < _P_LOW, lo).when(p > 1 - _P_LOW, hi).otherwise(mid))
+
+
+# Zelen & Severo polynomial for the standard-normal tail
+# (Abramowitz & Stegun 26.2.17, |error| < 7.5e-8).
+_ZS_P = 0.2316419
+_ZS_B = [0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429]
+
+
+def norm_cdf(z: Column) -> Column:
+    """Standard-normal CDF as a Column expression."""
+    z = z.cast("double")
+    x = F.abs(z)
+    t = F.lit(1.0) / (F.lit(1.0) + F.lit(_ZS_P) * x)
+    poly = t * (F.lit(_ZS_B[0]) + t * (F.lit(_ZS_B[1]) + t * (F.lit(_ZS_B[2]) + t * (F.lit(_ZS_B[3]) + t * F.lit(_ZS_B[4])))))
+    tail = F.exp(-(x * x) / F.lit(2.0)) / F.lit(2.5066282746310002) * poly
+    return F.when(z.isNull(), F.lit(None).cast("double")).when(z >= 0, F.lit(1.0) - tail).otherwise(tail)

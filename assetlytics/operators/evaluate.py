@@ -163,3 +163,18 @@ def z_value(confidence: float) -> float:
 
 def isfinite(x: float | None) -> bool:
     return x is not None and math.isfinite(x)
+
+
+def ks_statistic(df: DataFrame, c: str) -> DataFrame:
+    """Kolmogorov-Smirnov D of ``c`` against a normal with the sample mean and
+    std: max over distinct values of |F_n - Phi| on both sides of each step,
+    from the distributed two-level prefix sums (no global sort)."""
+    from ..functions.normal import norm_cdf
+    from .profile import _prefix_counts
+    st = df.agg(F.avg(c).alias("m"), F.stddev_samp(c).alias("s")).first()
+    pc, n = _prefix_counts(df, c)
+    z = (F.col("x") - F.lit(st["m"])) / F.lit(st["s"])
+    phi = norm_cdf(z)
+    hi = F.col("cum") / F.lit(float(n)) - phi
+    lo = phi - (F.col("cum") - F.col("cnt")) / F.lit(float(n))
+    return pc.agg(F.max(F.greatest(hi, lo)).alias("d")).select(F.lit(n).cast("bigint").alias("n"), "d")

@@ -285,3 +285,26 @@ def q_optimized_metrics(spark, sf_dir):
     m = d.agg(*EV.metric_aggs("y", "yhat", "train_", F.col("is_train")),
               *EV.metric_aggs("y", "yhat", "test_", ~F.col("is_train")))
     return round_doubles(m, 6)
+
+
+
+def _ks_sql():
+    from .sqlfrag import norm_cdf
+    z = "((x - m) / sd)"
+    return PRED_CTE + f"""
+, r AS (SELECT y - p2 AS e FROM pr WHERE NOT is_train),
+st AS (SELECT avg(e) AS m, stddev_samp(e) AS sd, count(e) AS n FROM r),
+v AS (SELECT e AS x, count(*) AS cnt FROM r WHERE e IS NOT NULL GROUP BY 1),
+c AS (SELECT x, cnt, sum(cnt) OVER (ORDER BY x) AS cum FROM v)
+SELECT max(n) AS n, round(max(greatest(cum / CAST(n AS DOUBLE) - {norm_cdf(z)},
+                                      {norm_cdf(z)} - (cum - cnt) / CAST(n AS DOUBLE))), 6) AS d
+FROM c, st"""
+
+
+@query("ks_statistic", _ks_sql())
+def q_ks_statistic(spark, sf_dir):
+    """KS distance of the test residuals from a fitted normal (statistic only;
+    ``normality_ks`` adds the p-value)."""
+    p = predictions(spark, sf_dir).where(~F.col("is_train")).withColumn("resid", F.col("y") - F.col("p2"))
+    out = EV.ks_statistic(p.select("resid"), "resid")
+    return out.select("n", F.round("d", 6).alias("d"))

@@ -40,3 +40,13 @@ def norm_ppf(p: str) -> str:
     mid = f"({_horner(_A, r)} * {q} / ({_horner(_B, r)} * {r} + 1.0))"
     return (f"(CASE WHEN {p} IS NULL OR {p} <= 0 OR {p} >= 1 THEN NULL WHEN {p} < {_P_LOW!r} THEN {lo} "
             f"WHEN {p} > {1 - _P_LOW!r} THEN {hi} ELSE {mid} END)")
+
+
+def norm_cdf(z: str) -> str:
+    """The same Zelen-Severo expression as functions.normal.norm_cdf, in SQL."""
+    from ..functions.normal import _ZS_B, _ZS_P
+    x = f"abs({z})"
+    t = f"(1.0 / (1.0 + {_ZS_P!r} * {x}))"
+    poly = (f"({t} * ({_ZS_B[0]!r} + {t} * ({_ZS_B[1]!r} + {t} * ({_ZS_B[2]!r} + {t} * ({_ZS_B[3]!r} + {t} * {_ZS_B[4]!r})))))")
+    tail = f"(exp(-({x} * {x}) / 2.0) / 2.5066282746310002 * {poly})"
+    return f"(CASE WHEN {z} IS NULL THEN NULL WHEN {z} >= 0 THEN 1.0 - {tail} ELSE {tail} END)"
