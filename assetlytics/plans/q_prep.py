@@ -176,13 +176,16 @@ MECH_COLS = ["gas_therms", "energy_score", "acctbal", "second_use"]
 @query("missing_mechanism")
 def q_missing_mechanism(spark, sf_dir):
     """Diagnosis with the Little test over all numeric columns (MAR/MNAR reachable)."""
+    from concurrent.futures import ThreadPoolExecutor
     tr = _train(spark, sf_dir).cache()
-    rows = []
-    for c in MECH_COLS:
+
+    def one(c):  # per-column diagnoses are independent jobs: run them concurrently
         num = [x for x in NUMERIC_COLUMNS if x != c]
         d = M.diagnose(tr, c, num, ["property_type", "building_type"], mcar_cols=NUMERIC_COLUMNS)
-        rows.append((c, d["mechanism"], float(d["little_stat"]), int(d["little_dof"]),
-                     float(d["little_p"]), ",".join(d["significant"])))
+        return (c, d["mechanism"], float(d["little_stat"]), int(d["little_dof"]),
+                float(d["little_p"]), ",".join(d["significant"]))
+    with ThreadPoolExecutor(max_workers=len(MECH_COLS)) as ex:
+        rows = list(ex.map(one, MECH_COLS))
     tr.unpersist()
     return spark.createDataFrame(rows, "column string, mechanism string, little_stat double, "
                                        "little_dof bigint, little_p double, significant string")
