@@ -26,6 +26,10 @@ BANDS = 25
 ROWS = 5
 #: Signature agreement below which a candidate cannot reach the similarity: 7 standard deviations under 0.8.
 SLACK = 7.0
+#: Bits of the bitmap that keeps unconcerned texts out of a shuffle (8 MB).
+BITMAP_BITS = 1 << 26
+#: Rounds of checks against a centre before the members left are checked with each other.
+STAR_TURNS = 2
 WORD = re.compile(r"\w+")
 
 
@@ -150,9 +154,12 @@ def _sketcher(size: int, bands: int, rows: int, weighted: bool):
     return run
 
 
-def _shingler(size: int, weighted: bool):
+def _shingler(size: int, weighted: bool, marks):
     def run(batches):
+        bitmap = marks.value
         for batch in batches:
+            bit = batch.column(2).to_numpy()
+            batch = batch.filter(pa.array((bitmap[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1))
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 sets = shingle_sets(part.column(1).to_pylist(), size)
@@ -197,23 +204,61 @@ def _verifier(similarity: float, weighted: bool):
     return run
 
 
+def _marked(ids: DataFrame) -> np.ndarray:
+    """A bitmap of hashed ids, of a fixed size at any number of ids: it lets
+    through every id of the table, and the fewer others the fewer ids there are."""
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP_BITS)) + 1  # Spark numbers the bits of its bitmaps from 1
+    rows = (ids.select(F.bitmap_bucket_number(h).alias("part"), F.bitmap_bit_position(h).alias("bit"))
+            .groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")))
+    out = np.zeros(BITMAP_BITS // 8, dtype=np.uint8)
+    for r in rows.toLocalIterator():
+        at = (r.part - 1) * 4096
+        out[at:at + 4096] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
 def _verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, size: int, similarity: float,
               weighted: bool, k: int) -> DataFrame:
-    """Pairs (a, b) of representatives -> those that reach the similarity."""
+    """Pairs (a, b) of representatives -> those that reach the similarity.
+
+    Signatures that agree in too few coordinates settle most pairs; the others
+    are verified on their shingle sets. Those sets are made from the texts of
+    the documents concerned only: a bitmap of fixed size keeps most other
+    texts out of the shuffle."""
     least = similarity - SLACK * (similarity * (1 - similarity) / k) ** 0.5
     s = sketches.select("doc_id", "sig")
     close = write_table(
         pairs.join(s.toDF("a", "sig_a"), "a").join(s.toDF("b", "sig_b"), "b")
         .select("a", "b", "sig_a", "sig_b").mapInArrow(_agreer(least), "a long, b long"), "dart-close")
-    ids = close.select(F.col("a").alias("doc_id")).union(close.select("b")).distinct()
-    sets = write_table(docs.join(ids, "doc_id", "left_semi").select("doc_id", "text")
-                       .mapInArrow(_shingler(size, weighted), "doc_id long, els binary, cnt binary")
-                       .dropDuplicates(["doc_id"]), "dart-sets")
+    ids = write_table(close.select(F.col("a").alias("doc_id")).union(close.select("b")).distinct(), "dart-ids")
+    marks = docs.sparkSession.sparkContext.broadcast(_marked(ids))
+    hashed = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP_BITS)).alias("bit"))
+    sets = (hashed.mapInArrow(_shingler(size, weighted, marks), "doc_id long, els binary, cnt binary")
+            .join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    sets = write_table(sets, "dart-sets")
     both = (close.join(sets.toDF("a", "els_a", "cnt_a"), "a").join(sets.toDF("b", "els_b", "cnt_b"), "b")
             .select("a", "b", "els_a", "cnt_a", "els_b", "cnt_b"))
     return write_table(both.mapInArrow(_verifier(similarity, weighted), "a long, b long"), "dart-links")
 
 
+def _stars(placed: DataFrame, ratio, sizes: DataFrame, last: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(centre of each bucket, its pairs with the members of other components).
+
+    The centre is the most popular member: the one that shares buckets with
+    most others, as the original of many copies does. ``last`` gives buckets'
+    former centres, whose components are not chosen again."""
+    best = placed
+    if last is not None:
+        best = placed.join(last.select("bucket", F.col("root").alias("not_root")), "bucket").where("root <> not_root")
+    top = (best.groupBy("bucket").agg(F.max(F.struct("pop", (-F.col("rep")).alias("neg"), "root")).alias("t"))
+           .select("bucket", (-F.col("t.neg")).alias("center"), F.col("t.root").alias("root")))
+    top = write_table(top, "dart-centers")
+    pairs = (placed.join(top.withColumnRenamed("root", "root_c"), "bucket").where("root <> root_c")
+             .select(F.least("center", "rep").alias("a"), F.greatest("center", "rep").alias("b")).distinct()
+             .join(sizes.toDF("a", "n_a"), "a").join(sizes.toDF("b", "n_b"), "b").where(ratio).select("a", "b"))
+    return top, pairs
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE_WORDS,
                     similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS,
                     weighted: bool = False) -> DataFrame:
@@ -230,10 +275,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Copies of one word sequence collapse by digest before any join (a group
     aggregate that is combined map-side). In a band's bucket every member is
-    checked against the bucket's smallest id only; then buckets whose members
-    lie in more than one component, and only these, are checked between
-    components. So a group of n alike documents costs n checks, and no pair
-    that shares a band stays untested unless its members are joined already."""
+    checked against a centre, the member that meets most others; buckets whose
+    members then lie in several components take further centres, and in the
+    end all members left are checked between components. So a group of n alike
+    documents costs about n checks, and no pair that shares a band stays
+    untested unless its members are joined already."""
     spark = docs.sparkSession
     small_batches(spark)
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
@@ -243,23 +289,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = write_table(sketches.where("n > 0").groupBy("digest").agg(F.min_by(F.struct("doc_id", "n", "bands", "sig"), "doc_id").alias("r"))
                        .select("digest", "r.*"), "dart-reps")
     member = reps.select(F.col("doc_id").alias("rep"), "n", F.explode("bands").alias("bucket"))
-    hot = member.groupBy("bucket").agg(F.min("rep").alias("center"), F.count("*").alias("m")).where("m > 1").drop("m")
-    member = write_table(member.join(hot, "bucket"), "dart-members")
+    shared = member.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
+    member = write_table(member.join(shared, "bucket"), "dart-members")
+    popular = member.groupBy("rep").agg(F.sum("m").alias("pop"))
+    member = write_table(member.join(popular, "rep").select("bucket", "rep", "n", "pop"), "dart-members")
     sizes = reps.select("doc_id", "n")
     ratio = F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")
-    stars = (member.where("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b"), F.col("n").alias("n_b")).distinct()
-             .join(sizes.toDF("a", "n_a"), "a").where(ratio).select("a", "b"))
-    links = _verified(stars, reps, known, size, similarity, weighted, bands * rows)
-    roots = components(links)
-    placed = member.join(roots.toDF("rep", "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    placed = write_table(placed, "dart-placed")
-    mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-    open_ = placed.join(mixed, "bucket", "left_semi").where("rep <> center").select("bucket", "rep", "n", "root")
-    rest = (open_.toDF("bucket", "a", "n_a", "root_a").join(open_.toDF("bucket", "b", "n_b", "root_b"), "bucket")
-            .where("root_a < root_b").where(ratio).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    more = _verified(rest, reps, known, size, similarity, weighted, bands * rows)
-    if not more.isEmpty():
-        roots = components(links.union(more))
+    args = (reps, known, size, similarity, weighted, bands * rows)
+    placed = member.withColumn("root", F.col("rep"))
+    centers, pairs = _stars(placed, ratio, sizes)
+    links = _verified(pairs, *args)
+    for turn in range(STAR_TURNS):
+        roots = components(links)
+        placed = write_table(member.join(roots.toDF("rep", "root"), "rep", "left")
+                             .select("bucket", "rep", "n", "pop", F.coalesce("root", "rep").alias("root")), "dart-placed")
+        mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).where("lo <> hi")
+        placed = placed.join(mixed.select("bucket"), "bucket", "left_semi")
+        pairs_left, members_left = mixed.agg(F.sum(F.expr("m * (m - 1) / 2")), F.sum("m")).first()
+        if not members_left or pairs_left <= 4 * members_left or turn == STAR_TURNS - 1:
+            break
+        was = centers.select("bucket", F.col("center").alias("rep")).join(placed.select("bucket", "rep", "root"), ["bucket", "rep"])
+        centers, pairs = _stars(placed, ratio, sizes, was)
+        links = links.union(_verified(pairs, *args))
+    if members_left:
+        side = placed.select("bucket", "rep", "n", "root")
+        rest = (side.toDF("bucket", "a", "n_a", "root_a").join(side.toDF("bucket", "b", "n_b", "root_b"), "bucket")
+                .where("root_a < root_b").where(ratio).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        more = _verified(rest, *args)
+        if not more.isEmpty():
+            roots = components(links.union(more))
     copies = sketches.where("n > 0").select("doc_id", "digest").join(reps.select("digest", F.col("doc_id").alias("rep")), "digest")
     classes = (copies.join(roots.toDF("rep", "root"), "rep", "left")
                .groupBy("doc_id").agg(F.min(F.coalesce("root", "rep")).alias("class_id")))
