@@ -32,6 +32,39 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
         spark.conf.set(key, str(rows))
 
 
+#: Bits of the bitmaps of ``maybe_in`` (8 MB at any number of ids).
+BITMAP_BITS = 1 << 26
+
+
+def maybe_in(df: DataFrame, key: str, ids: DataFrame, flag: str = "maybe_") -> DataFrame:
+    """``df`` with a boolean column: false where ``key`` is surely not among
+    the one column of ``ids`` (a null key is not).
+
+    The ids become a bitmap of hashes whose size is fixed: 2,048 rows of 4 KB,
+    which are broadcast. It keeps rows out of a later shuffle; an exact join
+    decides on those that pass, and the more ids the more rows pass."""
+    def bit(c):  # Spark numbers the bits of its bitmaps from 1
+        return F.pmod(F.xxhash64(c), F.lit(BITMAP_BITS)) + 1
+    own = F.col(f"`{ids.columns[0]}`")
+    maps = (ids.select(F.bitmap_bucket_number(bit(own)).alias("part_"), F.bitmap_bit_position(bit(own)).alias("bit_"))
+            .groupBy("part_").agg(F.bitmap_construct_agg("bit_").alias("bits_")))
+    at = F.bitmap_bit_position(bit(F.col(f"`{key}`")))
+    byte = F.conv(F.hex(F.substring(F.col("bits_"), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    test = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False)) & F.col(f"`{key}`").isNotNull()
+    return (df.join(F.broadcast(maps), F.bitmap_bucket_number(bit(F.col(f"`{key}`"))) == F.col("part_"), "left")
+            .withColumn(flag, test).drop("part_", "bits_"))
+
+
+def without_ids(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose key is not in ``ids``; only rows that the bitmap
+    lets through are shuffled. Rows of a null key stay."""
+    marked = maybe_in(df, key, ids)
+    rest = marked.where("maybe_").drop("maybe_")
+    gone = ids.select(F.col(f"`{ids.columns[0]}`").alias("gone_"))
+    return (marked.where("NOT maybe_").drop("maybe_")
+            .unionByName(rest.join(gone, F.col(f"`{key}`") == F.col("gone_"), "left_anti")))
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of undirected edges (a, b): rows (node, root), root
     the smallest node id reachable; only nodes with an edge to another node.

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, small_batches, write_table
+from .common import components, maybe_in, small_batches, without_ids, write_table
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -26,8 +26,6 @@ BANDS = 25
 ROWS = 5
 #: Signature agreement below which a candidate cannot reach the similarity: 7 standard deviations under 0.8.
 SLACK = 7.0
-#: Bits of the bitmap that keeps unconcerned texts out of a shuffle (8 MB).
-BITMAP_BITS = 1 << 26
 #: Rounds of checks against a centre before the members left are checked with each other.
 STAR_TURNS = 2
 WORD = re.compile(r"\w+")
@@ -154,12 +152,9 @@ def _sketcher(size: int, bands: int, rows: int, weighted: bool):
     return run
 
 
-def _shingler(size: int, weighted: bool, marks):
+def _shingler(size: int, weighted: bool):
     def run(batches):
-        bitmap = marks.value
         for batch in batches:
-            bit = batch.column(2).to_numpy()
-            batch = batch.filter(pa.array((bitmap[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1))
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 sets = shingle_sets(part.column(1).to_pylist(), size)
@@ -204,19 +199,6 @@ def _verifier(similarity: float, weighted: bool):
     return run
 
 
-def _marked(ids: DataFrame) -> np.ndarray:
-    """A bitmap of hashed ids, of a fixed size at any number of ids: it lets
-    through every id of the table, and the fewer others the fewer ids there are."""
-    h = F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP_BITS)) + 1  # Spark numbers the bits of its bitmaps from 1
-    rows = (ids.select(F.bitmap_bucket_number(h).alias("part"), F.bitmap_bit_position(h).alias("bit"))
-            .groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")))
-    out = np.zeros(BITMAP_BITS // 8, dtype=np.uint8)
-    for r in rows.toLocalIterator():
-        at = (r.part - 1) * 4096
-        out[at:at + 4096] = np.frombuffer(r.bits, np.uint8)
-    return out
-
-
 def _verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, size: int, similarity: float,
               weighted: bool, k: int) -> DataFrame:
     """Pairs (a, b) of representatives -> those that reach the similarity.
@@ -231,9 +213,8 @@ def _verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, size: int,
         pairs.join(s.toDF("a", "sig_a"), "a").join(s.toDF("b", "sig_b"), "b")
         .select("a", "b", "sig_a", "sig_b").mapInArrow(_agreer(least), "a long, b long"), "dart-close")
     ids = write_table(close.select(F.col("a").alias("doc_id")).union(close.select("b")).distinct(), "dart-ids")
-    marks = docs.sparkSession.sparkContext.broadcast(_marked(ids))
-    hashed = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP_BITS)).alias("bit"))
-    sets = (hashed.mapInArrow(_shingler(size, weighted, marks), "doc_id long, els binary, cnt binary")
+    sets = (maybe_in(docs, "doc_id", ids).where("maybe_").select("doc_id", "text")
+            .mapInArrow(_shingler(size, weighted), "doc_id long, els binary, cnt binary")
             .join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     sets = write_table(sets, "dart-sets")
     both = (close.join(sets.toDF("a", "els_a", "cnt_a"), "a").join(sets.toDF("b", "els_b", "cnt_b"), "b")
@@ -325,3 +306,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     none = base.where("doc_id IS NULL").select("doc_id", F.col("doc_id").alias("class_id"))
     return classes.union(lone.join(classes, "doc_id", "left_anti")).union(none).select(
         "doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **knobs) -> DataFrame:
+    """One document of each class, with the columns of ``docs``; rows of a null
+    id stay, and of rows that repeat an id one stays."""
+    classes = write_table(near_duplicates(docs, id_col, text_col, **knobs), "dart-classes")
+    out = without_ids(docs, id_col, classes.where("NOT kept").select("doc_id"))
+    again = docs.where(F.col(f"`{id_col}`").isNotNull()).groupBy(F.col(f"`{id_col}`").alias("id_")).count().where("count > 1").select("id_")
+    again = write_table(again, "dart-again")
+    if again.isEmpty():
+        return out
+    marked = maybe_in(out, id_col, again)
+    more = marked.where("maybe_").drop("maybe_")
+    return marked.where("NOT maybe_").drop("maybe_").unionByName(more.dropDuplicates([id_col]))

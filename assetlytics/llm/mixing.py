@@ -115,9 +115,8 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "
                          F.col(f"`{text_col}`").alias("text_"), row)
     plan = mix_plan(packed, "id_", "source_", "text_", carry=("row_",), **knobs)
     text = F.col("row_")[text_col]
-    cut = F.when(F.col("part") == F.col("size"), text).otherwise(
-        F.regexp_extract(text, F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*[^\x20\x09-\x0D]+){"),
-                                        F.col("part").cast("string"), F.lit("}")), 0))
+    pieces = F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")  # each a word and the white space before it
+    cut = F.when(F.col("part") == F.col("size"), text).otherwise(F.array_join(F.slice(pieces, F.lit(1), F.col("part").cast("int")), ""))
     times = (F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("whole_epochs"))).cast("int")
     whole = F.array_repeat(F.struct(F.lit(False).alias("is_part")), times)
     more = F.when(F.col("part") > 0, F.array(F.struct(F.lit(True).alias("is_part")))).otherwise(

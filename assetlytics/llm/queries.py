@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dartminhash, mixing
+from . import dartminhash, decontam, mixing, quality, rangecoder
 from .registry import ORACLE, QUERIES, query  # noqa: F401
 
 
@@ -42,3 +42,21 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_dart_minhash")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dartminhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op7_spaced_seed_decontamination")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op2_ordinal_quality")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit_on_sample(docs, quality.graded(table(spark, sf_dir, "labels")))
+    return quality.score_quality(docs, model).drop("row_")
+
+
+@query("op4_range_coded_ids")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = rangecoder.write_ids(table(spark, sf_dir, "documents"), rangecoder.default_tokenizer())
+    return rangecoder.read_ids(manifest).drop("ids")
