@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dartminhash, decontam, mixing, quality, rangecoder
+from . import dartminhash, decontam, langid, mixing, quality, rangecoder
 from .registry import ORACLE, QUERIES, query  # noqa: F401
 
 
@@ -60,3 +60,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = rangecoder.write_ids(table(spark, sf_dir, "documents"), rangecoder.default_tokenizer())
     return rangecoder.read_ids(manifest).drop("ids")
+
+
+@query("op3_viterbi_language")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    model = langid.fit_languages(docs.where(fold != 2))
+    return langid.identify(docs, model).select(
+        "doc_id", (F.coalesce(fold, F.lit(0)) == 2).alias("held_out"), "lang_pred", "score", "n_spans")
