@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dartminhash, decontam, langid, mixing, quality, rangecoder
+from . import dartminhash, decontam, langid, mixing, quality, rangecoder, warc
 from .registry import ORACLE, QUERIES, query  # noqa: F401
 
 
@@ -69,3 +69,26 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.fit_languages(docs.where(fold != 2))
     return langid.identify(docs, model).select(
         "doc_id", (F.coalesce(fold, F.lit(0)) == 2).alias("held_out"), "lang_pred", "score", "n_spans")
+
+
+OP10_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, sha256(html) AS payload_digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id > first_id THEN first_id END AS refers_to
+FROM f
+"""
+
+
+@query("op10_warc_archive", OP10_SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.write_pages(table(spark, sf_dir, "pages"))
+    back = spark.read.format("warc").option("path", path).load()
+    full = F.col("record_type") == "response"
+    return back.select(
+        warc.page_id_of("record_id").alias("page_id"),
+        F.when(full, F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
+        F.when(full, F.sha2("payload", 256)).otherwise(F.col("payload_digest")).alias("payload_digest"),
+        "record_type", warc.page_id_of("refers_to").alias("refers_to"))
