@@ -1 +1,335 @@
-"""To be written."""
+"""Embedding near-duplicates: a navigable small-world graph per shard.
+
+Vectors are dealt into shards by hash; each shard gets a hierarchical
+navigable small-world graph. Every vector queries every shard's graph; beams
+widen until an audit against brute force passes; candidates are verified by
+their cosine in double precision, and links become components.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import components, write_table
+
+COSINE = 0.9
+#: Vectors a shard: what a task holds, and the block that queries.
+SHARD_ROWS = 8192
+DEGREE = 16
+BEAM = 48
+#: Share of an audit's links that a beam must find, and queries in an audit.
+AUDIT_RECALL, AUDIT_QUERIES = 0.99, 64
+#: How far under the threshold the graph is followed around a query's neighbours.
+MARGIN = 0.03
+_CHUNK = 512
+
+
+def _pick(x: np.ndarray, cand: np.ndarray, sim: np.ndarray, m: int) -> np.ndarray:
+    """Per row up to ``m`` of its candidates (-1: none), nearest first, each
+    nearer to the row's vector than to those picked before; places left over
+    go to the nearest of the rest."""
+    order = np.argsort(-sim, axis=1, kind="stable")
+    cand, sim = np.take_along_axis(cand, order, 1), np.take_along_axis(sim, order, 1)
+    rows, width = cand.shape
+    picked, count = np.full((rows, m), -1, np.int32), np.zeros(rows, np.int64)
+    taken = np.zeros(cand.shape, bool)
+    for k in range(width):
+        c = cand[:, k]
+        ok = (c >= 0) & (count < m)
+        if not ok.any():
+            continue
+        r = np.flatnonzero(ok)
+        near = np.einsum("rmd,rd->rm", x[np.maximum(picked[r], 0)], x[c[r]])
+        near[picked[r] < 0] = -2
+        r = r[near.max(axis=1) < sim[r, k]]
+        picked[r, count[r]] = c[r]
+        taken[r, k] = True
+        count[r] += 1
+    for k in range(width):
+        r = np.flatnonzero((cand[:, k] >= 0) & ~taken[:, k] & (count < m))
+        picked[r, count[r]] = cand[r, k]
+        count[r] += 1
+    return picked
+
+
+def _beam(x: np.ndarray, links: np.ndarray, q: np.ndarray, entry: np.ndarray, ef: int, step: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """Best-first search of all queries in step: (ids, similarities), at most
+    ``ef`` a query, -1 where fewer were met."""
+    b, n = len(q), len(x)
+    rows = np.arange(b)[:, None]
+    seen = np.zeros((b, n + 1), bool)  # the last column takes the -1s
+    seen[:, n] = True
+    ids = np.full((b, ef), -1, np.int32)
+    sim = np.full((b, ef), -np.inf, np.float32)
+    k = min(entry.shape[1], ef)
+    ids[:, :k] = entry[:, :k]
+    sim[:, :k] = np.where(ids[:, :k] >= 0, np.einsum("bkd,bd->bk", x[ids[:, :k]], q), -np.inf)
+    seen[rows, ids] = True
+    done = ids < 0
+    while True:
+        todo = np.where(done, -np.inf, sim)
+        front = np.argpartition(-todo, min(step, ef) - 1, axis=1)[:, :step] if ef > step else np.tile(np.arange(ef), (b, 1))
+        open_ = np.isfinite(np.take_along_axis(todo, front, 1))
+        act = np.flatnonzero(open_.any(axis=1))
+        if not len(act):
+            return ids, sim
+        node = np.where(open_[act], ids[act[:, None], front[act]], -1)
+        done[act[:, None], front[act]] = True
+        nb = np.where(node[..., None] >= 0, links[node], -1).reshape(len(act), -1)
+        nb = np.sort(nb, axis=1)
+        nb[:, 1:][nb[:, 1:] == nb[:, :-1]] = -1
+        nb[seen[act[:, None], nb]] = -1
+        seen[act[:, None], nb] = True
+        s = np.einsum("bkd,bd->bk", x[nb], q[act], dtype=np.float32)
+        s[nb < 0] = -np.inf
+        all_s = np.concatenate([sim[act], s], axis=1)
+        top = np.argpartition(-all_s, ef - 1, axis=1)[:, :ef]
+        ids[act] = np.take_along_axis(np.concatenate([ids[act], nb], axis=1), top, 1)
+        sim[act] = np.take_along_axis(all_s, top, 1)
+        done[act] = np.take_along_axis(np.concatenate([done[act], nb < 0], axis=1), top, 1)
+
+
+class Graph:
+    """x: unit vectors (float32); layers: (node ids, links) from the base up."""
+
+    def __init__(self, x: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]]):
+        self.x, self.layers = x, layers
+
+    @classmethod
+    def build(cls, x: np.ndarray, degree: int = DEGREE, ef: int = BEAM, seed: int = 7) -> "Graph":
+        """Levels are geometric. The few nodes of an upper layer are linked by
+        all their similarities; at the base the upper nodes come first, then
+        blocks of the others find their neighbours by search of the graph so
+        far and among themselves, and links go both ways."""
+        n = len(x)
+        level = np.floor(-np.log(np.random.default_rng(seed).random(n) + 1e-12) / np.log(degree)).astype(int) if n else np.empty(0, int)
+        self = cls(x, [])
+        upper = []
+        for lev in range(1, int(level.max(initial=0)) + 1):
+            nodes = np.flatnonzero(level >= lev).astype(np.int32)
+            upper.append((nodes, self._all(nodes, degree)))
+        links = np.full((n, 2 * degree), -1, np.int32)
+        first = np.flatnonzero(level >= 1).astype(np.int32)
+        first = first if len(first) else np.arange(min(n, 1), dtype=np.int32)
+        if len(first):
+            near = self._all(first, 2 * degree)
+            links[first] = np.where(near >= 0, first[near], -1)
+        self.layers = [(np.arange(n, dtype=np.int32), links), *upper]
+        rest = np.setdiff1d(np.arange(n, dtype=np.int32), first)
+        size = max(len(first), 64)
+        while len(rest):
+            some, rest = rest[:min(size, 1024)], rest[min(size, 1024):]
+            size += len(some)
+            ids, sim = self.search(x[some], ef)
+            own = x[some] @ x[some].T
+            np.fill_diagonal(own, -np.inf)
+            k = min(degree, max(len(some) - 1, 0))
+            mate = np.argpartition(-own, max(k - 1, 0), axis=1)[:, :k] if k else np.empty((len(some), 0), int)
+            cand = np.concatenate([ids, some[mate].astype(np.int32)], axis=1)
+            csim = np.concatenate([sim, np.take_along_axis(own, mate, 1)], axis=1)
+            links[some, :degree] = _pick(x, cand, csim, degree)
+            a = np.repeat(some, degree)
+            c = links[some, :degree].ravel()
+            a, c = a[c >= 0], c[c >= 0]
+            order = np.argsort(c, kind="stable")
+            a, c = a[order], c[order]
+            target, start, times = np.unique(c, return_index=True, return_counts=True)
+            back = np.full((len(target), int(times.max(initial=0))), -1, np.int32)
+            back[np.repeat(np.arange(len(target)), times), np.arange(len(c)) - np.repeat(start, times)] = a
+            for i in range(0, len(target), 2048):
+                t = target[i:i + 2048]
+                cand = np.sort(np.concatenate([links[t], back[i:i + 2048]], axis=1), axis=1)
+                cand[:, 1:][cand[:, 1:] == cand[:, :-1]] = -1
+                csim = np.where(cand >= 0, np.einsum("bkd,bd->bk", x[cand], x[t]), -np.inf)
+                keep = min(cand.shape[1], 4 * degree)
+                top = np.argpartition(-csim, keep - 1, axis=1)[:, :keep]
+                links[t] = _pick(x, np.take_along_axis(cand, top, 1), np.take_along_axis(csim, top, 1), 2 * degree)
+        return self
+
+    def _all(self, nodes: np.ndarray, m: int) -> np.ndarray:
+        """Links among a layer's nodes, as places in ``nodes``."""
+        v = self.x[nodes]
+        out = np.full((len(nodes), m), -1, np.int32)
+        k = min(4 * m, len(nodes) - 1)
+        for i in range(0, len(nodes) if k > 0 else 0, 1024):
+            s = v[i:i + 1024] @ v.T
+            s[np.arange(len(s)), np.arange(i, i + len(s))] = -np.inf
+            top = np.argpartition(-s, k - 1, axis=1)[:, :k]
+            out[i:i + 1024] = _pick(v, top.astype(np.int32), np.take_along_axis(s, top, 1), m)
+        return out
+
+    def search(self, q: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray]:
+        """Down the layers, then a beam of ``ef`` at the base."""
+        entry = np.zeros((len(q), 1), np.int32)
+        for nodes, links in self.layers[:0:-1]:
+            place = np.searchsorted(nodes, entry) if nodes is not self.layers[-1][0] else np.zeros_like(entry)
+            ids, _ = _beam(self.x[nodes], links, q, place.astype(np.int32), 8)
+            ids = np.where(ids >= 0, ids, ids.max(axis=1, keepdims=True))
+            entry = nodes[ids]
+        ids, sim = [], []
+        for i in range(0, len(q), _CHUNK):
+            e = np.sort(entry[i:i + _CHUNK], axis=1)
+            e[:, 1:][e[:, 1:] == e[:, :-1]] = -1
+            e = -np.sort(-e, axis=1)
+            a, s = _beam(self.x, self.layers[0][1], q[i:i + _CHUNK], e, min(ef, max(len(self.x), 1)))
+            ids.append(a)
+            sim.append(s)
+        return np.concatenate(ids), np.concatenate(sim)
+
+    def within(self, q: np.ndarray, least: float, ef: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query, node) pairs of similarity ``least`` or more: around what the
+        beam found, links are followed as long as they stay within ``MARGIN``
+        of it, so a beam full of near neighbours is no end."""
+        ids, sim = self.search(q, ef)
+        base, qs, ns = self.layers[0][1], [], []
+        for i in np.flatnonzero((sim >= least - MARGIN).any(axis=1)):
+            known = {int(v) for v in ids[i] if v >= 0}
+            hit = sim[i] >= least - MARGIN
+            front, got = ids[i][hit], [ids[i][sim[i] >= least]]
+            while len(front):
+                new = np.unique(base[front])
+                new = np.array([v for v in new.tolist() if v >= 0 and v not in known], dtype=np.int64)
+                if not len(new):
+                    break
+                known.update(new.tolist())
+                s = self.x[new] @ q[i]
+                got.append(new[s >= least])
+                front = new[s >= least - MARGIN]
+            g = np.concatenate(got)
+            qs.append(np.full(len(g), i))
+            ns.append(g)
+        return (np.concatenate(qs), np.concatenate(ns)) if qs else (np.empty(0, np.int64), np.empty(0, np.int64))
+
+
+def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Smallest node of each node's component under the edges a - b."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, root[a], low)
+        np.minimum.at(new, root[b], low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
+def _rows(v: bytes, dim: int) -> np.ndarray:
+    return np.frombuffer(v, "<f8").reshape(-1, dim)
+
+
+def _units(x: np.ndarray) -> np.ndarray:
+    return x / np.linalg.norm(x / np.abs(x).max(axis=1, keepdims=True), axis=1, keepdims=True) / np.abs(x).max(axis=1, keepdims=True)
+
+
+def _graph_task(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A shard's rows to one row: ids, copies, unit vectors and the graph."""
+    pdf = pdf.sort_values("rep")
+    x = _units(np.stack(pdf["embedding"].to_numpy()).astype(np.float64))
+    g = Graph.build(x.astype(np.float32))
+    parts = [np.int64(len(g.layers)).tobytes()]
+    for nodes, links in g.layers:
+        parts += [np.int64(len(nodes)).tobytes(), np.int64(links.shape[1]).tobytes(), nodes.astype("<i4").tobytes(), links.astype("<i4").tobytes()]
+    return pd.DataFrame({"dim": [int(pdf["dim"].iloc[0])], "shard": [int(pdf["shard"].iloc[0])], "ids": [pdf["rep"].to_numpy().astype("<i8").tobytes()],
+                         "copies": [pdf["copies"].to_numpy().astype("<i8").tobytes()], "x": [x.astype("<f8").tobytes()], "graph": [b"".join(parts)]})
+
+
+def _load(graph: bytes, x: np.ndarray) -> Graph:
+    layers, at = [], 8
+    for _ in range(int(np.frombuffer(graph, "<i8", 1)[0])):
+        n, w = np.frombuffer(graph, "<i8", 2, at)
+        at += 16
+        nodes = np.frombuffer(graph, "<i4", n, at)
+        links = np.frombuffer(graph, "<i4", n * w, at + 4 * n).reshape(n, w)
+        at += 4 * n + 4 * n * w
+        layers.append((nodes, links))
+    return Graph(x.astype(np.float32), layers)
+
+
+def _links(g: Graph, xq: np.ndarray, x: np.ndarray, least: float, beam: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Verified (query, node) links of a block against a shard, and the beam
+    that passed the audit."""
+    some = np.unique(np.linspace(0, len(xq) - 1, min(AUDIT_QUERIES, len(xq))).astype(int))
+    truth = xq[some] @ x.T >= least
+    while True:
+        a, b = g.within(xq.astype(np.float32), least - 1e-5, beam)
+        cos = np.concatenate([np.einsum("kd,kd->k", xq[a[i:i + 100_000]], x[b[i:i + 100_000]]) for i in range(0, len(a), 100_000)]) if len(a) else np.empty(0)
+        a, b = a[cos >= least], b[cos >= least]
+        place = np.searchsorted(some, a)
+        hit = (place < len(some)) & (some[np.minimum(place, len(some) - 1)] == a)
+        found = int(truth[place[hit], b[hit]].sum())
+        if found >= AUDIT_RECALL * truth.sum() or beam >= len(x):
+            return a, b, beam
+        beam *= 2
+
+
+def _query_task(least: float, beam: int):
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                xq, x = _rows(r["q_x"], r["dim"]), _rows(r["x"], r["dim"])
+                iq, ii = np.frombuffer(r["q_ids"], "<i8"), np.frombuffer(r["ids"], "<i8")
+                mq, mi = np.frombuffer(r["q_copies"], "<i8"), np.frombuffer(r["copies"], "<i8")
+                a, b, _ = _links(_load(r["graph"], x), xq, x, least, beam)
+                if r["q_shard"] == r["shard"]:
+                    code = np.unique(np.concatenate([a * len(x) + b, b * len(x) + a]))
+                    a, b = code // len(x), code % len(x)
+                    a, b = a[a != b], b[a != b]
+                    ids, n_links = ii, np.bincount(a, weights=mi[b], minlength=len(ii))
+                    root = _forest(a, b, len(ids))
+                else:
+                    ids = np.concatenate([iq, ii])
+                    n_links = np.concatenate([np.bincount(a, weights=mi[b], minlength=len(iq)), np.bincount(b, weights=mq[a], minlength=len(ii))])
+                    root = _forest(a, b + len(iq), len(ids))
+                use = np.flatnonzero(n_links > 0)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[use]), pa.array(ids[root[use]]), pa.array(n_links[use].astype(np.int64))], names=["a", "b", "n"])
+    return run
+
+
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE,
+                    shard_rows: int = SHARD_ROWS, beam: int = BEAM) -> DataFrame:
+    """One row per vector: vec_id, n_links, component_id, kept.
+
+    Vectors link at a cosine of ``cosine`` or more, verified in double
+    precision; a component is what links reach. Vectors that are null, empty,
+    zero, or hold null or non-finite components link with nothing, and vectors
+    of different lengths do not link. Rows that repeat an id are one vector
+    (the smallest); a null id links with nothing (component null, kept).
+
+    Equal vectors collapse before any search and count with their number. Every
+    block of a shard's vectors queries every shard once, as one task that holds
+    two shards; it returns a count and a spanning edge per vector, never all
+    pairs, so a dense cluster costs no more rows than a sparse one. Shards are
+    dealt by hash: no cluster fills one."""
+    spark = vectors.sparkSession
+    v = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").cast("array<double>").alias("embedding"))
+    own = write_table(v.where("vec_id IS NOT NULL").groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "hnsw-vectors")
+    fine = (F.size("embedding") > 0) & F.forall("embedding", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists(
+        "embedding", lambda c: c != 0)
+    good = own.where("embedding IS NOT NULL").where(fine)
+    reps = write_table(good.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
+                       .withColumn("dim", F.size("embedding")), "hnsw-reps")
+    shards = reps.groupBy("dim").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("shards"))
+    dealt = reps.join(F.broadcast(shards.limit(100_000)), "dim").withColumn("shard", F.pmod(F.xxhash64("rep"), F.col("shards")).cast("int"))
+    graphs = write_table(dealt.groupBy("dim", "shard").applyInPandas(
+        _graph_task, "dim int, shard int, ids binary, copies binary, x binary, graph binary"), "hnsw-graphs")
+    asks = (graphs.join(shards, "dim").withColumn("target", F.explode(F.sequence(F.col("shard"), F.col("shards") - 1)))
+            .select(F.col("dim").alias("q_dim"), F.col("shard").alias("q_shard"), "target", F.col("ids").alias("q_ids"),
+                    F.col("copies").alias("q_copies"), F.col("x").alias("q_x")))
+    both = asks.join(graphs.hint("shuffle_hash"), (F.col("q_dim") == F.col("dim")) & (F.col("target") == F.col("shard")))
+    n = max(1, min(graphs.count() ** 2, 10_000))
+    found = write_table(both.repartition(n, "dim", "q_shard", "shard").mapInArrow(_query_task(cosine, beam), "a long, b long, n long"), "hnsw-links")
+    counts = found.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("found"))
+    roots = components(found.select("a", "b")).select(F.col("node").alias("rep"), F.col("root").alias("component"))
+    placed = (reps.select("embedding", "rep", "copies").join(counts, "rep", "left").join(roots, "rep", "left")
+              .select(F.col("embedding").alias("e"), (F.coalesce("found", F.lit(0)) + F.col("copies") - 1).alias("links"),
+                      F.coalesce("component", "rep").alias("component")))
+    out = (own.join(placed, F.col("embedding") == F.col("e"), "left")
+           .select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id")))
+    none = v.where("vec_id IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return out.union(none).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dartminhash, decontam, langid, mixing, quality, rangecoder, warc
+from . import dartminhash, decontam, hnsw, langid, mixing, quality, rangecoder, warc
 from .registry import ORACLE, QUERIES, query  # noqa: F401
 
 
@@ -92,3 +92,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(full, F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
         F.when(full, F.sha2("payload", 256)).otherwise(F.col("payload_digest")).alias("payload_digest"),
         "record_type", warc.page_id_of("refers_to").alias("refers_to"))
+
+
+@query("op6_hnsw_components")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_duplicates(table(spark, sf_dir, "embeddings"))
