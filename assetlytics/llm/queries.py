@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dartminhash, decontam, hnsw, langid, mixing, quality, rangecoder, warc
+from . import dartminhash, decontam, hnsw, langid, mixing, quality, rangecoder, warc, wrapper
 from .registry import ORACLE, QUERIES, query  # noqa: F401
 
 
@@ -97,3 +97,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_hnsw_components")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op5_wrapper_text")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.extract(table(spark, sf_dir, "pages"))
