@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dartminhash, decontam, hnsw, langid, mixing, quality, rangecoder, warc, wrapper
+from . import dartminhash, decontam, hnsw, langid, mixing, quality, rangecoder, toolcalls, warc, wrapper
 from .registry import ORACLE, QUERIES, query  # noqa: F401
 
 
@@ -102,3 +102,32 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_wrapper_text")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrapper.extract(table(spark, sf_dir, "pages"))
+
+
+OP1_SQL = """
+WITH RECURSIVE m AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+c AS (SELECT * FROM m WHERE role IN ('user', 'system')),
+r AS (SELECT conv_id, turn - 1 AS turn, text FROM m WHERE role = 'assistant'),
+e AS (SELECT a.conv_id, a.turn, b.turn AS dep FROM c a JOIN c b ON a.conv_id = b.conv_id AND b.turn IN (a.turn - 1, a.turn - 2)),
+p(conv_id, turn, level) AS (
+  SELECT conv_id, turn, 0::BIGINT FROM c WHERE (conv_id, turn) NOT IN (SELECT (conv_id, turn) FROM e)
+  UNION SELECT e.conv_id, e.turn, p.level + 1 FROM p JOIN e ON p.conv_id = e.conv_id AND e.dep = p.turn),
+l AS (SELECT conv_id, turn, max(level) AS level FROM p GROUP BY ALL),
+d AS (SELECT conv_id, turn, to_json(list_sort(list('turn-' || dep))) AS deps FROM e GROUP BY ALL)
+SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, 'turn-' || coalesce(c.turn, r.turn) AS call_id,
+       coalesce(c.turn, r.turn + 1) AS turn, l.level,
+       CASE WHEN c.conv_id IS NULL THEN 'orphan_result' WHEN r.conv_id IS NULL THEN 'no_result' ELSE 'linked' END AS status,
+       CASE WHEN c.conv_id IS NOT NULL AND c.text IS NULL THEN 'type:text' ELSE '' END AS errors,
+       '{"arguments":' || CASE WHEN c.conv_id IS NULL THEN 'null' ELSE to_json({'text': c.text, 'turn': c.turn}) END
+       || ',"depends_on":' || coalesce(d.deps, '[]') || ',"id":"turn-' || coalesce(c.turn, r.turn) || '","name":'
+       || CASE c.role WHEN 'user' THEN '"reply"' WHEN 'system' THEN '"set_system"' ELSE 'null' END
+       || ',"result":' || CASE WHEN r.conv_id IS NULL THEN 'null' ELSE to_json({'text': r.text}) END || '}' AS json
+FROM c FULL JOIN r ON c.conv_id = r.conv_id AND c.turn = r.turn
+LEFT JOIN l ON l.conv_id = c.conv_id AND l.turn = c.turn LEFT JOIN d ON d.conv_id = c.conv_id AND d.turn = c.turn
+"""
+
+
+@query("op1_tool_call_links", OP1_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toolcalls.format_conversations(table(spark, sf_dir, "conversations"))
+    return out.withColumn("errors", F.array_join("errors", ","))
