@@ -26,6 +26,8 @@ BANDS = 25
 ROWS = 5
 #: Signature agreement below which a candidate cannot reach the similarity: 7 standard deviations under 0.8.
 SLACK = 7.0
+#: Buckets of so many members, or fewer, are paired whole once their centre is done.
+PAIRED_MEMBERS = 32
 #: Rounds of checks against a centre before the members left are checked with each other.
 STAR_TURNS = 2
 WORD = re.compile(r"\w+")
@@ -199,29 +201,91 @@ def _verifier(similarity: float, weighted: bool):
     return run
 
 
+def _sets(docs: DataFrame, ids: DataFrame, size: int, weighted: bool) -> DataFrame:
+    """Shingle sets of the documents of one column of ids. A bitmap of fixed
+    size keeps most other texts out of the shuffle."""
+    ids = write_table(ids.toDF("doc_id").distinct(), "dart-ids")
+    sets = (maybe_in(docs, "doc_id", ids).where("maybe_").select("doc_id", "text")
+            .mapInArrow(_shingler(size, weighted), "doc_id long, els binary, cnt binary")
+            .join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return write_table(sets, "dart-sets")
+
+
 def _verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, size: int, similarity: float,
               weighted: bool, k: int) -> DataFrame:
     """Pairs (a, b) of representatives -> those that reach the similarity.
 
     Signatures that agree in too few coordinates settle most pairs; the others
-    are verified on their shingle sets. Those sets are made from the texts of
-    the documents concerned only: a bitmap of fixed size keeps most other
-    texts out of the shuffle."""
+    are verified on their shingle sets."""
     least = similarity - SLACK * (similarity * (1 - similarity) / k) ** 0.5
     s = sketches.select("doc_id", "sig")
     close = write_table(
         pairs.join(s.toDF("a", "sig_a"), "a").join(s.toDF("b", "sig_b"), "b")
         .select("a", "b", "sig_a", "sig_b").mapInArrow(_agreer(least), "a long, b long"), "dart-close")
-    ids = write_table(close.select(F.col("a").alias("doc_id")).union(close.select("b")).distinct(), "dart-ids")
-    sets = (maybe_in(docs, "doc_id", ids).where("maybe_").select("doc_id", "text")
-            .mapInArrow(_shingler(size, weighted), "doc_id long, els binary, cnt binary")
-            .join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    sets = write_table(sets, "dart-sets")
+    sets = _sets(docs, close.select(F.col("a").alias("doc_id")).union(close.select("b")), size, weighted)
     both = (close.join(sets.toDF("a", "els_a", "cnt_a"), "a").join(sets.toDF("b", "els_b", "cnt_b"), "b")
             .select("a", "b", "els_a", "cnt_a", "els_b", "cnt_b"))
     return write_table(both.mapInArrow(_verifier(similarity, weighted), "a long, b long"), "dart-links")
 
 
+def _strangers(weighted: bool):
+    """Per member and its centres a row for each shingle that the member has
+    and the centres together lack (or have fewer times), and one row without a
+    shingle; all with o, the weight that the member shares with them."""
+    def run(batches):
+        for b in batches:
+            out = {"c1": [], "c2": [], "rep": [], "n": [], "root": [], "o": [], "el": []}
+            for r in b.to_pylist():
+                sets = [np.frombuffer(r[k], "<u8") for k in ("els_x", "els_1", "els_2")]
+                ws = [np.frombuffer(r[k], "<i4") if weighted else np.ones(len(e)) for k, e in zip(("cnt_x", "cnt_1", "cnt_2"), sets)]
+                ex, wx, best = sets[0], ws[0], np.zeros(len(sets[0]))
+                for ec, wc in zip(sets[1:], ws[1:]):
+                    _, i, j = np.intersect1d(ex, ec, assume_unique=True, return_indices=True)
+                    best[i] = np.maximum(best[i], wc[j])
+                own = [None, *ex[best < wx].view("<i8").tolist()]
+                for name, v in (*((k, r[k]) for k in ("c1", "c2", "rep", "n", "root")), ("o", float(np.minimum(wx, best).sum()))):
+                    out[name] += [v] * len(own)
+                out["el"] += own
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.float64() if k == "o" else pa.int64()) for k, v in out.items()], names=list(out))
+    return run
+
+
+def _rest(placed: DataFrame, centers: list[DataFrame], known: DataFrame, size: int, similarity: float, weighted: bool, ratio) -> DataFrame:
+    """All pairs between components of the buckets left open that can be links.
+
+    Buckets of few members are paired whole. In a large one let C hold all that
+    its first and last centre hold. Linked x and y have |x n y| >= s / (1 + s)
+    (|x| + |y|). If they share no shingle that C lacks, then |x n y| <=
+    min(|x n C|, |y n C|). So members are joined on shingles that C lacks, of
+    which copies of one text that are not copies of each other have few in
+    common, and besides only pairs are made whose overlaps with C are that
+    large. Both hold for weights too."""
+    side = placed.select("bucket", "rep", "n", "root")
+    counts = side.groupBy("bucket").agg(F.count("*").alias("m"))
+    small = side.join(counts.where(F.col("m") <= PAIRED_MEMBERS).select("bucket"), "bucket", "left_semi")
+    pairs = (small.toDF("bucket", "a", "n_a", "root_a").join(small.toDF("bucket", "b", "n_b", "root_b"), "bucket")
+             .where("root_a < root_b").where(ratio).select("a", "b"))
+    last = centers[-1].select("bucket", F.col("center").alias("c2"))
+    large = write_table(side.join(counts.where(F.col("m") > PAIRED_MEMBERS).select("bucket"), "bucket", "left_semi")
+                        .join(centers[0].select("bucket", F.col("center").alias("c1")), "bucket").join(last, "bucket", "left")
+                        .select("c1", F.coalesce("c2", "c1").alias("c2"), "rep", "n", "root").distinct(), "dart-large")
+    if not large.isEmpty():
+        sets = _sets(known, large.select("rep").union(large.select("c1")).union(large.select("c2")), size, weighted)
+        own = (large.join(sets.toDF("rep", "els_x", "cnt_x"), "rep").join(sets.toDF("c1", "els_1", "cnt_1"), "c1")
+               .join(sets.toDF("c2", "els_2", "cnt_2"), "c2")
+               .mapInArrow(_strangers(weighted), "c1 long, c2 long, rep long, n long, root long, o double, el long"))
+        own = write_table(own, "dart-strangers")
+        loose = own.where("el IS NOT NULL").select("c1", "c2", "el", "rep", "n", "root")
+        shared = (loose.toDF("c1", "c2", "el", "a", "n_a", "root_a").join(loose.toDF("c1", "c2", "el", "b", "n_b", "root_b"), ["c1", "c2", "el"])
+                  .where("root_a < root_b").where(ratio).select("a", "b"))
+        part = similarity / (1 + similarity)
+        within = own.where("el IS NULL").select("c1", "c2", "rep", "n", "root", "o").where(F.col("o") >= similarity * F.col("n") - 1e-6)
+        inner = (within.toDF("c1", "c2", "a", "n_a", "root_a", "o_a").join(within.toDF("c1", "c2", "b", "n_b", "root_b", "o_b"), ["c1", "c2"])
+                 .where("root_a < root_b").where(ratio).where(F.least("o_a", "o_b") >= part * (F.col("n_a") + F.col("n_b")) - 1e-6).select("a", "b"))
+        pairs = pairs.union(shared).union(inner)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _stars(placed: DataFrame, ratio, sizes: DataFrame, last: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(centre of each bucket, its pairs with the members of other components).
 
@@ -278,7 +342,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ratio = F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")
     args = (reps, known, size, similarity, weighted, bands * rows)
     placed = member.withColumn("root", F.col("rep"))
-    centers, pairs = _stars(placed, ratio, sizes)
+    center, pairs = _stars(placed, ratio, sizes)
+    centers = [center]
     links = _verified(pairs, *args)
     for turn in range(STAR_TURNS):
         roots = components(links)
@@ -289,14 +354,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         pairs_left, members_left = mixed.agg(F.sum(F.expr("m * (m - 1) / 2")), F.sum("m")).first()
         if not members_left or pairs_left <= 4 * members_left or turn == STAR_TURNS - 1:
             break
-        was = centers.select("bucket", F.col("center").alias("rep")).join(placed.select("bucket", "rep", "root"), ["bucket", "rep"])
-        centers, pairs = _stars(placed, ratio, sizes, was)
+        was = center.select("bucket", F.col("center").alias("rep")).join(placed.select("bucket", "rep", "root"), ["bucket", "rep"])
+        center, pairs = _stars(placed, ratio, sizes, was)
+        centers.append(center)
         links = links.union(_verified(pairs, *args))
     if members_left:
-        side = placed.select("bucket", "rep", "n", "root")
-        rest = (side.toDF("bucket", "a", "n_a", "root_a").join(side.toDF("bucket", "b", "n_b", "root_b"), "bucket")
-                .where("root_a < root_b").where(ratio).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        more = _verified(rest, *args)
+        more = _verified(write_table(_rest(placed, centers, known, size, similarity, weighted, ratio), "dart-rest"), *args)
         if not more.isEmpty():
             roots = components(links.union(more))
     copies = sketches.where("n > 0").select("doc_id", "digest").join(reps.select("digest", F.col("doc_id").alias("rep")), "digest")
