@@ -20,7 +20,8 @@ COSINE = 0.9
 #: Vectors a shard: what a task holds, and the block that queries.
 SHARD_ROWS = 8192
 DEGREE = 16
-BEAM = 48
+#: Beam that builds a graph, and the beam that queries start with.
+BEAM, QUERY_BEAM = 48, 16
 #: Share of an audit's links that a beam must find, and queries in an audit.
 AUDIT_RECALL, AUDIT_QUERIES = 0.99, 64
 #: How far under the threshold the graph is followed around a query's neighbours.
@@ -292,7 +293,7 @@ def _query_task(least: float, beam: int):
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE,
-                    shard_rows: int = SHARD_ROWS, beam: int = BEAM) -> DataFrame:
+                    shard_rows: int = SHARD_ROWS, beam: int = QUERY_BEAM) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
     Vectors link at a cosine of ``cosine`` or more, verified in double
