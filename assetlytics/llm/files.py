@@ -18,12 +18,12 @@ def put(folder: str, name: str, data: bytes) -> str:
     """Write one file; the folder is made if it is absent."""
     fs, path = open_fs(folder)
     fs.create_dir(path, recursive=True)
-    with fs.open_output_stream(f"{path}/{name}") as f:
+    with fs.open_output_stream(f"{path}/{name}", compression=None) as f:
         f.write(data)
     return f"{folder}/{name}"
 
 
 def get(uri: str) -> bytes:
     fs, path = open_fs(uri)
-    with fs.open_input_stream(path) as f:
+    with fs.open_input_stream(path, compression=None) as f:
         return f.read()

@@ -44,6 +44,7 @@ MARKS = frozenset("nav navbar navigation menu menus breadcrumb breadcrumbs heade
                   "related recommended recommendations comment comments commentlist respond reply replies disqus discussion search toolbar "
                   "pagination pager skip hidden".split())
 MAIN_WORDS = frozenset("article content post entry story main".split())
+BOXES = frozenset("div section article main td th aside header footer figure center details fieldset form".split())
 CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)),
           "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
 
@@ -130,6 +131,12 @@ def parse(html: str) -> Node:
 # string is ["#", 0 or 1, 1 or 2, checksum of the only text seen, or 0 for a slot].
 
 
+def _key(node: Node) -> str:
+    """A node's key; boxes that hold text of their own are told from others."""
+    own = node.tag in BOXES and any(isinstance(k, str) and k.strip() for k in node.kids)
+    return f"{node.key}#" if own else node.key
+
+
 def _text_item(s: str) -> list | None:
     s = s.strip()
     return ["#", 1, 1, zlib.crc32(s.encode("utf-8", "surrogatepass")) or 1] if s else None
@@ -139,7 +146,7 @@ def form(node: Node) -> list:
     """The page's own expression: strings as they are, alike siblings folded."""
     items: list = []
     for k in node.kids:
-        x = _text_item(k) if isinstance(k, str) else [k.key, 1, 1, form(k)]
+        x = _text_item(k) if isinstance(k, str) else [_key(k), 1, 1, form(k)]
         if x is None:
             continue
         if items and items[-1][0] == x[0]:
@@ -248,7 +255,7 @@ def _place(node: Node, items: list) -> list:
         by.setdefault(x[0], []).append(n)
     out, at = [], 0
     for k in kids:  # the first item from here on, a repeated one before it, or any of that key
-        key = "#" if isinstance(k, str) else k.key
+        key = "#" if isinstance(k, str) else _key(k)
         places = by.get(key, [])
         p = next((n for n in places if n >= at), places[-1] if places else None)
         out.append((k, None if p is None else flat[p][0]))
