@@ -270,6 +270,9 @@ def _rest(placed: DataFrame, centers: list[DataFrame], known: DataFrame, size: i
                         .join(centers[0].select("bucket", F.col("center").alias("c1")), "bucket").join(last, "bucket", "left")
                         .select("c1", F.coalesce("c2", "c1").alias("c2"), "rep", "n", "root").distinct(), "dart-large")
     if not large.isEmpty():
+        # any C will do: buckets of one first centre share the last centre that most of their members have
+        common = large.groupBy("c1", "c2").count().groupBy("c1").agg(F.max(F.struct("count", F.col("c2").alias("c"))).alias("x"))
+        large = large.drop("c2").distinct().join(common.select("c1", F.col("x.c").alias("c2")), "c1")
         sets = _sets(known, large.select("rep").union(large.select("c1")).union(large.select("c2")), size, weighted)
         own = (large.join(sets.toDF("rep", "els_x", "cnt_x"), "rep").join(sets.toDF("c1", "els_1", "cnt_1"), "c1")
                .join(sets.toDF("c2", "els_2", "cnt_2"), "c2")
