@@ -40,8 +40,11 @@ def floor_at(c, v: float = 0.0) -> Column:
 
 
 def title_case(c) -> Column:
-    """strip + title-case (words split on whitespace)."""
-    return F.initcap(F.trim(col_(c)))
+    """Strip all white space around, then a capital at the start of every run
+    of letters and small letters after it, as ``str.strip().str.title()``."""
+    low = F.lower(F.regexp_replace(col_(c), r"^\s+|\s+$", ""))
+    runs = F.regexp_extract_all(low, F.lit(r"(\p{L}+|[^\p{L}]+)"), F.lit(1))
+    return F.array_join(F.transform(runs, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 2147483647))), "")
 
 
 def value_map(c, mapping: dict, keep_other: bool = True) -> Column:

@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_path
+
 # A learned parameter table (one row per group) is broadcast only below this.
 DEFAULT_MAX_BROADCAST_ROWS = 200_000
 
 
 def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    """Cache ``df`` (a small aggregate), count at most ``max_rows + 1`` rows and
-    return a broadcast-hinted frame only when the bound holds; otherwise the
-    plain frame, so the optimizer (with AQE) picks a shuffle join."""
-    df = df.cache()
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    """Write ``df`` (a small aggregate) to the shared folder, count its rows (a
+    partial count a task) and return a broadcast-hinted frame only when the
+    bound holds; otherwise the plain frame, so the optimizer (with AQE) picks
+    a shuffle join. The result is the same either way."""
+    path = shared_path(df.sparkSession, f"lookup/{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    df = df.sparkSession.read.schema(df.schema).parquet(path)
+    return F.broadcast(df) if df.count() <= max_rows else df
 
 
 def lookup_join(left: DataFrame, params: DataFrame, on, how: str = "left",

@@ -1,32 +1,73 @@
-"""Exact vs sketch quantiles.
+"""Exact quantiles (linear interpolation) at every size.
 
-Exact ``percentile``/``median`` buffer every distinct value of a group, and a
-global quantile merges all of them in one final task: fine for the fixture
-sizes the SQL oracles check, unbounded at 100 TB. Above a row threshold the
-same call switches to ``percentile_approx`` (a bounded-memory sketch with
-relative rank error 1 / accuracy)."""
+Values are counted first, so a hot value is one row whatever its weight. The
+counted values are range-partitioned by (group, column, value): each range is
+one window partition, and the ranges' sums are its offset. Quantiles are read
+off at their two ranks. No task holds the values of a column or a group, and
+no row goes to one task but a range's sum."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-EXACT_QUANTILE_MAX_ROWS = 20_000_000
-SKETCH_ACCURACY = 1_000_000
+from ..session import shared_path
+
+
+def column_of(c) -> Column:
+    return (F.col(c) if isinstance(c, str) else c).cast("double")
+
+
+def prefix_counts(df: DataFrame, cols: dict, group: list[str] = ()) -> DataFrame:
+    """For each distinct non-null value x of each of ``cols`` (name ->
+    expression) in each group: (group.., column, x, cnt, cum, n), cum the rows
+    up to and with x, n all rows of that column and group."""
+    spark, keys = df.sparkSession, [*group, "column"]
+    stacked = df.select(*group, F.inline(F.array(*[F.struct(F.lit(k).alias("column"), column_of(c).alias("x")) for k, c in cols.items()])))
+    counts = stacked.where(F.col("x").isNotNull()).groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("cnt"))
+    path = shared_path(spark, f"prefix-counts/{uuid.uuid4().hex}")
+    counts.repartitionByRange(*keys, "x").withColumn("part", F.spark_partition_id()).write.parquet(path)
+    v = spark.read.parquet(path)
+    sums = v.groupBy(*keys, "part").agg(F.sum("cnt").alias("s"))
+    by = Window.partitionBy(*keys)
+    sums = sums.select(*[F.col(k).alias(f"{k}__k") for k in keys], F.col("part").alias("part__k"),
+                       (F.sum("s").over(by.orderBy("part")) - F.col("s")).alias("offset"), F.sum("s").over(by).alias("n"))
+    on = F.col("part") == F.col("part__k")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"{k}__k"))
+    inside = Window.partitionBy(*keys, "part").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    return (v.withColumn("run", F.sum("cnt").over(inside)).join(sums, on)
+            .select(*keys, "x", "cnt", (F.col("offset") + F.col("run")).alias("cum"), "n"))
 
 
-def use_sketch(df: DataFrame, approx: bool | None = None) -> bool:
-    """``approx=None`` decides from the row count (a pruned, bounded count)."""
-    if approx is not None:
-        return approx
-    return df.limit(EXACT_QUANTILE_MAX_ROWS + 1).count() > EXACT_QUANTILE_MAX_ROWS
+def quantile_table(df: DataFrame, cols: dict, qs: list[float], group: list[str] = ()) -> DataFrame:
+    """(group.., column, n, q0, q1, ..): the quantiles ``qs`` of each column in
+    each group, by linear interpolation between the ranks around q (n - 1).
+    Columns and groups without a value have no row."""
+    pc = prefix_counts(df, cols, group)
+    aggs = []
+    for i, q in enumerate(qs):
+        place = F.lit(float(q)) * (F.col("n") - 1)
+        for name, rank in (("lo", F.floor(place)), ("hi", F.ceil(place))):
+            holds = (rank >= F.col("cum") - F.col("cnt")) & (rank < F.col("cum"))
+            aggs.append(F.max(F.when(holds, F.col("x"))).alias(f"{name}{i}"))
+    wide = pc.groupBy(*group, "column").agg(F.max("n").alias("n"), *aggs)
+    out = []
+    for i, q in enumerate(qs):
+        place = F.lit(float(q)) * (F.col("n") - 1)
+        out.append((F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * (place - F.floor(place))).alias(f"q{i}"))
+    return wide.select(*group, "column", "n", *out)
 
 
-def percentile(c, q, sketch: bool) -> Column:
-    x = (F.col(c) if isinstance(c, str) else c).cast("double")
-    return F.percentile_approx(x, q, SKETCH_ACCURACY) if sketch else F.percentile(x, q)
+def quantiles(df: DataFrame, cols: dict | list, qs: list[float]) -> dict[str, list]:
+    """Column -> its quantiles (None where it has no value): a row per column
+    on the driver."""
+    cols = cols if isinstance(cols, dict) else {c: c for c in cols}
+    got = {r["column"]: [r[f"q{i}"] for i in range(len(qs))] for r in quantile_table(df, cols, qs).collect()} if cols else {}
+    return {c: got.get(c, [None] * len(qs)) for c in cols}
 
 
-def median(c, sketch: bool) -> Column:
-    x = (F.col(c) if isinstance(c, str) else c).cast("double")
-    return F.percentile_approx(x, 0.5, SKETCH_ACCURACY) if sketch else F.median(x)
+def medians(df: DataFrame, cols: dict | list) -> dict:
+    return {c: q[0] for c, q in quantiles(df, cols, [0.5]).items()}

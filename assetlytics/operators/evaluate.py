@@ -4,13 +4,11 @@ segment) so many models are scored in the same scan."""
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import col_, dlit
-from ..functions.quantiles import percentile, use_sketch
+from ..functions.quantiles import prefix_counts, quantiles
 from ..functions.stats import norm_inv_cdf
 
 
@@ -29,9 +27,9 @@ def metric_aggs(y, yhat, prefix: str = "", cond: Column | None = None, original:
     e = yy - pp
     n = F.count(e)
     sse = F.sum(e * e)
-    sst = F.sum(yy * yy) - F.pow(F.sum(yy), 2) / n
-    out = [n.alias(f"{prefix}n"), (F.lit(1.0) - sse / sst).alias(f"{prefix}r2"),
-           F.sqrt(sse / n).alias(f"{prefix}rmse_log"), F.avg(F.abs(e)).alias(f"{prefix}mae_log")]
+    sst = F.var_pop(F.when(e.isNotNull(), yy)) * n  # centred: the difference of two large sums has no digits left
+    out = [n.alias(f"{prefix}n"), (F.lit(1.0) - F.try_divide(sse, sst)).alias(f"{prefix}r2"),
+           F.sqrt(F.try_divide(sse, n)).alias(f"{prefix}rmse_log"), F.avg(F.abs(e)).alias(f"{prefix}mae_log")]
     if original:
         yo, po = F.expm1(yy), F.expm1(pp)
         eo = yo - po
@@ -50,14 +48,11 @@ def regression_metrics(df: DataFrame, y: str, yhat: str, is_train: Column, group
                           "overfitting_rmse": F.col("test_rmse_log") - F.col("train_rmse_log")})
 
 
-def residual_stats(df: DataFrame, resid: str, approx: bool | None = None) -> DataFrame:
+def residual_stats(df: DataFrame, resid: str) -> DataFrame:
     r = F.col(resid).cast("double")
-    sk = use_sketch(df, approx)
-    qs = percentile(r, [0.25, 0.5, 0.75], sk)
+    q = quantiles(df, [resid], [0.25, 0.5, 0.75])[resid]
     return df.agg(F.avg(r).alias("mean"), F.stddev_samp(r).alias("std"), F.min(r).alias("min"),
-                  F.max(r).alias("max"), qs.alias("_qs")).select(
-        "mean", "std", "min", "max", F.col("_qs")[1].alias("median"), F.col("_qs")[0].alias("q25"),
-        F.col("_qs")[2].alias("q75"))
+                  F.max(r).alias("max")).select("*", dlit(q[1]).alias("median"), dlit(q[0]).alias("q25"), dlit(q[2]).alias("q75"))
 
 
 def jarque_bera(df: DataFrame, resid: str) -> DataFrame:
@@ -84,7 +79,7 @@ def homoscedasticity(df: DataFrame, yhat: str, resid: str) -> DataFrame:
     """Pearson r of prediction vs squared residual and its t statistic."""
     r = F.corr(F.col(yhat), F.pow(F.col(resid), 2))
     s = df.agg(r.alias("r"), F.count(F.lit(1)).alias("n"))
-    return s.select("r", "n", (F.col("r") * F.sqrt((F.col("n") - 2) / (F.lit(1.0) - F.pow("r", 2)))).alias("t_stat"))
+    return s.select("r", "n", (F.col("r") * F.sqrt(F.try_divide(F.col("n") - 2, F.lit(1.0) - F.pow("r", 2)))).alias("t_stat"))
 
 
 def prediction_interval(df: DataFrame, y: str, yhat: str, resid_std: float, confidence: float = 0.95) -> DataFrame:
@@ -96,19 +91,25 @@ def prediction_interval(df: DataFrame, y: str, yhat: str, resid_std: float, conf
                   F.count(F.lit(1)).alias("n"))
 
 
-def quantile_bins(df: DataFrame, y: str, quantiles=(0.25, 0.5, 0.75)) -> Column:
-    """``qcut`` bin index (right-closed, lowest included, duplicate edges
-    dropped) from exact inner quantile edges computed in one aggregate."""
-    edges = df.agg(percentile(y, list(quantiles), use_sketch(df)).alias("e")).first()["e"]
-    inner = F.array_distinct(F.array(*[dlit(float(e)) for e in edges]))
-    return F.size(F.filter(inner, lambda e: e < F.col(y)))
+def quantile_bins(df: DataFrame, y: str, inner=(0.25, 0.5, 0.75)) -> Column:
+    """``qcut`` bin index: the edges are the minimum, the quantiles and the
+    maximum, equal ones dropped; bins are closed on the right, the first on
+    both sides, so values up to the second edge are in bin 0."""
+    edges = quantiles(df, [y], [0.0, *inner, 1.0])[y]
+    if edges[0] is None:
+        return F.lit(0)
+    upper = F.array(*[dlit(float(e)) for e in sorted(set(edges))[1:-1]]).cast("array<double>")
+    return F.size(F.filter(upper, lambda e: e < F.col(y)))
 
 
-def error_by_quantile(df: DataFrame, y_true: str, y_pred: str, quantiles=(0.25, 0.5, 0.75)) -> DataFrame:
+def error_by_quantile(df: DataFrame, y_true: str, y_pred: str, inner=(0.25, 0.5, 0.75)) -> DataFrame:
+    """Errors by bin of the truth; rows without a truth are left out, and a
+    truth of 0 has no percentage error."""
+    df = df.where(F.col(y_true).isNotNull())
     e = F.col(y_true) - F.col(y_pred)
     x = df.select(y_true, y_pred, e.alias("error"), F.abs(e).alias("abs_error"),
-                  (F.abs(e / F.col(y_true)) * 100).alias("pct_error"))
-    x = x.withColumn("quantile", quantile_bins(x, y_true, quantiles))
+                  (F.abs(F.try_divide(e, F.col(y_true))) * 100).alias("pct_error"))
+    x = x.withColumn("quantile", quantile_bins(x, y_true, inner))
     return x.groupBy("quantile").agg(
         F.round(F.min(y_true), 4).alias("y_true_min"), F.round(F.max(y_true), 4).alias("y_true_max"),
         F.count(y_true).alias("y_true_count"), F.round(F.avg("error"), 4).alias("error_mean"),
@@ -161,20 +162,15 @@ def z_value(confidence: float) -> float:
     return norm_inv_cdf((1 + confidence) / 2)
 
 
-def isfinite(x: float | None) -> bool:
-    return x is not None and math.isfinite(x)
-
-
 def ks_statistic(df: DataFrame, c: str) -> DataFrame:
     """Kolmogorov-Smirnov D of ``c`` against a normal with the sample mean and
     std: max over distinct values of |F_n - Phi| on both sides of each step,
     from the distributed two-level prefix sums (no global sort)."""
     from ..functions.normal import norm_cdf
-    from .profile import _prefix_counts
     st = df.agg(F.avg(c).alias("m"), F.stddev_samp(c).alias("s")).first()
-    pc, n = _prefix_counts(df, c)
+    pc = prefix_counts(df, {c: c})
     z = (F.col("x") - F.lit(st["m"])) / F.lit(st["s"])
     phi = norm_cdf(z)
-    hi = F.col("cum") / F.lit(float(n)) - phi
-    lo = phi - (F.col("cum") - F.col("cnt")) / F.lit(float(n))
-    return pc.agg(F.max(F.greatest(hi, lo)).alias("d")).select(F.lit(n).cast("bigint").alias("n"), "d")
+    hi = F.col("cum") / F.col("n") - phi
+    lo = phi - (F.col("cum") - F.col("cnt")) / F.col("n")
+    return pc.agg(F.max("n").cast("bigint").alias("n"), F.max(F.greatest(hi, lo)).alias("d"))

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import floor_at, safe_ratio
-from ..functions.joins import lookup_join
-from ..functions.quantiles import median, use_sketch
+from ..functions.joins import checked_broadcast, lookup_join
+from ..functions.quantiles import quantile_table
 from .profile import numeric_mode
 
 
@@ -77,14 +77,16 @@ def fit_aggregated_features(df: DataFrame, target: str, group_cols: list[str],
     """One groupBy per group column; unknown aggregate names are skipped
     (``count`` is accepted but, as in the reference, not stored)."""
     use = [a for a in aggs if a in _AGGS]
-    sk = use_sketch(df) if "median" in use else False
-    fns = {a: (lambda x: median(x, sk)) if a == "median" else _AGGS[a] for a in use}
     out = GroupStats(target)
     for g in group_cols:
         if g not in df.columns or not use:
             continue
-        out.tables[g] = df.groupBy(g).agg(*[fns[a](F.col(target).cast("double")).alias(f"{g}_{a}")
-                                            for a in use])
+        x = F.col(target).cast("double")
+        t = df.groupBy(g).agg(F.count(F.lit(1)).alias("__n"), *[_AGGS[a](x).alias(f"{g}_{a}") for a in use if _AGGS[a]])
+        if "median" in use:
+            mid = quantile_table(df, {target: target}, [0.5], [g]).select(F.col(g).alias("__g"), F.col("q0").alias(f"{g}_median"))
+            t = t.join(mid, F.col(g).eqNullSafe(F.col("__g")), "left").drop("__g")
+        out.tables[g] = t.select(g, *[f"{g}_{a}" for a in use])
     out.global_mean = df.agg(F.avg(F.col(target).cast("double"))).first()[0]
     return out
 
@@ -124,13 +126,37 @@ def transform_binary_flags(df: DataFrame, params: dict, keep: list[str] = ()) ->
 
 
 # ------------------------------------------------------ scoring-time features
+# Fixed value: the mean that stands for an unknown neighbourhood or type.
+DEFAULT_MEAN = 115.6
+
+
 def score_features(df: DataFrame, area="gfa_total", year="year_built", floors="n_floors",
-                   reference_year: int = 2026, old_after: int = 30) -> DataFrame:
-    """Derived fields used when scoring a building without metered data."""
+                   reference_year: int = 2016, old_after: int = 30, score="energy_score", type_col="property_type",
+                   neighborhood="neighborhood", neighborhood_means: DataFrame | None = None, type_means: dict | None = None) -> DataFrame:
+    """Derived fields used when scoring a building without metered data. Age is
+    counted from the year of the data and not clipped. ``neighborhood_means``
+    (neighborhood, avg_co2) is a lookup table, its default row ``DEFAULT_MEAN``."""
     a, y = F.col(area).cast("double"), F.col(year).cast("int")
     fl = F.greatest(F.coalesce(F.col(floors).cast("int"), F.lit(1)), F.lit(1))
-    age = F.greatest(F.lit(reference_year) - y, F.lit(0))
-    return df.withColumns({
+    age = F.lit(reference_year) - y
+    if neighborhood_means is not None:
+        means = neighborhood_means.select(F.col("neighborhood").alias("__nbh"), F.col("avg_co2").cast("double").alias("__mean"))
+        df = df.join(checked_broadcast(means), F.col(neighborhood) == F.col("__nbh"), "left").drop("__nbh")
+    else:
+        df = df.withColumn("__mean", F.lit(None).cast("double"))
+    by_type = F.lit(None).cast("double")
+    for name, mean in sorted((type_means or {}).items()):
+        by_type = F.when(F.col(type_col) == name, F.lit(float(mean))).otherwise(by_type)
+    # What a form leaves open.
+    fixed = {"n_buildings": 1, "parking_area": 0.0, "steam_kbtu_est": 0.0, "second_use_type": "Parking", "second_use_gfa": 0.0,
+             "parking_ratio": 0.0, "building_class": "NonResidential", "neighborhood_std": 50.0, "type_std": 80.0}
+    return df.withColumns({k: F.lit(v) for k, v in fixed.items()}).withColumns({
+        "score_or_default": F.coalesce(F.col(score).cast("double"), F.lit(60.0)),
+        "building_gfa": a,
+        "largest_use_gfa": a,
+        "age_squared": F.pow(age, 2),
+        "neighborhood_mean": F.coalesce("__mean", F.lit(DEFAULT_MEAN)),
+        "type_mean": F.coalesce(by_type, F.lit(DEFAULT_MEAN)),
         "est_electricity_kwh": a * 10.0,
         "est_gas_therms": a * 0.5,
         "building_age": age,
@@ -141,4 +167,4 @@ def score_features(df: DataFrame, area="gfa_total", year="year_built", floors="n
         "age_floors": age * fl,
         "gfa_sqrt": F.sqrt(F.greatest(a, F.lit(0.0))),
         "floors_squared": F.pow(fl, 2),
-    })
+    }).drop("__mean")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import col_, dlit, title_case, value_map
-from ..functions.quantiles import median, use_sketch
+from ..functions.quantiles import medians
 
 # Spelling fixes applied after title-casing neighbourhood names.
 NEIGHBORHOOD_FIXES = {
@@ -59,11 +59,12 @@ def type_benchmark(df: DataFrame, type_col="property_type", target="emissions",
     return out.limit(top) if top else out
 
 
-def city_kpis(df: DataFrame, target="emissions", score="energy_score", approx: bool | None = None) -> DataFrame:
-    """Rows, mean and median of target (exact, or sketch at scale), mean score ignoring nulls."""
+def city_kpis(df: DataFrame, target="emissions", score="energy_score") -> DataFrame:
+    """Rows, mean and median of target, mean score ignoring nulls."""
+    mid = medians(df, [target])[target]
     return df.agg(F.count(F.lit(1)).alias("total_buildings"),
                   F.round(F.avg(target), 4).alias("mean_co2"),
-                  F.round(median(target, use_sketch(df, approx)), 6).alias("median_co2"),
+                  F.round(F.lit(mid).cast("double"), 6).alias("median_co2"),
                   F.round(F.avg(score), 4).alias("avg_energy_star"))
 
 

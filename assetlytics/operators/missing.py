@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from ..functions.quantiles import medians as column_medians
 from ..functions.stats import chi2_sf, t_sf_two_sided
 from .profile import mode_profile
 
@@ -25,32 +26,23 @@ def _is_num(df: DataFrame, c: str) -> bool:
     return isinstance(df.schema[c].dataType, NumericType)
 
 
-def _median(c, approx: bool):
-    from ..functions.quantiles import median
-    return median(c, approx)
-
-
-def _column_stats(df: DataFrame, cols: list[str], medians: bool = False, approx: bool | None = None) -> dict:
+def _column_stats(df: DataFrame, cols: list[str], medians: bool = False) -> dict:
     """One pass over all columns: row count, null count, mean (numeric),
     median (optional) and whether the column holds at most one distinct
     non-null value (``min == max``: exact, no distinct-count expansion)."""
-    if approx is None and medians:
-        from ..functions.quantiles import use_sketch
-        approx = use_sketch(df)
     aggs = [F.count(F.lit(1)).alias("__n")]
     for i, c in enumerate(cols):
         aggs += [F.sum(F.col(c).isNull().cast("long")).alias(f"nn{i}"),
                  (F.coalesce(F.min(c) == F.max(c), F.lit(True))).alias(f"one{i}")]
         if _is_num(df, c):
             aggs.append(F.avg(F.col(c).cast("double")).alias(f"mu{i}"))
-            if medians:
-                aggs.append(_median(c, bool(approx)).alias(f"md{i}"))
     row = df.agg(*aggs).first().asDict()
     n = row["__n"]
+    mids = column_medians(df, [c for c in cols if _is_num(df, c)]) if medians else {}
     out = {}
     for i, c in enumerate(cols):
         out[c] = {"null_frac": (row[f"nn{i}"] / n) if n else 0.0, "at_most_one": row[f"one{i}"],
-                  "mean": row.get(f"mu{i}"), "median": row.get(f"md{i}"), "numeric": _is_num(df, c)}
+                  "mean": row.get(f"mu{i}"), "median": mids.get(c), "numeric": _is_num(df, c)}
     return out
 
 
@@ -256,29 +248,42 @@ def diagnose(df: DataFrame, col: str, observed: list[str], categorical: list[str
 
 # ------------------------------------------------------------- imputations
 def fit_ols(df: DataFrame, y: str, xs: list[str], fill: dict | None = None):
-    """OLS with intercept from one Gramian aggregation (p+1 squared sums),
-    solved on the driver (p x p). Returns (intercept, {x: coef})."""
-    fill = fill or {}
-    cols = [F.lit(1.0)] + [F.coalesce(F.col(x).cast("double"), F.lit(fill.get(x)))
-                            if x in fill else F.col(x).cast("double") for x in xs]
+    """OLS with intercept from one Gramian aggregation (p squared sums) over
+    predictors and target centred by their means (rows with a missing target,
+    or a predictor that is missing and has no fill, are left out), scaled by
+    their spread and solved on the driver (p x p). Returns (intercept, {x: coef})."""
+    fill = {x: v for x, v in (fill or {}).items() if v is not None}
+    raw = [F.coalesce(F.col(x).cast("double"), F.lit(fill[x])) if x in fill else F.col(x).cast("double") for x in xs]
     yy = F.col(y).cast("double")
-    k = len(cols)
+    whole = yy.isNotNull()
+    for c in raw:
+        whole = whole & c.isNotNull()
+    df = df.where(whole)
+    k = len(raw)
+    st = df.agg(F.avg(yy).alias("y"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(raw)],
+                *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(raw)]).first()
+    if st["y"] is None:
+        return 0.0, {x: 0.0 for x in xs}
+    mean, spread = [st[f"m{i}"] for i in range(k)], [st[f"s{i}"] or 1.0 for i in range(k)]
+    cols = [(c - F.lit(mean[i])) / F.lit(spread[i]) for i, c in enumerate(raw)]
+    yy = yy - F.lit(st["y"])
     aggs = [F.sum(cols[i] * cols[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]
     aggs += [F.sum(cols[i] * yy).alias(f"b{i}") for i in range(k)]
-    r = df.where(yy.isNotNull()).agg(*aggs).first()
+    r = df.agg(*aggs).first()
     G = np.zeros((k, k))
     for i in range(k):
         for j in range(i, k):
             G[i, j] = G[j, i] = r[f"g{i}_{j}"] or 0.0
     b = np.array([r[f"b{i}"] or 0.0 for i in range(k)])
     beta = np.linalg.lstsq(G, b, rcond=None)[0]
-    return float(beta[0]), {x: float(v) for x, v in zip(xs, beta[1:])}
+    coef = [float(v) / spread[i] for i, v in enumerate(beta)]
+    return float(st["y"]) - sum(c * m for c, m in zip(coef, mean)), dict(zip(xs, coef))
 
 
 def fit_missing_advanced(df: DataFrame, cols: list[str] | None = None, threshold_drop=0.70,
                          threshold_simple=0.10, test_mechanism: bool = True,
                          mcar_cols: list[str] | None = None, categorical: list[str] = (),
-                         max_tested: int = 10, max_kept: int = 5,
+                         max_tested: int | None = None, max_kept: int | None = None,
                          predictor_null_below: float = 0.3) -> MissingParams:
     """distinct <= 1 -> drop (tested first); null > threshold_drop -> drop;
     (threshold_simple, threshold_drop] -> diagnose, then median/mode (MCAR,
@@ -318,9 +323,7 @@ def fit_missing_advanced(df: DataFrame, cols: list[str] | None = None, threshold
 
 def impute_median(train: DataFrame, df: DataFrame, cols: list[str]) -> DataFrame:
     """Fill ``cols`` with medians learned on ``train``."""
-    from ..functions.quantiles import median, use_sketch
-    sk = use_sketch(train)
-    med = train.agg(*[median(c, sk).alias(c) for c in cols]).first()
+    med = column_medians(train, cols)
     return df.select(*[F.coalesce(F.col(c), F.lit(med[c]).cast(df.schema[c].dataType)).alias(c)
                        if c in cols else F.col(c) for c in df.columns])
 

@@ -17,18 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import clip
-from ..functions.quantiles import median, percentile, use_sketch
+from ..functions.quantiles import medians, quantiles
 
 
-def iqr_bounds(df: DataFrame, cols: list[str], k: float = 1.5, approx: bool | None = None) -> dict:
-    """Q1 - k*IQR, Q3 + k*IQR per column: one two-quantile buffer per column."""
-    sk = use_sketch(df, approx)
-    r = df.agg(*[percentile(c, [0.25, 0.75], sk).alias(f"q{i}") for i, c in enumerate(cols)]).first()
+def iqr_bounds(df: DataFrame, cols: list[str], k: float = 1.5) -> dict:
+    """Q1 - k*IQR, Q3 + k*IQR per column."""
     out = {}
-    for i, c in enumerate(cols):
-        if r[f"q{i}"] is None or r[f"q{i}"][0] is None:
+    for c, (q1, q3) in quantiles(df, cols, [0.25, 0.75]).items():
+        if q1 is None:
             continue
-        q1, q3 = r[f"q{i}"]
         out[c] = (q1 - k * (q3 - q1), q3 + k * (q3 - q1))
     return out
 
@@ -46,10 +43,8 @@ def zscore_bounds(df: DataFrame, cols: list[str], k: float = 3.0, ddof: int = 1)
     return out
 
 
-def percentile_bounds(df: DataFrame, cols: list[str], lo=0.05, hi=0.95, approx: bool | None = None) -> dict:
-    sk = use_sketch(df, approx)
-    r = df.agg(*[percentile(c, [lo, hi], sk).alias(f"q{i}") for i, c in enumerate(cols)]).first()
-    return {c: tuple(r[f"q{i}"]) for i, c in enumerate(cols) if r[f"q{i}"] is not None and r[f"q{i}"][0] is not None}
+def percentile_bounds(df: DataFrame, cols: list[str], lo=0.05, hi=0.95) -> dict:
+    return {c: tuple(q) for c, q in quantiles(df, cols, [lo, hi]).items() if q[0] is not None}
 
 
 def flag_outside(df: DataFrame, bounds: dict, key: str, prefix: str = "out_") -> DataFrame:
@@ -90,12 +85,12 @@ class CapParams:
         return spark.createDataFrame(self.rows(), "column string, method string, lower double, upper double")
 
 
-def fit_caps(df: DataFrame, cols: list[str], method: str = "winsorize", approx: bool | None = None) -> CapParams:
+def fit_caps(df: DataFrame, cols: list[str], method: str = "winsorize") -> CapParams:
     """winsorize: P5/P95; iqr: Q1-1.5IQR / Q3+1.5IQR; zscore: mean +- 3 std (ddof 1)."""
     if method == "winsorize":
-        b = percentile_bounds(df, cols, 0.05, 0.95, approx)
+        b = percentile_bounds(df, cols, 0.05, 0.95)
     elif method == "iqr":
-        b = iqr_bounds(df, cols, 1.5, approx)
+        b = iqr_bounds(df, cols, 1.5)
     elif method == "zscore":
         b = zscore_bounds(df, cols, 3.0, ddof=1)
     else:
@@ -116,8 +111,10 @@ def target_cap_rule(df: DataFrame, c: str, k: float = 3.0, min_pct: float = 1.0,
     x = F.col(c).cast("double")
     s = df.agg(F.avg(x).alias("m"), F.stddev_samp(x).alias("s1"), F.stddev_pop(x).alias("s0"),
                F.skewness(x).alias("sk"), F.count(x).alias("n")).first()
-    n_out = df.where(F.abs((x - F.lit(s["m"])) / F.lit(s["s0"])) > k).count()
+    n_out = df.where(F.abs(F.try_divide(x - F.lit(s["m"]).cast("double"), F.lit(s["s0"]).cast("double"))) > k).count()
     pct = n_out * 100.0 / max(s["n"], 1)
+    if s["m"] is None or s["s1"] is None:  # no value, or one: no spread to cap by
+        return df, {"pct_outliers": 0.0, "skew": s["sk"], "applied": False, "lower": None, "upper": None}
     apply = not (pct < min_pct and abs(s["sk"] or 0.0) < max_abs_skew)
     info = {"pct_outliers": pct, "skew": s["sk"], "applied": apply,
             "lower": s["m"] - k * s["s1"], "upper": s["m"] + k * s["s1"]}
@@ -137,12 +134,8 @@ def influence(df: DataFrame, y: str, xs: list[str], key: str, standard: bool = F
     Default formulas follow the reference (Cook divides by p, DFFITS without
     the studentising factor); ``standard=True`` uses the textbook forms."""
     cols = list(xs)
-    med = {}
-    sk = use_sketch(df) if fill_median else False
-    r = df.agg(*[median(c, sk).alias(f"md_{c}") for c in cols + [y]],
-               *[F.avg(F.col(c).cast("double")).alias(f"mu_{c}") for c in cols]).first()
-    if fill_median:
-        med = {c: r[f"md_{c}"] for c in cols + [y]}
+    med = medians(df, cols + [y]) if fill_median else {}
+    r = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"mu_{c}") for c in cols]).first()
     # Columns are centred by their means: same fit, well-conditioned Gramian.
     mu = {c: r[f"mu_{c}"] or 0.0 for c in cols}
     X = [F.lit(1.0)] + [F.coalesce(F.col(c).cast("double"), F.lit(med.get(c))) - F.lit(mu[c])
@@ -171,11 +164,11 @@ def influence(df: DataFrame, y: str, xs: list[str], key: str, standard: bool = F
     mse = sse / (n - p - 1)
     hh, e = F.col("leverage"), F.col("resid")
     denom_p = (p + 1) if standard else p
-    cook = (e * e / F.lit(denom_p * mse)) * (hh / F.pow(F.lit(1.0) - hh, 2))
+    cook = F.try_divide(e * e, F.lit(denom_p * mse)) * F.try_divide(hh, F.pow(F.lit(1.0) - hh, 2))
     if standard:
-        dff = e / F.sqrt(F.lit(mse) * (F.lit(1.0) - hh)) * F.sqrt(hh / (F.lit(1.0) - hh))
+        dff = F.try_divide(e, F.sqrt(F.lit(mse) * (F.lit(1.0) - hh))) * F.sqrt(F.try_divide(hh, F.lit(1.0) - hh))
     else:
-        dff = e * F.sqrt(hh / (F.lit(1.0) - hh)) / F.lit(math.sqrt(mse))
+        dff = F.try_divide(e * F.sqrt(F.try_divide(hh, F.lit(1.0) - hh)), F.lit(math.sqrt(mse)))
     th = {"leverage": 2.0 * (p + 1) / n, "cooks": 1.0, "dffits": 2.0 * math.sqrt(p / n), "mse": mse, "n": n}
     out = base.select(key, "resid", "leverage", cook.alias("cooks_d"), dff.alias("dffits"))
     out = out.select("*", (F.col("leverage") > th["leverage"]).alias("high_leverage"),

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import dlit, numeric_columns
 from ..functions.normal import norm_ppf
-from ..functions.quantiles import median, use_sketch
+from ..functions.quantiles import medians, prefix_counts, quantile_table
 
 
 def _unpivot_wide(wide: DataFrame, cols: list[str], fields: dict[str, str],
@@ -89,36 +89,21 @@ def distinct_profile(df: DataFrame, cols: list[str] | None = None,
         "column", F.coalesce("n_distinct", F.lit(0)).cast("bigint").alias("n_distinct"))
 
 
-def _pct(c, q, approx):
-    """Exact (linear interpolation) or sketch percentile; ``q`` may be a list."""
-    from ..functions.quantiles import percentile
-    return percentile(c, q, approx)
-
-
-def resolve_approx(df: DataFrame, approx: bool | None) -> bool:
-    """``None`` -> exact below EXACT_QUANTILE_MAX_ROWS rows, sketch above."""
-    return use_sketch(df, approx)
-
-
-def describe_numeric(df: DataFrame, cols: list[str] | None = None,
-                     approx: bool | None = None) -> DataFrame:
-    """count, mean, std (ddof 1), min, 25/50/75 % (linear), max per column;
-    one multi-percentile buffer per column."""
+def describe_numeric(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+    """count, mean, std (ddof 1), min, 25/50/75 % (linear), max per column:
+    one aggregate, and the quantile table of all columns."""
     cols = cols or numeric_columns(df.schema)
-    approx = resolve_approx(df, approx)
     aggs = []
     for c in cols:
         x = F.col(c).cast("double")
         aggs += [F.count(x).alias(f"{c}__count"), F.avg(x).alias(f"{c}__mean"),
-                 F.stddev_samp(x).alias(f"{c}__std"), F.min(x).alias(f"{c}__min"),
-                 _pct(x, [0.25, 0.5, 0.75], approx).alias(f"{c}__qs"), F.max(x).alias(f"{c}__max")]
-    wide = df.agg(*aggs)
-    wide = wide.select("*", *[F.col(f"{c}__qs")[i].alias(f"{c}__{n}") for c in cols
-                              for i, n in enumerate(("q25", "q50", "q75"))])
-    fields = {"count": "bigint", "mean": "double", "std": "double", "min": "double",
-              "q25": "double", "q50": "double", "q75": "double", "max": "double"}
-    long = _unpivot_wide(wide, cols, fields)
-    return long.select("column", "count", *[F.round(f, 6).alias(f) for f in list(fields)[1:]])
+                 F.stddev_samp(x).alias(f"{c}__std"), F.min(x).alias(f"{c}__min"), F.max(x).alias(f"{c}__max")]
+    fields = {"count": "bigint", "mean": "double", "std": "double", "min": "double", "max": "double"}
+    long = _unpivot_wide(df.agg(*aggs), cols, fields)
+    qs = quantile_table(df, {c: c for c in cols}, [0.25, 0.5, 0.75]).select(
+        "column", F.col("q0").alias("q25"), F.col("q1").alias("q50"), F.col("q2").alias("q75"))
+    return long.join(qs, "column", "left").select("column", "count", *[F.round(f, 6).alias(f) for f in (
+        "mean", "std", "min", "q25", "q50", "q75", "max")])
 
 
 def corr_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -131,14 +116,14 @@ def corr_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     return wide.select(F.inline(F.array(*rows)))
 
 
-def shape_stats(df: DataFrame, cols: list[str], approx: bool | None = None) -> DataFrame:
+def shape_stats(df: DataFrame, cols: list[str]) -> DataFrame:
     """Population skewness, excess kurtosis (scipy defaults), mean/median."""
-    sk = use_sketch(df, approx)
+    mid = medians(df, cols)
     aggs = []
     for c in cols:
         x = F.col(c).cast("double")
         aggs += [F.skewness(x).alias(f"{c}__skew"), F.kurtosis(x).alias(f"{c}__kurt"),
-                 F.try_divide(F.avg(x), median(x, sk)).alias(f"{c}__mean_median")]
+                 F.try_divide(F.avg(x), F.lit(mid[c]).cast("double")).alias(f"{c}__mean_median")]
     long = _unpivot_wide(df.agg(*aggs), cols,
                          {"skew": "double", "kurt": "double", "mean_median": "double"})
     return long.select("column", *[F.round(f, 6).alias(f) for f in ("skew", "kurt", "mean_median")])
@@ -161,17 +146,14 @@ def histogram(df: DataFrame, c: str, bins: int = 30) -> DataFrame:
                       "n"))
 
 
-def boxplot_stats(df: DataFrame, cat: str, c: str, k: float = 1.5,
-                  approx: bool | None = None) -> DataFrame:
+def boxplot_stats(df: DataFrame, cat: str, c: str, k: float = 1.5) -> DataFrame:
     """Per category: quartiles, IQR, whiskers (furthest points inside the
-    k*IQR fences) and outlier count. Two aggregations; the quartile table has
-    one row per category and joins back on the category key (size-checked
-    broadcast)."""
+    k*IQR fences) and outlier count. The quartile table has one row per
+    category and joins back on the category key (size-checked broadcast)."""
     from ..functions.joins import checked_broadcast
     x = F.col(c).cast("double")
-    approx = resolve_approx(df, approx)
-    q = df.groupBy(cat).agg(_pct(x, [0.25, 0.5, 0.75], approx).alias("qs"), F.count(x).alias("n"))
-    q = q.select(cat, "n", F.col("qs")[0].alias("q1"), F.col("qs")[1].alias("median"), F.col("qs")[2].alias("q3"))
+    q = quantile_table(df, {c: c}, [0.25, 0.5, 0.75], [cat]).select(
+        cat, "n", F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3"))
     q = q.withColumn("iqr", F.col("q3") - F.col("q1"))
     j = df.select(cat, x.alias("_x")).where(F.col("_x").isNotNull()).join(checked_broadcast(q), cat)
     lo_f = F.col("q1") - k * F.col("iqr")
@@ -185,69 +167,31 @@ def boxplot_stats(df: DataFrame, cat: str, c: str, k: float = 1.5,
                       "n_outliers")
 
 
-# Distinct values per window partition of the prefix sum (upper target).
-PREFIX_BUCKET_ROWS = 2_000_000
-
-
-def _prefix_counts(df: DataFrame, c: str, buckets: int = 1024,
-                   bucket_rows: int = PREFIX_BUCKET_ROWS) -> tuple[DataFrame, int]:
-    """Distinct values of ``c`` with their count and the cumulative count of
-    all values <= it. Two-level prefix sum: the distinct values (hot values
-    collapse here) are cut into equi-depth buckets by sketch quantiles and a
-    JVM-side binary search (``Bucketizer``), so every window partition holds
-    about PREFIX_BUCKET_ROWS distinct values at most; the bucket-offset table
-    has at most ``buckets`` rows (a proven broadcast bound)."""
-    import math
-
-    from pyspark import StorageLevel
-    from pyspark.ml.feature import Bucketizer
-    x = F.col(c).cast("double")
-    v = (df.where(x.isNotNull()).groupBy(x.alias("x")).agg(F.count(F.lit(1)).alias("cnt"))
-           .persist(StorageLevel.MEMORY_AND_DISK))
-    st = v.agg(F.sum("cnt").alias("n"), F.count(F.lit(1)).alias("nd")).first()
-    n = st["n"] or 0
-    if not n:
-        return v.withColumn("cum", F.lit(0).cast("bigint")), 0
-    nb = max(1, min(buckets, math.ceil(st["nd"] / bucket_rows)))
-    probs = [i / nb for i in range(1, nb)]
-    raw = v.agg(F.percentile_approx("x", probs, 10 * nb).alias("e")).first()["e"] if probs else []
-    edges = sorted(set(float(e) for e in raw))
-    if edges:
-        splits = [float("-inf")] + edges + [float("inf")]
-        vb = Bucketizer(splits=splits, inputCol="x", outputCol="bd").transform(v) \
-            .withColumn("b", F.col("bd").cast("int")).drop("bd")
-    else:
-        vb = v.withColumn("b", F.lit(0))
-    per_b = vb.groupBy("b").agg(F.sum("cnt").alias("bn"))
-    # At most len(splits) - 1 rows: the global window is over that tiny table.
-    off = per_b.select("b", (F.sum("bn").over(Window.orderBy("b")) - F.col("bn")).alias("off"))
-    w = Window.partitionBy("b").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    out = (vb.withColumn("run", F.sum("cnt").over(w))
-             .join(F.broadcast(off), "b")
-             .select("x", "cnt", (F.col("off") + F.col("run")).alias("cum")))
-    return out, n
-
-
-def ecdf(df: DataFrame, c: str, buckets: int = 1024, bucket_rows: int = PREFIX_BUCKET_ROWS) -> DataFrame:
+def ecdf(df: DataFrame, c: str) -> DataFrame:
     """Empirical CDF at every distinct value: F(x) = #(values <= x) / n."""
-    pc, n = _prefix_counts(df, c, buckets, bucket_rows)
+    pc = prefix_counts(df, {c: c})
     return pc.select(F.col("x").alias(c), F.col("cnt").alias("n"), F.col("cum").alias("cum_n"),
-                     F.round(F.col("cum") / F.lit(float(max(n, 1))), 6).alias("ecdf"))
+                     F.round(F.col("cum") / F.col("n"), 6).alias("ecdf"))
+
+
+# Ranks that one row spreads into; longer runs are cut and dealt out first.
+QQ_RUN = 10_000
 
 
-def qq_points(df: DataFrame, c: str, buckets: int = 1024, bucket_rows: int = PREFIX_BUCKET_ROWS) -> DataFrame:
+def qq_points(df: DataFrame, c: str) -> DataFrame:
     """Normal QQ pairs with Filliben plotting positions (ordered value vs
-    standard-normal quantile of its rank position)."""
-    pc, n = _prefix_counts(df, c, buckets, bucket_rows)
-    rk = F.explode(F.sequence(F.col("cum") - F.col("cnt") + 1, F.col("cum")))
-    pts = pc.select(F.col("x").alias("sample"), rk.alias("rank"))
-    nn = float(n)
-    i = F.col("rank").cast("double")
-    m = (F.when(i == 1, F.lit(1.0 - 0.5 ** (1.0 / nn)))
-          .when(i == nn, F.lit(0.5 ** (1.0 / nn)))
-          .otherwise((i - 0.3175) / F.lit(nn + 0.365)))
-    return pts.select("rank", F.round(norm_ppf(m), 6).alias("theoretical"),
-                      F.round("sample", 6).alias("sample"))
+    standard-normal quantile of its rank position). A value that is held by
+    many rows spreads over runs of QQ_RUN ranks, dealt out before they are
+    written row by row."""
+    pc = prefix_counts(df, {c: c}).select("x", "n", (F.col("cum") - F.col("cnt")).alias("start"), "cum")
+    runs = pc.withColumn("from", F.explode(F.sequence("start", F.col("cum") - 1, F.lit(QQ_RUN).cast("bigint"))))
+    runs = runs.repartition("x", "from")
+    rk = F.explode(F.sequence(F.col("from") + 1, F.least(F.col("from") + QQ_RUN, "cum")))
+    pts = runs.select(F.col("x").alias("sample"), F.col("n").cast("double").alias("nn"), rk.alias("rank"))
+    nn, i = F.col("nn"), F.col("rank").cast("double")
+    end = F.pow(F.lit(0.5), F.lit(1.0) / nn)
+    m = (F.when(i == 1, F.lit(1.0) - end).when(i == nn, end).otherwise((i - 0.3175) / (nn + 0.365)))
+    return pts.select("rank", F.round(norm_ppf(m), 6).alias("theoretical"), F.round("sample", 6).alias("sample"))
 
 
 def mode_profile(df: DataFrame, cols: list[str], default: str = "Unknown") -> DataFrame:
@@ -289,10 +233,12 @@ def missing_patterns(df: DataFrame, cols: list[str], mean_cols: list[str]) -> Da
 def top_extremes(df: DataFrame, c: str, key: str, k: int = 10, threshold: float = 3.0,
                  log: bool = True) -> DataFrame:
     """Top-k rows by |z| (population std) of ``c`` (log1p scale by default);
-    a distributed top-k (TakeOrderedAndProject), one stats pass first."""
+    a distributed top-k (TakeOrderedAndProject), one stats pass first. Rows
+    within the threshold are no extremes and are left out."""
     x = F.log1p(F.col(c)) if log else F.col(c).cast("double")
     st = df.agg(F.avg(x).alias("m"), F.stddev_pop(x).alias("s")).first()
     z = F.abs((x - F.lit(st["m"])) / F.lit(st["s"] or 1.0))
-    return (df.select(key, F.col(c).alias("value"), F.round(x, 6).alias("value_log"),
-                      F.round(z, 6).alias("abs_z"), (z > threshold).alias("is_extreme"))
+    return (df.where(z > threshold)
+              .select(key, F.col(c).alias("value"), F.round(x, 6).alias("value_log"),
+                      F.round(z, 6).alias("abs_z"), F.lit(True).alias("is_extreme"))
               .orderBy(F.desc("abs_z"), F.asc(key)).limit(k))

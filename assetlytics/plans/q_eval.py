@@ -53,7 +53,7 @@ def metric_sql(prefix, cond, original=True, y="y", yhat="yhat"):
     yy = f"(CASE WHEN {cond} THEN {y} END)"
     n = f"count({e})"
     sse = f"sum({e} * {e})"
-    sst = f"(sum({yy} * {yy}) - power(sum({yy}), 2) / {n})"
+    sst = f"nullif(var_pop(CASE WHEN {e} IS NOT NULL THEN {yy} END) * {n}, 0)"
     out = [f"{n} AS {prefix}n", f"round(1 - {sse} / {sst}, 6) AS {prefix}r2",
            f"round(sqrt({sse} / {n}), 6) AS {prefix}rmse_log", f"round(avg(abs({e})), 6) AS {prefix}mae_log"]
     if original:
@@ -240,11 +240,12 @@ def q_prediction_interval(spark, sf_dir):
 
 @query("error_by_quantile", PRED_CTE + """
 , t AS (SELECT exp(y) - 1 AS y_true, exp(p2) - 1 AS y_pred FROM pr WHERE NOT is_train),
-e AS (SELECT list_distinct(quantile_cont(y_true, [0.25, 0.5, 0.75])) AS edges FROM t),
-b AS (SELECT t.*, len(list_filter(edges, lambda q: q < y_true)) AS quantile FROM t, e)
+q AS (SELECT list_sort(list_distinct(quantile_cont(y_true, [0.0, 0.25, 0.5, 0.75, 1.0]))) AS all_edges FROM t),
+e AS (SELECT all_edges[2:len(all_edges) - 1] AS edges FROM q),
+b AS (SELECT t.*, len(list_filter(edges, lambda q: q < y_true)) AS quantile FROM t, e WHERE y_true IS NOT NULL)
 SELECT CAST(quantile AS INTEGER) AS quantile, round(min(y_true), 4) AS y_true_min, round(max(y_true), 4) AS y_true_max, count(y_true) AS y_true_count,
        round(avg(y_true - y_pred), 4) AS error_mean, round(avg(abs(y_true - y_pred)), 4) AS abs_error_mean,
-       round(avg(abs((y_true - y_pred) / y_true) * 100), 4) AS pct_error_mean FROM b GROUP BY quantile""")
+       round(avg(abs((y_true - y_pred) / nullif(y_true, 0)) * 100), 4) AS pct_error_mean FROM b GROUP BY quantile""")
 def q_error_by_quantile(spark, sf_dir):
     p = predictions(spark, sf_dir).where(~F.col("is_train"))
     t = p.select(F.expm1("y").alias("y_true"), F.expm1("p2").alias("y_pred"))

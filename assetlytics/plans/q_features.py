@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from ..functions.columns import round_doubles
@@ -9,8 +11,10 @@ from ..operators import encode as EN
 from ..operators import features as FE
 from ..operators import missing as M
 from ..operators import outliers as O
-from ..session import shared_path
+from ..operators import scoring as SCORING
+from ..session import app_id, shared_path
 from .common import SQL_TEST, SQL_TRAIN, asset, is_train
+from .q_scoring import TYPE_SQL
 from .registry import query
 
 RATIO = {"gfa_per_floor": ("gfa_total", "n_floors"), "parking_ratio": ("gfa_parking", "gfa_total")}
@@ -193,19 +197,32 @@ def q_standardize(spark, sf_dir):
     return round_doubles(out, 6)
 
 
-SF_AGE = "greatest(2026 - year_built, 0)"
+SF_AGE = "(2016 - year_built)"
 SF_FL = "greatest(coalesce(n_floors, 1), 1)"
 
 
+SF_TYPE = "CASE property_type_ref " + " ".join(f"WHEN '{k}' THEN {float(v)}" for k, v in sorted(SCORING.BUILDING_TYPE_BENCHMARKS.items())) + " END"
+
+
 @query("score_features", f"""
-SELECT asset_id, round(gfa_total * 10.0, 6) AS est_electricity_kwh, round(gfa_total * 0.5, 6) AS est_gas_therms,
+, nm AS (SELECT neighborhood AS nbh, round(avg(emissions), 1) AS mean_co2 FROM asset GROUP BY 1),
+a2 AS (SELECT *, {TYPE_SQL} AS property_type_ref FROM asset)
+SELECT asset_id, 1 AS n_buildings, CAST(0 AS DOUBLE) AS parking_area, CAST(0 AS DOUBLE) AS steam_kbtu_est, 'Parking' AS second_use_type,
+       CAST(0 AS DOUBLE) AS second_use_gfa, CAST(0 AS DOUBLE) AS parking_ratio, 'NonResidential' AS building_class,
+       CAST(50 AS DOUBLE) AS neighborhood_std, CAST(80 AS DOUBLE) AS type_std, coalesce(energy_score, 60.0) AS score_or_default,
+       gfa_total AS building_gfa, gfa_total AS largest_use_gfa, CAST(power({SF_AGE}, 2) AS DOUBLE) AS age_squared,
+       round(coalesce(nm.mean_co2, 115.6), 6) AS neighborhood_mean, CAST(coalesce({SF_TYPE}, 115.6) AS DOUBLE) AS type_mean, round(gfa_total * 10.0, 6) AS est_electricity_kwh, round(gfa_total * 0.5, 6) AS est_gas_therms,
        {SF_AGE} AS building_age, CAST({SF_AGE} > 30 AS INT) AS is_old, round(gfa_total / {SF_FL}, 6) AS gfa_per_floor,
        round(gfa_total * {SF_FL}, 6) AS size_floors, round({SF_AGE} * gfa_total, 6) AS age_size,
        {SF_AGE} * {SF_FL} AS age_floors, round(sqrt(greatest(gfa_total, 0.0)), 6) AS gfa_sqrt,
-       round(power({SF_FL}, 2), 6) AS floors_squared FROM asset""")
+       round(power({SF_FL}, 2), 6) AS floors_squared FROM a2 LEFT JOIN nm ON a2.neighborhood = nm.nbh""")
 def q_score_features(spark, sf_dir):
-    out = FE.score_features(asset(spark, sf_dir).select("asset_id", "gfa_total", "year_built", "n_floors"))
-    return round_doubles(out.drop("gfa_total", "year_built", "n_floors"), 6)
+    a = asset(spark, sf_dir)
+    means = a.groupBy("neighborhood").agg(F.round(F.avg("emissions"), 1).alias("avg_co2"))
+    own = ["gfa_total", "year_built", "n_floors", "energy_score", "property_type", "neighborhood"]
+    rows = a.select("asset_id", *own).withColumn("property_type", SCORING.map_segment("property_type"))
+    out = FE.score_features(rows, neighborhood_means=means, type_means=SCORING.BUILDING_TYPE_BENCHMARKS)
+    return round_doubles(out.drop(*own), 6)
 
 
 # ------------------------------------------------------ complete preparation
@@ -285,7 +302,7 @@ def q_params_long(spark, sf_dir):
     rows = [("missing", c, f"impute_{m}", float(v)) for c, (m, v) in mp.fill.items()]
     rows += [("caps", c, k, float(v)) for c, (lo, hi) in caps.bounds.items() for k, v in (("lower", lo), ("upper", hi))]
     rows += [("encoder", "neighborhood", "global_mean", float(enc.global_mean))]
-    path = shared_path(spark, f"params_{abs(hash(sf_dir))}")
+    path = shared_path(spark, f"params_{app_id(spark)}_{hashlib.sha1(sf_dir.encode()).hexdigest()[:12]}")
     spark.createDataFrame(rows, "stage string, column string, key string, value double") \
          .write.mode("overwrite").parquet(path)
     back = spark.read.parquet(path)

@@ -16,7 +16,7 @@ ALL_COLS = ["asset_id", "neighborhood_raw", "neighborhood", "city", "property_ty
             "gfa_total", "gfa_parking", "electricity_kwh", "gas_therms", "steam_kbtu",
             "energy_score", "acctbal", "second_use", "mostly_null", "emissions"]
 NULLABLE = ["gas_therms", "energy_score", "acctbal", "second_use", "mostly_null"]
-CORR_COLS = ["gfa_total", "n_floors", "year_built", "energy_score", "emissions"]
+CORR_COLS = [c for c in NUMERIC_COLUMNS if c != "asset_id"]
 CAT_COLS = ["neighborhood", "property_type", "building_type", "second_use", "mostly_null", "state"]
 
 
@@ -84,7 +84,7 @@ def q_corr_pair(spark, sf_dir):
                                     F.count(F.lit(1)).alias("n"))
 
 
-SHAPE_COLS = ["emissions", "gfa_total"]
+SHAPE_COLS = CORR_COLS
 
 
 @query("shape_stats", _union([f"""
@@ -93,7 +93,7 @@ SELECT '{c}' AS "column",
          FROM asset, (SELECT avg({c}) AS m FROM asset) mm WHERE {c} IS NOT NULL), 6) AS skew,
   round((SELECT avg(power({c} - m, 4)) / power(avg(power({c} - m, 2)), 2) - 3
          FROM asset, (SELECT avg({c}) AS m FROM asset) mm WHERE {c} IS NOT NULL), 6) AS kurt,
-  round((SELECT avg({c}) / median({c}) FROM asset), 6) AS mean_median""" for c in SHAPE_COLS]))
+  round((SELECT avg({c}) / nullif(median({c}), 0) FROM asset), 6) AS mean_median""" for c in SHAPE_COLS]))
 def q_shape_stats(spark, sf_dir):
     return P.shape_stats(asset(spark, sf_dir), SHAPE_COLS)
 
@@ -171,7 +171,7 @@ def q_missing_patterns(spark, sf_dir):
 , s AS (SELECT avg(ln(1 + emissions)) AS m, stddev_pop(ln(1 + emissions)) AS sd FROM asset)
 SELECT asset_id, emissions AS value, round(ln(1 + emissions), 6) AS value_log,
        round(abs((ln(1 + emissions) - m) / sd), 6) AS abs_z, abs((ln(1 + emissions) - m) / sd) > 3 AS is_extreme
-FROM asset, s ORDER BY abs_z DESC, asset_id LIMIT 10""")
+FROM asset, s WHERE abs((ln(1 + emissions) - m) / sd) > 3 ORDER BY abs_z DESC, asset_id LIMIT 10""")
 def q_top_extremes(spark, sf_dir):
     return P.top_extremes(asset(spark, sf_dir), "emissions", "asset_id", k=10)
 

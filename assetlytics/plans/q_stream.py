@@ -26,6 +26,6 @@ def q_stream_batch_score(spark, sf_dir):
     inbox, out, ckpt = (shared_path(spark, f"stream_{tag}_{x}") for x in ("inbox", "out", "ckpt"))
     up = asset(spark, sf_dir).select("asset_id", "gfa_total", S.map_segment("property_type").alias("building_type_ref"),
                                      "energy_score")
-    up.repartition(4, F.xxhash64("asset_id")).write.mode("overwrite").parquet(inbox)
+    up.write.mode("overwrite").parquet(inbox)
     res = run_to_completion(spark, inbox, out, ckpt)
     return res.select("asset_id", "building_type_ref", "prediction")

@@ -2,9 +2,9 @@
 
 
 def title(x: str) -> str:
-    """Spark ``initcap(trim(x))`` in DuckDB (no initcap there)."""
-    return (f"array_to_string(list_transform(string_split(lower(trim({x})), ' '), "
-            f"lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), ' ')")
+    """``str.strip().str.title()``: a capital after every non-letter."""
+    return (f"array_to_string(list_transform(regexp_extract_all(lower(regexp_replace({x}, '^\\s+|\\s+$', '', 'g')), "
+            f"'\\p{{L}}+|[^\\p{{L}}]+'), lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), '')")
 
 
 def nbh_clean(x: str) -> str:

@@ -35,16 +35,17 @@ def get_spark(app: str = "assetlytics", cpus: int | str = "*",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the folder is configured by the deployment; we only pick a
-    scratch folder when nothing is set (local tests)."""
+    On a cluster the folder is configured by the deployment, and a session
+    without one is an error: executors' own disks are not shared. Only a
+    ``local`` master gets a scratch folder (tests)."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="assetlytics-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    try:  # classic sessions: RDD/Dataset checkpoints go to the same folder
+    if isinstance(spark, SparkSession):  # Dataset checkpoints go to the same folder
         spark.sparkContext.setCheckpointDir(d)
-    except Exception:  # noqa: BLE001 - sessions without a SparkContext handle
-        pass
     return d
 
 

@@ -16,11 +16,14 @@ UPLOAD_SCHEMA = "asset_id bigint, gfa_total double, building_type_ref string, en
 
 
 def score_stream(spark: SparkSession, inbox: str, out: str, checkpoint: str,
-                 schema: str = UPLOAD_SCHEMA, files_per_trigger: int = 1):
+                 schema: str = UPLOAD_SCHEMA, files_per_trigger: int | None = None):
     """Start the scoring stream; ``trigger(availableNow=True)`` drains what is
-    present in micro-batches of ``files_per_trigger`` files and stops."""
-    src = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
-           .parquet(inbox))
+    present and stops. ``files_per_trigger`` bounds a micro-batch; by default
+    Spark takes all files that are there."""
+    reader = spark.readStream.schema(schema)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    src = reader.parquet(inbox)
     scored = S.batch_score(src).select("asset_id", "building_type_ref", "prediction",
                                        F.current_timestamp().alias("scored_at"))
     return (scored.writeStream.format("parquet").option("path", out)

@@ -3,14 +3,17 @@
 must run and return rows with a stable schema."""
 
 import math
+import re
 
 import pytest
 
 import __spark_entry__ as E
 from conftest import SMALL
 
-QUERIES = E.queries()
-ORACLE = E.oracle_sql()
+# The training-data queries have tests of their own.
+OWN = re.compile(r"pipeline$|op\d+_")
+QUERIES = {k: v for k, v in E.queries().items() if not OWN.match(k)}
+ORACLE = {k: v for k, v in E.oracle_sql().items() if k in QUERIES}
 # Fitted-model queries are exercised in test_models.py (slower).
 MODEL_QUERIES = {"model_ridge", "model_lasso", "model_elasticnet", "model_rf", "model_gbt", "cv_metrics",
                  "train_many", "grid_search", "random_search", "search_history", "model_stacking",
