@@ -12,7 +12,6 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -97,12 +96,26 @@ def grams(words: list) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(words_at), (h >> np.uint64(40)).astype(np.int64) % CELLS
 
 
-def _words(texts: list) -> tuple[list[list[str]], np.ndarray, list]:
-    words = [WORD.findall(t.lower()) if t else [] for t in texts]
-    flat = np.empty(sum(map(len, words)), dtype=object)
-    flat[:] = [w for ws in words for w in ws]
-    codes, distinct = pd.factorize(flat)
-    return words, codes, distinct
+class WordMemory:
+    """Scores of the words met so far, each computed once (up to ``MOST``
+    words; then the memory starts anew)."""
+
+    MOST = 200_000
+
+    def __init__(self, model):
+        self.model, self.place, self.table = model, {}, np.zeros((0, len(model.langs)))
+
+    def __call__(self, flat: list) -> np.ndarray:
+        if len(self.place) > self.MOST:
+            self.place, self.table = {}, self.table[:0]
+        new = [w for w in set(flat) if w not in self.place]
+        if new:
+            n = len(self.place)
+            if n + len(new) > len(self.table):
+                self.table = np.concatenate([self.table[:n], np.zeros((n + len(new), self.table.shape[1]))])
+            self.table[n:n + len(new)] = self.model.word_scores(new)
+            self.place.update(zip(new, range(n, n + len(new))))
+        return self.table[np.fromiter(map(self.place.__getitem__, flat), np.int64, len(flat))]
 
 
 @dataclass
@@ -217,12 +230,12 @@ def fit_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     return LanguageModel(langs, scores.astype(np.float32), {s: n >= SCRIPT_SHARE * n.sum() for s, n in seen.items()})
 
 
-def label_spans(model: LanguageModel, texts: list, switch: float = SWITCH) -> list[list[tuple[int, int, str]]]:
+def label_spans(model: LanguageModel, texts: list, switch: float = SWITCH, memory: WordMemory | None = None) -> list[list[tuple[int, int, str]]]:
     """Per text its spans (first word, word after the last, language)."""
-    words, codes, distinct = _words(texts)
-    score = model.word_scores(distinct)
+    words = [WORD.findall(t.lower()) if t else [] for t in texts]
+    flat = [w for ws in words for w in ws]
     lens = np.array([len(w) for w in words], dtype=np.int64)
-    path = viterbi(score[codes] if len(codes) else score, lens, switch) if model.langs else np.zeros(len(codes), np.int64)
+    path = viterbi((memory or WordMemory(model))(flat), lens, switch) if model.langs else np.zeros(len(flat), np.int64)
     out, at = [], 0
     for n in lens:
         p = path[at:at + n]
@@ -245,10 +258,11 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
 
     def run(batches):
         m = share.value
+        memory = WordMemory(m)
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                spans = label_spans(m, part.column(1).to_pylist(), switch)
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                spans = label_spans(m, part.column(1).to_pylist(), switch, memory)
                 pred, score = [], []
                 for s in spans:
                     by: dict = {}
