@@ -135,17 +135,25 @@ def q_binary_flags(spark, sf_dir):
 ENC_COLS = ["property_type", "building_type", "neighborhood", "second_use"]
 
 
-@query("encode_fit", "\nUNION ALL ".join(
-    f"SELECT * FROM (SELECT '{c}' AS \"column\", CASE WHEN (SELECT count(DISTINCT {c}) FROM asset WHERE {SQL_TRAIN}) <= 10 "
-    f"THEN 'onehot' ELSE 'target' END AS method, "
-    f"CASE WHEN (SELECT count(DISTINCT {c}) FROM asset WHERE {SQL_TRAIN}) <= 10 THEN v END AS level, "
-    f"CASE WHEN (SELECT count(DISTINCT {c}) FROM asset WHERE {SQL_TRAIN}) <= 10 THEN rn = 1 ELSE false END AS dropped "
-    f"FROM (SELECT CAST({c} AS VARCHAR) AS v, row_number() OVER (ORDER BY CAST({c} AS VARCHAR)) AS rn "
-    f"FROM (SELECT DISTINCT {c} FROM asset WHERE {SQL_TRAIN} AND {c} IS NOT NULL)) "
-    f"WHERE (SELECT count(DISTINCT {c}) FROM asset WHERE {SQL_TRAIN}) <= 10 OR rn = 1)" for c in ENC_COLS))
+def _encode_sql(c):
+    few = f"(SELECT count(DISTINCT {c}) FROM asset WHERE {SQL_TRAIN}) <= 10"
+    return (f"SELECT '{c}' AS \"column\", 'onehot' AS method, v AS level, rn = 1 AS dropped, CAST(NULL AS DOUBLE) AS encoded "
+            f"FROM (SELECT CAST({c} AS VARCHAR) AS v, row_number() OVER (ORDER BY CAST({c} AS VARCHAR)) AS rn "
+            f"FROM (SELECT DISTINCT {c} FROM asset WHERE {SQL_TRAIN} AND {c} IS NOT NULL)) WHERE {few} "
+            f"UNION ALL SELECT '{c}', 'target', CAST({c} AS VARCHAR), false, round(avg(emissions), 6) "
+            f"FROM asset WHERE {SQL_TRAIN} AND NOT {few} GROUP BY {c}")
+
+
+@query("encode_fit", "\nUNION ALL ".join(f"SELECT * FROM ({_encode_sql(c)})" for c in ENC_COLS))
 def q_encode_fit(spark, sf_dir):
+    """Levels of one-hot columns and the whole target map of the others."""
     p = EN.fit_encoder(_train(spark, sf_dir), ENC_COLS, "emissions")
-    return spark.createDataFrame(p.rows(), "column string, method string, level string, dropped boolean")
+    out = spark.createDataFrame([(*r, None) for r in p.rows() if r[1] == "onehot"],
+                                "column string, method string, level string, dropped boolean, encoded double")
+    for c, t in p.target.items():
+        out = out.unionByName(t.select(F.lit(c).alias("column"), F.lit("target").alias("method"), F.col(c).cast("string").alias("level"),
+                                       F.lit(False).alias("dropped"), F.round(f"{c}_encoded", 6).alias("encoded")))
+    return out
 
 
 ONEHOT_COLS = ["property_type", "building_type"]

@@ -156,7 +156,7 @@ def q_mode_profile(spark, sf_dir):
     return P.mode_profile(asset(spark, sf_dir), CAT_COLS)
 
 
-PATTERN_COLS = ["gas_therms", "energy_score", "acctbal", "second_use"]
+PATTERN_COLS = NULLABLE
 
 
 @query("missing_patterns", "SELECT " + " || ".join(
