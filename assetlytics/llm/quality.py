@@ -23,19 +23,19 @@ DIM = 1 << 20
 #: Most labelled rows that a fit reads (the lowest hashes of doc_id); the fit's memory is bounded by it.
 MAX_LABELLED = 9_000
 #: Selection: least probability of the top grade.
-KEEP_TAIL = 0.6
+KEEP_TAIL = 0.7
 GRADES = 3
 
 
 def _features(token: str) -> list[int]:
-    """Hashed features of one token: its core word, the core's first 4 and 5
-    letters, and its shape (case and surrounding punctuation)."""
+    """Hashed features of one token: its core's first 4 and 5 letters, and its
+    shape (case and surrounding punctuation)."""
     core = token.strip(string.punctuation)
     case = "U" if core.isupper() and len(core) > 1 else "T" if core[:1].isupper() else "l" if core.isalpha() else "o"
     at = token.find(core) if core else 0
     low = core.lower()
-    names = (f"s{token[:at]}{case}{token[at + len(core):]}" if core else f"s{token}", f"w{low}", f"p{low[:4]}", f"q{low[:5]}")
-    return [xxhash.xxh3_64_intdigest(n) % DIM for n in names[:4 if core else 1]]
+    names = (f"s{token[:at]}{case}{token[at + len(core):]}" if core else f"s{token}", f"p{low[:4]}", f"q{low[:5]}")
+    return [xxhash.xxh3_64_intdigest(n) % DIM for n in names[:3 if core else 1]]
 
 
 REPEAT = xxhash.xxh3_64_intdigest("repeat") % DIM
@@ -81,7 +81,7 @@ class OrdinalModel:
         return 1.0 / (1.0 + np.exp(np.clip(self.thresholds[None] - f[:, None], -500, 500)))
 
 
-def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades: int = GRADES, steps: int = 150,
+def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades: int = GRADES, steps: int = 300,
                 rate: float = 0.1, ridge: float = 3e-5) -> OrdinalModel:
     """Maximum penalised likelihood by full-batch Adam. Thresholds are a first
     value plus positive increments, so they stay ordered. Features of fewer
