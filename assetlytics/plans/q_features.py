@@ -293,25 +293,34 @@ def q_complete_prep(spark, sf_dir):
 
 
 @query("params_long", "\nUNION ALL ".join(
-    [f"SELECT 'missing' AS stage, '{c}' AS \"column\", 'impute_mean' AS key, round(avg({c}), 6) AS value "
+    [f"SELECT 'missing' AS stage, '{c}' AS \"column\", 'impute_mean' AS key, round(avg({c}), 6) AS value, CAST(NULL AS VARCHAR) AS text "
      f"FROM asset WHERE {SQL_TRAIN}" for c in ("gas_therms", "acctbal")]
-    + [f"SELECT 'caps', '{c}', 'lower', round(avg({c}) - 3 * stddev_samp({c}), 6) FROM asset WHERE {SQL_TRAIN}"
-       for c in ("gfa_total", "n_floors")]
-    + [f"SELECT 'caps', '{c}', 'upper', round(avg({c}) + 3 * stddev_samp({c}), 6) FROM asset WHERE {SQL_TRAIN}"
-       for c in ("gfa_total", "n_floors")]
-    + [f"SELECT 'encoder', 'neighborhood', 'global_mean', round(avg({TGT}), 6) FROM asset WHERE {SQL_TRAIN}"]))
+    + [f"SELECT 'missing', 'state', 'drop_unique', NULL, NULL FROM asset WHERE {SQL_TRAIN} HAVING count(DISTINCT state) <= 1",
+       f"SELECT 'missing', 'mostly_null', 'drop_missing', NULL, NULL FROM asset WHERE {SQL_TRAIN} "
+       "HAVING avg(CAST(mostly_null IS NULL AS DOUBLE)) > 0.7"]
+    + [f"SELECT 'caps', '{c}', '{k}', round(avg({c}) {sign} 3 * stddev_samp({c}), 6), 'zscore' FROM asset WHERE {SQL_TRAIN}"
+       for c in ("gfa_total", "n_floors") for k, sign in (("lower", "-"), ("upper", "+"))]
+    + [f"SELECT 'encoder', 'property_type', CASE WHEN row_number() OVER (ORDER BY property_type) = 1 THEN 'level_dropped' ELSE 'level' END, "
+       f"NULL, property_type FROM (SELECT DISTINCT property_type FROM asset WHERE {SQL_TRAIN} AND property_type IS NOT NULL)",
+       f"SELECT 'encoder', 'neighborhood', 'target_mean', round(avg({TGT}), 6), neighborhood FROM asset WHERE {SQL_TRAIN} GROUP BY neighborhood",
+       f"SELECT 'encoder', NULL, 'global_mean', round(avg({TGT}), 6), NULL FROM asset WHERE {SQL_TRAIN}"]))
 def q_params_long(spark, sf_dir):
-    """Fitted parameters as one long table, persisted as parquet under the
-    shared folder and read back (the on-disk parameter store)."""
+    """All fitted parameters as one long table, persisted as parquet under the
+    shared folder and read back (the on-disk parameter store): fills and drop
+    lists, caps, one-hot levels, whole target maps, the global mean. Numbers
+    are in ``value``, names in ``text``."""
     tr = _train(spark, sf_dir).withColumn("target_log", F.log1p("emissions"))
-    mp = M.fit_missing_simple(tr, ["gas_therms", "acctbal", "state"])
+    mp = M.fit_missing_simple(tr, ["gas_therms", "acctbal", "state", "mostly_null"])
     caps = O.fit_caps(tr, ["gfa_total", "n_floors"], "zscore")
-    enc = EN.fit_encoder(tr, ["neighborhood"], "target_log")
-    rows = [("missing", c, f"impute_{m}", float(v)) for c, (m, v) in mp.fill.items()]
-    rows += [("caps", c, k, float(v)) for c, (lo, hi) in caps.bounds.items() for k, v in (("lower", lo), ("upper", hi))]
-    rows += [("encoder", "neighborhood", "global_mean", float(enc.global_mean))]
+    enc = EN.fit_encoder(tr, ["neighborhood", "property_type"], "target_log")
+    rows = [("missing", c, action, num, text) for c, action, num, text in mp.rows()]
+    rows += [("caps", c, k, float(v), caps.method) for c, (lo, hi) in caps.bounds.items() for k, v in (("lower", lo), ("upper", hi))]
+    rows += [("encoder", c, "level_dropped" if first else "level", None, lv) for c, m, lv, first in enc.rows() if m == "onehot"]
+    rows += [("encoder", None, "global_mean", float(enc.global_mean), None)]
+    table = spark.createDataFrame(rows, "stage string, column string, key string, value double, text string")
+    for c, t in enc.target.items():
+        table = table.unionByName(t.select(F.lit("encoder").alias("stage"), F.lit(c).alias("column"), F.lit("target_mean").alias("key"),
+                                           F.col(f"{c}_encoded").alias("value"), F.col(c).cast("string").alias("text")))
     path = shared_path(spark, f"params_{app_id(spark)}_{hashlib.sha1(sf_dir.encode()).hexdigest()[:12]}")
-    spark.createDataFrame(rows, "stage string, column string, key string, value double") \
-         .write.mode("overwrite").parquet(path)
-    back = spark.read.parquet(path)
-    return back.select("stage", "column", "key", F.round("value", 6).alias("value"))
+    table.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path).withColumn("value", F.round("value", 6))
