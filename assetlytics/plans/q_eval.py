@@ -36,6 +36,12 @@ def long_predictions(p):
     return p.select("asset_id", "neighborhood", "is_train", "y", F.inline(arr))
 
 
+def one_prediction(p, scenario, model):
+    """The predictions of one scenario and model: a projection, no fan-out."""
+    c = next(c for s, m, c in SCEN if (s, m) == (scenario, model))
+    return p.select("asset_id", "neighborhood", "is_train", "y", F.col(c).alias("yhat"))
+
+
 PRED_CTE = f"""
 , base AS (SELECT asset_id, neighborhood, {SQL_TRAIN} AS is_train, ln(1 + ({SQL_TARGET_SIM})) AS y,
                   CAST(gfa_total AS DOUBLE) AS x1, gfa_total / 1000.0 * (1.4 - 0.008 * coalesce(energy_score, 50.0)) AS x2
@@ -93,15 +99,13 @@ def _spark_metrics(lg, group, where=None):
 @query("regression_metrics", PRED_CTE + metrics_cte("m", "scenario = 'm1_without_score' AND model = 'ols'", [])
        + " SELECT * FROM m")
 def q_regression_metrics(spark, sf_dir):
-    lg = long_predictions(predictions(spark, sf_dir))
-    return _spark_metrics(lg, [], (F.col("scenario") == "m1_without_score") & (F.col("model") == "ols"))
+    return _spark_metrics(one_prediction(predictions(spark, sf_dir), "m1_without_score", "ols"), [])
 
 
 @query("model_mean_baseline", PRED_CTE + metrics_cte("m", "scenario = 'm1_without_score' AND model = 'mean_baseline'", [])
        + " SELECT * FROM m")
 def q_model_mean_baseline(spark, sf_dir):
-    lg = long_predictions(predictions(spark, sf_dir))
-    return _spark_metrics(lg, [], (F.col("scenario") == "m1_without_score") & (F.col("model") == "mean_baseline"))
+    return _spark_metrics(one_prediction(predictions(spark, sf_dir), "m1_without_score", "mean_baseline"), [])
 
 
 @query("metrics_by_segment", PRED_CTE + metrics_cte("m", "true", ["scenario", "model", "neighborhood"])
@@ -281,8 +285,7 @@ def q_predictions_table(spark, sf_dir):
 def q_optimized_metrics(spark, sf_dir):
     """Train and test metrics, both on the log and the original scale
     (train MAPE and RMSE included), for the with-score model."""
-    lg = long_predictions(predictions(spark, sf_dir))
-    d = lg.where((F.col("scenario") == "m2_with_score") & (F.col("model") == "ols"))
+    d = one_prediction(predictions(spark, sf_dir), "m2_with_score", "ols")
     m = d.agg(*EV.metric_aggs("y", "yhat", "train_", F.col("is_train")),
               *EV.metric_aggs("y", "yhat", "test_", ~F.col("is_train")))
     return round_doubles(m, 6)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType, StructType
+from pyspark.sql.types import NumericType, StringType, StructField, StructType
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -17,37 +17,28 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFr
     return spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path)
 
 
-# Comma outside double quotes (a field separator).
-_SEP = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
-
-
 def read_csv_tolerant(spark: SparkSession, path: str, schema: StructType, target: str | None = None,
                       target_default: float = 0.0) -> DataFrame:
-    """Line-level tolerant CSV scan: rows whose field count differs from the
-    header are skipped, rows with an unparsable number are skipped, an empty
-    target becomes ``target_default``. Pure built-in functions per line."""
-    names = [f.name for f in schema.fields]
-    header = ",".join(names)
-    lines = spark.read.text(path).where(F.col("value") != header)
-    toks = F.split(F.col("value"), _SEP, -1)
-    x = lines.select(toks.alias("t")).where(F.size("t") == len(names))
-    cols, bad = [], []
-    for i, f in enumerate(schema.fields):
-        raw = F.regexp_replace(F.trim(F.col("t")[i]), r'^"|"$', "")
-        empty = raw == ""
+    """Tolerant CSV scan by Spark's reader: rows whose field count differs
+    from the schema's and header lines are skipped, then rows with a number
+    that does not parse; an empty target becomes ``target_default``. Fields may
+    be quoted, with doubled quotes inside."""
+    bad = "_bad_line"
+    strings = StructType([StructField(f.name, StringType()) for f in schema.fields] + [StructField(bad, StringType())])
+    raw = (spark.read.schema(strings).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", bad).option("escape", '"')
+           .option("columnPruning", False).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(path))
+    header = F.lit(True)
+    for f in schema.fields:
+        header = header & F.col(f.name).eqNullSafe(F.lit(f.name))
+    ok, cols = F.col(bad).isNull() & ~header, []
+    for f in schema.fields:
+        text = F.when(F.col(f.name) != "", F.col(f.name))
         if isinstance(f.dataType, NumericType):
-            v = F.when(empty, F.lit(None).cast(f.dataType)).otherwise(
-                F.regexp_replace(F.trim(F.col("t")[i]), r'^"|"$', "").try_cast(f.dataType))
-            bad.append((~empty) & v.isNull())
-            if f.name == target:
-                v = F.coalesce(v, F.lit(target_default).cast(f.dataType))
-        else:
-            v = F.when(empty, F.lit(None).cast("string")).otherwise(raw)
-        cols.append(v.alias(f.name))
-    ok = F.lit(True)
-    for b in bad:
-        ok = ok & ~b
-    return x.where(ok).select(*cols)
+            v = text.try_cast(f.dataType)
+            ok = ok & (text.isNull() | v.isNotNull())
+            text = F.coalesce(v, F.lit(target_default).cast(f.dataType)) if f.name == target else v
+        cols.append(text.alias(f.name))
+    return raw.where(ok).select(*cols)
 
 
 def check_contract(df: DataFrame, required: list[str]) -> DataFrame:
