@@ -177,7 +177,7 @@ MECH_COLS = ["gas_therms", "energy_score", "acctbal", "second_use"]
 def q_missing_mechanism(spark, sf_dir):
     """Diagnosis with the Little test over all numeric columns (MAR/MNAR reachable)."""
     from concurrent.futures import ThreadPoolExecutor
-    tr = _train(spark, sf_dir).cache()
+    tr = _train(spark, sf_dir)
 
     def one(c):  # per-column diagnoses are independent jobs: run them concurrently
         num = [x for x in NUMERIC_COLUMNS if x != c]
@@ -186,23 +186,24 @@ def q_missing_mechanism(spark, sf_dir):
                 float(d["little_p"]), ",".join(d["significant"]))
     with ThreadPoolExecutor(max_workers=len(MECH_COLS)) as ex:
         rows = list(ex.map(one, MECH_COLS))
-    tr.unpersist()
     return spark.createDataFrame(rows, "column string, mechanism string, little_stat double, "
                                        "little_dof bigint, little_p double, significant string")
 
 
-@query("mechanism_summary")
+@query("mechanism_summary", "\nUNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", round(sum(CAST({c} IS NULL AS BIGINT)) * 100.0 / count(*), 4) AS null_pct, CAST(0 AS DOUBLE) AS statistic, "
+    f"CAST(1 AS DOUBLE) AS p_value, 'MCAR' AS mechanism FROM asset WHERE {SQL_TRAIN}" for c in MECH_COLS))
 def q_mechanism_summary(spark, sf_dir):
-    """Per-column Little test on the column alone (parity mode) with null %."""
-    tr = _train(spark, sf_dir).cache()
+    """Null % and Little's test on each column alone. A single column has one
+    pattern of observed values, whose mean is the mean of all, so statistic 0
+    and p 1 follow, for a categorical column too (it has no numbers to test)."""
+    tr = _train(spark, sf_dir)
     prof = {r["column"]: r["null_pct"] for r in P.null_profile(tr, MECH_COLS).collect()}
     rows = []
     for c in MECH_COLS:
-        if c in NUM:
-            t = M.little_mcar_test(tr, [c])
-            rows.append((c, float(prof[c]), float(t["statistic"]), float(t["p_value"]),
-                         "MCAR" if t["is_mcar"] else "MAR or MNAR"))
-    tr.unpersist()
+        t = M.little_mcar_test(tr, [c]) if c in NUM else {"statistic": 0.0, "p_value": 1.0, "is_mcar": True}
+        rows.append((c, float(prof[c]), round(float(t["statistic"]), 6) + 0.0, round(float(t["p_value"]), 6),
+                     "MCAR" if t["is_mcar"] else "MAR or MNAR"))
     return spark.createDataFrame(rows, "column string, null_pct double, statistic double, p_value double, mechanism string")
 
 
@@ -321,7 +322,7 @@ def q_winsorize(spark, sf_dir):
     + [f"SELECT '{c}', 'zscore', round(avg({c}) - 3 * stddev_samp({c}), 6), round(avg({c}) + 3 * stddev_samp({c}), 6) "
        f"FROM asset WHERE {SQL_TRAIN}" for c in CAP_COLS]))
 def q_outlier_caps(spark, sf_dir):
-    tr = _train(spark, sf_dir).select(*CAP_COLS).cache()
+    tr = _train(spark, sf_dir).select(*CAP_COLS)
     out = None
     for m in ("winsorize", "iqr", "zscore"):
         f = O.fit_caps(tr, CAP_COLS, m).to_frame(spark)
