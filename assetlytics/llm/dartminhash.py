@@ -289,7 +289,7 @@ def _rest(placed: DataFrame, centers: list[DataFrame], known: DataFrame, size: i
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _stars(placed: DataFrame, ratio, sizes: DataFrame, last: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def _stars(placed: DataFrame, ratio, last: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(centre of each bucket, its pairs with the members of other components).
 
     The centre is the most popular member: the one that shares buckets with
@@ -298,12 +298,11 @@ def _stars(placed: DataFrame, ratio, sizes: DataFrame, last: DataFrame | None =
     best = placed
     if last is not None:
         best = placed.join(last.select("bucket", F.col("root").alias("not_root")), "bucket").where("root <> not_root")
-    top = (best.groupBy("bucket").agg(F.max(F.struct("pop", (-F.col("rep")).alias("neg"), "root")).alias("t"))
-           .select("bucket", (-F.col("t.neg")).alias("center"), F.col("t.root").alias("root")))
+    top = (best.groupBy("bucket").agg(F.max(F.struct("pop", (-F.col("rep")).alias("neg"), "root", "n")).alias("t"))
+           .select("bucket", (-F.col("t.neg")).alias("center"), F.col("t.root").alias("root"), F.col("t.n").alias("n_a")))
     top = write_table(top, "dart-centers")
-    pairs = (placed.join(top.withColumnRenamed("root", "root_c"), "bucket").where("root <> root_c")
-             .select(F.least("center", "rep").alias("a"), F.greatest("center", "rep").alias("b")).distinct()
-             .join(sizes.toDF("a", "n_a"), "a").join(sizes.toDF("b", "n_b"), "b").where(ratio).select("a", "b"))
+    pairs = (placed.withColumnRenamed("n", "n_b").join(top.withColumnRenamed("root", "root_c"), "bucket").where("root <> root_c").where(ratio)
+             .select(F.least("center", "rep").alias("a"), F.greatest("center", "rep").alias("b")).distinct())
     return top, pairs
 
 
@@ -341,11 +340,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     member = write_table(member.join(shared, "bucket"), "dart-members")
     popular = member.groupBy("rep").agg(F.sum("m").alias("pop"))
     member = write_table(member.join(popular, "rep").select("bucket", "rep", "n", "pop"), "dart-members")
-    sizes = reps.select("doc_id", "n")
     ratio = F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")
     args = (reps, known, size, similarity, weighted, bands * rows)
     placed = member.withColumn("root", F.col("rep"))
-    center, pairs = _stars(placed, ratio, sizes)
+    center, pairs = _stars(placed, ratio)
     centers = [center]
     links = _verified(pairs, *args)
     for turn in range(STAR_TURNS):
@@ -358,7 +356,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if not members_left or pairs_left <= 4 * members_left or turn == STAR_TURNS - 1:
             break
         was = center.select("bucket", F.col("center").alias("rep")).join(placed.select("bucket", "rep", "root"), ["bucket", "rep"])
-        center, pairs = _stars(placed, ratio, sizes, was)
+        center, pairs = _stars(placed, ratio, was)
         centers.append(center)
         links = links.union(_verified(pairs, *args))
     if members_left:
