@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, write_table
 
-#: A string that all of at least so many aligned pages share is template, where a page marks no article.
+#: A string that at least so many aligned pages of distinct text show is template, where a page marks no article.
 TEMPLATE_PAGES = 5
 #: Wrappers that one task aligns in a round.
 FAN_IN = 64
@@ -128,7 +128,8 @@ def parse(html: str) -> Node:
 
 
 # A wrapper item is [key, least, most, kids]: it stands least (0 or 1) to most (1 or 2, 2: any number of) times; a
-# string is ["#", 0 or 1, 1 or 2, checksum of the only text seen, or 0 for a slot].
+# string is ["#", 0 or 1, 1 or 2, checksum of the only text seen, or 0 for a slot, digests of the pages that showed it];
+# of the digests the TEMPLATE_PAGES smallest are kept, so any order of merging gives the same, and copies count once.
 
 
 def _key(node: Node) -> str:
@@ -137,16 +138,35 @@ def _key(node: Node) -> str:
     return f"{node.key}#" if own else node.key
 
 
-def _text_item(s: str) -> list | None:
+def _checksum(s: str) -> int:
+    return zlib.crc32(s.encode("utf-8", "surrogatepass")) or 1
+
+
+def _text_item(s: str, digest: int) -> list | None:
     s = s.strip()
-    return ["#", 1, 1, zlib.crc32(s.encode("utf-8", "surrogatepass")) or 1] if s else None
+    return ["#", 1, 1, _checksum(s), [digest]] if s else None
+
+
+def _strings(node: Node):
+    for k in node.kids:
+        if isinstance(k, str):
+            yield k.strip()
+        elif k.tag not in RAW:
+            yield from _strings(k)
 
 
-def form(node: Node) -> list:
+def page_digest(page: Node) -> int:
+    """Checksum of a page's strings: copies that differ in attributes or scripts have one."""
+    return _checksum("\n".join(x for x in _strings(page) if x))
+
+
+def form(node: Node, digest: int | None = None) -> list:
     """The page's own expression: strings as they are, alike siblings folded."""
+    if digest is None:
+        digest = page_digest(node)
     items: list = []
     for k in node.kids:
-        x = _text_item(k) if isinstance(k, str) else [_key(k), 1, 1, form(k)]
+        x = _text_item(k, digest) if isinstance(k, str) else [_key(k), 1, 1, form(k, digest)]
         if x is None:
             continue
         if items and items[-1][0] == x[0]:
@@ -183,7 +203,9 @@ def _join(a: list, b: list) -> list:
     """Two items of one key: strings that differ become a slot."""
     least, most = min(a[1], b[1]), max(a[2], b[2])
     if a[0] == "#":
-        return ["#", least, most, a[3] if a[3] == b[3] else 0]
+        if a[3] != b[3] or not a[3]:
+            return ["#", least, most, 0, []]
+        return ["#", least, most, a[3], a[4] if a[4] == b[4] else sorted({*a[4], *b[4]})[:TEMPLATE_PAGES]]
     return [a[0], least, most, align(a[3], b[3])]
 
 
@@ -196,7 +218,7 @@ def align(a: list, b: list) -> list:
     pairs = _matches([x[0] for x in a], [x[0] for x in b])
     out, i, j = [], 0, 0
     for p, q in [*pairs, (len(a), len(b))]:
-        out += [[x[0], 0, x[2], x[3]] for x in a[i:p]] + [[x[0], 0, x[2], x[3]] for x in b[j:q]]
+        out += [[x[0], 0, *x[2:]] for x in a[i:p]] + [[x[0], 0, *x[2:]] for x in b[j:q]]
         if p < len(a):
             out.append(_join(a[p], b[q]))
         i, j = p + 1, q + 1
@@ -278,6 +300,11 @@ def _has_words(node: Node) -> bool:
     return any(not isinstance(k, str) and not k.drop and (_main_words(k) or _has_words(k)) for k in node.kids)
 
 
+def _constant(x: list | None) -> bool:
+    """Whether a string's item is template: one text on enough pages of distinct text."""
+    return x is not None and x[3] != 0 and len(x[4]) >= TEMPLATE_PAGES
+
+
 def main_text(page: Node, wrapper: list | None, pages: int) -> str:
     """The article's blocks. A page that marks one (article, main, roles, or
     the class words of ``MAIN_WORDS``) gives what is inside; otherwise all of
@@ -291,8 +318,7 @@ def main_text(page: Node, wrapper: list | None, pages: int) -> str:
         placed = _place(node, items) if not inside and wrapper is not None else [(k, None) for k in node.kids]
         for k, x in placed:
             if isinstance(k, str):
-                constant = x is not None and x[3] != 0 and pages >= TEMPLATE_PAGES
-                if inside or is_main is None and not constant:
+                if inside or is_main is None and not _constant(x):
                     blocks[-1].append(k)
             elif not k.drop:
                 if k.tag in BLOCK:

@@ -68,3 +68,11 @@ def test_edge_rows(spark):
     assert got[4][1] == 5 * 40_000 - 1
     assert W.extract(pages.where("false")).count() == 0
     assert [r.h for r in pages.select(W.host_of(F.col("url")).alias("h")).where("page_id = 3").collect()] == ["a.example"] * 2
+
+
+def test_text_of_one_page_is_no_template(spark):
+    rows = [(i, "http://h.example/x", f"<body><div>Same on all</div><div><p>Story {i}</p>{'<pre>only here</pre>' * (i == 3)}</div></body>") for i in range(12)]
+    rows += [(100 + i, "http://copies.example/x", f"<body><div id=n{i}>Head</div><p>The one story</p></body>") for i in range(8)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = {r.page_id: r.text for r in W.extract(pages).collect()}
+    assert got == {**{i: f"Story {i}" + "\nonly here" * (i == 3) for i in range(12)}, **{100 + i: "Head\nThe one story" for i in range(8)}}
