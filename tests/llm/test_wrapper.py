@@ -76,3 +76,20 @@ def test_text_of_one_page_is_no_template(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
     got = {r.page_id: r.text for r in W.extract(pages).collect()}
     assert got == {**{i: f"Story {i}" + "\nonly here" * (i == 3) for i in range(12)}, **{100 + i: "Head\nThe one story" for i in range(8)}}
+
+
+def test_wrapper_decides_inside_articles(spark):
+    def page(i, rare=""):
+        return (f"<article class='post comments-open'><h1>Title {i}</h1><div><span>Read more on our</span> <b>site</b></div><p>Story {i} by <em>one of us</em></p>"
+                f"<p>Members read this first</p><p>More {i * i}</p>{rare}</article>")
+    rows = [(i, "http://h.example/x", page(i, "<blockquote>said once</blockquote>" * (i == 3) + "<h3>Sources</h3>" * (i % 4 == 0))) for i in range(24)]
+    rows += [(100 + i, "http://copies.example/x", page(7)) for i in range(8)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = {r.page_id: r.text for r in W.extract(pages).collect()}
+    want = {i: f"Title {i}\nStory {i} by one of us\nMore {i * i}" + "\nsaid once" * (i == 3) + "\nSources" * (i % 4 == 0) for i in range(24)}
+    assert {i: got[i] for i in want} == want
+    plain = W.main_text(W.parse(page(7)), None)
+    assert plain == "Title 7\nRead more on our site\nStory 7 by one of us\nMembers read this first\nMore 49"
+    assert {got[100 + i] for i in range(8)} == {plain}
+    one = W._merge_all([(1, W.form(W.parse(r[2]))) for r in rows[:24]])[1]
+    assert "Read more" not in W.main_text(W.parse(rows[5][2]), one)
