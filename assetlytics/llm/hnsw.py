@@ -1,9 +1,10 @@
 """Embedding near-duplicates: a navigable small-world graph per shard.
 
 Vectors are dealt into shards by hash; each shard gets a hierarchical
-navigable small-world graph. Every vector queries every shard's graph; beams
-widen until an audit against brute force passes; candidates are verified by
-their cosine in double precision, and links become components.
+navigable small-world graph. Every vector queries every shard's graph; the
+beam is chosen by the links of sampled vectors over all shards, and widens
+further where a task's own audit against brute force fails; candidates are
+verified by their cosine in double precision, and links become components.
 """
 
 from __future__ import annotations
@@ -24,6 +25,9 @@ DEGREE = 16
 BEAM, QUERY_BEAM = 48, 16
 #: Share of an audit's links that a beam must find, and queries in an audit.
 AUDIT_RECALL, AUDIT_QUERIES = 0.99, 64
+#: Vectors that the pooled audit asks of every shard; a query with up to SPARSE links in a shard counts as sparse there,
+#: and without LEAST_LINKS such links no beam under BEAM passes.
+POOL_QUERIES, SPARSE, LEAST_LINKS = 4096, 4, 100
 #: How far under the threshold the graph is followed around a query's neighbours.
 MARGIN = 0.03
 _CHUNK = 512
@@ -269,14 +273,79 @@ def _links(g: Graph, xq: np.ndarray, x: np.ndarray, least: float, beam: int) ->
         beam *= 2
 
 
-def _query_task(least: float, beam: int):
+def _found(g: Graph, xq: np.ndarray, x: np.ndarray, truth: np.ndarray, least: float, beam: int) -> np.ndarray:
+    """Number of each query's true links that a beam finds."""
+    a, b = g.within(xq.astype(np.float32), least - 1e-5, beam)
+    return np.bincount(a[truth[a, b]], minlength=len(xq))
+
+
+def _audit_task(least: float, beam: int, pool):
+    """Per shard the links of the pooled queries, and how many of them each
+    beam finds (up to the beam that finds all): beam 0 stands for the truth."""
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                x, ids = _rows(r["x"], r["dim"]), np.frombuffer(r["ids"], "<i8")
+                own_ids, xq = pool.value.get(r["dim"], (np.empty(0, np.int64), np.empty((0, r["dim"]))))
+                truth = np.zeros((len(xq), len(x)), bool)
+                for i in range(0, len(xq), _CHUNK):
+                    truth[i:i + _CHUNK] = xq[i:i + _CHUNK] @ x.T >= least
+                    truth[i:i + _CHUNK] &= own_ids[i:i + _CHUNK, None] != ids[None]
+                n = truth.sum(axis=1)
+                use = np.flatnonzero(n)
+                truth, n, xq = truth[use], n[use], xq[use]
+                rows, g, ef = [(0, n)], _load(r["graph"], x), beam
+                while len(n):
+                    found = n if ef >= len(x) else _found(g, xq, x, truth, least, ef)
+                    rows.append((ef, found))
+                    if found.sum() >= n.sum():
+                        break
+                    ef *= 2
+                out = [(ef, few, int(f[(n <= SPARSE) == few].sum())) for ef, f in rows for few in (True, False)]
+                yield pa.RecordBatch.from_arrays([pa.array([r["dim"]] * len(out), pa.int32()), pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out]),
+                                                  pa.array([o[2] for o in out], pa.int64()), pa.array([r["shard"]] * len(out), pa.int32())],
+                                                 names=["dim", "beam", "few", "found", "shard"])
+    return run
+
+
+def pooled_beams(graphs: DataFrame, reps: DataFrame, least: float, beam: int) -> dict[int, int]:
+    """Length of vectors -> the least beam (``beam`` times a power of 2) that
+    finds ``AUDIT_RECALL`` of the links of sampled vectors, counted over all
+    shards, and as much of the links of queries that have few in a shard, so
+    a dense group cannot hide sparse pairs. Each shard reads the sample, whose
+    size is fixed, so nothing but counts is shuffled. A length with too few
+    sparse links to tell starts at ``BEAM`` at least."""
+    spark = graphs.sparkSession
+    sample: dict = {}
+    for r in reps.select("dim", "rep", "embedding").orderBy(F.xxhash64("rep"), "rep").limit(POOL_QUERIES).toLocalIterator():
+        sample.setdefault(r.dim, []).append((r.rep, r.embedding))
+    pool = spark.sparkContext.broadcast({d: (np.array([i for i, _ in v], np.int64), _units(np.array([e for _, e in v], np.float64))) for d, v in sample.items()})
+    counts = write_table(graphs.select("dim", "shard", "ids", "x", "graph").mapInArrow(
+        _audit_task(least, beam, pool), "dim int, beam int, few boolean, found long, shard int"), "hnsw-audits")
+    # a shard that stopped found all it has, so it counts as that at wider beams
+    last = counts.groupBy("dim", "shard", "few").agg(F.max("beam").alias("last"), F.max("found").alias("all_"))
+    total = {(r.dim, r.few): r.n for r in last.groupBy("dim", "few").agg(F.sum("all_").alias("n")).collect()}
+    missed: dict = {}
+    short = counts.join(last, ["dim", "shard", "few"]).where("beam > 0 AND found < all_")
+    for r in short.groupBy("dim", "few", "beam").agg(F.sum(F.col("all_") - F.col("found")).alias("n")).collect():
+        missed.setdefault(r.dim, {})[r.beam, r.few] = r.n
+    out = {}
+    for dim in {d for d, _ in total}:
+        ef = beam
+        while any(missed.get(dim, {}).get((ef, few), 0) > (1 - AUDIT_RECALL) * total[dim, few] for few in (True, False)):
+            ef *= 2
+        out[dim] = ef if total[dim, True] >= LEAST_LINKS else max(ef, BEAM)
+    return out
+
+
+def _query_task(least: float, beams: dict[int, int]):
     def run(batches):
         for batch in batches:
             for r in batch.to_pylist():
                 xq, x = _rows(r["q_x"], r["dim"]), _rows(r["x"], r["dim"])
                 iq, ii = np.frombuffer(r["q_ids"], "<i8"), np.frombuffer(r["ids"], "<i8")
                 mq, mi = np.frombuffer(r["q_copies"], "<i8"), np.frombuffer(r["copies"], "<i8")
-                a, b, _ = _links(_load(r["graph"], x), xq, x, least, beam)
+                a, b, _ = _links(_load(r["graph"], x), xq, x, least, beams.get(r["dim"], BEAM))
                 if r["q_shard"] == r["shard"]:
                     code = np.unique(np.concatenate([a * len(x) + b, b * len(x) + a]))
                     a, b = code // len(x), code % len(x)
@@ -304,7 +373,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     Equal vectors collapse before any search and count with their number. Every
     block of a shard's vectors queries every shard once, as one task that holds
-    two shards; it returns a count and a spanning edge per vector, never all
+    two shards, with the beam that the pooled audit chose; it returns a count and a spanning edge per vector, never all
     pairs, so a dense cluster costs no more rows than a sparse one. Shards are
     dealt by hash: no cluster fills one."""
     spark = vectors.sparkSession
@@ -319,12 +388,13 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     dealt = reps.join(F.broadcast(shards.limit(100_000)), "dim").withColumn("shard", F.pmod(F.xxhash64("rep"), F.col("shards")).cast("int"))
     graphs = write_table(dealt.groupBy("dim", "shard").applyInPandas(
         _graph_task, "dim int, shard int, ids binary, copies binary, x binary, graph binary"), "hnsw-graphs")
+    beams = pooled_beams(graphs, reps, cosine, beam)
     asks = (graphs.join(shards, "dim").withColumn("target", F.explode(F.sequence(F.col("shard"), F.col("shards") - 1)))
             .select(F.col("dim").alias("q_dim"), F.col("shard").alias("q_shard"), "target", F.col("ids").alias("q_ids"),
                     F.col("copies").alias("q_copies"), F.col("x").alias("q_x")))
     both = asks.join(graphs.hint("shuffle_hash"), (F.col("q_dim") == F.col("dim")) & (F.col("target") == F.col("shard")))
     n = max(1, min(graphs.count() ** 2, 10_000))
-    found = write_table(both.repartition(n, "dim", "q_shard", "shard").mapInArrow(_query_task(cosine, beam), "a long, b long, n long"), "hnsw-links")
+    found = write_table(both.repartition(n, "dim", "q_shard", "shard").mapInArrow(_query_task(cosine, beams), "a long, b long, n long"), "hnsw-links")
     counts = found.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("found"))
     roots = components(found.select("a", "b")).select(F.col("node").alias("rep"), F.col("root").alias("component"))
     placed = (reps.select("embedding", "rep", "copies").join(counts, "rep", "left").join(roots, "rep", "left")

@@ -44,6 +44,16 @@ def test_against_brute_force(spark, shard_rows):
     assert sum(got[i][1] == want[i][1] for i in got) >= 0.99 * len(rows)
 
 
+def test_sparse_pairs_over_many_shards(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3600, 48))
+    x[3000:] = x[:600] + rng.normal(size=(600, 48)) * 0.4  # a pair in six vectors, most in two shards
+    rows = [(int(i), [float(c) for c in np.float32(v)]) for i, v in enumerate(x)]
+    want = sum(n for n, _ in brute(rows).values())
+    out = H.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), shard_rows=400, beam=1).collect()
+    assert want > 600 and 0.98 * want <= sum(r.n_links for r in out) <= want
+
+
 def test_graph_recall():
     x = H._units(np.random.default_rng(1).normal(size=(3000, 32))).astype(np.float32)
     g = H.Graph.build(x)
