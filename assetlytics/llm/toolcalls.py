@@ -63,13 +63,29 @@ def turn_calls(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return calls, results
 
 
-def levels(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+def _without_shortcuts(edges: DataFrame) -> DataFrame:
+    """Edges (k, dep) less those that a longer way replaces: k -> d goes if k
+    also depends on a later d' that depends on d. The longest chains stay. The
+    last dependency of a call in the order used, and of those behind a cycle
+    the last, always stays, so what is on or behind a cycle still is."""
+    several = edges.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k")
+    via = edges.join(several, "k", "left_semi").select(F.col("k").alias("via_k"), F.col("dep").alias("via"))
+    nexts = edges.select(F.col("k").alias("via"), F.col("dep").alias("via_dep"))
+    later = F.struct(F.length("via"), F.col("via")) > F.struct(F.length("via_dep"), F.col("via_dep"))
+    gone = via.join(nexts, "via").where(later).select("via_k", "via_dep")
+    return edges.join(gone, (F.col("k") == F.col("via_k")) & (F.col("dep") == F.col("via_dep")), "left_anti")
+
+
+def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """nodes (k), edges (k, dep), both distinct and dep among the nodes -> (k,
     level): the longest chain of dependencies below; null on and behind cycles.
 
-    Chains of calls with one dependency shrink by pointer doubling, so a
-    conversation of n turns takes log n rounds; calls with several wait, round
-    by round, for all of theirs. No conversation is gathered into one row."""
+    Dependencies that a longer way replaces go first, so a call that waits for
+    the one and the two turns before has one. Chains of calls with one
+    dependency shrink by pointer doubling, so a conversation of n turns takes
+    log n rounds; calls with several wait, round by round, for all of theirs,
+    as many rounds as it takes. No conversation is gathered into one row."""
+    edges = write_table(_without_shortcuts(edges), "call-edges")
     fan = edges.groupBy("k").agg(F.count("*").alias("n"), F.min("dep").alias("dep"))
     ptr = write_table(nodes.join(fan, "k", "left").select(
         "k", F.when(F.col("n") == 1, F.col("dep")).otherwise(F.col("k")).alias("to"), F.when(F.col("n") == 1, 1).otherwise(0).cast("long").alias("dist"),
@@ -90,7 +106,7 @@ def levels(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFra
         ends = rest.where("NOT moving").select(F.col("k").alias("dep"), "to", "dist")
         known = write_table(known, "call-levels")
         waits = write_table(edges.join(several, "k").join(ends, "dep", "left").select("k", "to", "dist"), "call-waits")
-        for _ in range(max_rounds):
+        while True:  # each round settles a call, so it ends
             ready = (waits.join(known.select(F.col("k").alias("to"), "level"), "to", "left").groupBy("k")
                      .agg(F.max(F.col("level") + F.col("dist") + 1).alias("level"), F.count("*").alias("all_"), F.count("level").alias("got"))
                      .where("all_ = got").select("k", "level"))
@@ -99,8 +115,6 @@ def levels(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFra
                 break
             known = write_table(known.union(new), "call-levels")
             waits = write_table(waits.join(new.select("k"), "k", "left_anti"), "call-waits")
-        else:
-            raise RuntimeError(f"levels did not settle in {max_rounds} rounds")
     return rest.join(known.select(F.col("k").alias("to"), F.col("level").alias("base")), "to", "left").select(
         "k", F.when(~F.col("moving"), F.col("base") + F.col("dist")).alias("level"))
 

@@ -36,6 +36,20 @@ def test_long_chains_and_diamonds(spark, n):
     assert all(got[1, f"c{i}"].level == i for i in range(n)) and all(got[2, f"c{i}"].level == i for i in range(min(n, 37)))
 
 
+def test_long_runs_of_two_dependencies(spark):
+    m = spark.createDataFrame([(1, i, "user", f"t{i}") for i in range(300)], "conv_id long, turn long, role string, text string")
+    got = {r.turn: (r.level, r.status) for r in T.format_conversations(m).collect()}
+    assert got == {i: (i, "no_result") for i in range(300)}
+
+
+def test_shortcuts_around_cycles(spark):
+    edges = [("k", "a"), ("k", "b"), ("k", "c"), ("a", "b"), ("b", "c"), ("c", "a"), ("s", "s"), ("s", "z"), ("t", "s"), ("t", "z"),
+             ("d", "y"), ("d", "z"), ("y", "z"), ("e", "d"), ("e", "y"), ("e", "z")]
+    nodes = spark.createDataFrame([(x,) for x in "kabcstdeyz"], "k string")
+    got = {r.k: r.level for r in T.levels(nodes, spark.createDataFrame(edges, "k string, dep string")).collect()}
+    assert got == {**dict.fromkeys("kabcst"), "z": 0, "y": 1, "d": 2, "e": 3}
+
+
 def test_argument_errors(spark):
     args = {"ok": '{"a":1,"b":2}', "miss": "{}", "type": '{"a":"1","b":1.5,"o":[]}', "more": '{"a":1,"z":0,"y":0}', "bad": "{", "null": None, "list": "[1]", "nul": '{"a":null}'}
     got = run(spark, [(1, 0, k, "add", v, None) for k, v in args.items()] + [(1, 0, "tool", "gone", "{}", None), (1, 0, "anon", None, "{}", None)])
