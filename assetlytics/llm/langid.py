@@ -23,7 +23,7 @@ UNKNOWN = "und"
 CELLS = 1 << 16
 #: Log-probability that a change of language costs.
 SWITCH = 6.0
-#: A language is a candidate for a script if it wrote this share of the script's words.
+#: A language is a candidate for a script that holds this share of the language's own words, whatever the others wrote.
 SCRIPT_SHARE = 0.002
 #: Most of a word's score that one word can add, so that a rare word does not outweigh a span.
 CLIP = 12.0
@@ -160,7 +160,7 @@ def viterbi(score: np.ndarray, lens: np.ndarray, switch: float = SWITCH) -> np.n
     lens, first = lens[order], first[order]
     lens = lens[:int(np.count_nonzero(lens))]
     first = first[:len(lens)]
-    back = np.zeros((total, k), np.int8)
+    back = np.zeros((total, k), np.min_scalar_type(k - 1))
     rows = np.arange(len(lens))
     best = score[first].copy()
     base = np.where(np.isfinite(best), best, -1e30)
@@ -227,7 +227,8 @@ def fit_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     prob = (table + smooth) / (table.sum(axis=0, keepdims=True) + smooth * CELLS)
     logs = np.log(prob)
     scores = logs - logs.mean(axis=1, keepdims=True) if langs else logs
-    return LanguageModel(langs, scores.astype(np.float32), {s: n >= SCRIPT_SHARE * n.sum() for s, n in seen.items()})
+    own = sum(seen.values(), np.zeros(len(langs)))
+    return LanguageModel(langs, scores.astype(np.float32), {s: (n > 0) & (n >= SCRIPT_SHARE * own) for s, n in seen.items()})
 
 
 def label_spans(model: LanguageModel, texts: list, switch: float = SWITCH, memory: WordMemory | None = None) -> list[list[tuple[int, int, str]]]:

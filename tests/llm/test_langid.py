@@ -36,6 +36,19 @@ def test_spans_and_scripts(spark, docs_of):
     assert set(np.flatnonzero(np.isfinite(m.word_scores(["привет"])[0]))) == {2}
 
 
+def test_rare_language_beside_a_hot_one(docs_of):
+    docs = docs_of([(i, "the of and with that was " * 2000, "s", "en") for i in range(40)] + [(90, "ja nie się jest tego oraz " * 40, "s", "pl")])
+    m = L.fit_languages(docs)  # 0.05 % of the words
+    assert np.isfinite(m.word_scores(["nie"])).all()
+    assert {r.doc_id: r.lang_pred for r in L.identify(docs.where("doc_id IN (0, 90)"), m).collect()} == {0: "en", 90: "pl"}
+
+
+def test_viterbi_of_many_languages():
+    score = np.zeros((6, 300))
+    score[:3, 299] = score[3:, 200] = 9.0
+    assert L.viterbi(score, np.array([6]), 2.0).tolist() == [299] * 3 + [200] * 3
+
+
 def test_edge_rows(docs_of):
     docs = docs_of([(1, None), (2, "12 !! ٣"), (3, "the of " * 100_000), (None, "the of"), (4, "the of"), (4, "the of"), (5, "漢字")])
     docs = docs.withColumn("spans", F.lit(1)).withColumn("score", F.lit("x"))
