@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dartminhash, decontam, hnsw, langid, mixing, quality, rangecoder, toolcalls, warc, wrapper
+from . import dartminhash, decontam, hnsw, langid, linededup, mixing, quality, rangecoder, toolcalls, warc, wrapper
 from .registry import ORACLE, QUERIES, query  # noqa: F401
 
 
@@ -131,3 +131,22 @@ LEFT JOIN l ON l.conv_id = c.conv_id AND l.turn = c.turn LEFT JOIN d ON d.conv_i
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = toolcalls.format_conversations(table(spark, sf_dir, "conversations"))
     return out.withColumn("errors", F.array_join("errors", ","))
+
+
+OP11_SQL = """
+WITH l AS (SELECT doc_id, i, string_split(coalesce(text, ''), chr(10))[i] AS line
+           FROM (SELECT doc_id, text, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS i FROM documents)),
+k AS (SELECT doc_id, i, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                                       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+c AS (SELECT key, min(doc_id) AS first_id FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2),
+m AS (SELECT doc_id, i, line, coalesce(doc_id <> first_id, false) AS dropped FROM k LEFT JOIN c USING (key))
+SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (dropped))::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT dropped), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
+
+@query("op11_line_dedup", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
