@@ -9,6 +9,7 @@ import importlib
 
 from pyspark import cloudpickle
 
-_TASK_MODULES = ("quality", "langid", "rangecoder", "wrapper", "hnsw", "dartminhash", "warc", "files")
+_TASK_MODULES = ("quality", "langid", "rangecoder", "wrapper", "hnsw", "dartminhash", "warc", "files",
+                 "vectorcodes", "runs")
 for _name in _TASK_MODULES:
     cloudpickle.register_pickle_by_value(importlib.import_module(f"{__name__}.{_name}"))

@@ -6,7 +6,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dartminhash, decontam, hnsw, langid, linededup, mixing, quality, rangecoder, toolcalls, warc, wrapper
+from . import dartminhash, decontam, hnsw, langid, linededup, mixing, quality, rangecoder, runs, toolcalls, vectorcodes, warc, wrapper
+from ..functions.joins import checked_broadcast
+from .common import write_table
 from .registry import ORACLE, QUERIES, query  # noqa: F401
 
 
@@ -150,3 +152,92 @@ FROM m GROUP BY doc_id
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.dedup_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def _op12_sql() -> str:
+    """Four rounds as a chain of materialised steps over (vec_id, part, position) rows."""
+    steps = ["""
+WITH ok AS (SELECT vec_id, label, embedding FROM documents_or_embeddings WHERE embedding IS NOT NULL
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS MATERIALIZED (SELECT vec_id, p AS part, list_transform(embedding[p * len(embedding) // 4 + 1 : (p + 1) * len(embedding) // 4],
+                          lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS x FROM ok, range(4) r(p)),
+b0 AS MATERIALIZED (SELECT part, k, x AS c FROM (SELECT part, x, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS k FROM v) WHERE k < 256)"""
+             .replace("documents_or_embeddings", "embeddings")]
+    for r in range(5):
+        steps.append(f"""a{r} AS MATERIALIZED (SELECT vec_id, part, arg_min(k, d * 256 + k) AS k, min(d) AS d
+  FROM (SELECT v.vec_id, v.part, b.k, list_sum(list_transform(list_zip(v.x, b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+        FROM v JOIN b{r} b USING (part)) GROUP BY vec_id, part)""")
+        if r < 4:
+            steps.append(f"""m{r} AS (SELECT part, k, list(f ORDER BY i) AS c FROM (
+  SELECT part, k, i, (sum(e)::BIGINT - ((sum(e)::BIGINT % count(*)) + count(*)) % count(*)) // count(*) AS f
+  FROM (SELECT a.part, a.k, unnest(v.x) AS e, unnest(range(len(v.x))) AS i FROM a{r} a JOIN v USING (vec_id, part)) GROUP BY ALL) GROUP BY part, k),
+b{r + 1} AS MATERIALIZED (SELECT b.part, b.k, coalesce(m.c, b.c) AS c FROM b{r} b LEFT JOIN m{r} m USING (part, k))""")
+    return ",\n".join(steps) + """,
+f AS (SELECT vec_id, string_agg(printf('%02x', k), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a4 GROUP BY vec_id),
+s AS (SELECT sha256(coalesce(string_agg(array_to_string(c, ','), ',' ORDER BY part, k), '')) AS codebooks_sha256 FROM b4)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM f JOIN ok USING (vec_id), s
+"""
+
+
+@query("op12_limb_vector_codes", _op12_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vectorcodes.encode_vectors(table(spark, sf_dir, "embeddings"))
+    codes = write_table(codes, "vector-codes")
+    sums = codes.groupBy(F.col("label_").alias("of_")).agg(F.try_sum("error").alias("label_error"))
+    out = codes.join(checked_broadcast(sums), F.col("label_").eqNullSafe(F.col("of_")), "left")
+    return out.select("vec_id", "code", "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256"))
+
+
+OP13_SQL = r"""
+WITH RECURSIVE z(n, c, s) AS (
+  SELECT n, n::BIGINT, 0 FROM range(256) g(n)
+  UNION ALL SELECT n, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, s + 1 FROM z WHERE s < 8),
+crc AS (SELECT list(c ORDER BY n) AS t FROM z WHERE s = 8),
+h AS (SELECT doc_id, text, xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT),
+             lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8), 4294967295::BIGINT), 4294967295) AS h FROM documents, crc),
+d AS (SELECT doc_id, h, h // 10 AS g, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words FROM h),
+o AS (SELECT doc_id, words, len(words)::BIGINT AS n, CASE WHEN h % 10 = 0 AND len(words) > 0 THEN g % len(words) ELSE len(words) END AS a, g FROM d),
+w AS MATERIALIZED (SELECT doc_id, n, i, words[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END] AS word
+                   FROM (SELECT *, unnest(range(n)) AS i FROM o)),
+e AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM w x JOIN w y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+s AS MATERIALIZED (SELECT doc_id, q, min(i) AS start, count(*) + q AS length
+      FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM e)
+      GROUP BY doc_id, q, k HAVING count(*) + q >= greatest(6, 4 * q)),
+r AS MATERIALIZED (SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM s t WHERE t.doc_id = s.doc_id AND t.q < s.q AND s.q % t.q = 0
+      AND t.start <= s.start AND t.start + t.length >= s.start + s.length)),
+b AS (SELECT doc_id, count(*) AS n_runs, arg_min(struct_pack(start := start, length := length, period := q), (-length, start, q)) AS best,
+             string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS runs FROM r GROUP BY doc_id),
+k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM w
+      WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = w.doc_id AND w.i >= r.start + r.q AND w.i < r.start + r.length) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.start::BIGINT AS start, best.length::BIGINT AS length, best.period::BIGINT AS period,
+       (1000 * best.length // best.period)::BIGINT AS exponent_milli, sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM documents LEFT JOIN b USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """Rows of the contract's texts: where crc32 of the decimal id divides by
+    ten, the words from one on repeat with a period that the same number gives."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    cut = docs.select("doc_id", "text", g.alias("g"), F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"))).alias("words"))
+    n = F.size("words")
+    at = cut.select("*", n.alias("n"), F.when(n > 0, F.col("g") % n).cast("int").alias("a"))
+    at = at.select("*", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int").alias("p"))
+    rest = F.col("n") - F.col("a")
+    again = F.slice(F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), F.ceil(rest / F.col("p")).cast("int"))), F.lit(1), rest)
+    planted = F.concat_ws(" ", F.slice("words", F.lit(1), F.col("a")), again)
+    return at.select("doc_id", F.when(F.col("p").isNotNull(), planted).otherwise(F.col("text")).alias("text"))
+
+
+@query("op13_periodic_runs", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = runs.find_runs(with_planted_runs(table(spark, sf_dir, "documents")))
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("m"), r["start"].alias("start"), r["period"].alias("period"))))
+    out = out.select("*", best.alias("best"))
+    line = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    lines = F.when(F.size("runs") > 0, F.concat(F.array_join(line, "\n"), F.lit("\n"))).otherwise("")
+    return out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), (-F.col("best.m")).alias("length"),
+                      F.col("best.period").alias("period"), F.floor(-1000 * F.col("best.m") / F.col("best.period")).alias("exponent_milli"),
+                      F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("collapsed_sha256"))
