@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import shared_path
+from ..session import written
 
 # A learned parameter table (one row per group) is broadcast only below this.
 DEFAULT_MAX_BROADCAST_ROWS = 200_000
@@ -18,9 +16,7 @@ def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS)
     partial count a task) and return a broadcast-hinted frame only when the
     bound holds; otherwise the plain frame, so the optimizer (with AQE) picks
     a shuffle join. The result is the same either way."""
-    path = shared_path(df.sparkSession, f"lookup/{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    df = df.sparkSession.read.schema(df.schema).parquet(path)
+    df = written(df, "lookup")
     return F.broadcast(df) if df.count() <= max_rows else df
 
 

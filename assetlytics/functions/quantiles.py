@@ -8,12 +8,10 @@ no row goes to one task but a range's sum."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import shared_path
+from ..session import written
 
 
 def column_of(c) -> Column:
@@ -24,12 +22,10 @@ def prefix_counts(df: DataFrame, cols: dict, group: list[str] = ()) -> DataFrame
     """For each distinct non-null value x of each of ``cols`` (name ->
     expression) in each group: (group.., column, x, cnt, cum, n), cum the rows
     up to and with x, n all rows of that column and group."""
-    spark, keys = df.sparkSession, [*group, "column"]
+    keys = [*group, "column"]
     stacked = df.select(*group, F.inline(F.array(*[F.struct(F.lit(k).alias("column"), column_of(c).alias("x")) for k, c in cols.items()])))
     counts = stacked.where(F.col("x").isNotNull()).groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("cnt"))
-    path = shared_path(spark, f"prefix-counts/{uuid.uuid4().hex}")
-    counts.repartitionByRange(*keys, "x").withColumn("part", F.spark_partition_id()).write.parquet(path)
-    v = spark.read.parquet(path)
+    v = written(counts.repartitionByRange(*keys, "x").withColumn("part", F.spark_partition_id()), "prefix-counts")
     sums = v.groupBy(*keys, "part").agg(F.sum("cnt").alias("s"))
     by = Window.partitionBy(*keys)
     sums = sums.select(*[F.col(k).alias(f"{k}__k") for k in keys], F.col("part").alias("part__k"),

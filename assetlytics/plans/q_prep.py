@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import round_doubles
 from ..operators import missing as M
+from ..operators import nearest as N
 from ..operators import outliers as O
 from ..operators import profile as P
 from ..sources.asset import NUMERIC_COLUMNS
@@ -370,3 +371,31 @@ def q_target_cap_rule(spark, sf_dir):
     return one.select(F.round(F.lit(info["pct_outliers"]), 6).alias("pct_outliers"),
                       F.round(F.lit(info["skew"]), 6).alias("skew"), F.lit(info["applied"]).alias("applied"),
                       F.round(F.lit(info["lower"]), 6).alias("lower"), F.round(F.lit(info["upper"]), 6).alias("upper"))
+
+
+# ------------------------------------------------------------------- k-NN
+KNN_PREDICTORS = ["year_built", "n_floors", "energy_score", "property_type"]
+
+KNN_SQL = """
+, lv AS (SELECT property_type, row_number() OVER (ORDER BY property_type) - 1 AS code
+         FROM (SELECT DISTINCT property_type FROM asset WHERE property_type IS NOT NULL)),
+x AS MATERIALIZED (SELECT asset_id, second_use, year_built::DOUBLE AS a, n_floors::DOUBLE AS b, coalesce(energy_score, -1) AS c, coalesce(code, -1) AS d
+      FROM asset LEFT JOIN lv USING (property_type)),
+p AS (SELECT a, b, c, d, second_use AS class, count(*) AS n FROM x WHERE second_use IS NOT NULL GROUP BY ALL),
+q AS (SELECT DISTINCT a, b, c, d FROM x WHERE second_use IS NULL),
+-- the five smallest distances of places reach at least as far as the fifth row
+r AS (SELECT q.a, q.b, q.c, q.d, list_max(min((q.a - p.a) ** 2 + (q.b - p.b) ** 2 + (q.c - p.c) ** 2 + (q.d - p.d) ** 2, 5)) AS reach
+      FROM q, p GROUP BY ALL),
+m AS (SELECT r.a, r.b, r.c, r.d, class, n, (r.a - p.a) ** 2 + (r.b - p.b) ** 2 + (r.c - p.c) ** 2 + (r.d - p.d) ** 2 AS dist
+      FROM r, p WHERE (r.a - p.a) ** 2 + (r.b - p.b) ** 2 + (r.c - p.c) ** 2 + (r.d - p.d) ** 2 <= reach),
+k AS (SELECT *, sum(n) OVER (PARTITION BY a, b, c, d ORDER BY dist) - sum(n) OVER (PARTITION BY a, b, c, d, dist) AS before FROM m),
+v AS (SELECT a, b, c, d, class, sum(n) AS n FROM k WHERE before < 5 GROUP BY ALL),
+w AS (SELECT a, b, c, d, arg_min(class, (-n, class)) AS won FROM v GROUP BY ALL)
+SELECT asset_id, coalesce(second_use, won) AS second_use FROM x LEFT JOIN w USING (a, b, c, d)"""
+
+
+@query("knn_impute", KNN_SQL)
+def q_knn_impute(spark, sf_dir):
+    """Second uses by the vote of the nearest assets that have one, whole table."""
+    cols = ["asset_id", "second_use", *KNN_PREDICTORS]
+    return N.knn_impute(asset(spark, sf_dir).select(cols), "second_use", KNN_PREDICTORS).select("asset_id", "second_use")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,6 +60,28 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return os.path.join(ensure_checkpoint_dir(spark), name)
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """The folder of this application's written intermediate tables."""
+    return shared_path(spark, f"scratch-{app_id(spark)}")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the scratch folder and read back: the lineage is cut,
+    and the files outlive a lost executor. ``drop_scratch`` deletes them."""
+    spark = df.sparkSession
+    path = os.path.join(scratch_folder(spark), f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_scratch(spark: SparkSession) -> bool:
+    """Delete this application's intermediate tables, on whatever file system
+    they are; frames that read them can't be evaluated afterwards."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(scratch_folder(spark))
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (survives executor loss), never a local one."""
     ensure_checkpoint_dir(df.sparkSession)
