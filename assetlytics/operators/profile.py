@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import dlit, numeric_columns
 from ..functions.normal import norm_ppf
+from ..functions.moments import correlations
 from ..functions.quantiles import medians, prefix_counts, quantile_table
 
 
@@ -107,13 +108,12 @@ def describe_numeric(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 
 def corr_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Pairwise-complete Pearson r for every unordered pair (and the diagonal)."""
-    pairs = [(a, a) for a in cols] + list(combinations(cols, 2))
-    wide = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{i}")
-                    for i, (a, b) in enumerate(pairs)])
-    rows = [F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
-                     F.round(F.col(f"{i}"), 6).alias("r")) for i, (a, b) in enumerate(pairs)]
-    return wide.select(F.inline(F.array(*rows)))
+    """Pairwise-complete Pearson r for every unordered pair (and the diagonal):
+    one pass of matrix products, whatever the number of columns."""
+    r = correlations(df, [F.col(f"`{c}`") for c in cols])
+    rows = [(cols[i], cols[j], None if r[i, j] != r[i, j] else float(r[i, j]))
+            for i, j in [(i, i) for i in range(len(cols))] + list(combinations(range(len(cols)), 2))]
+    return df.sparkSession.createDataFrame(rows, "col_a string, col_b string, r double").withColumn("r", F.round("r", 6))
 
 
 def shape_stats(df: DataFrame, cols: list[str]) -> DataFrame:
