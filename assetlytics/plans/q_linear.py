@@ -65,9 +65,9 @@ def q_model_ridge(spark, sf_dir):
     return _evaluated(spark, sf_dir, "ridge", {"alpha": 1.0}, "Ridge")
 
 
-@query("model_lasso", _eval_sql("lasso", (0.01, 0.0), "Lasso"), raw_sql=True)
+@query("model_lasso", _eval_sql("lasso", (1.0, 0.0), "Lasso"), raw_sql=True)
 def q_model_lasso(spark, sf_dir):
-    return _evaluated(spark, sf_dir, "lasso", {"alpha": 0.01}, "Lasso")
+    return _evaluated(spark, sf_dir, "lasso", {"alpha": 1.0}, "Lasso")
 
 
 @query("model_elasticnet", _eval_sql("enet", (0.005, 0.005), "ElasticNet"), raw_sql=True)

@@ -11,7 +11,7 @@ from ..operators import missing as M
 from ..operators import nearest as N
 from ..operators import outliers as O
 from ..operators import profile as P
-from ..sources.asset import NUMERIC_COLUMNS
+from ..sources.asset import ASSET_SQL, NUMERIC_COLUMNS
 from .common import SQL_TEST, SQL_TRAIN, asset, is_train
 from .registry import query
 
@@ -294,10 +294,32 @@ def q_influence_union(spark, sf_dir):
                    F.round(F.count(F.lit(1)) * 100.0 / F.lit(th["n"]), 4).alias("pct_flagged"))
 
 
-@query("influence_multi")
+INF_COLS = ["gfa_total", "n_floors", "year_built", "energy_score", "acctbal"]
+# The inverse of the 6 x 6 Gramian by Gauss-Jordan elimination of [G | I], a column a step.
+INF_MULTI_SQL = f"""WITH RECURSIVE asset AS ({ASSET_SQL}),
+t AS (SELECT asset_id, ln(1 + emissions) AS y, {', '.join(INF_COLS)} FROM asset WHERE {SQL_TRAIN}),
+c AS (SELECT {', '.join(f'median({c}) AS m{i}, avg({c}) AS u{i}, stddev_pop({c}) AS d{i}' for i, c in enumerate(INF_COLS))} FROM t),
+x AS MATERIALIZED (SELECT asset_id, y, [1.0::DOUBLE, {', '.join(f'(coalesce({c}, m{i}) - u{i}) / d{i}' for i, c in enumerate(INF_COLS))}] AS x FROM t, c),
+g AS (SELECT i, j, sum(x[i] * x[j]) AS s FROM x, range(1, 7) a(i), range(1, 7) b(j) GROUP BY ALL),
+s0 AS (SELECT list(CASE WHEN j <= 6 THEN s ELSE (i = j - 6)::INT::DOUBLE END ORDER BY i, j) AS m
+       FROM (SELECT i, j FROM range(1, 7) a(i), range(1, 13) b(j)) LEFT JOIN g USING (i, j)),
+s1(k, m) AS (SELECT 0::BIGINT, m FROM s0 UNION ALL SELECT k + 1, list_transform(range(72), lambda e:
+      CASE WHEN e // 12 = k THEN m[e + 1] / m[k * 12 + k + 1]
+           ELSE m[e + 1] - m[e // 12 * 12 + k + 1] * m[k * 12 + e % 12 + 1] / m[k * 12 + k + 1] END) FROM s1 WHERE k < 6),
+v AS (SELECT list_transform(range(6), lambda i: m[i * 12 + 7 : i * 12 + 12]) AS v FROM s1 WHERE k = 6),
+w AS (SELECT list_transform(range(1, 7), lambda i: list_dot_product(v[i], b)) AS w, v FROM v,
+      (SELECT list(s ORDER BY i) AS b FROM (SELECT i, sum(x[i] * y) AS s FROM x, range(1, 7) a(i) GROUP BY i))),
+r AS (SELECT asset_id, y - list_dot_product(w, x) AS e, list_dot_product(list_transform(range(1, 7), lambda i: list_dot_product(v[i], x)), x) AS h FROM x, w),
+q AS (SELECT sum(e * e) / (count(*) - 6) AS mse, count(*) AS n FROM r),
+f AS (SELECT asset_id, e, h, e * e / (5 * mse) * h / ((1 - h) * (1 - h)) AS cook, e * sqrt(h / (1 - h)) / sqrt(mse) AS dff, n FROM r, q)
+SELECT asset_id, round(e, 8) AS resid, round(h, 8) AS leverage, round(cook, 8) AS cooks_d, round(dff, 8) AS dffits,
+       h > 12.0 / n AS high_leverage, cook > 1.0 AS high_cooks, abs(dff) > 2 * sqrt(5.0 / n) AS high_dffits FROM f"""
+
+
+@query("influence_multi", INF_MULTI_SQL, raw_sql=True)
 def q_influence_multi(spark, sf_dir):
     tr = _train(spark, sf_dir).withColumn("y", F.log1p("emissions"))
-    out, _ = O.influence(tr, "y", ["gfa_total", "n_floors", "year_built", "energy_score", "acctbal"], "asset_id")
+    out, _ = O.influence(tr, "y", INF_COLS, "asset_id")
     return round_doubles(out, 8)
 
 
