@@ -127,39 +127,42 @@ def allowed_features(spec: dict, tree: int, p: int) -> np.ndarray:
     return mine
 
 
-def best_splits(hist: np.ndarray, spec: dict, tree: int, uids: list) -> list[dict]:
-    """For each node the split of largest gain: ``hist`` is (3, node, feature,
-    bin): rows, weights and weighted targets. Draws of features skip those
-    that cannot split the node, as exact searches do."""
-    _, k, p, _ = hist.shape
-    c, w, s = hist.cumsum(3)
-    tc, tw, ts = (v[:, :1, -1:] for v in (c, w, s))
-    c, w, s = c[..., :-1], w[..., :-1], s[..., :-1]
+def best_splits(hist: np.ndarray, sizes: list, spec: dict, tree: int, uids: list) -> dict:
+    """For each node the split of largest gain. ``hist`` is (3, node, cell):
+    rows, weights and weighted targets of each feature's bins, one feature
+    after the other. Draws of features skip those that cannot split the node,
+    as exact searches do. Arrays total, gain (None: no split), feature, cut, left."""
+    hist = hist.reshape(3, len(uids), -1)
+    p, k = len(sizes), hist.shape[1]
+    ends = np.cumsum(sizes)
+    start, of = ends - sizes, np.repeat(np.arange(p), sizes)
+    cum = hist.cumsum(2)
+    total = cum[:, :, ends[0] - 1]
+    before = np.where(start > 0, cum[:, :, start - 1], 0.0)
+    c, w, s = cum - before[:, :, of]
+    tc, tw, ts = total[:, :, None]
     lam = spec.get("reg_lambda", 0.0)
     least = max(1, spec.get("min_samples_leaf", 1))
     weight = spec.get("min_child_weight", 0.0)
     fine = (c >= least) & (tc - c >= least) & (w >= weight) & (tw - w >= weight)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        gain = s * s / (w + lam) + (ts - s) ** 2 / (tw - w + lam) - ts * ts / (tw + lam)
+    fine[:, ends - 1] = False
     mine = np.zeros(p, bool)
     mine[allowed_features(spec, tree, p)] = True
-    fine &= mine[None, :, None]
+    fine &= mine[of]
     m = drawn_features(spec, int(mine.sum()))
     if m < mine.sum():
-        able = fine.any(2)
+        able = np.logical_or.reduceat(fine, start, axis=1)
         h = _hash(_hash(np.asarray(uids, np.uint64))[:, None] ^ _hash(np.arange(p))[None, :])
         rank = np.argsort(np.argsort(np.where(able, h >> np.uint64(1), np.uint64(1 << 63)), 1, kind="stable"), 1, kind="stable")
-        fine &= (rank < m)[:, :, None]
-    gain = np.where(fine, gain, -np.inf).reshape(k, -1)
+        fine &= (rank < m)[:, of]
+    with np.errstate(invalid="ignore", divide="ignore"):
+        gain = np.where(fine, s * s / (w + lam) + (ts - s) ** 2 / (tw - w + lam) - ts * ts / (tw + lam), -np.inf)
+    best = gain.max(1)
     # Gains that differ by rounding alone are equal: the first of them wins.
-    at = (gain >= gain.max(1, keepdims=True, initial=-np.inf) * (1 - 1e-9)).argmax(1) if gain.shape[1] else np.zeros(k, int)
-    out = []
-    for i in range(k):
-        f, b = divmod(int(at[i]), c.shape[2])
-        g = float(gain[i, at[i]]) if gain.shape[1] else -math.inf
-        out.append({"total": [float(tc[i, 0, 0]), float(tw[i, 0, 0]), float(ts[i, 0, 0])], "gain": g if math.isfinite(g) else None,
-                    "feature": f, "cut": b, "left": [float(c[i, f, b]), float(w[i, f, b]), float(s[i, f, b])] if math.isfinite(g) else None})
-    return out
+    at = (gain >= (best * (1 - 1e-9))[:, None]).argmax(1)
+    rows = np.arange(k)
+    return {"total": total.T.tolist(), "gain": [g if ok else None for g, ok in zip(best.tolist(), np.isfinite(best).tolist())], "feature": of[at].tolist(),
+            "cut": (at - start[of[at]]).tolist(), "left": np.stack([c[rows, at], w[rows, at], s[rows, at]], 1).tolist()}
 
 
 class Tree:
@@ -201,26 +204,26 @@ def growing(spec: dict, tree_no: int):
     ready, ask = {}, [0]
     while ask or ready:
         if ask:
-            for node, split in zip(ask, (yield tree, ask, [uid[n] for n in ask])):
+            found = yield tree, ask, [uid[n] for n in ask]
+            for node, *split in zip(ask, found["gain"], found["feature"], found["cut"], found["left"], found["total"]):
                 if node == 0:
-                    tree.value[0], tree.rows[0] = lr * split["total"][2] / max(split["total"][1] + lam, 1e-300), split["total"][0]
-                if split["gain"] is not None and split["gain"] > floor and split["total"][0] >= least:
+                    tree.value[0], tree.rows[0] = lr * split[4][2] / max(split[4][1] + lam, 1e-300), split[4][0]
+                if split[0] is not None and split[0] > floor and split[4][0] >= least:
                     ready[node] = split
         if most is None:
             go = sorted(ready)
         else:
-            go = [max(ready, key=lambda n: (ready[n]["gain"], -n))] if ready and leaves < most else []
+            go = [max(ready, key=lambda n: (ready[n][0], -n))] if ready and leaves < most else []
         ask = []
         for node in go:
-            split = ready.pop(node)
-            gains[split["feature"]] = gains.get(split["feature"], 0.0) + split["gain"]
+            gain, feature, cut, below, total = ready.pop(node)
+            gains[feature] = gains.get(feature, 0.0) + gain
             leaves += 1
-            sides = [split["left"], [a - b for a, b in zip(split["total"], split["left"])]]
-            for side, (c, w, s) in enumerate(sides):
+            for side, (c, w, s) in enumerate((below, [a - b for a, b in zip(total, below)])):
                 child = tree.add(lr * s / max(w + lam, 1e-300), c, tree.depth[node] + 1)
-                uid[child] = int(_hash([(uid[node] * 2 + side) % (1 << 64)])[0])
+                uid[child] = (uid[node] * 0x9E3779B97F4A7C15 + 2 * side + 1) % (1 << 64)
                 if side == 0:
-                    tree.feature[node], tree.cut[node], tree.left[node] = split["feature"], split["cut"], child
+                    tree.feature[node], tree.cut[node], tree.left[node] = feature, cut, child
                 if (depth is None or tree.depth[child] < depth) and c >= least:
                     ask.append(child)
         if not go:
@@ -240,27 +243,27 @@ class Rows:
     def target(self, spec: dict, model) -> np.ndarray:
         return self.y - self.sum[model] if model in self.sum else self.y
 
-    def histogram(self, spec: dict, model, tree_no: int, tree: Tree, nodes: list, bins: int) -> np.ndarray:
+    def histogram(self, spec: dict, model, tree_no: int, tree: Tree, nodes: list, sizes: list) -> np.ndarray:
         mark = (tree_no, id(tree))
         held = self.at.get(model)
         if held is None or held[0] != mark:
             w = row_weights(spec, tree_no, self.key, self.fold)
             use = np.flatnonzero(w > 0)
-            held = mark, use, self.x[use], w[use], self.target(spec, model)[use] * w[use], np.zeros(len(use), np.int64)
+            cells = self.x[use] + (np.cumsum(sizes) - sizes)
+            held = mark, self.x[use], cells, w[use], self.target(spec, model)[use] * w[use], np.zeros(len(use), np.int64)
             self.at[model] = held
-        _, _, x, w, s, node = held
+        _, x, cells, w, s, node = held
         tree.route(x, node)
         place = np.full(len(tree.feature), -1)
         place[nodes] = np.arange(len(nodes))
         k = place[node]
         live = np.flatnonzero(k >= 0)
-        p = x.shape[1]
-        cell = ((k[live][:, None] * p + np.arange(p)) * bins + x[live]).ravel()
-        size = len(nodes) * p * bins
+        p, width = x.shape[1], sum(sizes)
+        cell = (cells[live] + (k[live] * width)[:, None]).ravel()
+        size = len(nodes) * width
         c = np.bincount(cell, minlength=size)
-        plain = spec["kind"] == "gb"
-        ws = c if plain else np.bincount(cell, np.repeat(w[live], p), size)
-        return np.stack([c, ws, np.bincount(cell, np.repeat(s[live], p), size)]).reshape(3, len(nodes), p, bins).astype(np.float64)
+        ws = c if spec["kind"] == "gb" else np.bincount(cell, np.repeat(w[live], p), size)
+        return np.stack([c, ws, np.bincount(cell, np.repeat(s[live], p), size)]).astype(np.float64)
 
     def boosted(self, model, base: float, trees: list) -> None:
         """Add trees to what a boosted candidate predicts."""
@@ -337,34 +340,30 @@ def _importance(p: int, per_tree: list) -> list:
 
 
 # -------------------------------------------------------- one block: no rounds
-def _grow_whole(rows: Rows, spec: dict, bins: int):
-    """All trees of one growth on rows that are all here; yields (candidate, part, sums)."""
-    gains, pred, n = [], 0.0, len(rows.y)
-    if spec["kind"] == "gb":
-        w = row_weights(spec, -1, rows.key, rows.fold)
-        rows.boosted(0, float((rows.y * w).sum() / max(w.sum(), 1e-300)), [])
-    else:
-        pred = np.zeros((len(spec["stops"]), n))
-    marks = {}
-    for i, trees, stop in spec["wanted"]:
-        marks.setdefault(trees, []).append((i, stop))
+def _grown(rows: Rows, spec: dict, t: int, sizes: list):
+    """One tree on rows that are all here: (tree, gains)."""
+    step, answer = growing(spec, t), None
+    try:
+        while True:
+            tree, nodes, uids = step.send(answer)
+            answer = best_splits(rows.histogram(spec, 0, t, tree, nodes, sizes), sizes, spec, t, uids)
+    except StopIteration as end:
+        return end.value
+
+
+def _boost_whole(rows: Rows, spec: dict, sizes: list):
+    """All stages of a boosted growth; yields (candidate, part, sums)."""
+    w = row_weights(spec, -1, rows.key, rows.fold)
+    rows.boosted(0, float((rows.y * w).sum() / max(w.sum(), 1e-300)), [])
+    gains = []
     for t in range(spec["n_estimators"]):
-        step, answer = growing(spec, t), None
-        try:
-            while True:
-                tree, nodes, uids = step.send(answer)
-                answer = best_splits(rows.histogram(spec, 0, t, tree, nodes, bins), spec, t, uids)
-        except StopIteration as end:
-            tree, used = end.value
+        tree, used = _grown(rows, spec, t, sizes)
         gains.append(used)
-        if spec["kind"] == "gb":
-            rows.boosted(0, 0.0, [tree])
-        else:
-            pred += rows.forest(spec, tree)
-        for i, stop in marks.get(t + 1, ()):
-            for part, sums in rows.sums(spec, rows.sum[0] if spec["kind"] == "gb" else pred[stop] / (t + 1)).items():
-                yield i, part, sums
-            yield i, "importance", _importance(rows.x.shape[1], gains)
+        rows.boosted(0, 0.0, [tree])
+        for i, trees, _ in spec["wanted"]:
+            if trees == t + 1:
+                yield from ((i, part, sums) for part, sums in rows.sums(spec, rows.sum[0]).items())
+                yield i, "importance", _importance(len(sizes), gains)
 
 
 _OUT = "candidate int, part string, sums array<double>"
@@ -375,42 +374,107 @@ def _out(found: list) -> pa.RecordBatch:
                                        pa.array([f[2] for f in found], pa.list_(pa.float64()))], ["candidate", "part", "sums"])
 
 
-def _whole_task(p: int, bins: int, growths: list):
+def _boost_task(sizes: list, growths: list):
     def task(batches):
         for b in batches:
             for r in b.to_pylist():
-                yield _out(list(_grow_whole(Rows(p, r["x"], r["y"], r["fold"], r["id"]), growths[r["growth"]], bins)))
+                yield _out(list(_boost_whole(Rows(len(sizes), r["x"], r["y"], r["fold"], r["id"]), growths[r["growth"]], sizes)))
     return task
 
 
+def _chunk(growths: list) -> int:
+    """Trees of a forest that a task grows: divides every wanted number, 10 at most."""
+    whole = math.gcd(*(w[1] for g in growths for w in g["wanted"]))
+    return max(d for d in range(1, 11) if whole % d == 0)
+
+
+_CHUNK = "growth int, chunk int, sums binary, gains array<double>"
+
+
+def _forest_task(sizes: list, growths: list, size: int):
+    """Some trees of a forest: what they say of every row under each stop, added up."""
+    def task(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                rows, spec, c = Rows(len(sizes), r["x"], r["y"], r["fold"], r["id"]), growths[r["growth"]], r["chunk"]
+                pred, shares = np.zeros((len(spec["stops"]), len(rows.y))), np.zeros(len(sizes))
+                for t in range(c * size, (c + 1) * size):
+                    tree, used = _grown(rows, spec, t, sizes)
+                    pred += rows.forest(spec, tree)
+                    shares += _importance(len(sizes), [used])
+                yield pa.RecordBatch.from_pylist([{"growth": r["growth"], "chunk": c, "sums": pred.tobytes(), "gains": shares.tolist()}], pa.schema([
+                    ("growth", pa.int32()), ("chunk", pa.int32()), ("sums", pa.binary()), ("gains", pa.list_(pa.float64()))]))
+    return task
+
+
+def _forest_score_task(sizes: list, growths: list, size: int):
+    """A growth's chunks in order: its candidates' sums where their trees are complete."""
+    def task(batches):
+        pred, gains, found = {}, {}, []
+        rows = None
+        for b in batches:
+            for r in b.to_pylist():
+                g, spec = r["growth"], growths[r["growth"]]
+                rows = rows or Rows(len(sizes), r["x"], r["y"], r["fold"], r["id"])
+                pred[g] = pred.get(g, 0.0) + np.frombuffer(r["sums"]).reshape(len(spec["stops"]), -1)
+                gains[g] = gains.get(g, 0.0) + np.array(r["gains"])
+                for i, trees, stop in spec["wanted"]:
+                    if trees == (r["chunk"] + 1) * size:
+                        found += [(i, part, v) for part, v in rows.sums(spec, pred[g][stop] / trees).items()]
+                        found.append((i, "importance", (gains[g] / max(gains[g].sum(), 1e-300)).tolist()))
+        yield _out(found)
+    return task
+
+
+def _fit_whole(one: DataFrame, sizes: list, growths: list) -> list:
+    """Fits on a table of one block: a task a boosted growth, a task a few
+    trees of a forest; the rows, a bounded number, go along with each."""
+    found = []
+    boosted = [g for g, s in enumerate(growths) if s["kind"] == "gb"]
+    if boosted:
+        tasks = one.withColumn("growth", F.explode(F.array(*[F.lit(g) for g in boosted]))).repartition(len(boosted), "growth")
+        found += tasks.mapInArrow(_boost_task(sizes, growths), _OUT).collect()
+    forests = [g for g, s in enumerate(growths) if s["kind"] == "rf"]
+    if forests:
+        size = _chunk([growths[g] for g in forests])
+        chunks = [(g, c) for g in forests for c in range(growths[g]["n_estimators"] // size)]
+        tasks = one.withColumn("k", F.explode(F.array(*[F.struct(F.lit(g).alias("growth"), F.lit(c).alias("chunk")) for g, c in chunks])))
+        tasks = tasks.select("x", "y", "fold", "id", "k.*").repartition(min(len(chunks), 512), "growth", "chunk")
+        parts = written(tasks.mapInArrow(_forest_task(sizes, growths, size), _CHUNK), "tree-chunks")
+        with_rows = parts.join(F.broadcast(one.select("x", "y", "fold", "id")))  # one row: the block
+        ordered = with_rows.repartition(len(forests), "growth").sortWithinPartitions("growth", "chunk")
+        found += ordered.mapInArrow(_forest_score_task(sizes, growths, size), _OUT).collect()
+    return [(r["candidate"], r["part"], r["sums"]) for r in found]
+
+
 # -------------------------------------------------------- many blocks: rounds
-def _round_task(p: int, bins: int, growths: list, asked: list, since: dict, width: int):
+def _round_task(sizes: list, growths: list, asked: list, since: dict, width: int):
     """Histograms of all asked nodes over a block. ``asked``: (growth, tree
     number, tree, nodes, uids); ``since``: growth -> (base, trees not yet in f)."""
     def task(batches):
         for b in batches:
             for r in b.to_pylist():
-                rows = Rows(p, r["x"], r["y"], r["fold"], r["id"])
+                rows = Rows(len(sizes), r["x"], r["y"], r["fold"], r["id"])
                 f = np.frombuffer(r["f"]).reshape(width, -1)
                 for g, (slot, trees) in since.items():
                     rows.sum[g] = f[slot]
                     rows.boosted(g, 0.0, [Tree(t) for t in trees])
                 hists = []
                 for g, t, tree, nodes, _ in asked:
-                    hists.append(rows.histogram(growths[g], g, t, Tree(tree), nodes, bins).tobytes())
+                    hists.append(rows.histogram(growths[g], g, t, Tree(tree), nodes, sizes).tobytes())
                     rows.at.clear()
                 yield pa.RecordBatch.from_arrays([pa.array(range(len(asked)), pa.int32()), pa.array(hists, pa.binary())], ["ask", "hist"])
     return task
 
 
-def _search_task(p: int, bins: int, growths: list, asked: list):
+def _search_task(sizes: list, growths: list, asked: list):
     def task(batches):
         total = {}
         for b in batches:
             for k, h in zip(b.column("ask").to_pylist(), b.column("hist").to_pylist()):
                 h = np.frombuffer(h)
                 total[k] = total[k] + h if k in total else h
-        out = [(k, json.dumps(best_splits(h.reshape(3, -1, p, bins), growths[asked[k][0]], asked[k][1], asked[k][4]))) for k, h in total.items()]
+        out = [(k, json.dumps(best_splits(h, sizes, growths[asked[k][0]], asked[k][1], asked[k][4]))) for k, h in total.items()]
         yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.string())], ["ask", "splits"])
     return task
 
@@ -418,12 +482,12 @@ def _search_task(p: int, bins: int, growths: list, asked: list):
 _STATE = "n long, x binary, y binary, fold binary, id binary, f binary"
 
 
-def _state_task(p: int, width: int, base: dict, since: dict):
+def _state_task(sizes: list, width: int, base: dict, since: dict):
     """The blocks with the boosted predictions f brought up to date."""
     def task(batches):
         for b in batches:
             for r in b.to_pylist():
-                rows = Rows(p, r["x"], r["y"], r["fold"], r["id"])
+                rows = Rows(len(sizes), r["x"], r["y"], r["fold"], r["id"])
                 f = np.frombuffer(r["f"]).reshape(width, -1).copy() if r.get("f") is not None else np.zeros((width, r["n"]))
                 for g, (slot, trees) in since.items():
                     rows.sum[g] = f[slot] + base.get(g, 0.0)
@@ -434,12 +498,12 @@ def _state_task(p: int, width: int, base: dict, since: dict):
     return task
 
 
-def _score_task(p: int, growths: list, base: dict, trees: dict, mark: dict):
+def _score_task(sizes: list, growths: list, base: dict, trees: dict, mark: dict):
     """Sums of the candidates of the growths in ``mark``, under their trees."""
     def task(batches):
         for b in batches:
             for r in b.to_pylist():
-                rows, found = Rows(p, r["x"], r["y"], r["fold"], r["id"]), []
+                rows, found = Rows(len(sizes), r["x"], r["y"], r["fold"], r["id"]), []
                 for g, wanted in mark.items():
                     spec = growths[g]
                     for count in sorted({w[1] for w in wanted}):
@@ -456,7 +520,7 @@ def _score_task(p: int, growths: list, base: dict, trees: dict, mark: dict):
     return task
 
 
-def _grown_in_rounds(blocks: DataFrame, p: int, bins: int, growths: list):
+def _grown_in_rounds(blocks: DataFrame, sizes: list, growths: list):
     """Grow all trees level by level with jobs over the blocks. Forest trees
     are asked in waves that fit in ROUND_CELLS; boosted candidates go in step.
     (blocks with the boosted predictions, slots, base values, trees, gains)."""
@@ -466,7 +530,7 @@ def _grown_in_rounds(blocks: DataFrame, p: int, bins: int, growths: list):
     mean = {r["growth"]: r["s"] / r["w"] for r in total.groupBy("growth").agg(F.sum("w").alias("w"), F.sum("s").alias("s")).collect() if r["w"]}
     base = {g: mean.get(g, 0.0) for g in slots}
     trees, gains = {g: {} for g in range(len(growths))}, {g: {} for g in range(len(growths))}
-    state = written(blocks.mapInArrow(_state_task(p, width, base, {g: (s, []) for g, s in slots.items()}), _STATE), "tree-state")
+    state = written(blocks.mapInArrow(_state_task(sizes, width, base, {g: (s, []) for g, s in slots.items()}), _STATE), "tree-state")
     kept = {g: 0 for g in slots}
     live, waiting = {}, [(g, t) for g, s in enumerate(growths) if s["kind"] == "rf" for t in range(s["n_estimators"])]
     waiting = [(g, 0) for g in slots] + waiting
@@ -474,25 +538,25 @@ def _grown_in_rounds(blocks: DataFrame, p: int, bins: int, growths: list):
     def refresh():
         nonlocal state, kept
         since = {g: (slots[g], [trees[g][i].plain() for i in range(kept[g], len(trees[g]))]) for g in slots}
-        state = written(state.mapInArrow(_state_task(p, width, {}, since), _STATE), "tree-state")
+        state = written(state.mapInArrow(_state_task(sizes, width, {}, since), _STATE), "tree-state")
         kept = {g: len(trees[g]) for g in slots}
 
     while live or waiting:
-        cells = sum(len(a[1]) for _, a in live.values()) * p * bins * 3
+        cells = sum(len(a[1]) for _, a in live.values()) * sum(sizes) * 3
         while waiting and (not live or cells < ROUND_CELLS):
             g, t = waiting.pop(0)
             step = growing(growths[g], t)
             live[g, t] = step, next(step)
-            cells += p * bins * 3
+            cells += sum(sizes) * 3
         asked, cells = [], 0
         for (g, t), (_, (tree, nodes, uids)) in live.items():
             if asked and cells > ROUND_CELLS:
                 break
             asked.append((g, t, tree.plain(), list(nodes), uids))
-            cells += len(nodes) * p * bins * 3
+            cells += len(nodes) * sum(sizes) * 3
         since = {g: (slots[g], [trees[g][i].plain() for i in range(kept[g], len(trees[g]))]) for g in {a[0] for a in asked} & set(slots)}
-        hists = state.mapInArrow(_round_task(p, bins, growths, asked, since, width), "ask int, hist binary")
-        found = hists.repartition(min(len(asked), 64), "ask").mapInArrow(_search_task(p, bins, growths, asked), "ask int, splits string").collect()
+        hists = state.mapInArrow(_round_task(sizes, growths, asked, since, width), "ask int, hist binary")
+        found = hists.repartition(min(len(asked), 64), "ask").mapInArrow(_search_task(sizes, growths, asked), "ask int, splits string").collect()
         for r in found:
             g, t = asked[r["ask"]][:2]
             step = live[g, t][0]
@@ -510,17 +574,17 @@ def _grown_in_rounds(blocks: DataFrame, p: int, bins: int, growths: list):
     return state, slots, base, {g: [trees[g][t].plain() for t in range(len(trees[g]))] for g in trees}, gains
 
 
-def _in_rounds(blocks: DataFrame, p: int, bins: int, growths: list):
-    state, slots, base, plain, gains = _grown_in_rounds(blocks, p, bins, growths)
+def _in_rounds(blocks: DataFrame, sizes: list, growths: list):
+    state, slots, base, plain, gains = _grown_in_rounds(blocks, sizes, growths)
     for g, spec in enumerate(growths):  # a growth at a time: its trees are what a task is sent
-        sums = state.mapInArrow(_score_task(p, growths, base, {g: plain[g]}, {g: spec["wanted"]}), _OUT)
+        sums = state.mapInArrow(_score_task(sizes, growths, base, {g: plain[g]}, {g: spec["wanted"]}), _OUT)
         places = sums.select("candidate", "part", F.posexplode("sums").alias("i", "v")).groupBy("candidate", "part", "i").agg(F.sum("v").alias("v"))
         got = {}
         for r in places.collect():
             got.setdefault((r["candidate"], r["part"]), {})[r["i"]] = r["v"]
         yield from ((i, part, [v[k] for k in range(len(v))]) for (i, part), v in got.items())
         for i, count, _ in spec["wanted"]:
-            yield i, "importance", _importance(p, [gains[g][t] for t in range(count)])
+            yield i, "importance", _importance(len(sizes), [gains[g][t] for t in range(count)])
 
 
 def _mean_task(held: list):
@@ -538,18 +602,14 @@ def _mean_task(held: list):
 
 
 # ------------------------------------------------------------------ the search
-def fit_all(blocks: DataFrame, p: int, bins: int, candidates: list[dict]) -> list[dict]:
+def fit_all(blocks: DataFrame, sizes: list, candidates: list[dict]) -> list[dict]:
     """For each candidate {part: sums, "importance": [..]}. A candidate is a
     kind ("rf", "gb"), sklearn-named parameters and ``held``, the fold that it
     is not fitted on (none: all training rows). Unknown parameters raise."""
     _check(candidates)
     growths = sorted(shared_growths(candidates), key=lambda g: -g["n_estimators"])
     one = _one_block(blocks)
-    if one is not None:
-        tasks = one.withColumn("growth", F.explode(F.sequence(F.lit(0), F.lit(len(growths) - 1)))).repartition(len(growths), "growth")
-        found = [(r["candidate"], r["part"], r["sums"]) for r in tasks.mapInArrow(_whole_task(p, bins, growths), _OUT).collect()]
-    else:
-        found = _in_rounds(blocks, p, bins, growths)
+    found = _in_rounds(blocks, sizes, growths) if one is None else _fit_whole(one, sizes, growths)
     out = [{} for _ in candidates]
     for i, part, sums in found:
         out[i][part] = list(sums)
@@ -563,7 +623,7 @@ def _rows_out(candidate: int, key: np.ndarray, prediction: np.ndarray) -> pa.Rec
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), candidate, np.int32)), pa.array(key), pa.array(prediction)], ["candidate", "id", "prediction"])
 
 
-def boosted_predictions(blocks: DataFrame, p: int, bins: int, candidates: list[dict]) -> DataFrame:
+def boosted_predictions(blocks: DataFrame, sizes: list, candidates: list[dict]) -> DataFrame:
     """(candidate, id, prediction): what each boosted candidate, fitted without
     its held-out fold, says of every row."""
     _check(candidates)
@@ -573,12 +633,12 @@ def boosted_predictions(blocks: DataFrame, p: int, bins: int, candidates: list[d
         def whole(batches):
             for b in batches:
                 for r in b.to_pylist():
-                    rows = Rows(p, r["x"], r["y"], r["fold"], r["id"])
-                    for _ in _grow_whole(rows, specs[r["growth"]], bins):
+                    rows = Rows(len(sizes), r["x"], r["y"], r["fold"], r["id"])
+                    for _ in _boost_whole(rows, specs[r["growth"]], sizes):
                         pass
                     yield _rows_out(r["growth"], rows.key, rows.sum[0])
         return one.withColumn("growth", F.explode(F.sequence(F.lit(0), F.lit(len(specs) - 1)))).repartition(len(specs), "growth").mapInArrow(whole, _PREDICTED)
-    state, slots, *_ = _grown_in_rounds(blocks, p, bins, specs)
+    state, slots, *_ = _grown_in_rounds(blocks, sizes, specs)
     width = len(slots)
 
     def rows(batches):
