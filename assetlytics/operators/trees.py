@@ -30,7 +30,7 @@ from ..functions.quantiles import quantiles
 from ..session import written
 
 #: Rows of a block; a table of one block is grown without rounds of jobs.
-BLOCK_ROWS = 1 << 16
+BLOCK_ROWS = 1 << 18
 #: Bins of a feature at most.
 BINS = 64
 #: Histogram cells that a task may hold for one round.
