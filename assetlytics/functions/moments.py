@@ -109,6 +109,25 @@ def grouped_moments(df: DataFrame, cols: list, shift, scale, group: Column | Non
     return out
 
 
+def swept(c: np.ndarray, over: list, tolerance: float = 1e-10) -> np.ndarray:
+    """The matrix swept over some columns: their regression on each other taken
+    out of the rest. Afterwards ``[over, t]`` holds the coefficients of a
+    regression of column t on them; a column that the ones before it explain
+    is left out (its coefficients are 0)."""
+    c, start, out = c.astype(float).copy(), np.diag(c).copy(), []
+    for k in over:
+        d = c[k, k]
+        if d <= tolerance * start[k] or d <= 0:
+            out.append(k)
+            continue
+        row = c[k] / d
+        c -= np.outer(c[:, k], row)
+        c[k], c[:, k] = row, row
+        c[k, k] = -1.0 / d
+    c[out, :] = 0.0
+    return c
+
+
 def centres(df: DataFrame, cols: list) -> tuple[list, list]:
     """Means and population deviations of columns (0 and 1 where there is no
     value or no spread), for shifting and scaling."""

@@ -12,13 +12,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from ..functions.moments import centres, grouped_moments, swept
 from ..functions.quantiles import medians as column_medians
 from ..functions.stats import chi2_sf, t_sf_two_sided
+from .nearest import knn_impute
 from .profile import mode_profile
 
 
@@ -72,18 +73,49 @@ class MissingParams:
     fill: dict = field(default_factory=dict)        # column -> (method, value)
     mechanisms: dict = field(default_factory=dict)  # column -> MCAR/MAR/MNAR
     regression: dict = field(default_factory=dict)  # column -> (intercept, {pred: coef}, medians)
+    nearest: dict = field(default_factory=dict)     # column -> predictors of a vote of the nearest rows
+    reference: DataFrame | None = None              # the rows that vote
 
     def rows(self):
         """Long parameter rows: (column, action, fill_num, fill_str)."""
         out = [(c, "drop_missing", None, None) for c in self.drop_missing]
         out += [(c, "drop_unique", None, None) for c in self.drop_unique]
         for c, (m, v) in self.fill.items():
+            if c in self.nearest:
+                m = "fallback_" + m
             num = float(v) if isinstance(v, (int, float)) and v is not None else None
             out.append((c, f"impute_{m}", num, None if num is not None else v))
-        for c, (b0, coefs, _) in self.regression.items():
+        for c, (b0, coefs, med) in self.regression.items():
             out.append((c, "impute_regression", float(b0), ",".join(sorted(coefs))))
+            out += [(c, "coefficient", float(b), x) for x, b in coefs.items()]
+            out += [(c, "predictor_median", None if med[x] is None else float(med[x]), x) for x in coefs]
+        out += [(c, "impute_knn", None, ",".join(preds)) for c, preds in self.nearest.items()]
         return out
 
+    def store(self):
+        """All that is needed to build the parameters anew: ``rows`` and the mechanisms."""
+        return self.rows() + [(c, "mechanism", None, m) for c, m in self.mechanisms.items()]
+
+    @classmethod
+    def restored(cls, rows, reference: DataFrame | None = None) -> MissingParams:
+        """The parameters from their stored rows; votes need the reference rows again."""
+        p = cls(reference=reference)
+        for c, action, num, text in rows:
+            if action in ("drop_missing", "drop_unique"):
+                getattr(p, action).append(c)
+            elif action == "impute_regression":
+                p.regression[c] = (num, {}, {})
+            elif action == "impute_knn":
+                p.nearest[c] = text.split(",")
+            elif action == "mechanism":
+                p.mechanisms[c] = text
+            elif action.startswith("impute_"):
+                p.fill[c] = (action[7:].removeprefix("fallback_"), text if num is None else num)
+        for c, action, num, text in rows:
+            if action in ("coefficient", "predictor_median"):
+                p.regression[c][1 if action == "coefficient" else 2][text] = num
+        return p
+
     def to_frame(self, spark) -> DataFrame:
         return spark.createDataFrame(self.rows(), "column string, action string, fill_num double, fill_str string")
 
@@ -112,7 +144,19 @@ def fit_missing_simple(df: DataFrame, cols: list[str] | None = None, threshold_m
 
 
 def transform_missing(df: DataFrame, p: MissingParams) -> DataFrame:
-    """Drop learned columns, fill learned values (pure projection)."""
+    """Drop learned columns, fill learned values and regressions by projection;
+    then columns that the nearest training rows decide, by the filled values."""
+    out = _projected(df, p)
+    for c, preds in p.nearest.items():
+        preds = [x for x in preds if x in out.columns]
+        if c in out.columns and preds and p.reference is not None:
+            out = knn_impute(out, c, preds, reference=_projected(p.reference, p))
+        if c in out.columns and p.fill.get(c, (None, None))[1] is not None:  # no row to vote: the mode
+            out = out.withColumn(c, F.coalesce(F.col(f"`{c}`"), F.lit(p.fill[c][1])))
+    return out
+
+
+def _projected(df: DataFrame, p: MissingParams) -> DataFrame:
     drop = set(p.drop_missing) | set(p.drop_unique)
     sel = []
     for c in df.columns:
@@ -125,7 +169,7 @@ def transform_missing(df: DataFrame, p: MissingParams) -> DataFrame:
             for k, b in coefs.items():
                 pred = pred + F.lit(b) * F.coalesce(F.col(k).cast("double"), F.lit(med[k]))
             x = F.coalesce(x.cast("double"), pred)
-        elif c in p.fill:
+        elif c in p.fill and c not in p.nearest:
             v = p.fill[c][1]
             if v is not None:
                 x = F.coalesce(x, F.lit(v).cast(df.schema[c].dataType))
@@ -248,36 +292,43 @@ def diagnose(df: DataFrame, col: str, observed: list[str], categorical: list[str
 
 # ------------------------------------------------------------- imputations
 def fit_ols(df: DataFrame, y: str, xs: list[str], fill: dict | None = None):
-    """OLS with intercept from one Gramian aggregation (p squared sums) over
-    predictors and target centred by their means (rows with a missing target,
-    or a predictor that is missing and has no fill, are left out), scaled by
-    their spread and solved on the driver (p x p). Returns (intercept, {x: coef})."""
-    fill = {x: v for x, v in (fill or {}).items() if v is not None}
-    raw = [F.coalesce(F.col(x).cast("double"), F.lit(fill[x])) if x in fill else F.col(x).cast("double") for x in xs]
-    yy = F.col(y).cast("double")
-    whole = yy.isNotNull()
-    for c in raw:
-        whole = whole & c.isNotNull()
-    df = df.where(whole)
-    k = len(raw)
-    st = df.agg(F.avg(yy).alias("y"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(raw)],
-                *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(raw)]).first()
-    if st["y"] is None:
-        return 0.0, {x: 0.0 for x in xs}
-    mean, spread = [st[f"m{i}"] for i in range(k)], [st[f"s{i}"] or 1.0 for i in range(k)]
-    cols = [(c - F.lit(mean[i])) / F.lit(spread[i]) for i, c in enumerate(raw)]
-    yy = yy - F.lit(st["y"])
-    aggs = [F.sum(cols[i] * cols[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]
-    aggs += [F.sum(cols[i] * yy).alias(f"b{i}") for i in range(k)]
-    r = df.agg(*aggs).first()
-    G = np.zeros((k, k))
-    for i in range(k):
-        for j in range(i, k):
-            G[i, j] = G[j, i] = r[f"g{i}_{j}"] or 0.0
-    b = np.array([r[f"b{i}"] or 0.0 for i in range(k)])
-    beta = np.linalg.lstsq(G, b, rcond=None)[0]
-    coef = [float(v) / spread[i] for i, v in enumerate(beta)]
-    return float(st["y"]) - sum(c * m for c, m in zip(coef, mean)), dict(zip(xs, coef))
+    """OLS with intercept over predictors (nulls by ``fill``; rows with a
+    missing target, or a predictor that stays missing, are left out).
+    Returns (intercept, {x: coef})."""
+    return fit_regressions(df, {y: xs}, fill or {})[y]
+
+
+def fit_regressions(df: DataFrame, targets: dict, fill: dict) -> dict:
+    """OLS with intercept of each target on its predictors: column ->
+    (intercept, {predictor: coef}). One matrix of moments serves all: a row
+    counts in the group of every target that it holds, and each target's
+    regression is its group's matrix swept over its predictors."""
+    names = list(dict.fromkeys([x for xs in targets.values() for x in xs] + list(targets)))
+    used = {x for xs in targets.values() for x in xs}
+    cols = {c: F.col(f"`{c}`").cast("double") for c in names}
+    filled = {c: F.coalesce(x, F.lit(float(fill[c]))) if c in used and fill.get(c) is not None else x for c, x in cols.items()}
+    shift, scale = centres(df, list(filled.values()))
+    groups = []
+    for y, xs in targets.items():
+        whole = cols[y].isNotNull()
+        for x in xs:
+            whole = whole & filled[x].isNotNull()
+        groups.append(F.when(whole, F.lit(y)))
+    # Columns of other targets may be null in a row: any value will do there.
+    got = grouped_moments(df, [F.coalesce(x, F.lit(m)) for x, m in zip(filled.values(), shift)], shift, scale, F.array_compact(F.array(*groups)))
+    # A target that is a predictor too is filled in the matrix: its own regression needs the rows that hold it, which its group has.
+    out = {}
+    for y, xs in targets.items():
+        if y not in got:
+            out[y] = (0.0, {x: 0.0 for x in xs})
+            continue
+        m = got[y]
+        over, at = [names.index(x) for x in xs], names.index(y)
+        w = swept(m.centred(), over)[over, at]
+        coef = {x: float(b * scale[at] / scale[k]) for x, b, k in zip(xs, w, over)}
+        mean = [shift[k] + scale[k] * v for k, v in enumerate(m.mean)]
+        out[y] = (float(mean[at] - sum(coef[x] * mean[k] for x, k in zip(xs, over))), coef)
+    return out
 
 
 def fit_missing_advanced(df: DataFrame, cols: list[str] | None = None, threshold_drop=0.70,
@@ -287,11 +338,11 @@ def fit_missing_advanced(df: DataFrame, cols: list[str] | None = None, threshold
                          predictor_null_below: float = 0.3) -> MissingParams:
     """distinct <= 1 -> drop (tested first); null > threshold_drop -> drop;
     (threshold_simple, threshold_drop] -> diagnose, then median/mode (MCAR,
-    MNAR) or regression on significant predictors (MAR, numeric);
-    (0, threshold_simple] -> mean/mode."""
+    MNAR), regression on significant predictors (MAR, numeric) or the vote of
+    the nearest rows by them (MAR, other); (0, threshold_simple] -> mean/mode."""
     cols = cols or df.columns
-    st = _column_stats(df, cols, medians=True)
-    p = MissingParams()
+    st = _column_stats(df, cols)
+    p = MissingParams(reference=df)
     p.drop_unique = [c for c in cols if st[c]["at_most_one"]]
     rest = [c for c in cols if c not in p.drop_unique]
     p.drop_missing = [c for c in rest if st[c]["null_frac"] > threshold_drop]
@@ -302,22 +353,22 @@ def fit_missing_advanced(df: DataFrame, cols: list[str] | None = None, threshold
     for c in simple:
         p.fill[c] = ("mean", st[c]["mean"]) if st[c]["numeric"] else ("mode", modes[c])
     num_all = [c for c in cols if st[c]["numeric"]]
+    targets = {}
     for c in adv:
-        mech = "MCAR"
+        mech, preds = "MCAR", []
         if test_mechanism:
             cands = [x for x in num_all if x != c and st[x]["null_frac"] < predictor_null_below][:max_tested]
             d = diagnose(df, c, cands, categorical, mcar_cols)
-            mech = d["mechanism"]
-            p.mechanisms[c] = mech
-            preds = d["significant"][:max_kept]
-        if mech == "MAR" and st[c]["numeric"]:
-            preds = [x for x in preds if x in num_all]
-            if preds:
-                med = {x: st[x]["median"] for x in preds}
-                b0, coefs = fit_ols(df, c, preds, med)
-                p.regression[c] = (b0, coefs, med)
-                continue
-        p.fill[c] = ("median", st[c]["median"]) if st[c]["numeric"] else ("mode", modes[c])
+            mech = p.mechanisms[c] = d["mechanism"]
+            preds = [x for x in d["significant"] if x in num_all][:max_kept]
+        if mech == "MAR" and preds:
+            (targets if st[c]["numeric"] else p.nearest)[c] = preds
+    mid = column_medians(df, list(dict.fromkeys([c for c in adv if st[c]["numeric"] and c not in targets] + [x for xs in targets.values() for x in xs])))
+    for c, (b0, coefs) in (fit_regressions(df, targets, mid) if targets else {}).items():
+        p.regression[c] = (b0, coefs, {x: mid[x] for x in coefs})
+    for c in adv:
+        if c not in targets:
+            p.fill[c] = ("median", mid[c]) if st[c]["numeric"] else ("mode", modes[c])
     return p
 
 

@@ -14,6 +14,7 @@ from ..operators import profile as P
 from ..sources.asset import ASSET_SQL, NUMERIC_COLUMNS
 from .common import SQL_TEST, SQL_TRAIN, asset, is_train
 from .registry import query
+from .sqlfrag import chi2_sf, t_sf2  # noqa: F401
 
 FIT_COLS = ["neighborhood_raw", "neighborhood", "city", "property_type", "building_type", "state",
             "latitude", "longitude", "year_built", "n_floors", "gfa_total", "gfa_parking",
@@ -421,3 +422,79 @@ def q_knn_impute(spark, sf_dir):
     """Second uses by the vote of the nearest assets that have one, whole table."""
     cols = ["asset_id", "second_use", *KNN_PREDICTORS]
     return N.knn_impute(asset(spark, sf_dir).select(cols), "second_use", KNN_PREDICTORS).select("asset_id", "second_use")
+
+
+# ------------------------------------------------- nulls that an observed column explains
+MAR_CANDS = ["year_built", "n_floors", "gfa_total", "emissions"]
+MAR_COLS = [*MAR_CANDS, "score_mar", "use_mar"]
+_MAR_SQL = """SELECT asset_id, year_built, n_floors, gfa_total, emissions,
+  CASE WHEN year_built >= 1980 THEN NULL ELSE gfa_total / 1000.0 + 2 * n_floors + 0.1 * year_built + asset_id % 7 END AS score_mar,
+  CASE WHEN year_built < 1925 THEN NULL ELSE building_type END AS use_mar FROM asset"""
+
+
+def mar_frame(a):
+    """The assets with a number and a category whose nulls depend on the year."""
+    year = F.col("year_built")
+    score = F.col("gfa_total") / 1000.0 + 2 * F.col("n_floors") + F.lit(0.1) * year + F.col("asset_id") % 7
+    return a.select("asset_id", *MAR_CANDS, F.when(year < 1980, score).alias("score_mar"), F.when(year >= 1925, F.col("building_type")).alias("use_mar"))
+
+
+def _mar_ttests(col: str) -> str:
+    def one(j, p):
+        miss, seen = f"CASE WHEN {col} IS NULL THEN {p} END", f"CASE WHEN {col} IS NOT NULL THEN {p} END"
+        return (f"SELECT {j} AS j, '{p}' AS pred, (m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) * (1.0 / n1 + 1.0 / n2)) AS t, n1 + n2 - 2 AS dof "
+                f"FROM (SELECT count({miss}) AS n1, avg({miss}) AS m1, var_samp({miss}) AS v1, count({seen}) AS n2, avg({seen}) AS m2, var_samp({seen}) AS v2 FROM tr)")
+    return "SELECT j, pred FROM (" + " UNION ALL ".join(one(j, p) for j, p in enumerate(MAR_CANDS, 1)) + f") WHERE {t_sf2('t', 'dof')} < 0.05"
+
+
+MAR_HEAD = f"""WITH RECURSIVE asset AS ({ASSET_SQL}),
+f AS MATERIALIZED ({_MAR_SQL}), tr AS MATERIALIZED (SELECT * FROM f WHERE {SQL_TRAIN}),
+sig AS MATERIALIZED ({_mar_ttests('score_mar')}), ksig AS MATERIALIZED ({_mar_ttests('use_mar')}),
+x AS (SELECT *, [{', '.join(f'{c}::DOUBLE' for c in MAR_CANDS)}, score_mar, 1.0] AS x FROM tr WHERE score_mar IS NOT NULL),
+sc AS (SELECT i, avg(x[i]) AS m, stddev_pop(x[i]) AS d FROM x, range(1, 6) r(i) GROUP BY i),
+g AS (SELECT a.i, b.i AS j, avg((x[a.i] - a.m) * (x[b.i] - b.m)) / a.d / b.d AS c FROM x, sc a, sc b GROUP BY a.i, b.i, a.d, b.d),
+s0 AS (SELECT list(CASE WHEN g.i IN (SELECT j FROM sig) AND (g.j = 5 OR g.j IN (SELECT j FROM sig)) THEN c ELSE 0 END ORDER BY g.i, g.j) AS m FROM g WHERE g.i < 5),
+s1(k, m) AS (SELECT 0::BIGINT, m FROM s0 UNION ALL SELECT k + 1, list_transform(range(20), lambda e: CASE WHEN m[k * 5 + k + 1] < 1e-9 THEN m[e + 1]
+      WHEN e // 5 = k THEN m[e + 1] / m[k * 5 + k + 1] ELSE m[e + 1] - m[e // 5 * 5 + k + 1] * m[k * 5 + e % 5 + 1] / m[k * 5 + k + 1] END) FROM s1 WHERE k < 4),
+w AS MATERIALIZED (SELECT s.pred, s.j, s1.m[(s.j - 1) * 5 + 5] * y.d / a.d AS coef, a.m AS mean, y.m AS ymean, q.med FROM s1, sig s JOIN sc a ON a.i = s.j
+      JOIN (SELECT unnest([{', '.join(str(j) for j in range(1, 5))}]) AS j, unnest([{', '.join(f'(SELECT median({c}) FROM tr)::DOUBLE' for c in MAR_CANDS)}]) AS med) q ON q.j = s.j,
+      (SELECT * FROM sc WHERE i = 5) y WHERE k = 4),
+b0 AS (SELECT max(ymean) - sum(coef * mean) AS b0 FROM w)"""
+
+
+@query("missing_fit_mar", MAR_HEAD + """
+SELECT 'score_mar' AS "column", 'impute_regression' AS action, round(b0, 6) AS fill_num, (SELECT string_agg(pred, ',' ORDER BY pred) FROM sig) AS fill_str FROM b0
+UNION ALL SELECT 'score_mar', 'coefficient', round(coef, 6), pred FROM w UNION ALL SELECT 'score_mar', 'predictor_median', round(med, 6), pred FROM w
+UNION ALL SELECT 'use_mar', 'impute_knn', NULL, (SELECT string_agg(pred, ',' ORDER BY j) FROM ksig)
+UNION ALL SELECT 'use_mar', 'impute_fallback_mode', NULL, (SELECT use_mar FROM tr WHERE use_mar IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)
+UNION ALL SELECT unnest(['score_mar', 'use_mar']), 'mechanism', NULL, 'MAR'""", raw_sql=True)
+def q_missing_fit_mar(spark, sf_dir):
+    """The advanced fit where nulls depend on an observed column: regression for
+    the number, a vote of the nearest rows for the category."""
+    p = _mar_fit(spark, sf_dir)
+    return round_doubles(spark.createDataFrame(p.store(), "column string, action string, fill_num double, fill_str string"), 6)
+
+
+def _mar_fit(spark, sf_dir):
+    # Candidates are the columns without nulls; Little's test runs over all numbers.
+    return M.fit_missing_advanced(mar_frame(_train(spark, sf_dir)).drop("asset_id"), MAR_COLS, mcar_cols=[*MAR_CANDS, "score_mar"],
+                                  max_tested=10, max_kept=5, predictor_null_below=0.2)
+
+
+_MAR_DIST = " + ".join(f"CASE WHEN {j} IN (SELECT j FROM ksig) THEN (q.{c} - p.{c}) ** 2 ELSE 0 END" for j, c in enumerate(MAR_CANDS, 1))
+
+
+@query("missing_transform_mar", MAR_HEAD + f"""
+, te AS MATERIALIZED (SELECT * FROM f WHERE {SQL_TEST}),
+r AS (SELECT q.asset_id, list_max(min({_MAR_DIST}, 5)) AS reach FROM te q, tr p WHERE q.use_mar IS NULL AND p.use_mar IS NOT NULL GROUP BY 1),
+v AS (SELECT q.asset_id, p.use_mar, count(*) AS n FROM te q JOIN r USING (asset_id), tr p WHERE p.use_mar IS NOT NULL AND {_MAR_DIST} <= reach GROUP BY ALL),
+k AS (SELECT asset_id, arg_min(use_mar, (-n, use_mar)) AS won FROM v GROUP BY 1),
+co AS (SELECT {', '.join(f"coalesce(max(coef) FILTER (pred = '{c}'), 0) AS c{j}" for j, c in enumerate(MAR_CANDS))} FROM w)
+SELECT asset_id, round(coalesce(score_mar, b0 + {' + '.join(f'c{j} * {c}' for j, c in enumerate(MAR_CANDS))}), 6) AS score_mar, coalesce(use_mar, won) AS use_mar
+FROM te LEFT JOIN k USING (asset_id), co, b0""", raw_sql=True)
+def q_missing_transform_mar(spark, sf_dir):
+    """Test rows filled by the stored parameters, read back from their rows."""
+    p = _mar_fit(spark, sf_dir)
+    back = M.MissingParams.restored([tuple(r) for r in spark.createDataFrame(p.store(), "c string, a string, n double, s string").collect()], p.reference)
+    out = M.transform_missing(mar_frame(_test(spark, sf_dir)), back)
+    return out.select("asset_id", F.round("score_mar", 6).alias("score_mar"), "use_mar")

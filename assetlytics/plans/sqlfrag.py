@@ -50,3 +50,20 @@ def norm_cdf(z: str) -> str:
     poly = (f"({t} * ({_ZS_B[0]!r} + {t} * ({_ZS_B[1]!r} + {t} * ({_ZS_B[2]!r} + {t} * ({_ZS_B[3]!r} + {t} * {_ZS_B[4]!r})))))")
     tail = f"(exp(-({x} * {x}) / 2.0) / 2.5066282746310002 * {poly})"
     return f"(CASE WHEN {z} IS NULL THEN NULL WHEN {z} >= 0 THEN 1.0 - {tail} ELSE {tail} END)"
+
+
+def chi2_sf(x: str, df: str, terms: int = 4000) -> str:
+    """Upper tail of chi-square: 1 minus the series of the lower incomplete gamma."""
+    a, h = f"({df} / 2.0::DOUBLE)", f"({x} / 2.0::DOUBLE)"
+    return (f"(CASE WHEN {x} IS NULL THEN NULL WHEN {x} <= 0 THEN 1.0 ELSE greatest(0.0, 1.0 - "
+            f"list_sum(list_transform(range({terms}), lambda i: exp(({a} + i) * ln({h}) - {h} - lgamma({a} + i + 1))))) END)")
+
+
+def t_sf2(t: str, df: str, terms: int = 2000) -> str:
+    """Two-sided tail of Student's t: 1 minus the incomplete beta of
+    t^2 / (df + t^2) at (1/2, df/2), by its series of positive terms. Far out
+    (beyond 20, where the tail is below 1e-50) the series is long and not needed."""
+    y, b = f"(({t}) * ({t}) / (({df}) + ({t}) * ({t})))", f"(({df}) / 2.0::DOUBLE)"
+    return (f"(CASE WHEN ({t}) IS NULL THEN NULL WHEN ({t}) = 0 THEN 1.0 "
+            f"WHEN ({t}) * ({t}) > 400 AND ({df}) > 100 THEN 0.0 ELSE greatest(0.0, 1.0 - list_sum(list_transform(range({terms}), lambda i: "
+            f"exp((0.5 + i) * ln({y}) + {b} * ln(1 - {y}) + lgamma(0.5 + {b} + i) - lgamma({b}) - lgamma(1.5 + i))))) END)")
