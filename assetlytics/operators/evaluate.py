@@ -4,12 +4,14 @@ segment) so many models are scored in the same scan."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import col_, dlit
 from ..functions.quantiles import prefix_counts, quantiles
-from ..functions.stats import norm_inv_cdf
+from ..functions.stats import ks_pvalue, norm_inv_cdf, t_sf_two_sided
 
 
 def fit_line(df: DataFrame, y: str, x) -> tuple[float, float]:
@@ -66,20 +68,23 @@ def jarque_bera(df: DataFrame, resid: str) -> DataFrame:
 
 
 def ks_normal(df: DataFrame, c: str) -> dict:
-    """Kolmogorov-Smirnov against a normal with the sample mean/std, using
-    Spark's distributed KS test."""
-    from pyspark.ml.stat import KolmogorovSmirnovTest
-    st = df.agg(F.avg(c).alias("m"), F.stddev_samp(c).alias("s")).first()
-    res = KolmogorovSmirnovTest.test(df.where(F.col(c).isNotNull()).select(F.col(c).cast("double").alias(c)),
-                                     c, "norm", st["m"], st["s"]).first()
-    return {"statistic": float(res.statistic), "p_value": float(res.pValue), "mean": st["m"], "std": st["s"]}
+    """Kolmogorov-Smirnov against a normal with the sample mean and deviation:
+    the distributed statistic and its asymptotic p-value."""
+    r = ks_statistic(df.select(c), c).first()
+    return {"n": int(r["n"]), "statistic": float(r["d"]), "p_value": ks_pvalue(r["d"], r["n"])}
 
 
-def homoscedasticity(df: DataFrame, yhat: str, resid: str) -> DataFrame:
-    """Pearson r of prediction vs squared residual and its t statistic."""
+def homoscedasticity(df: DataFrame, yhat: str, resid: str, alpha: float = 0.05) -> DataFrame:
+    """Pearson r of prediction and squared residual, its t statistic and
+    p-value, and whether it stays above ``alpha``."""
     r = F.corr(F.col(yhat), F.pow(F.col(resid), 2))
-    s = df.agg(r.alias("r"), F.count(F.lit(1)).alias("n"))
-    return s.select("r", "n", (F.col("r") * F.sqrt(F.try_divide(F.col("n") - 2, F.lit(1.0) - F.pow("r", 2)))).alias("t_stat"))
+    s = df.agg(r.alias("r"), F.count(F.lit(1)).alias("n")).first()
+    t = p = None
+    if s["r"] is not None and s["n"] > 2 and abs(s["r"]) < 1:
+        t = s["r"] * math.sqrt((s["n"] - 2) / (1 - s["r"] ** 2))
+        p = t_sf_two_sided(t, s["n"] - 2)
+    return df.sparkSession.createDataFrame([(s["r"], s["n"], t, p, None if p is None else p > alpha)],
+                                           "r double, n bigint, t_stat double, p_value double, is_homoscedastic boolean")
 
 
 def prediction_interval(df: DataFrame, y: str, yhat: str, resid_std: float, confidence: float = 0.95) -> DataFrame:

@@ -13,6 +13,7 @@ from ..functions.columns import round_doubles
 from ..operators import evaluate as EV
 from .common import SQL_TARGET_SIM, SQL_TRAIN, asset, is_train, target_sim
 from .registry import query
+from .sqlfrag import norm_cdf, t_sf2
 
 SCEN = [("m1_without_score", "mean_baseline", "p0"), ("m1_without_score", "ols", "p1"),
         ("m2_with_score", "mean_baseline", "p0"), ("m2_with_score", "ols", "p2")]
@@ -211,18 +212,32 @@ def q_normality_jb(spark, sf_dir):
     return round_doubles(EV.jarque_bera(p, "resid"), 6)
 
 
-@query("normality_ks")
+def _ks_cte():
+    z = "((x - m) / sd)"
+    return PRED_CTE + f"""
+, r AS (SELECT y - p2 AS e FROM pr WHERE NOT is_train),
+st AS (SELECT avg(e) AS m, stddev_samp(e) AS sd, count(e) AS n FROM r),
+v AS (SELECT e AS x, count(*) AS cnt FROM r WHERE e IS NOT NULL GROUP BY 1),
+c AS (SELECT x, cnt, sum(cnt) OVER (ORDER BY x) AS cum FROM v),
+k AS (SELECT max(n) AS n, max(greatest(cum / CAST(n AS DOUBLE) - {norm_cdf(z)}, {norm_cdf(z)} - (cum - cnt) / CAST(n AS DOUBLE))) AS d FROM c, st)"""
+
+
+@query("normality_ks", _ks_cte() + """
+, p AS (SELECT n, d, (sqrt(n) + 0.12 + 0.11 / sqrt(n)) * d AS lam FROM k),
+q AS (SELECT n, d, CASE WHEN lam < 1e-3 THEN 1.0 ELSE least(1.0, greatest(0.0, list_sum(list_transform(range(1, 200),
+      lambda i: CASE WHEN i % 2 = 1 THEN 2 ELSE -2 END * exp(-2.0 * i * i * lam * lam))))) END AS p_value FROM p)
+SELECT n, round(d, 6) AS statistic, round(p_value, 6) AS p_value, p_value > 0.05 AS is_normal FROM q""")
 def q_normality_ks(spark, sf_dir):
     p = predictions(spark, sf_dir).where(~F.col("is_train")).withColumn("resid", F.col("y") - F.col("p2"))
     r = EV.ks_normal(p, "resid")
-    n = p.agg(F.count(F.lit(1)).alias("n"))
-    return n.select("n", F.lit(r["statistic"]).alias("statistic"), F.lit(r["p_value"]).alias("p_value"),
-                    (F.lit(r["p_value"]) > 0.05).alias("is_normal"))
+    out = spark.createDataFrame([(r["n"], r["statistic"], r["p_value"], r["p_value"] > 0.05)], "n bigint, statistic double, p_value double, is_normal boolean")
+    return round_doubles(out, 6)
 
 
-@query("homoscedasticity", PRED_CTE + """
-, r AS (SELECT corr(p2, (y - p2) * (y - p2)) AS r, count(*) AS n FROM pr WHERE NOT is_train)
-SELECT round(r, 6) AS r, n, round(r * sqrt((n - 2) / (1 - r * r)), 6) AS t_stat FROM r""")
+@query("homoscedasticity", PRED_CTE + f"""
+, r AS (SELECT corr(p2, (y - p2) * (y - p2)) AS r, count(*) AS n FROM pr WHERE NOT is_train),
+t AS (SELECT r, n, r * sqrt((n - 2) / (1 - r * r)) AS t FROM r), p AS (SELECT *, {t_sf2('t', '(n - 2)')} AS p FROM t)
+SELECT round(r, 6) AS r, n, round(t, 6) AS t_stat, round(p, 6) AS p_value, p > 0.05 AS is_homoscedastic FROM p""")
 def q_homoscedasticity(spark, sf_dir):
     p = predictions(spark, sf_dir).where(~F.col("is_train")).withColumn("resid", F.col("y") - F.col("p2"))
     return round_doubles(EV.homoscedasticity(p, "p2", "resid"), 6)
@@ -292,20 +307,7 @@ def q_optimized_metrics(spark, sf_dir):
 
 
 
-def _ks_sql():
-    from .sqlfrag import norm_cdf
-    z = "((x - m) / sd)"
-    return PRED_CTE + f"""
-, r AS (SELECT y - p2 AS e FROM pr WHERE NOT is_train),
-st AS (SELECT avg(e) AS m, stddev_samp(e) AS sd, count(e) AS n FROM r),
-v AS (SELECT e AS x, count(*) AS cnt FROM r WHERE e IS NOT NULL GROUP BY 1),
-c AS (SELECT x, cnt, sum(cnt) OVER (ORDER BY x) AS cum FROM v)
-SELECT max(n) AS n, round(max(greatest(cum / CAST(n AS DOUBLE) - {norm_cdf(z)},
-                                      {norm_cdf(z)} - (cum - cnt) / CAST(n AS DOUBLE))), 6) AS d
-FROM c, st"""
-
-
-@query("ks_statistic", _ks_sql())
+@query("ks_statistic", _ks_cte() + " SELECT n, round(d, 6) AS d FROM k")
 def q_ks_statistic(spark, sf_dir):
     """KS distance of the test residuals from a fitted normal (statistic only;
     ``normality_ks`` adds the p-value)."""

@@ -14,7 +14,7 @@ from ..operators import profile as P
 from ..sources.asset import ASSET_SQL, NUMERIC_COLUMNS
 from .common import SQL_TEST, SQL_TRAIN, asset, is_train
 from .registry import query
-from .sqlfrag import chi2_sf, t_sf2  # noqa: F401
+from .sqlfrag import chi2_sf, t_sf2
 
 FIT_COLS = ["neighborhood_raw", "neighborhood", "city", "property_type", "building_type", "state",
             "latitude", "longitude", "year_built", "n_floors", "gfa_total", "gfa_parking",
@@ -175,7 +175,37 @@ def q_mar_chi2(spark, sf_dir):
 MECH_COLS = ["gas_therms", "energy_score", "acctbal", "second_use"]
 
 
-@query("missing_mechanism")
+def _mechanism_sql(cols: list, cats: list) -> str:
+    """Little's statistic over all numbers, then a t or chi-square test of each
+    other column against the nulls of one."""
+    n = len(NUMERIC_COLUMNS)
+    pattern = " || ".join(f"({c} IS NULL)::INT" for c in NUMERIC_COLUMNS)
+    term = " + ".join(f"CASE WHEN m{i} IS NOT NULL AND v{i} > 0 THEN n * (m{i} - o{i}) * (m{i} - o{i}) / v{i} ELSE 0 END" for i in range(n))
+    head = f""", t AS MATERIALIZED (SELECT * FROM asset WHERE {SQL_TRAIN}),
+g AS (SELECT {pattern} AS pat, count(*) AS n, {', '.join(f'avg({c}) AS m{i}' for i, c in enumerate(NUMERIC_COLUMNS))} FROM t GROUP BY 1),
+o AS (SELECT {', '.join(f'avg({c}) AS o{i}, var_samp({c}) AS v{i}' for i, c in enumerate(NUMERIC_COLUMNS))} FROM t),
+l0 AS (SELECT CASE WHEN count(*) <= 1 THEN 0.0 ELSE sum(CASE WHEN n > 1 THEN {term} ELSE 0 END) END AS stat,
+       greatest(1, (count(*) - 1) * {n})::BIGINT AS dof FROM g, o),
+l AS MATERIALIZED (SELECT stat, dof, {chi2_sf('stat', 'dof')} AS p FROM l0)"""
+    tests = []
+    for c in cols:
+        for j, x in enumerate(NUMERIC_COLUMNS):
+            if x != c:
+                miss, seen = f"CASE WHEN {c} IS NULL THEN {x} END", f"CASE WHEN {c} IS NOT NULL THEN {x} END"
+                tests.append(f"SELECT '{c}' AS col, {j} AS j, '{x}' AS x, t_p FROM (SELECT CASE WHEN n1 > 0 AND n2 > 0 AND sp > 0 THEN {t_sf2('((m1 - m2) / sqrt(sp * (1.0 / n1 + 1.0 / n2)))', '(n1 + n2 - 2)')} END AS t_p "
+                             f"FROM (SELECT *, ((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) AS sp FROM (SELECT count({miss}) AS n1, avg({miss}) AS m1, var_samp({miss}) AS v1, "
+                             f"count({seen}) AS n2, avg({seen}) AS m2, var_samp({seen}) AS v2 FROM t)))")
+        for j, x in enumerate(cats, n):
+            tests.append(f"SELECT '{c}', {j}, '{x}', {chi2_sf('stat', 'dof')} FROM (SELECT sum((o0 - e0) ** 2 / e0 + (o1 - e1) ** 2 / e1) AS stat, count(*) - 1 AS dof FROM ("
+                         f"SELECT o0, o1, (o0 + o1) * (sum(o0) OVER ()) / (sum(o0 + o1) OVER ()) AS e0, (o0 + o1) * (sum(o1) OVER ()) / (sum(o0 + o1) OVER ()) AS e1 FROM ("
+                         f"SELECT {x}, sum(({c} IS NULL)::INT)::DOUBLE AS o1, sum(({c} IS NOT NULL)::INT)::DOUBLE AS o0 FROM t WHERE {x} IS NOT NULL GROUP BY {x})))")
+    return head + ", k AS (" + "\nUNION ALL ".join(tests) + f""")
+SELECT c AS "column", CASE WHEN p > 0.05 THEN 'MCAR' WHEN list IS NOT NULL THEN 'MAR' ELSE 'MNAR' END AS mechanism, round(stat, 4) AS little_stat, dof AS little_dof,
+  round(p, 6) AS little_p, CASE WHEN p > 0.05 THEN '' ELSE coalesce(list, '') END AS significant
+FROM l, (SELECT unnest([{', '.join(repr(c) for c in cols)}]) AS c) LEFT JOIN (SELECT col, string_agg(x, ',' ORDER BY j) AS list FROM k WHERE t_p < 0.05 GROUP BY col) ON col = c"""
+
+
+@query("missing_mechanism", _mechanism_sql(MECH_COLS, ["property_type", "building_type"]))
 def q_missing_mechanism(spark, sf_dir):
     """Diagnosis with the Little test over all numeric columns (MAR/MNAR reachable)."""
     from concurrent.futures import ThreadPoolExecutor
@@ -184,17 +214,28 @@ def q_missing_mechanism(spark, sf_dir):
     def one(c):  # per-column diagnoses are independent jobs: run them concurrently
         num = [x for x in NUMERIC_COLUMNS if x != c]
         d = M.diagnose(tr, c, num, ["property_type", "building_type"], mcar_cols=NUMERIC_COLUMNS)
-        return (c, d["mechanism"], float(d["little_stat"]), int(d["little_dof"]),
-                float(d["little_p"]), ",".join(d["significant"]))
+        return (c, d["mechanism"], round(float(d["little_stat"]), 4), int(d["little_dof"]),
+                round(float(d["little_p"]), 6), ",".join(d["significant"]))
     with ThreadPoolExecutor(max_workers=len(MECH_COLS)) as ex:
         rows = list(ex.map(one, MECH_COLS))
     return spark.createDataFrame(rows, "column string, mechanism string, little_stat double, "
                                        "little_dof bigint, little_p double, significant string")
 
 
-@query("mechanism_summary", "\nUNION ALL ".join(
-    f"SELECT '{c}' AS \"column\", round(sum(CAST({c} IS NULL AS BIGINT)) * 100.0 / count(*), 4) AS null_pct, CAST(0 AS DOUBLE) AS statistic, "
-    f"CAST(1 AS DOUBLE) AS p_value, 'MCAR' AS mechanism FROM asset WHERE {SQL_TRAIN}" for c in MECH_COLS))
+def _alone_sql(c: str) -> str:
+    """Little's test on one column: patterns 0 and 1, of which only the first has a mean."""
+    stat = (f"(SELECT coalesce(sum(CASE WHEN n > 1 AND m IS NOT NULL AND v > 0 THEN n * (m - o) * (m - o) / v ELSE 0 END), 0) FROM "
+            f"(SELECT ({c} IS NULL) AS pat, count(*) AS n, avg({c}) AS m FROM t GROUP BY 1), (SELECT avg({c}) AS o, var_samp({c}) AS v FROM t))")
+    dof = f"(SELECT greatest(1, count(DISTINCT {c} IS NULL) - 1) FROM t)"
+    if c not in NUM:  # no number to test
+        stat, dof = "0.0::DOUBLE", "1"
+    return f"SELECT '{c}' AS c, (SELECT sum(({c} IS NULL)::BIGINT) * 100.0 / count(*) FROM t) AS null_pct, {stat} AS stat, {dof} AS dof"
+
+
+@query("mechanism_summary", f", t AS MATERIALIZED (SELECT * FROM asset WHERE {SQL_TRAIN}), s AS (" + "\nUNION ALL ".join(map(_alone_sql, MECH_COLS)) + f"""),
+p AS (SELECT *, {chi2_sf('stat', 'dof')} AS p FROM s)
+SELECT c AS "column", round(null_pct, 4) AS null_pct, round(stat, 6) AS statistic, round(p, 6) AS p_value,
+       CASE WHEN p > 0.05 THEN 'MCAR' ELSE 'MAR or MNAR' END AS mechanism FROM p""")
 def q_mechanism_summary(spark, sf_dir):
     """Null % and Little's test on each column alone. A single column has one
     pattern of observed values, whose mean is the mean of all, so statistic 0
