@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.joins import checked_broadcast
 from .common import components, write_table
 
 COSINE = 0.9
@@ -385,7 +386,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     reps = write_table(good.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
                        .withColumn("dim", F.size("embedding")), "hnsw-reps")
     shards = reps.groupBy("dim").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("shards"))
-    dealt = reps.join(F.broadcast(shards.limit(100_000)), "dim").withColumn("shard", F.pmod(F.xxhash64("rep"), F.col("shards")).cast("int"))
+    dealt = reps.join(checked_broadcast(shards), "dim").withColumn("shard", F.pmod(F.xxhash64("rep"), F.col("shards")).cast("int"))
     graphs = write_table(dealt.groupBy("dim", "shard").applyInPandas(
         _graph_task, "dim int, shard int, ids binary, copies binary, x binary, graph binary"), "hnsw-graphs")
     beams = pooled_beams(graphs, reps, cosine, beam)

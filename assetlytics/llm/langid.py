@@ -8,11 +8,13 @@ over the words with a penalty for switching labels spans of one language.
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,8 +44,23 @@ RANGES = (
     (0xFF3B, ""), (0xFF41, "latin"), (0xFF5B, "other"), (0xFF66, "kana"), (0xFFA0, "hangul"), (0x10000, "other"), (0x20000, "han"),
 )
 _STARTS = [r[0] for r in RANGES]
+def _no_letters() -> str:
+    """Ranges of the characters that ``\\w`` takes but that are neither letters
+    nor digits (fractions, superscripts, Roman numerals), for a character class."""
+    out, first = [], None
+    for c in range(sys.maxunicode + 2):
+        odd = c <= sys.maxunicode and chr(c).isalnum() and not chr(c).isalpha() and not chr(c).isdecimal()
+        if odd and first is None:
+            first = c
+        elif not odd and first is not None:
+            out.append(f"\\U{first:08x}-\\U{c - 1:08x}")
+            first = None
+    return "".join(out)
+
+
 #: Runs of letters; the marks that scripts write between letters stay inside a word.
-WORD = re.compile(r"[^\W\d_]+(?:[̀-ͯऀ-෿฀-໿က-႟]+[^\W\d_]*)*")
+_LETTER = rf"[^\W\d_{_no_letters()}]"
+WORD = re.compile(rf"{_LETTER}+(?:[̀-ͯऀ-෿฀-໿က-႟]+{_LETTER}*)*")
 
 
 _SCRIPTS = sorted({r[1] for r in RANGES} - {""}) + [""]
@@ -255,10 +272,11 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     without a letter, and any text under a model without languages are
     ``und``, score 0. Rows are judged one by one; a null id is allowed."""
     small_batches(docs.sparkSession)
-    share = docs.sparkSession.sparkContext.broadcast(model)
+    # Pickled here, classes by value: a broadcast of the object would need the package on workers.
+    share = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))
 
     def run(batches):
-        m = share.value
+        m = cloudpickle.loads(share.value)
         memory = WordMemory(m)
         for b in batches:
             for at in range(0, b.num_rows, 512):

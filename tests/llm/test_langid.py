@@ -1,3 +1,6 @@
+import os
+import subprocess
+import sys
 import itertools
 
 import numpy as np
@@ -59,3 +62,27 @@ def test_edge_rows(docs_of):
     none = L.fit_languages(docs.where("false"))
     assert {r.lang_pred for r in L.identify(docs, none).collect()} == {"und"}
     assert L.identify(docs.where("false"), m).count() == 0
+
+
+def test_texts_of_numerals_have_no_language(docs_of):
+    rows = [(i, f"the plain words number {i} of this text", None, "en") for i in range(30)]
+    model = L.fit_languages(docs_of(rows))
+    odd = ["½ ② Ⅷ", "²", "12 34", "¾x" * 2, "٣٤", ""]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in L.identify(docs_of(list(enumerate(odd))), model).collect()}
+    assert [got[i] for i in (0, 1, 2, 4, 5)] == [("und", 0.0)] * 5 and got[3][0] == "en"
+
+
+def test_workers_need_no_copy_of_the_package(tmp_path):
+    repo = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    script = f"""
+import sys
+sys.path.insert(0, {repo!r})
+from assetlytics.llm import langid
+from assetlytics.session import get_spark
+spark = get_spark("far", cpus="2", shuffle_partitions=2)
+docs = spark.createDataFrame([(i, "some plain words " * 3, "en") for i in range(8)], "doc_id long, text string, lang string")
+print("LANGS", {{r.lang_pred for r in langid.identify(docs, langid.fit_languages(docs)).collect()}})
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "LANGS {'en'}" in done.stdout, done.stderr[-2000:]
