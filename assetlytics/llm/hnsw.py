@@ -2,9 +2,11 @@
 
 Vectors are dealt into shards by hash; each shard gets a hierarchical
 navigable small-world graph. Every vector queries every shard's graph; the
-beam is chosen by the links of sampled vectors over all shards, and widens
-further where a task's own audit against brute force fails; candidates are
-verified by their cosine in double precision, and links become components.
+beam is chosen by audits over all shards (the links of sampled vectors, and
+planted vectors at the threshold from a vector of the shard, which are never
+absent), and widens further where a task's own audit against brute force fails;
+candidates are verified by their cosine in double precision, and links become
+components.
 """
 
 from __future__ import annotations
@@ -16,22 +18,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.joins import checked_broadcast
-from .common import components, write_table
+from .common import batch_rows, components, write_table
 
 COSINE = 0.9
-#: Vectors a shard: what a task holds, and the block that queries.
-SHARD_ROWS = 8192
+#: What a shard holds at most: bytes of its vectors in double precision, and vectors.
+SHARD_BYTES, SHARD_ROWS = 32 << 20, 65_536
+#: Vectors of a block that queries, and most blocks that a task puts to the graph it loaded.
+BLOCK_ROWS, TASK_BLOCKS = 8192, 8
 DEGREE = 16
 #: Beam that builds a graph, and the beam that queries start with.
 BEAM, QUERY_BEAM = 48, 16
 #: Share of an audit's links that a beam must find, and queries in an audit.
 AUDIT_RECALL, AUDIT_QUERIES = 0.99, 64
-#: Vectors that the pooled audit asks of every shard; a query with up to SPARSE links in a shard counts as sparse there,
-#: and without LEAST_LINKS such links no beam under BEAM passes.
-POOL_QUERIES, SPARSE, LEAST_LINKS = 4096, 4, 100
+#: Vectors that the pooled audit asks of every shard; a query with up to SPARSE links in a shard counts as sparse there.
+POOL_QUERIES, SPARSE = 4096, 4
+#: Vectors planted for the audit of a shard, each at the threshold from one of its vectors.
+PLANTED = 256
+#: Kinds of the audits' links.
+FEW, MANY, PLANT = 0, 1, 2
 #: How far under the threshold the graph is followed around a query's neighbours.
 MARGIN = 0.03
 _CHUNK = 512
+#: (query, node) pairs whose neighbours are looked at in one step.
+_PAIRS = 32_768
 
 
 def _pick(x: np.ndarray, cand: np.ndarray, sim: np.ndarray, m: int) -> np.ndarray:
@@ -186,34 +195,51 @@ class Graph:
             sim.append(s)
         return np.concatenate(ids), np.concatenate(sim)
 
-    def within(self, q: np.ndarray, least: float, ef: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, node) pairs of similarity ``least`` or more: around what the
-        beam found, links are followed as long as they stay within ``MARGIN``
-        of it, so a beam full of near neighbours is no end."""
-        ids, sim = self.search(q, ef)
-        base, qs, ns = self.layers[0][1], [], []
-        for i in np.flatnonzero((sim >= least - MARGIN).any(axis=1)):
-            known = {int(v) for v in ids[i] if v >= 0}
-            hit = sim[i] >= least - MARGIN
-            front, got = ids[i][hit], [ids[i][sim[i] >= least]]
-            while len(front):
-                new = np.unique(base[front])
-                new = np.array([v for v in new.tolist() if v >= 0 and v not in known], dtype=np.int64)
-                if not len(new):
-                    break
-                known.update(new.tolist())
-                s = self.x[new] @ q[i]
-                got.append(new[s >= least])
-                front = new[s >= least - MARGIN]
-            g = np.concatenate(got)
-            qs.append(np.full(len(g), i))
-            ns.append(g)
-        return (np.concatenate(qs), np.concatenate(ns)) if qs else (np.empty(0, np.int64), np.empty(0, np.int64))
-
-
-def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """Smallest node of each node's component under the edges a - b."""
-    root = np.arange(n)
+    def within(self, q: np.ndarray, least: float, ef: int):
+        """(query, node) pairs of similarity ``least`` or more, a chunk of
+        queries at a time: around what the beam found, links are followed as
+        long as they stay within ``MARGIN`` of it, so a beam full of near
+        neighbours is no end."""
+        base, n = self.layers[0][1], len(self.x)
+        for at in range(0, len(q), _CHUNK):
+            ids, sim = self.search(q[at:at + _CHUNK], ef)
+            row, col = np.nonzero(sim >= least - MARGIN)
+            if not len(row):
+                continue
+            some = np.unique(row)
+            known = np.zeros((len(some), n + 1), bool)  # the last column takes the -1s
+            known[:, n] = True
+            known[np.arange(len(some))[:, None], ids[some]] = True
+            near = sim[row, col] >= least
+            got = [(row[near], ids[row, col][near].astype(np.int64))]
+            todo = [(row, ids[row, col].astype(np.int64))]
+            while todo:
+                r, v = todo.pop()
+                if len(r) > _PAIRS:
+                    todo.append((r[_PAIRS:], v[_PAIRS:]))
+                    r, v = r[:_PAIRS], v[:_PAIRS]
+                nb = base[v]
+                place = np.searchsorted(some, r)
+                new = ~known[place[:, None], nb]
+                code = np.unique((place[:, None] * (n + 1) + nb)[new])
+                if not len(code):
+                    continue
+                place, v = code // (n + 1), code % (n + 1)
+                known[place, v] = True
+                r = some[place]
+                s = np.concatenate([np.einsum("kd,kd->k", self.x[v[i:i + 65_536]], q[at + r[i:i + 65_536]]) for i in range(0, len(v), 65_536)])
+                got.append((r[s >= least], v[s >= least]))
+                on = s >= least - MARGIN
+                if on.any():
+                    todo.append((r[on], v[on]))
+            yield at + np.concatenate([r for r, _ in got]), np.concatenate([v for _, v in got])
+
+
+def _forest(a: np.ndarray, b: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """Smallest node of each node's component under the edges a - b and those
+    to its ``root``."""
+    own = np.arange(len(root))
+    a, b = np.concatenate([a, own]), np.concatenate([b, root])
     while True:
         low = np.minimum(root[a], root[b])
         new = root.copy()
@@ -257,111 +283,159 @@ def _load(graph: bytes, x: np.ndarray) -> Graph:
     return Graph(x.astype(np.float32), layers)
 
 
-def _links(g: Graph, xq: np.ndarray, x: np.ndarray, least: float, beam: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Verified (query, node) links of a block against a shard, and the beam
-    that passed the audit."""
+def _block_beam(g: Graph, xq: np.ndarray, x: np.ndarray, own: int | None, least: float, beam: int) -> int:
+    """The least beam, ``beam`` times a power of 2, that passes the audit of
+    some queries of a block; ``own``: where the block stands in the shard."""
     some = np.unique(np.linspace(0, len(xq) - 1, min(AUDIT_QUERIES, len(xq))).astype(int))
     truth = xq[some] @ x.T >= least
-    while True:
-        a, b = g.within(xq.astype(np.float32), least - 1e-5, beam)
-        cos = np.concatenate([np.einsum("kd,kd->k", xq[a[i:i + 100_000]], x[b[i:i + 100_000]]) for i in range(0, len(a), 100_000)]) if len(a) else np.empty(0)
-        a, b = a[cos >= least], b[cos >= least]
-        place = np.searchsorted(some, a)
-        hit = (place < len(some)) & (some[np.minimum(place, len(some) - 1)] == a)
-        found = int(truth[place[hit], b[hit]].sum())
-        if found >= AUDIT_RECALL * truth.sum() or beam >= len(x):
-            return a, b, beam
+    if own is not None:
+        truth[np.arange(len(some)), own + some] = False
+    while beam < len(x) and _found(g, xq[some], truth, least, beam).sum() < AUDIT_RECALL * truth.sum():
         beam *= 2
+    return beam
 
 
-def _found(g: Graph, xq: np.ndarray, x: np.ndarray, truth: np.ndarray, least: float, beam: int) -> np.ndarray:
+def _found(g: Graph, xq: np.ndarray, truth: np.ndarray, least: float, beam: int) -> np.ndarray:
     """Number of each query's true links that a beam finds."""
-    a, b = g.within(xq.astype(np.float32), least - 1e-5, beam)
-    return np.bincount(a[truth[a, b]], minlength=len(xq))
+    out = np.zeros(len(xq), np.int64)
+    for a, b in g.within(xq.astype(np.float32), least - 1e-5, beam):
+        out += np.bincount(a[truth[a, b]], minlength=len(xq))
+    return out
+
+
+def _planted(x: np.ndarray, least: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of some vectors, and unit vectors just within the threshold of
+    them in random directions."""
+    at = np.unique(np.linspace(0, len(x) - 1, min(PLANTED, len(x))).astype(int))
+    off = np.random.default_rng(seed).normal(size=(len(at), x.shape[1]))
+    off -= np.einsum("kd,kd->k", off, x[at])[:, None] * x[at]
+    size = np.linalg.norm(off, axis=1, keepdims=True)
+    at, off = at[size[:, 0] > 1e-9], off[size[:, 0] > 1e-9] / size[size[:, 0] > 1e-9]
+    cos = min(least + 1e-4, 1.0)
+    return at, cos * x[at] + np.sqrt(1 - cos * cos) * off
 
 
 def _audit_task(least: float, beam: int, pool):
-    """Per shard the links of the pooled queries, and how many of them each
-    beam finds (up to the beam that finds all): beam 0 stands for the truth."""
+    """Per shard the links of the pooled queries and of the planted vectors,
+    and how many of them each beam finds (up to the beam that finds all): beam
+    0 stands for the truth. Queries go in units of ``_CHUNK``."""
+    def unit(g, xq, truth, kinds):
+        n = truth.sum(axis=1)
+        use = np.flatnonzero(n)
+        truth, n, xq, kinds = truth[use], n[use], xq[use], kinds(n)[use]
+        rows, ef = [(0, n)], beam
+        while len(n):
+            found = n if ef >= len(g.x) else _found(g, xq, truth, least, ef)
+            rows.append((ef, found))
+            if found.sum() >= n.sum():
+                break
+            ef *= 2
+        return [(ef, kind, int(f[kinds == kind].sum())) for ef, f in rows for kind in np.unique(kinds).tolist()]
+
     def run(batches):
         for batch in batches:
             for r in batch.to_pylist():
                 x, ids = _rows(r["x"], r["dim"]), np.frombuffer(r["ids"], "<i8")
                 own_ids, xq = pool.value.get(r["dim"], (np.empty(0, np.int64), np.empty((0, r["dim"]))))
-                truth = np.zeros((len(xq), len(x)), bool)
+                g, out = _load(r["graph"], x), []
                 for i in range(0, len(xq), _CHUNK):
-                    truth[i:i + _CHUNK] = xq[i:i + _CHUNK] @ x.T >= least
-                    truth[i:i + _CHUNK] &= own_ids[i:i + _CHUNK, None] != ids[None]
-                n = truth.sum(axis=1)
-                use = np.flatnonzero(n)
-                truth, n, xq = truth[use], n[use], xq[use]
-                rows, g, ef = [(0, n)], _load(r["graph"], x), beam
-                while len(n):
-                    found = n if ef >= len(x) else _found(g, xq, x, truth, least, ef)
-                    rows.append((ef, found))
-                    if found.sum() >= n.sum():
-                        break
-                    ef *= 2
-                out = [(ef, few, int(f[(n <= SPARSE) == few].sum())) for ef, f in rows for few in (True, False)]
-                yield pa.RecordBatch.from_arrays([pa.array([r["dim"]] * len(out), pa.int32()), pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out]),
-                                                  pa.array([o[2] for o in out], pa.int64()), pa.array([r["shard"]] * len(out), pa.int32())],
-                                                 names=["dim", "beam", "few", "found", "shard"])
+                    truth = (xq[i:i + _CHUNK] @ x.T >= least) & (own_ids[i:i + _CHUNK, None] != ids[None])
+                    out += [(i, *o) for o in unit(g, xq[i:i + _CHUNK], truth, lambda n: np.where(n <= SPARSE, FEW, MANY))]
+                at, q = _planted(x, least, r["shard"])
+                truth = np.zeros((len(at), len(x)), bool)
+                truth[np.arange(len(at)), at] = True
+                out += [(-1, *o) for o in unit(g, q, truth, lambda n: np.full(len(n), PLANT))]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r["dim"]] * len(out), pa.int32()), pa.array([r["shard"]] * len(out), pa.int32())]
+                    + [pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.int64()))],
+                    names=["dim", "shard", "unit", "beam", "kind", "found"])
     return run
 
 
 def pooled_beams(graphs: DataFrame, reps: DataFrame, least: float, beam: int) -> dict[int, int]:
     """Length of vectors -> the least beam (``beam`` times a power of 2) that
     finds ``AUDIT_RECALL`` of the links of sampled vectors, counted over all
-    shards, and as much of the links of queries that have few in a shard, so
-    a dense group cannot hide sparse pairs. Each shard reads the sample, whose
-    size is fixed, so nothing but counts is shuffled. A length with too few
-    sparse links to tell starts at ``BEAM`` at least."""
+    shards, as much of the links of queries that have few in a shard, so a
+    dense group cannot hide sparse pairs, and as much of the planted links,
+    which every shard has. Each shard reads the sample, whose size is fixed, so
+    nothing but counts is shuffled."""
     spark = graphs.sparkSession
     sample: dict = {}
     for r in reps.select("dim", "rep", "embedding").orderBy(F.xxhash64("rep"), "rep").limit(POOL_QUERIES).toLocalIterator():
         sample.setdefault(r.dim, []).append((r.rep, r.embedding))
     pool = spark.sparkContext.broadcast({d: (np.array([i for i, _ in v], np.int64), _units(np.array([e for _, e in v], np.float64))) for d, v in sample.items()})
-    counts = write_table(graphs.select("dim", "shard", "ids", "x", "graph").mapInArrow(
-        _audit_task(least, beam, pool), "dim int, beam int, few boolean, found long, shard int"), "hnsw-audits")
-    # a shard that stopped found all it has, so it counts as that at wider beams
-    last = counts.groupBy("dim", "shard", "few").agg(F.max("beam").alias("last"), F.max("found").alias("all_"))
-    total = {(r.dim, r.few): r.n for r in last.groupBy("dim", "few").agg(F.sum("all_").alias("n")).collect()}
+    with batch_rows(spark, 1):
+        counts = write_table(graphs.select("dim", "shard", "ids", "x", "graph").mapInArrow(
+            _audit_task(least, beam, pool), "dim int, shard int, unit int, beam int, kind int, found long"), "hnsw-audits")
+    # a unit that stopped found all it has, so it counts as that at wider beams
+    of = ["dim", "shard", "unit", "kind"]
+    truth = counts.where("beam = 0").withColumnRenamed("found", "all_").drop("beam")
+    total = {(r.dim, r.kind): r.n for r in truth.groupBy("dim", "kind").agg(F.sum("all_").alias("n")).collect()}
     missed: dict = {}
-    short = counts.join(last, ["dim", "shard", "few"]).where("beam > 0 AND found < all_")
-    for r in short.groupBy("dim", "few", "beam").agg(F.sum(F.col("all_") - F.col("found")).alias("n")).collect():
-        missed.setdefault(r.dim, {})[r.beam, r.few] = r.n
+    short = counts.where("beam > 0").join(truth, of).where("found < all_")
+    for r in short.groupBy("dim", "kind", "beam").agg(F.sum(F.col("all_") - F.col("found")).alias("n")).collect():
+        missed.setdefault(r.dim, {})[r.beam, r.kind] = r.n
     out = {}
     for dim in {d for d, _ in total}:
-        ef = beam
-        while any(missed.get(dim, {}).get((ef, few), 0) > (1 - AUDIT_RECALL) * total[dim, few] for few in (True, False)):
-            ef *= 2
-        out[dim] = ef if total[dim, True] >= LEAST_LINKS else max(ef, BEAM)
+        out[dim] = beam
+        while any(missed.get(dim, {}).get((out[dim], kind), 0) > (1 - AUDIT_RECALL) * total.get((dim, kind), 0) for kind in (FEW, MANY, PLANT)):
+            out[dim] *= 2
     return out
 
 
 def _query_task(least: float, beams: dict[int, int]):
+    """Blocks past the graphs: of each target and part, the graph's row comes
+    first and stays loaded until the next."""
     def run(batches):
+        x = ids = copies = g = None
         for batch in batches:
             for r in batch.to_pylist():
-                xq, x = _rows(r["q_x"], r["dim"]), _rows(r["x"], r["dim"])
-                iq, ii = np.frombuffer(r["q_ids"], "<i8"), np.frombuffer(r["ids"], "<i8")
-                mq, mi = np.frombuffer(r["q_copies"], "<i8"), np.frombuffer(r["copies"], "<i8")
-                a, b, _ = _links(_load(r["graph"], x), xq, x, least, beams.get(r["dim"], BEAM))
-                if r["q_shard"] == r["shard"]:
-                    code = np.unique(np.concatenate([a * len(x) + b, b * len(x) + a]))
-                    a, b = code // len(x), code % len(x)
-                    a, b = a[a != b], b[a != b]
-                    ids, n_links = ii, np.bincount(a, weights=mi[b], minlength=len(ii))
-                    root = _forest(a, b, len(ids))
-                else:
-                    ids = np.concatenate([iq, ii])
-                    n_links = np.concatenate([np.bincount(a, weights=mi[b], minlength=len(iq)), np.bincount(b, weights=mq[a], minlength=len(ii))])
-                    root = _forest(a, b + len(iq), len(ids))
-                use = np.flatnonzero(n_links > 0)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[use]), pa.array(ids[root[use]]), pa.array(n_links[use].astype(np.int64))], names=["a", "b", "n"])
+                if r["graph"] is not None:
+                    x, ids, copies = _rows(r["x"], r["dim"]), np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["copies"], "<i8")
+                    g = _load(r["graph"], x)
+                    continue
+                xq, iq, mq = _rows(r["x"], r["dim"]), np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["copies"], "<i8")
+                own = r["start"] if r["shard"] == r["target"] else None
+                beam = _block_beam(g, xq, x, own, least, beams.get(r["dim"], BEAM))
+                n_links, root = np.zeros(len(xq) + len(x), np.int64), np.arange(len(xq) + len(x))
+                for a, b in g.within(xq.astype(np.float32), least - 1e-5, beam):
+                    cos = np.concatenate([np.einsum("kd,kd->k", xq[a[i:i + 65_536]], x[b[i:i + 65_536]]) for i in range(0, len(a), 65_536)])
+                    ok = cos >= least
+                    if own is not None:  # of a shard's own pairs the first place asks
+                        ok &= b > a + own
+                    a, b = a[ok], b[ok]
+                    n_links += np.concatenate([np.bincount(a, weights=copies[b], minlength=len(xq)),
+                                               np.bincount(b, weights=mq[a], minlength=len(x))]).astype(np.int64)
+                    root = _forest(a, b + len(xq), root)
+                both, use = np.concatenate([iq, ids]), np.flatnonzero(n_links)
+                yield pa.RecordBatch.from_arrays([pa.array(both[use]), pa.array(both[root[use]]), pa.array(n_links[use])], names=["a", "b", "n"])
     return run
 
 
+def _asks(graphs: DataFrame, shards: DataFrame) -> DataFrame:
+    """Blocks of each shard's vectors, once for each target from the shard on,
+    and a row of the target's graph before each part of its blocks."""
+    n = F.floor(F.octet_length("ids") / 8)
+    of = graphs.join(shards, "dim").withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), n - 1, F.lit(BLOCK_ROWS).cast("long"))))
+
+    def cut(c, width):
+        return F.substring(F.col(c), (F.col("start") * width + 1).cast("int"), (F.lit(BLOCK_ROWS) * width).cast("int"))
+    blocks = of.select("dim", "shard", "shards", "start", cut("ids", 8).alias("ids"), cut("copies", 8).alias("copies"),
+                       cut("x", F.col("dim") * 8).alias("x"))
+    size = blocks.groupBy().agg(F.sum(F.col("shards") - F.col("shard"))).first()[0] or 0
+    per = min(TASK_BLOCKS, max(1, size // (4 * graphs.sparkSession.sparkContext.defaultParallelism)))
+    asks = blocks.withColumn("target", F.explode(F.sequence(F.col("shard"), F.col("shards") - 1))).drop("shards")
+    # a block's place among all blocks of its target, without a window: shards have at most so many blocks
+    most = graphs.agg(F.max(F.ceil(F.octet_length("ids") / 8 / BLOCK_ROWS))).first()[0] or 1
+    asks = asks.withColumn("part", F.floor((F.col("shard") * most + F.col("start") / BLOCK_ROWS) / per)).withColumn("graph", F.lit(None).cast("binary"))
+    parts = asks.select("dim", "target", "part").distinct()
+    loads = parts.join(graphs.withColumnRenamed("shard", "target"), ["dim", "target"]).select(
+        "dim", F.col("target").alias("shard"), F.lit(-1).cast("long").alias("start"), "ids", "copies", "x", "target", "part", "graph")
+    both = loads.unionByName(asks)
+    return (both.repartition(max(1, parts.count()), "dim", "target", "part")
+            .sortWithinPartitions("dim", "target", "part", "start", "shard"))
+
+
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE,
                     shard_rows: int = SHARD_ROWS, beam: int = QUERY_BEAM) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
@@ -372,11 +446,14 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     of different lengths do not link. Rows that repeat an id are one vector
     (the smallest); a null id links with nothing (component null, kept).
 
-    Equal vectors collapse before any search and count with their number. Every
-    block of a shard's vectors queries every shard once, as one task that holds
-    two shards, with the beam that the pooled audit chose; it returns a count and a spanning edge per vector, never all
-    pairs, so a dense cluster costs no more rows than a sparse one. Shards are
-    dealt by hash: no cluster fills one."""
+    Equal vectors collapse before any search and count with their number. A
+    shard holds ``SHARD_BYTES`` of vectors (``shard_rows`` at most). Blocks of
+    each shard pass the graph of every shard from their own on, with the beam
+    that the pooled audit chose; a task loads one graph for up to
+    ``TASK_BLOCKS`` blocks and returns a count and a spanning edge per vector,
+    never all pairs, so a dense cluster costs no more rows than a sparse one.
+    Shards are dealt by hash: no cluster fills one. An empty table gives no
+    rows; other columns are left out."""
     spark = vectors.sparkSession
     v = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").cast("array<double>").alias("embedding"))
     own = write_table(v.where("vec_id IS NOT NULL").groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "hnsw-vectors")
@@ -385,17 +462,14 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     good = own.where("embedding IS NOT NULL").where(fine)
     reps = write_table(good.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
                        .withColumn("dim", F.size("embedding")), "hnsw-reps")
-    shards = reps.groupBy("dim").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("shards"))
+    rows = F.least(F.lit(shard_rows), F.greatest(F.lit(64), F.floor(F.lit(SHARD_BYTES) / (F.col("dim") * 8))))
+    shards = reps.groupBy("dim").agg(F.count("*").alias("n")).select("dim", F.ceil(F.col("n") / rows).cast("int").alias("shards"))
     dealt = reps.join(checked_broadcast(shards), "dim").withColumn("shard", F.pmod(F.xxhash64("rep"), F.col("shards")).cast("int"))
     graphs = write_table(dealt.groupBy("dim", "shard").applyInPandas(
         _graph_task, "dim int, shard int, ids binary, copies binary, x binary, graph binary"), "hnsw-graphs")
     beams = pooled_beams(graphs, reps, cosine, beam)
-    asks = (graphs.join(shards, "dim").withColumn("target", F.explode(F.sequence(F.col("shard"), F.col("shards") - 1)))
-            .select(F.col("dim").alias("q_dim"), F.col("shard").alias("q_shard"), "target", F.col("ids").alias("q_ids"),
-                    F.col("copies").alias("q_copies"), F.col("x").alias("q_x")))
-    both = asks.join(graphs.hint("shuffle_hash"), (F.col("q_dim") == F.col("dim")) & (F.col("target") == F.col("shard")))
-    n = max(1, min(graphs.count() ** 2, 10_000))
-    found = write_table(both.repartition(n, "dim", "q_shard", "shard").mapInArrow(_query_task(cosine, beams), "a long, b long, n long"), "hnsw-links")
+    with batch_rows(spark, 1):
+        found = write_table(_asks(graphs, shards).mapInArrow(_query_task(cosine, beams), "a long, b long, n long"), "hnsw-links")
     counts = found.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("found"))
     roots = components(found.select("a", "b")).select(F.col("node").alias("rep"), F.col("root").alias("component"))
     placed = (reps.select("embedding", "rep", "copies").join(counts, "rep", "left").join(roots, "rep", "left")

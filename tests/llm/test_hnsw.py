@@ -63,6 +63,33 @@ def test_graph_recall():
     assert len(g.layers) >= 2
 
 
+def test_blocks_of_a_shard_and_parts_of_a_target(spark, monkeypatch):
+    """Several blocks a shard, several shards, and tasks that load more than one graph give the counts of brute force."""
+    monkeypatch.setattr(H, "BLOCK_ROWS", 50)
+    rows = clustered(400, seed=3, dim=8)
+    want = brute(rows)
+    for shard_rows in (130, 1000):
+        out = H.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), shard_rows=shard_rows).collect()
+        assert {r.vec_id: (r.n_links, r.component_id) for r in out} == want
+
+
+def test_audit_is_never_empty(spark, monkeypatch):
+    """Random vectors have no links, so only planted vectors can tell that a beam of 1 is too small."""
+    seen = {}
+    old = H.pooled_beams
+
+    def watch(*args):
+        seen.update(old(*args))
+        return seen
+    monkeypatch.setattr(H, "pooled_beams", watch)
+    x = np.random.default_rng(11).normal(size=(3000, 48))
+    rows = [(int(i), [float(c) for c in np.float32(v)]) for i, v in enumerate(x)]
+    conf = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    out = H.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), beam=1).collect()
+    assert not sum(n for n, _ in brute(rows).values()) and all(r.n_links == 0 for r in out) and seen[48] > 1
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == conf
+
+
 def test_edge_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, None), (2, []), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (7, [1.0, 0.0]), (8, [2.0, 0.0]), (9, [1.0, 0.0]),
