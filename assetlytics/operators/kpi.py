@@ -128,6 +128,15 @@ def map_points(df: DataFrame, raw_col="neighborhood_raw", keys: list | None = No
     return prof.select("neighborhood", "lat", "lon", "avg_co2", "count")
 
 
+def raw_points(df: DataFrame, lat="latitude", lon="longitude", target="emissions",
+               hover: tuple = ("building_type", "year_built", "energy_score")) -> DataFrame:
+    """Every asset as a point of the map: place, colour (the target), size (the
+    target, not below 0) and hover columns. Rows without a place have no point."""
+    return (df.where(F.col(lat).isNotNull() & F.col(lon).isNotNull())
+              .select("asset_id", lat, lon, F.col(target).alias("color"),
+                      F.greatest(F.coalesce(F.col(target), F.lit(0.0)), F.lit(0.0)).alias("size"), *hover))
+
+
 def batch_summary(scored: DataFrame, pred="prediction") -> DataFrame:
     return scored.agg(F.count(F.lit(1)).alias("n"),
                       F.round(F.avg(pred), 4).alias("mean_pred"),

@@ -61,13 +61,17 @@ def null_bands(profile: DataFrame, drop_above=70.0, test_from=10.0) -> DataFrame
 
 
 def co_missing(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Count of rows where both columns are null, for every pair (a <= b)."""
+    """Count of rows where both columns are null, for every pair (a <= b).
+
+    Rows collapse to patterns of nulls first (one grouping with partial
+    counts), so the pairs of any number of columns are made from patterns."""
     pairs = [(a, a) for a in cols] + list(combinations(cols, 2))
-    wide = df.agg(*[F.sum((F.col(a).isNull() & F.col(b).isNull()).cast("long"))
-                    .alias(f"{i}") for i, (a, b) in enumerate(pairs)])
+    patterns = (df.select(F.array(*[F.col(c).isNull() for c in cols]).alias("nulls"))
+                .groupBy("nulls").agg(F.count("*").alias("n")))
     rows = [F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
-                     F.col(f"{i}").alias("both_null")) for i, (a, b) in enumerate(pairs)]
-    return wide.select(F.inline(F.array(*rows)))
+                     (F.col("nulls")[cols.index(a)] & F.col("nulls")[cols.index(b)]).alias("both")) for a, b in pairs]
+    return (patterns.select("n", F.inline(F.array(*rows))).groupBy("col_a", "col_b")
+            .agg(F.sum(F.when(F.col("both"), F.col("n")).otherwise(F.lit(0))).cast("long").alias("both_null")))
 
 
 def distinct_profile(df: DataFrame, cols: list[str] | None = None,

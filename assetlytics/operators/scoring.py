@@ -7,8 +7,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.columns import col_, dlit
+from ..sources.uploads import decode_uploads
 
 # Emissions benchmark per building type (tonnes per 1000 sqft
 # basis used by the heuristic score).
@@ -114,6 +116,15 @@ def batch_score(df: DataFrame, required=("gfa_total", "building_type_ref")) -> D
     return score_heuristic(x)
 
 
+def score_uploads(uploads: DataFrame, schema: str, required=("gfa_total", "building_type_ref")) -> DataFrame:
+    """Encoded uploads (upload_id, contents) scored by the contract and plan of
+    ``batch_score``: upload_id, asset_id, problem, prediction; rows with a
+    problem have no prediction."""
+    rows = decode_uploads(uploads, StructType.fromDDL(schema), list(required))
+    scored = batch_score(rows, required)
+    return scored.select("upload_id", "asset_id", "problem", F.when(F.col("problem").isNull(), F.col("prediction")).alias("prediction"))
+
+
 # Labels of the additive explanation terms.
 EXPLAIN_TERMS = ["floor_area", "usage", "building_age", "energy_score", "location"]
 

@@ -104,3 +104,11 @@ SELECT neighborhood, lat, lon, avg_co2, count FROM prof
 WHERE neighborhood IN ('Nation_1', 'Nation_2', 'Nation_3', 'Nation_4')""")
 def q_map_points(spark, sf_dir):
     return kpi.map_points(asset(spark, sf_dir), keys=WEIGHTED_KEYS)
+
+
+@query("map_points_raw", """
+SELECT asset_id, latitude, longitude, emissions AS color, greatest(coalesce(emissions, 0.0), 0.0) AS size,
+       building_type, year_built, energy_score
+FROM asset WHERE latitude IS NOT NULL AND longitude IS NOT NULL""")
+def q_map_points_raw(spark, sf_dir):
+    return kpi.raw_points(asset(spark, sf_dir))

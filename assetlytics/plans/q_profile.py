@@ -42,14 +42,14 @@ def q_null_bands(spark, sf_dir):
     return P.null_bands(P.null_profile(asset(spark, sf_dir), ALL_COLS))
 
 
-_PAIRS = [(a, a) for a in NULLABLE] + list(combinations(NULLABLE, 2))
+_PAIRS = [(a, a) for a in ALL_COLS] + list(combinations(ALL_COLS, 2))
 
 
-@query("co_missing", "SELECT * FROM (" + _union([
-    f"SELECT '{a}' AS col_a, '{b}' AS col_b, CAST(sum(CAST({a} IS NULL AND {b} IS NULL AS BIGINT)) AS BIGINT) AS both_null FROM asset"
-    for a, b in _PAIRS]) + ")")
+@query("co_missing", ", pat AS MATERIALIZED (SELECT " + ", ".join(f"{c} IS NULL AS {c}" for c in ALL_COLS) + ", count(*) AS n FROM asset GROUP BY ALL)\n" + _union([
+    f"SELECT '{a}' AS col_a, '{b}' AS col_b, CAST(coalesce(sum(n) FILTER (WHERE {a} AND {b}), 0) AS BIGINT) AS both_null FROM pat"
+    for a, b in _PAIRS]))
 def q_co_missing(spark, sf_dir):
-    return P.co_missing(asset(spark, sf_dir), NULLABLE)
+    return P.co_missing(asset(spark, sf_dir), ALL_COLS)
 
 
 @query("distinct_profile", _union([

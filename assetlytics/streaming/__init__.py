@@ -1 +1 @@
-from .file_scoring import run_to_completion, score_stream  # noqa: F401
+from .file_scoring import UPLOAD_SCHEMA, run_to_completion, score_stream, score_uploads_stream  # noqa: F401

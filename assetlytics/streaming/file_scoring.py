@@ -24,15 +24,28 @@ def score_stream(spark: SparkSession, inbox: str, out: str, checkpoint: str,
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     src = reader.parquet(inbox)
-    scored = S.batch_score(src).select("asset_id", "building_type_ref", "prediction",
-                                       F.current_timestamp().alias("scored_at"))
+    return _start(S.batch_score(src).select("asset_id", "building_type_ref", "prediction"), out, checkpoint)
+
+
+def score_uploads_stream(spark: SparkSession, inbox: str, out: str, checkpoint: str,
+                         files_per_trigger: int | None = None):
+    """The same stream over encoded uploads (upload_id, contents): good rows
+    are scored, the others go to the sink with their problem."""
+    reader = spark.readStream.schema("upload_id bigint, contents string")
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return _start(S.score_uploads(reader.parquet(inbox), UPLOAD_SCHEMA), out, checkpoint)
+
+
+def _start(scored: DataFrame, out: str, checkpoint: str):
+    scored = scored.withColumn("scored_at", F.current_timestamp())
     return (scored.writeStream.format("parquet").option("path", out)
             .option("checkpointLocation", checkpoint).outputMode("append")
             .trigger(availableNow=True).start())
 
 
-def run_to_completion(spark: SparkSession, inbox: str, out: str, checkpoint: str) -> DataFrame:
-    q = score_stream(spark, inbox, out, checkpoint)
+def run_to_completion(spark: SparkSession, inbox: str, out: str, checkpoint: str, start=score_stream) -> DataFrame:
+    q = start(spark, inbox, out, checkpoint)
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
