@@ -62,7 +62,7 @@ def decode_uploads(df: DataFrame, schema: StructType, required: list[str], id_co
                     F.posexplode(F.when(F.col("whole_").isNotNull(), F.array(F.lit(None).cast("string")))
                                  .otherwise(F.coalesce(body, F.array().cast("array<string>")))).alias("pos_", "record_")))
     rows = rows.withColumn("fields_", _fields(F.col("record_")))
-    closed = F.length(F.translate("record_", F.lit('"'), F.lit(""))) % 2 == F.length("record_") % 2
+    closed = F.length(F.replace(F.col("record_"), F.lit('"'), F.lit(""))) % 2 == F.length("record_") % 2
     same = closed & (F.size("fields_") == F.size("header_"))
     texts, values, bad = {}, {}, F.lit(None).cast("string")
     for f in schema.fields:
