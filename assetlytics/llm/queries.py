@@ -87,13 +87,12 @@ FROM f
 @query("op10_warc_archive", OP10_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.write_pages(table(spark, sf_dir, "pages"))
-    back = spark.read.format("warc").option("path", path).load()
-    full = F.col("record_type") == "response"
-    return back.select(
-        warc.page_id_of("record_id").alias("page_id"),
-        F.when(full, F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
-        F.when(full, F.sha2("payload", 256)).otherwise(F.col("payload_digest")).alias("payload_digest"),
-        "record_type", warc.page_id_of("refers_to").alias("refers_to"))
+    # two scans with the record type pushed down: payloads of revisits are sought past
+    full = spark.read.format("warc").option("path", path).load().where("record_type = 'response'")
+    again = spark.read.format("warc").option("path", path).option("payload", "false").load().where("record_type = 'revisit'")
+    ids = [warc.page_id_of("record_id").alias("page_id")], ["record_type", warc.page_id_of("refers_to").alias("refers_to")]
+    return full.select(*ids[0], F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"), *ids[1]).unionAll(
+        again.select(*ids[0], "payload_bytes", "payload_digest", *ids[1]))
 
 
 @query("op6_hnsw_components")

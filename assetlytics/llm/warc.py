@@ -102,13 +102,15 @@ def scan(f, tests: list, want_payload: bool):
             size, payload, body = length, None, begin
             if h.get("content-type", "").startswith("application/http"):
                 line = f.readline()
-                size = 0
+                size, revisit = 0, h.get("warc-type", "").lower() == "revisit"
                 for line in iter(f.readline, b""):
                     if line in (b"\r\n", b"\n"):
                         break
-                    if line.lower().startswith(b"content-length:"):
+                    if revisit and line.lower().startswith(b"content-length:"):
                         size = int(line.split(b":", 1)[1])
                 body = f.tell()
+                if not revisit:  # the block says how long the payload is, whatever the HTTP headers say
+                    size = max(0, begin + length - body)
             if want_payload:
                 payload = f.read(max(0, begin + length - body))
             yield offset, h, size, payload

@@ -4,14 +4,13 @@ Pages of one host are aligned one after the other into a union-free regular
 expression over their tokens: equal tags align, runs of alike siblings fold
 into repeated groups, tags that some pages lack become optional, and strings
 that differ become text slots. The host's wrapper then says of each part of a
-page whether it is text of the page or template. Blocks that alike siblings
-fold into a slot are counted over the host's pages besides, so a notice among
-an article's paragraphs is template too.
+page whether it is text of the page or template. Inside an article only a block
+at a place of its own is template: headings, and blocks among alike siblings
+whose text differs, are the article's however often they repeat.
 """
 
 from __future__ import annotations
 
-import hashlib
 import html as html_lib
 import json
 import re
@@ -26,8 +25,6 @@ from .common import small_batches, write_table
 
 #: A string that at least so many aligned pages of distinct text show is template, where a page marks no article.
 TEMPLATE_PAGES = 5
-#: A block of an article is template if so many pages of distinct text show it, and this share of the host's.
-REPEAT_SHARE = 0.5
 #: Wrappers that one task aligns in a round.
 FAN_IN = 64
 #: Most bytes of wrappers that are broadcast to the pages; more are joined by a shuffle.
@@ -48,6 +45,7 @@ MARKS = frozenset("nav navbar navigation menu menus breadcrumb breadcrumbs heade
                   "notice notices notification alert popup modal overlay subscribe subscription newsletter signup login social share sharing "
                   "related recommended recommendations comment comments commentlist respond reply replies disqus discussion search toolbar "
                   "pagination pager skip hidden".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 STATES = frozenset("open opened closed off on enabled disabled".split())
 MAIN_WORDS = frozenset("article content post entry story main".split())
 BOXES = frozenset("div section article main td th aside header footer figure center details fieldset form".split())
@@ -316,23 +314,26 @@ def _line(strings: list) -> str:
     return " ".join(html_lib.unescape("".join(strings)).split())
 
 
-def _line_key(line: str) -> int:
-    return int.from_bytes(hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+def _has_slot(items: list) -> bool:
+    return any(x[3] == 0 if x[0] == "#" else _has_slot(x[3]) for x in items)
 
 
-def line_keys(page: Node) -> list[int]:
-    """Keys of the distinct lines that a page gives without a wrapper."""
-    return sorted({_line_key(x) for x in main_text(page, None).split("\n") if x})
+def _slot_keys(items: list) -> set:
+    """Keys of a node's children that hold text which differs."""
+    flat = [y for x in items for y in (x[3] if x[0][0] == "(" else [x])]
+    return {x[0] for x in flat if x[0] != "#" and _has_slot(x[3])}
 
 
-def main_text(page: Node, wrapper: list | None, pages: int = 0, repeated: frozenset = frozenset()) -> str:
+def main_text(page: Node, wrapper: list | None) -> str:
     """The article's blocks. A page that marks one (article, main, roles, or
     the class words of ``MAIN_WORDS``) gives what is inside; otherwise all of
     its body, less the strings that the wrapper holds as template. Inside an
     article a whole block goes if the wrapper holds each of its strings as
-    template that stands on every page; a block with a slot stays whole. Lines
-    whose keys are ``repeated`` on the host go from either. So do parts that are
-    no article by tag, role or class words (menus, adverts, comments, ..)."""
+    template that stands on every page; a block with a slot stays whole, and so
+    do headings and blocks with alike siblings (of one tag and class) whose text
+    differs: repeated headings and short answers are the article's. Parts that
+    are no article by tag, role or class words (menus, adverts, comments, ..)
+    go from either."""
     marked = _has_main(page)
     is_main = (lambda n: n.main) if marked else _main_words if _has_words(page) else None
     blocks: list[list[str]] = [[]]
@@ -340,6 +341,7 @@ def main_text(page: Node, wrapper: list | None, pages: int = 0, repeated: frozen
 
     def walk(node: Node, items: list, inside: bool, sure: bool):
         placed = _place(node, items) if wrapper is not None else [(k, None) for k in node.kids]
+        slots = _slot_keys(items) if inside else ()
         for k, x in placed:
             here = sure and x is not None and x[1] == 1
             if isinstance(k, str):
@@ -352,13 +354,14 @@ def main_text(page: Node, wrapper: list | None, pages: int = 0, repeated: frozen
                     fixed.append(True)
                 elif k.tag == "br":
                     blocks[-1].append(" ")
-                walk(k, x[3] if x is not None else [], inside or (is_main is not None and is_main(k)), here)
+                walk(k, x[3] if x is not None else [], inside or (is_main is not None and is_main(k)),
+                     here and k.tag not in HEADINGS and _key(k) not in slots)
                 if k.tag in BLOCK:
                     blocks.append([])
                     fixed.append(True)
     walk(page, wrapper or [], False, True)
     lines = [_line(b) for b, f in zip(blocks, fixed) if not f]
-    return "\n".join(x for x in lines if x and not (repeated and _line_key(x) in repeated))
+    return "\n".join(x for x in lines if x)
 
 
 def host_of(url) -> F.Column:
@@ -378,51 +381,33 @@ def _merge_all(states: list[tuple[int, list]]) -> tuple[int, list]:
 
 
 def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One row per host: host, pages, wrapper (JSON of its expression),
-    repeated (keys of its repeated lines, with commas).
+    """One row per host: host, pages, wrapper (JSON of its expression).
 
     Tasks align the pages that they read, host by host, before anything is
     shuffled. The hosts' partial wrappers then meet in rounds, at most about
     ``FAN_IN`` in a group, so a host that holds a third of all pages is never
-    gathered into one task. Null and empty pages align with nothing.
-    Lines count once a page text; those of ``TEMPLATE_PAGES`` page texts and
-    ``REPEAT_SHARE`` of the host's repeat, so a host has few of them."""
+    gathered into one task. Null and empty pages align with nothing; no pages
+    give no rows."""
     small_batches(pages.sparkSession)
 
     def start(batches):
         held: dict = {}
 
-        def rows(hosts, pages, wrappers, digests, lines):
-            return pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(pages, pa.int64()), pa.array(wrappers, pa.string()),
-                                               pa.array(digests, pa.int64()), pa.array(lines, pa.list_(pa.int64()))],
-                                              names=["host", "pages", "wrapper", "digest", "lines"])
-
         def out():
-            none = [None] * len(held)
-            return rows(list(held), [n for n, _ in held.values()], [json.dumps(w, separators=(",", ":")) for _, w in held.values()], none, none)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(list(held), pa.string()), pa.array([n for n, _ in held.values()], pa.int64()),
+                 pa.array([json.dumps(w, separators=(",", ":")) for _, w in held.values()], pa.string())], names=["host", "pages", "wrapper"])
         for b in batches:
-            hosts, digests, lines = b.column(0).to_pylist(), [], []
-            for host, page in zip(hosts, b.column(1).to_pylist()):
-                tree = parse(page)
-                digests.append(page_digest(tree))
-                lines.append(line_keys(tree))
-                w = form(tree, digests[-1])
-                old = held.get(host)
+            for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                w, old = form(parse(page)), held.get(host)
                 held[host] = (1, w) if old is None else (old[0] + 1, align(old[1], w))
-            none = [None] * len(hosts)
-            yield rows(hosts, none, none, digests, lines)
             if len(held) > 5000:
                 yield out()
                 held.clear()
         if held:
             yield out()
     rows = pages.select(host_of(F.col(f"`{url_col}`")).alias("host"), F.col(f"`{html_col}`").alias("html")).where("html <> ''")
-    both = write_table(rows.mapInArrow(start, f"{_STATE}, digest long, lines array<long>"), "wrappers")
-    state = both.where("wrapper IS NOT NULL").select("host", "pages", "wrapper")
-    texts = write_table(both.where("lines IS NOT NULL").groupBy("host", "digest").agg(F.min("lines").alias("lines")), "page-lines")
-    repeated = (texts.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= TEMPLATE_PAGES)
-                .join(texts.groupBy("host").agg(F.count("*").alias("of")), "host").where(F.col("n") >= REPEAT_SHARE * F.col("of"))
-                .groupBy("host").agg(F.concat_ws(",", F.array_sort(F.collect_list("line")).cast("array<string>")).alias("repeated")))
+    state = write_table(rows.mapInArrow(start, _STATE), "wrappers")
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["wrapper", "pages"])
@@ -431,7 +416,7 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
     while True:
         most = state.groupBy("host").count().agg(F.max("count")).first()[0] or 0
         if most <= 1:
-            return state.join(repeated, "host", "left").withColumn("repeated", F.coalesce("repeated", F.lit("")))
+            return state
         # hosts of up to FAN_IN rows fall into one group; others into groups of about FAN_IN
         sizes = state.groupBy("host").agg(F.ceil(F.count("*") / FAN_IN).alias("groups"))
         dealt = state.join(sizes, "host").withColumn("part", F.pmod(F.xxhash64("wrapper", "pages"), F.col("groups")))
@@ -448,25 +433,23 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     host ''."""
     small_batches(pages.sparkSession)
     wrappers = write_table(wrappers if wrappers is not None else infer_wrappers(pages, url_col, html_col), "host-wrappers")
-    found = wrappers.select(F.col("host").alias("w_host"), F.col("pages").alias("w_pages"), "wrapper", "repeated")
-    if (wrappers.agg(F.sum(F.octet_length("wrapper") + F.octet_length("repeated") + F.octet_length("host"))).first()[0] or 0) <= BROADCAST_BYTES:
+    found = wrappers.select(F.col("host").alias("w_host"), "wrapper")
+    if (wrappers.agg(F.sum(F.octet_length("wrapper") + F.octet_length("host"))).first()[0] or 0) <= BROADCAST_BYTES:
         found = F.broadcast(found)
     rows = (pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").alias("html"),
                          host_of(F.col(f"`{url_col}`")).alias("host"))
-            .join(found, F.col("host") == F.col("w_host"), "left").select("page_id", "url", "html", "w_pages", "wrapper", "repeated"))
+            .join(found, F.col("host") == F.col("w_host"), "left").select("page_id", "url", "html", "wrapper"))
 
     def run(batches):
         known: dict = {}
         for b in batches:
             texts = []
-            for page, n, w, lines in zip(*(b.column(i).to_pylist() for i in range(2, 6))):
-                key = (w, lines)
-                if w is not None and key not in known:
+            for page, w in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                if w is not None and w not in known:
                     if len(known) > 2000:
                         known.clear()
-                    known[key] = json.loads(w), frozenset(map(int, filter(None, lines.split(","))))
-                own, repeats = known.get(key, (None, frozenset()))
-                texts.append(main_text(parse(page), own, n or 0, repeats) if page else "")
+                    known[w] = json.loads(w)
+                texts.append(main_text(parse(page), known.get(w)) if page else "")
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                                              names=["page_id", "url", "text", "n_chars"])
     return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")

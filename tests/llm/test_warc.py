@@ -70,6 +70,18 @@ def test_foreign_archive(spark, tmp_path):
     assert rows[1].headers["x"] == "a b"
 
 
+def test_payload_bytes_of_foreign_responses(spark, tmp_path):
+    """The block says how long a payload is, not an HTTP header that is absent or wrong."""
+    def one(kind, http, body):
+        return (b"WARC/1.1\r\nWARC-Type: %s\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: %d\r\n\r\n" % (kind, len(http + body))
+                + http + body + b"\r\n\r\n")
+    (tmp_path / "x.warc").write_bytes(one(b"response", b"HTTP/1.1 200 OK\r\n\r\n", b"twelve bytes") + one(b"response", b"HTTP/1.1 200 OK\r\nContent-Length: 99\r\n\r\n", b"four")
+                                      + one(b"revisit", b"HTTP/1.1 200 OK\r\nContent-Length: 99\r\n\r\n", b""))
+    warc.register(spark)
+    rows = spark.read.format("warc").option("path", str(tmp_path)).load().orderBy("offset").collect()
+    assert [(r.record_type, r.payload_bytes, bytes(r.payload)) for r in rows] == [("response", 12, b"twelve bytes"), ("response", 4, b"four"), ("revisit", 99, b"")]
+
+
 def test_empty_table(spark, pages):
     path = warc.write_pages(pages.where("false"))
     assert spark.read.format("warc").option("path", path).load().count() == 0

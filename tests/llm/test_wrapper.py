@@ -9,8 +9,8 @@ from assetlytics.llm import wrapper as W
 SF = "/root/testdata/sf0.01"
 
 
-def text(page, wrapper=None, pages=0):
-    return W.main_text(W.parse(page), wrapper, pages)
+def text(page, wrapper=None):
+    return W.main_text(W.parse(page), wrapper)
 
 
 def test_whole_table_against_markup_rule(spark):
@@ -81,7 +81,7 @@ def test_text_of_one_page_is_no_template(spark):
 def test_wrapper_decides_inside_articles(spark):
     def page(i, rare=""):
         return (f"<article class='post comments-open'><h1>Title {i}</h1><div><span>Read more on our</span> <b>site</b></div><p>Story {i} by <em>one of us</em></p>"
-                f"<p>Members read this first</p><p>More {i * i}</p>{rare}</article>")
+                f"<p class=teaser>Members read this first</p><p>More {i * i}</p>{rare}</article>")
     rows = [(i, "http://h.example/x", page(i, "<blockquote>said once</blockquote>" * (i == 3) + "<h3>Sources</h3>" * (i % 4 == 0))) for i in range(24)]
     rows += [(100 + i, "http://copies.example/x", page(7)) for i in range(8)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
@@ -93,3 +93,16 @@ def test_wrapper_decides_inside_articles(spark):
     assert {got[100 + i] for i in range(8)} == {plain}
     one = W._merge_all([(1, W.form(W.parse(r[2]))) for r in rows[:24]])[1]
     assert "Read more" not in W.main_text(W.parse(rows[5][2]), one)
+
+
+def test_repeated_headings_and_answers_stay(spark):
+    """A wrapper takes a notice at a place of its own out of the article, and nothing that the article says."""
+    def page(i):
+        half = "<h2>Method</h2><p>Yes.</p>" if i % 2 else ""
+        return (f"<nav>Menu</nav><article><p class=kicker>Read on at the Daily</p><h1>Title {i}</h1><h2>Summary</h2><p>Text {i}</p>{half}<p>More {i * i}</p>"
+                f"<ul><li>First</li><li>Point {i}</li></ul><h2>Sources</h2><p>Thank you.</p><div>All rights <b>reserved</b></div></article>")
+    rows = [(i, "http://h.example/x", page(i)) for i in range(20)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = {r.page_id: r.text for r in W.extract(pages).collect()}
+    assert got == {i: f"Title {i}\nSummary\nText {i}" + "\nMethod\nYes." * (i % 2) + f"\nMore {i * i}\nFirst\nPoint {i}\nSources\nThank you." for i in range(20)}
+    assert "Read on" in W.main_text(W.parse(page(1)), None)
