@@ -8,6 +8,7 @@ turn, call_id and content (JSON text).
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -18,6 +19,7 @@ from .common import write_table
 CALLS = "conv_id bigint, turn bigint, call_id string, name string, arguments string, depends_on array<string>"
 RESULTS = "conv_id bigint, turn bigint, call_id string, content string"
 _STRINGS = "array<string>"
+_ARGS = "array<struct<arg:string,types:array<string>,required:boolean,enum:array<string>,minimum:double,maximum:double>>"
 
 
 def _json(**fields) -> F.Column:
@@ -26,8 +28,11 @@ def _json(**fields) -> F.Column:
 
 
 def canonical(json_text) -> F.Column:
-    """JSON text with sorted keys, no white space and plain numbers; malformed: null."""
-    return F.to_json(F.try_parse_json(json_text))
+    """JSON text with sorted keys, no white space and plain numbers; malformed,
+    or with a number beyond doubles: null. Numbers of more than 38 digits are
+    those of doubles."""
+    text = F.to_json(F.try_parse_json(json_text))
+    return F.when(~(F.contains(text, F.lit('Infinity"')) & ~F.contains(json_text, F.lit("Infinity"))), text)
 
 
 def tool_messages(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -36,12 +41,12 @@ def tool_messages(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     "depends_on"}]} and a tool's {"tool_call_id", "content"}."""
     m = messages.where("conv_id IS NOT NULL AND turn IS NOT NULL")
     shape = "struct<tool_calls:array<struct<id:string,name:string,arguments:variant,depends_on:array<string>>>>"
-    calls = (m.where(F.col("role") == "assistant").where(F.col("text").startswith("{"))
+    calls = (m.where(F.col("role") == "assistant").where(F.regexp_replace(F.col("text"), r"^\s+", "").startswith("{"))
              .select("conv_id", "turn", F.explode(F.from_json("text", shape)["tool_calls"]).alias("c"))
              .select("conv_id", "turn", F.col("c.id").alias("call_id"), F.col("c.name").alias("name"),
                      F.to_json("c.arguments").alias("arguments"), F.col("c.depends_on").alias("depends_on")))
     parsed = F.from_json("text", "struct<tool_call_id:string,content:variant>")
-    results = (m.where(F.col("role") == "tool").where(F.col("text").startswith("{")).withColumn("r", parsed)
+    results = (m.where(F.col("role") == "tool").where(F.regexp_replace(F.col("text"), r"^\s+", "").startswith("{")).withColumn("r", parsed)
                .select("conv_id", "turn", F.col("r.tool_call_id").alias("call_id"), F.to_json("r.content").alias("content")))
     return calls.where("call_id IS NOT NULL"), results.where("call_id IS NOT NULL")
 
@@ -120,34 +125,59 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def argument_errors(arguments, spec) -> F.Column:
-    """Errors of JSON arguments against ``spec`` (array of struct arg, type,
-    required), sorted: malformed, missing:a, type:a, unknown:a; a null spec
-    (no such tool): unknown_tool. Types are those of JSON Schema."""
-    values = F.from_json(arguments, "map<string,variant>")
+    """Errors of JSON arguments against ``spec`` (see ``schema_specs``), sorted:
+    malformed, missing:a, type:a, enum:a, minimum:a, maximum:a, unknown:a; a
+    null spec (no such tool): unknown_tool. Types are those of JSON Schema: a
+    number without a fraction is an integer, however it is written."""
+    values, args = F.from_json(arguments, "map<string,variant>"), spec["args"]
 
     def kind(v):
         s = F.schema_of_variant(v)
-        return (F.when(s == "BIGINT", "integer").when(s.startswith("DECIMAL") | s.isin("DOUBLE", "FLOAT"), "number").when(s == "STRING", "string")
+        whole = s.rlike(r"^DECIMAL\(\d+,0\)$") | (s.isin("DOUBLE", "FLOAT") & (F.try_variant_get(v, "$", "double") % 1 == 0))
+        return (F.when((s == "BIGINT") | whole, "integer").when(s.startswith("DECIMAL") | s.isin("DOUBLE", "FLOAT"), "number").when(s == "STRING", "string")
                 .when(s == "BOOLEAN", "boolean").when(s == "VOID", "null").when(s.startswith("ARRAY"), "array").otherwise("object"))
 
-    def wrong(s):
-        has = kind(F.element_at(values, s["arg"]))
-        return F.map_contains_key(values, s["arg"]) & (has != s["type"]) & ~((s["type"] == "number") & (has == "integer"))
-    missing = F.transform(F.filter(spec, lambda s: s["required"] & ~F.map_contains_key(values, s["arg"])), lambda s: F.concat(F.lit("missing:"), s["arg"]))
-    typed = F.transform(F.filter(spec, wrong), lambda s: F.concat(F.lit("type:"), s["arg"]))
-    unknown = F.transform(F.array_except(F.map_keys(values), F.transform(spec, lambda s: s["arg"])), lambda a: F.concat(F.lit("unknown:"), a))
+    def errors(name, test):
+        """``test`` of (spec, value, its kind) over the arguments that the call has."""
+        def bad(s):
+            v = F.element_at(values, s["arg"])
+            return F.map_contains_key(values, s["arg"]) & F.coalesce(test(s, v, kind(v)), F.lit(False))
+        return F.transform(F.filter(args, bad), lambda s: F.concat(F.lit(f"{name}:"), s["arg"]))
+
+    def number(v, has):
+        return F.when(has.isin("integer", "number"), F.try_variant_get(v, "$", "double"))
+    found = [
+        F.transform(F.filter(args, lambda s: s["required"] & ~F.map_contains_key(values, s["arg"])), lambda s: F.concat(F.lit("missing:"), s["arg"])),
+        errors("type", lambda s, v, has: (F.size(s["types"]) > 0) & ~F.array_contains(s["types"], has)
+               & ~((has == "integer") & F.array_contains(s["types"], F.lit("number")))),
+        errors("enum", lambda s, v, has: s["enum"].isNotNull() & ~F.array_contains(s["enum"], F.to_json(v))),
+        errors("minimum", lambda s, v, has: number(v, has) < s["minimum"]),
+        errors("maximum", lambda s, v, has: number(v, has) > s["maximum"]),
+        F.when(spec["open"], F.array().cast(_STRINGS)).otherwise(
+            F.transform(F.array_except(F.map_keys(values), F.transform(args, lambda s: s["arg"])), lambda a: F.concat(F.lit("unknown:"), a))),
+    ]
     return (F.when(spec.isNull(), F.array(F.lit("unknown_tool")))
             .when(arguments.isNull() | F.try_parse_json(arguments).isNull() | values.isNull(), F.array(F.lit("malformed")))
-            .otherwise(F.array_sort(F.concat(missing, typed, unknown))))
+            .otherwise(F.array_sort(F.concat(*found))))
 
 
 def schema_specs(schemas: dict[str, dict]) -> F.Column:
-    """Tool name -> {"properties": {arg: {"type"}}, "required": [..]} as a map
-    of specs; schemas are program text, so they are literals."""
+    """Tool name -> JSON Schema of its arguments, as a map of specs; schemas are
+    program text, so they are literals. Read are ``required``, ``properties``
+    with ``type`` (a name, a list of names, or absent: any), ``enum``,
+    ``minimum`` and ``maximum``, and ``additionalProperties`` (here absent means
+    false). Schemas inside properties (``items``, nested objects) are not."""
     def one(s):
-        args = [F.struct(F.lit(a).alias("arg"), F.lit(p["type"]).alias("type"), F.lit(a in s.get("required", ())).alias("required"))
-                for a, p in sorted(s.get("properties", {}).items())]
-        return F.array(*args) if args else F.array().cast("array<struct<arg:string,type:string,required:boolean>>")
+        rows = []
+        for a, p in sorted(s.get("properties", {}).items()):
+            types = p.get("type", [])
+            enum = [json.dumps(int(x) if isinstance(x, float) and x.is_integer() else x, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+                    for x in p["enum"]] if "enum" in p else None
+            rows.append(F.struct(
+                F.lit(a).alias("arg"), F.array(*[F.lit(t) for t in ([types] if isinstance(types, str) else types)]).cast(_STRINGS).alias("types"),
+                F.lit(a in s.get("required", ())).alias("required"), (F.lit(None) if enum is None else F.array(*[F.lit(x) for x in enum])).cast(_STRINGS).alias("enum"),
+                F.lit(p.get("minimum")).cast("double").alias("minimum"), F.lit(p.get("maximum")).cast("double").alias("maximum")))
+        return F.struct(F.lit(bool(s.get("additionalProperties", False))).alias("open"), F.array(*rows).cast(_ARGS).alias("args"))
     return F.create_map(*[x for n, s in sorted(schemas.items()) for x in (F.lit(n), one(s))])
 
 

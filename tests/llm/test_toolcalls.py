@@ -58,6 +58,28 @@ def test_argument_errors(spark):
         "list": ["malformed"], "nul": ["type:a"], "tool": ["unknown_tool"], "anon": ["unknown_tool"]}
 
 
+def test_schemas(spark):
+    """Types by value, lists of types, enumerations, bounds and open schemas; numbers beyond doubles are malformed results."""
+    tool = {"f": {"properties": {"i": {"type": "integer", "minimum": 0, "maximum": 1e30}, "s": {"type": ["string", "null"]}, "any": {}, "e": {"enum": ["a", 2.0, None]}},
+                  "additionalProperties": True}}
+    args = {"whole": '{"i":1.0}', "big": '{"i":9223372036854775808}', "digits": '{"i":12345678901234567890123456789012345678901234}', "exp": '{"i":1E5}', "part": '{"i":1.5}',
+            "low": '{"i":-1}', "none": '{"s":null}', "num": '{"s":1}', "more": '{"x":1,"any":[{}]}', "enum": '{"e":2}', "other": '{"e":"b"}', "text": '{"i":"-1"}'}
+    c = spark.createDataFrame([(1, 0, k, "f", v, None) for k, v in args.items()], T.CALLS)
+    r = spark.createDataFrame([(1, 1, "whole", "1e400"), (1, 1, "big", '"Infinity"')], T.RESULTS)
+    got = {x.call_id: x for x in T.link_calls(c, r, tool).collect()}
+    assert {k: x.errors for k, x in got.items()} == {
+        "whole": [], "big": [], "digits": ["maximum:i"], "exp": [], "part": ["type:i"], "low": ["minimum:i"], "none": [], "num": ["type:s"], "more": [], "enum": [],
+        "other": ["enum:e"], "text": ["type:i"]}
+    assert json.loads(got["whole"].json)["result"] is None and json.loads(got["big"].json)["result"] == "Infinity"
+
+
+def test_white_space_before_tool_messages(spark):
+    rows = [(1, 1, "assistant", '\n\t {"tool_calls":[{"id":"k","name":"add","arguments":{"a":2}}]}'), (1, 2, "tool", ' \r\n{"tool_call_id":"k","content":1}')]
+    m = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.call_id: r for r in T.format_conversations(m, TOOLS).collect()}
+    assert got["k"].status == "linked" and got["k"].errors == []
+
+
 def test_tool_messages(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", '{"tool_calls":[{"id":"k","name":"add","arguments":{"b":1,"a":2}},{"id":"l","name":"add","arguments":{"a":1},"depends_on":["k"]}]}'),
             (1, 2, "tool", '{"tool_call_id":"k","content":{"z":1,"a":2}}'), (1, 3, "assistant", "{ no json"), (1, 4, "tool", None)]
