@@ -68,10 +68,11 @@ def co_missing(df: DataFrame, cols: list[str]) -> DataFrame:
     pairs = [(a, a) for a in cols] + list(combinations(cols, 2))
     patterns = (df.select(F.array(*[F.col(c).isNull() for c in cols]).alias("nulls"))
                 .groupBy("nulls").agg(F.count("*").alias("n")))
-    rows = [F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
-                     (F.col("nulls")[cols.index(a)] & F.col("nulls")[cols.index(b)]).alias("both")) for a, b in pairs]
-    return (patterns.select("n", F.inline(F.array(*rows))).groupBy("col_a", "col_b")
-            .agg(F.sum(F.when(F.col("both"), F.col("n")).otherwise(F.lit(0))).cast("long").alias("both_null")))
+    places = F.array(*[F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.lit(cols.index(a)).alias("i"), F.lit(cols.index(b)).alias("j"))
+                       for a, b in pairs])  # one literal, so the pairs do not lengthen the generated code
+    both = F.when(F.get("nulls", F.col("i")) & F.get("nulls", F.col("j")), F.col("n")).otherwise(F.lit(0))
+    return (patterns.select("nulls", "n", F.inline(places)).groupBy("col_a", "col_b")
+            .agg(F.sum(both).cast("long").alias("both_null")))
 
 
 def distinct_profile(df: DataFrame, cols: list[str] | None = None,
