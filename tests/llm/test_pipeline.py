@@ -1,6 +1,7 @@
 """run() against its stages done by plain means."""
 
 import importlib
+import re
 import zlib
 
 import numpy as np
@@ -15,6 +16,20 @@ from . import test_dartminhash, test_decontam
 SF = "/root/testdata/sf0.01"
 
 
+def _targets(sizes: dict) -> dict:
+    """Words that each source gives: shares by weight, at most twice its size, the excess dealt out again."""
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(sorted(sizes, key=lambda s: (s is None, s)))}
+    left, free, out = 1.5 * sum(sizes.values()), set(sizes), {}
+    while True:
+        rate = left / sum(weight[s] for s in free)
+        over = {s for s in free if weight[s] * rate > 2 * sizes[s]}
+        if not over:
+            return out | {s: weight[s] * rate for s in free}
+        out |= {s: 2.0 * sizes[s] for s in over}
+        left -= sum(2.0 * sizes[s] for s in over)
+        free -= over
+
+
 def test_run_against_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = quality.fit_on_sample(docs, quality.graded(spark.read.parquet(f"{SF}/labels.parquet")))
@@ -32,18 +47,23 @@ def test_run_against_brute_force(spark):
     assert {r.doc_id for r in got} <= set(good)
     tok = Tokenizer.from_file(rangecoder.default_tokenizer())
     full = {i: [*tok.encode(r.text, add_special_tokens=False).ids, 2] for i, r in good.items()}
-    start, words, cut = 0, {}, set()
+    size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for i, r in good.items()}
+    start, whole, cut = 0, {}, {}
     for r in got:
         assert r.start == start
         start += r.n_tokens
-        ids = full[r.doc_id]
+        ids, source = full[r.doc_id], good[r.doc_id].source
         if r.n_tokens == len(ids):
             assert r.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
+            whole[source] = whole.get(source, 0) + size[r.doc_id]
         else:
-            assert r.n_tokens < len(ids)
-            cut.add((good[r.doc_id].source, r.doc_id))
-        words[good[r.doc_id].source] = words.get(good[r.doc_id].source, 0) + 1
-    assert len(cut) == len({s for s, _ in cut})  # at most the document on a source's border is cut
+            assert r.n_tokens < len(ids) and source not in cut  # at most the document on a source's border is cut
+            cut[source] = size[r.doc_id]
+    sizes = {}
+    for i, r in good.items():
+        sizes[r.source] = sizes.get(r.source, 0) + size[i]
+    for source, target in _targets(sizes).items():
+        assert whole.get(source, 0) <= target + 1e-6 and target - 1 - 1e-6 <= whole.get(source, 0) + cut.get(source, 0)
 
 
 def test_stages_keep_columns_and_survive_odd_tables(spark, docs_of):
