@@ -113,3 +113,36 @@ def test_unknown_parameters_raise(frame):
         T.fit_all(_blocks(frame), [2] * 4, [{"kind": "gb", "n_estimators": 1, "booster": "dart"}])
     with pytest.raises(ValueError):
         T.fit_all(_blocks(frame).where("false"), [2] * 4, [{"kind": "gb", "n_estimators": 1}])
+
+
+def test_whole_growth_searches_few_cells_at_a_time_and_agrees_with_rounds(monkeypatch):
+    rnd = np.random.default_rng(3)
+    n, sizes = 3000, [64, 3, 3, 2, 40, 3, 1]
+    x = np.column_stack([rnd.integers(0, s, n) for s in sizes]).astype(np.uint8)
+    y, fold = x[:, 0] * 0.1 + (x[:, 1] == 1) * x[:, 4] + rnd.normal(size=n), (np.arange(n) % 6 - 1).astype(np.int32)
+    rows = T.Rows(sizes, x.tobytes(), y.tobytes(), fold.tobytes(), np.arange(n).tobytes())
+    assert sorted(sum(rows.layout.groups, [])) == list(range(7)) and len(rows.layout.groups) < 7
+    place = rnd.integers(0, 2, n)
+    got = rows.layout.histogram({"kind": "rf"}, rows.x, np.ones(n), y, place, 2)
+    for j, begin in enumerate(rows.layout.start):
+        for k in (0, 1):
+            use = place == k
+            assert got[0, k, begin:begin + sizes[j]].tolist() == np.bincount(x[use, j], minlength=sizes[j]).tolist()
+            assert np.allclose(got[2, k, begin:begin + sizes[j]], np.bincount(x[use, j], y[use], sizes[j]))
+    monkeypatch.setattr(T, "SEARCH_CELLS", 1000)
+    searched, plain = [], T.best_splits
+    monkeypatch.setattr(T, "best_splits", lambda hist, *a: searched.append(hist.size // 3) or plain(hist, *a))
+    for spec in ({"kind": "rf", "held": 0}, {"kind": "rf", "max_features": "sqrt", "min_samples_leaf": 2}, {"kind": "gb", "num_leaves": 20, "subsample": 0.7}):
+        tree, _ = T._grown(rows, spec, 1)
+        step, answer = T.growing(spec, 1), None  # the same tree by rounds: all rows are sent down from its root
+        try:
+            while True:
+                same, nodes, uids = step.send(answer)
+                answer = plain(rows.histogram(spec, 0, 1, same, nodes), sizes, spec, 1, uids)
+        except StopIteration as end:
+            same = end.value[0]
+        assert all(np.array_equal(a, b) for a, b in zip(tree.plain()[:3], same.plain()[:3])) and np.allclose(tree.value, same.value)
+        leaf = rows.leaves(tree)
+        used = T.row_weights(spec, 1, rows.key, rows.fold) > 0
+        assert (np.bincount(leaf[used], minlength=len(tree.rows))[tree.feature < 0] == tree.rows[tree.feature < 0]).all()
+    assert max(searched) <= 1000 and len(searched) > 100
