@@ -86,3 +86,9 @@ print("LANGS", {{r.lang_pred for r in langid.identify(docs, langid.fit_languages
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert "LANGS {'en'}" in done.stdout, done.stderr[-2000:]
+
+
+def test_words_of_ascii_texts_are_the_same_words():
+    texts = ["", "It's 3rd_base, O'Neil! \t\n\x0b\x1f a-b c1d", "".join(map(chr, range(128))) * 2, "İı Ḱx straße", "नमस्ते ab", "Kelvin"]
+    for t in texts:
+        assert L.words_of(t) == L.WORD.findall(t.lower())
