@@ -141,3 +141,20 @@ def test_tolerant_csv_rules(spark, tmp_path):
                            T.StructField("area", T.DoubleType()), T.StructField("target", T.DoubleType())])
     rows = sorted(tuple(r) for r in read_csv_tolerant(spark, str(p), schema, target="target").collect())
     assert rows == [(1, "a,b", 10.5, 3.0), (3, "y", 7.0, 0.0), (5, "w", 2.0, 1.5)]
+
+
+def test_asset_tasks_are_bounded_in_rows(spark, tmp_path, monkeypatch):
+    from assetlytics.sources import asset as A
+    small = "/root/testdata/sf0.001"
+    keys = ["spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes"]
+    before = [spark.conf.get(k) for k in keys]
+    monkeypatch.setattr(A, "_MATERIALIZED", {})
+    monkeypatch.setattr(A, "shared_path", lambda *_: str(tmp_path / "asset"))
+    monkeypatch.setattr(A, "ROWS_A_TASK", 64)
+    view, held = A.asset_view, []
+    monkeypatch.setattr(A, "asset_view", lambda *a: held.append([int(spark.conf.get(k)) for k in keys[:2]]) or view(*a))
+    got, want = A.materialize_asset(spark, small), view(spark, small)
+    rows = spark.read.parquet(f"{small}/lineitem.parquet").count()
+    assert held == [[-(-rows // 64), A.BYTES_A_TASK]] and rows // 64 > int(before[0])  # more input makes more tasks
+    assert got.drop("is_train").exceptAll(want).isEmpty() and got.count() == want.count()
+    assert [spark.conf.get(k) for k in keys] == before
