@@ -56,23 +56,29 @@ def decode_uploads(df: DataFrame, schema: StructType, required: list[str], id_co
     whole = (F.when(F.col("records_").isNull(), "undecodable")
              .when(F.size(absent) > 0, F.concat(F.lit("missing:"), F.array_join(absent, ","))))
     body = F.when(F.size("records_") > 1, F.slice("records_", F.lit(2), F.greatest(F.size("records_") - 1, F.lit(0))))
+    # where the header has a column is looked up once an upload; a text, a value and a problem are a projection each, so
+    # that each is reckoned once a record and generated methods stay small enough to be compiled
+    fields = list(enumerate(schema.fields))
+    at = [F.array_position("header_", F.lit(f.name)).cast("int").alias(f"at{i}_") for i, f in fields]
     # an upload that fails as a whole is one row without a record
     rows = (up.withColumn("whole_", whole)
-            .select("upload_", "header_", "whole_",
+            .select("upload_", F.size("header_").alias("width_"), "whole_", *at,
                     F.posexplode(F.when(F.col("whole_").isNotNull(), F.array(F.lit(None).cast("string")))
                                  .otherwise(F.coalesce(body, F.array().cast("array<string>")))).alias("pos_", "record_")))
     rows = rows.withColumn("fields_", _fields(F.col("record_")))
     closed = F.length(F.replace(F.col("record_"), F.lit('"'), F.lit(""))) % 2 == F.length("record_") % 2
-    same = closed & (F.size("fields_") == F.size("header_"))
-    texts, values, bad = {}, {}, F.lit(None).cast("string")
-    for f in schema.fields:
-        at = F.array_position("header_", F.lit(f.name)).cast("int")
-        texts[f.name] = F.nullif(F.when(same & (at > 0), F.try_element_at("fields_", F.greatest(at, F.lit(1)))), F.lit(""))
-        values[f.name] = texts[f.name] if isinstance(f.dataType, StringType) else texts[f.name].try_cast(f.dataType)
-    for f in reversed(schema.fields):
-        bad = F.when(texts[f.name].isNotNull() & values[f.name].isNull(), F.lit(f"value:{f.name}")).otherwise(bad)
-    problem = F.coalesce("whole_", F.when(~same, F.lit("fields")), bad)
-    rows = rows.withColumn("problem_", problem)
+    rows = rows.withColumn("same_", closed & (F.size("fields_") == F.col("width_")))
+    kept = ["upload_", "whole_", "pos_", "same_"]
+    rows = rows.select(*kept, *[
+        F.nullif(F.when(F.col("same_") & (F.col(f"at{i}_") > 0), F.try_element_at("fields_", F.greatest(F.col(f"at{i}_"), F.lit(1)))), F.lit(""))
+        .alias(f"text{i}_") for i, _ in fields])
+    texts = [f"text{i}_" for i, _ in fields]
+    rows = rows.select(*kept, *texts, *[
+        (F.col(f"text{i}_") if isinstance(f.dataType, StringType) else F.col(f"text{i}_").try_cast(f.dataType)).alias(f"value{i}_") for i, f in fields])
+    bad = F.lit(None).cast("string")
+    for i, f in reversed(fields):
+        bad = F.when(F.col(f"text{i}_").isNotNull() & F.col(f"value{i}_").isNull(), F.lit(f"value:{f.name}")).otherwise(bad)
+    rows = rows.withColumn("problem_", F.coalesce("whole_", F.when(~F.col("same_"), F.lit("fields")), bad))
     good = F.col("problem_").isNull()
     return rows.select(F.col("upload_").alias(id_col), F.when(F.col("whole_").isNull(), F.col("pos_") + 1).alias("line"),
-                       F.col("problem_").alias("problem"), *[F.when(good, values[f.name]).alias(f.name) for f in schema.fields])
+                       F.col("problem_").alias("problem"), *[F.when(good, F.col(f"value{i}_")).alias(f.name) for i, f in fields])

@@ -53,3 +53,9 @@ def test_long_upload_and_scores(spark):
     assert len(good) == 3000 and all(p is not None for p in good.values())
     assert [(r.upload_id, r.prediction) for r in out if r.problem] == [(2, None)]
     assert S.score_uploads(up.where("false"), SCHEMA + ", energy_score double").count() == 0
+
+
+def test_each_step_is_reckoned_once_a_record(spark):
+    df = spark.createDataFrame([(1, "x")], "upload_id long, contents string")
+    plan = decode_uploads(df, StructType.fromDDL(SCHEMA), ["gfa_total"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_position(") == 3 and plan.count("try_cast(") == 2 and plan.count("replace(record_") == 1
