@@ -73,7 +73,9 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
 
     A source of n documents is cut into about sqrt(n) ranges of the key, so a
     hot source fills many tasks; the window over a source runs on those ranges'
-    sums only (sqrt(n) rows), the window within a range on about sqrt(n) rows."""
+    sums only (sqrt(n) rows). Ranges before the one that the budget ends in are
+    taken whole and those after it not at all, so only that one range of a
+    source (about sqrt(n) rows) is shuffled with its columns and ordered."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
                        word_count(F.col(text_col)).alias("size"), *carry)
     rows = write_table(rows, "mix-sizes")
@@ -85,23 +87,30 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
                                           F.floor(F.expr("budget div source_size"))).otherwise(0).cast("long"))
              .withColumn("rest", F.col("budget") - F.col("epochs") * F.col("source_size"))
              .withColumn("ranges", F.ceil(F.sqrt("n_docs")).cast("long")))
-    x = (rows.join(keyed, F.col("source").eqNullSafe(F.col("t_source")))
-         .withColumn("key", F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")),
-                                              F.col("epochs").cast("string")).cast("binary")))
-         .withColumn("cell", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
-                                     * F.col("ranges") / F.lit(float(1 << 32))).cast("long")))
-    cells = x.groupBy("t_source", "cell").agg(F.sum("size").alias("cell_size"))
+
+    def in_cells(known: DataFrame) -> DataFrame:
+        return (rows.join(known, F.col("source").eqNullSafe(F.col("t_source")))
+                .withColumn("key", F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")),
+                                                     F.col("epochs").cast("string")).cast("binary")))
+                .withColumn("cell", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
+                                            * F.col("ranges") / F.lit(float(1 << 32))).cast("long")))
+    cells = in_cells(keyed).groupBy("t_source", "rest", "cell").agg(F.sum("size").alias("cell_size"))
     ahead = W.partitionBy("t_source").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
-    cells = cells.select(F.col("t_source").alias("c_source"), F.col("cell").alias("c_cell"),
-                         F.coalesce(F.sum("cell_size").over(ahead), F.lit(0)).alias("offset"))
-    inside = W.partitionBy("t_source", "cell").orderBy("key", "size").rowsBetween(W.unboundedPreceding, -1)
-    start = F.col("offset") + F.col("within")
-    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - start))
-    return (x.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-            .join(cells, F.col("t_source").eqNullSafe(F.col("c_source")) & (F.col("cell") == F.col("c_cell")))
-            .select("doc_id", "source", "size", "source_size", "target",
-                    (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"),
-                    F.col("epochs").alias("whole_epochs"), part.cast("long").alias("part"), *carry))
+    cells = cells.withColumn("offset", F.coalesce(F.sum("cell_size").over(ahead), F.lit(0)))
+    ends = (cells.where((F.col("offset") < F.col("rest")) & (F.col("rest") <= F.col("offset") + F.col("cell_size")))
+            .select(F.col("t_source").alias("c_source"), F.col("cell").alias("end_cell"), "offset"))
+    known = write_table(keyed.join(ends, F.col("t_source").eqNullSafe(F.col("c_source")), "left").drop("c_source"), "mix-ends")
+    x = in_cells(known)
+    inside = W.partitionBy("t_source").orderBy("key", "size").rowsBetween(W.unboundedPreceding, -1)
+    start = F.col("offset") + F.coalesce(F.sum("size").over(inside), F.lit(0))
+    border = (x.where("cell = end_cell")
+              .withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - start))))
+    others = (x.where("end_cell IS NULL OR cell <> end_cell")
+              .withColumn("part", F.when(F.col("cell") < F.col("end_cell"), F.col("size")).otherwise(0)))
+    return others.unionByName(border).select(
+        "doc_id", "source", "size", "source_size", "target",
+        (F.col("epochs") * F.col("size") + F.col("part")).cast("long").alias("taken"),
+        F.col("epochs").alias("whole_epochs"), F.col("part").cast("long").alias("part"), *carry)
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source",

@@ -36,3 +36,30 @@ def test_edge_rows(docs_of):
     assert got[3, "y"][0] == 2  # other white space counts as characters
     assert M.mix_plan(docs.where("false")).count() == 0
     assert M.mixed_documents(docs.where("false")).count() == 0
+
+
+def _shuffled_rows(plan):
+    """Rows that the exchanges of an executed plan wrote."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return _shuffled_rows(plan.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return _shuffled_rows(plan.plan())
+    below = plan.children()
+    own = plan.metrics().apply("shuffleRecordsWritten").value() if kind == "ShuffleExchangeExec" else 0
+    return own + sum(_shuffled_rows(below.apply(i)) for i in range(below.size()))
+
+
+def test_only_the_range_at_the_border_is_shuffled_with_texts(docs_of):
+    rows = [(i, "w " * (1 + i % 9), f"s{i % 3}") for i in range(3000)] + [(None, "a b c", "s0"), (7, "w " * 5, "s1"), (7, "w " * 5, "s1")]
+    mixed = M.mixed_documents(docs_of(rows).repartition(4))
+    got = mixed.collect()
+    assert _shuffled_rows(mixed._jdf.queryExecution().executedPlan()) < 400  # a range a source; all rows, twice, before
+    words, taken = {}, {}
+    for _, t, s in rows:
+        words[s] = words.get(s, 0) + len(t.split())
+    for r in got:
+        taken[r.source] = taken.get(r.source, 0) + len(r.text.split())
+    total = sum(words.values())
+    spare = 1.5 * total - 2 * sum(words[s] for s in ("s0",))  # weights 3, 1, 2: s0 stops at twice its size
+    assert taken["s0"] == 2 * words["s0"] and taken["s1"] == int(spare / 3) and taken["s2"] == int(spare * 2 / 3)
