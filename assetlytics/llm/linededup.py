@@ -3,8 +3,8 @@
 Normalised lines are exploded and hashed; distinct documents are counted per
 hash; the lines over the threshold are dropped everywhere but in the document
 of the smallest id, and the rest is put together again by position. Only
-hashes, ids and positions are shuffled for the counting; texts move once, to
-meet the positions that they lose.
+hashes, ids and positions are written and shuffled for the counting; texts are
+split twice and move once, to meet the positions that they lose.
 """
 
 from __future__ import annotations
@@ -26,8 +26,12 @@ BLANKS = " \t\n\x0b\x0c\r"
 
 
 def line_key(line) -> F.Column:
-    """The line without ``[\\x20\\x09-\\x0D]`` at both ends, A-Z lower-cased."""
-    return F.translate(F.trim(line, F.lit(BLANKS)), UPPER, LOWER)
+    """The line without ``[\\x20\\x09-\\x0D]`` at both ends, A-Z lower-cased.
+
+    ``lower`` takes ASCII by bytes; it would change other letters too, so lines
+    that hold any go through the slower ``translate``."""
+    bare = F.trim(line, F.lit(BLANKS))
+    return F.when(F.octet_length(bare) == F.char_length(bare), F.lower(bare)).otherwise(F.translate(bare, UPPER, LOWER))
 
 
 def split_lines(text) -> F.Column:
@@ -79,7 +83,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     from a broadcast table, and only the others are joined by key."""
     text = F.col(f"`{text_col}`")
     rows = docs.select(F.col(f"`{id_col}`").alias("id_"), text.alias("text_"), F.xxhash64(text).alias("text_hash_"))
-    lines = hashed_lines(rows, min_length)
+    lines = write_table(hashed_lines(rows, min_length), "lines")  # read three times
     keys = write_table(repeated_keys(lines, min_docs), "line-keys")
     least = F.lit((keys.agg(F.sum("n_")).first()[0] or 0) * HOT_SHARE)
     hot, rest = keys.where(F.col("n_") > least), keys.where(F.col("n_") <= least)

@@ -56,3 +56,17 @@ def test_edge_rows(docs_of):
     assert _got(D.dedup_lines(docs)) == _plain(rows)
     assert D.dedup_lines(docs.where("false")).count() == 0
     assert _got(D.dedup_lines(docs_of([(1, line)]))) == [(1, line, 1, 0)]
+
+
+def test_keys_of_ascii_and_other_lines(spark):
+    lines = ["", " \t", "PLAIN Ascii LINE \r", "ÄÖÜ and ABC", "İstanbul KELVIN \u212a", "ΣΑΣ Ä", "\xa0NBSP\x85", "\x0b[Z`A]{z}\x0c", "𝔘 Deseret 𐐀 X"]
+    df = spark.createDataFrame([(x,) for x in lines], "line string").select("line", D.line_key(F.col("line")).alias("k"))
+    assert {r.line: r.k for r in df.collect()} == {x: _key(x) for x in lines}
+
+
+def test_lines_are_hashed_in_one_pass(docs_of):
+    docs = docs_of([(i, f"a notice on every page\nown words of page {i}") for i in range(50)])
+    out = D.dedup_lines(docs)
+    assert sum(r.n_dropped for r in out.collect()) == 49
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan and "translate" not in plan  # twice before; only the written hashes are read here
