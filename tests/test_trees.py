@@ -146,3 +146,37 @@ def test_whole_growth_searches_few_cells_at_a_time_and_agrees_with_rounds(monkey
         used = T.row_weights(spec, 1, rows.key, rows.fold) > 0
         assert (np.bincount(leaf[used], minlength=len(tree.rows))[tree.feature < 0] == tree.rows[tree.feature < 0]).all()
     assert max(searched) <= 1000 and len(searched) > 100
+
+
+def test_boosted_candidates_share_trees_until_a_stop_parts_them(monkeypatch):
+    rnd = np.random.default_rng(5)
+    n, sizes = 2000, [64, 30, 3]
+    x = np.column_stack([rnd.integers(0, s, n) for s in sizes]).astype(np.uint8)
+    y, fold = x[:, 0] * 0.1 + (x[:, 2] == 1) * x[:, 1] + rnd.normal(size=n), (np.arange(n) % 6 - 1).astype(np.int32)
+    grown, plain = [], T._grown
+    monkeypatch.setattr(T, "_grown", lambda rows, spec, t: grown.append(t) or plain(rows, spec, t))
+
+    def fitted(candidates):
+        grown.clear()
+        found = {}
+        for growth in T.shared_growths(candidates, True):
+            rows = T.Rows(sizes, x.tobytes(), y.tobytes(), fold.tobytes(), np.arange(n).tobytes())
+            found.update({(i, part): list(v) for i, part, v in T._boost_whole(rows, growth, sizes)})
+        return found
+
+    def grid(depth, leaves=None):
+        return [{"kind": "gb", "n_estimators": k, "learning_rate": 0.2, "max_depth": depth, "num_leaves": leaves, "held": 0, "subsample": 0.8, "min_samples_split": m}
+                for k in (4, 8) for m in (2, 5, 400)]
+    for candidates in (grid(7), grid(None, 40)):
+        got = fitted(candidates)
+        assert len(got) == 4 * len(candidates)
+        for i, c in enumerate(candidates):
+            assert {part: got[i, part] for k, part in got if k == i} == {part: v for (_, part), v in fitted([c]).items()}
+    fitted(grid(1))
+    assert grown == list(range(8))  # no stop forbids a root's split: all six share one growth
+
+
+def test_few_forests_are_dealt_over_many_tasks():
+    assert T._chunk([{"n_estimators": 100, "wanted": [(0, 100, 0)]}]) == 2
+    assert T._chunk([{"n_estimators": 200, "wanted": [(0, 100, 0), (1, 200, 0)]}] * 20) == 10
+    assert T._chunk([{"n_estimators": 3, "wanted": [(0, 3, 0)]}]) == 1
