@@ -180,3 +180,77 @@ def test_few_forests_are_dealt_over_many_tasks():
     assert T._chunk([{"n_estimators": 100, "wanted": [(0, 100, 0)]}]) == 2
     assert T._chunk([{"n_estimators": 200, "wanted": [(0, 100, 0), (1, 200, 0)]}] * 20) == 10
     assert T._chunk([{"n_estimators": 3, "wanted": [(0, 3, 0)]}]) == 1
+
+
+def _random_rows(n, sizes, seed=7):
+    rnd = np.random.default_rng(seed)
+    x = np.column_stack([rnd.integers(0, s, n) for s in sizes]).astype(np.uint8)
+    y, fold = x[:, 0] * 0.1 + (x[:, 1] == 1) * x[:, 2] + rnd.normal(size=n), (np.arange(n) % 6 - 1).astype(np.int32)
+    return x, y, fold, T.Rows(sizes, x.tobytes(), y.tobytes(), fold.tobytes(), np.arange(n).tobytes())
+
+
+def test_small_nodes_are_searched_by_the_bins_of_their_rows(monkeypatch):
+    rows = _random_rows(4000, [64, 3, 40, 3, 62, 3, 64])[3]
+    searched, plain = [], T.best_splits
+    monkeypatch.setattr(T, "best_splits", lambda hist, sizes, *a: searched.append((hist.size // 3, hist.size // 3 // sum(sizes))) or plain(hist, sizes, *a))
+    for spec in ({"kind": "rf"}, {"kind": "rf", "max_features": "sqrt", "min_samples_leaf": 2}, {"kind": "rf", "bootstrap": False, "held": 1}):
+        searched.clear()
+        tree, gains = T._grown(rows, spec, 3)
+        cells, nodes = np.sum(searched, axis=0)
+        assert cells < nodes * rows.layout.width / 3
+        monkeypatch.setattr(T, "SMALL", 0)  # all cells of all nodes
+        same, others = T._grown(rows, spec, 3)
+        monkeypatch.undo()
+        monkeypatch.setattr(T, "best_splits", lambda hist, sizes, *a: searched.append((hist.size // 3, hist.size // 3 // sum(sizes))) or plain(hist, sizes, *a))
+        assert all(np.array_equal(a, b) for a, b in zip(tree.plain(), same.plain())) and gains == others
+
+
+def test_a_forest_tree_grown_by_branches_is_the_whole_tree(monkeypatch):
+    rows = _random_rows(5000, [64, 3, 40, 3, 2])[3]
+    grown, plain = [], T._grown
+    monkeypatch.setattr(T, "_grown", lambda rows, spec, t, root=None: grown.append(len(rows.y)) or plain(rows, spec, t, root))
+    for spec in ({"kind": "rf", "stops": [(None, 2), (3, 2), (6, 40), (None, 300)]}, {"kind": "rf", "max_depth": 7, "max_features": "log2", "held": 2, "stops": [(7, 2), (4, 9)]}):
+        whole, branches = np.zeros((2, len(spec["stops"]), 5000))
+        monkeypatch.setattr(T, "BRANCH_ROWS", 1 << 18)
+        shares = T._forest_tree(rows, spec, 1, whole)
+        assert np.allclose(whole, rows.forest(spec, plain(rows, spec, 1)[0]))
+        grown.clear()
+        monkeypatch.setattr(T, "BRANCH_ROWS", 500)
+        same = T._forest_tree(rows, spec, 1, branches)
+        assert len(grown) > 5 and sorted(grown)[-2] < 3000  # all rows for the top alone
+        assert np.allclose(whole, branches, rtol=1e-12) and np.allclose(shares, same)
+
+
+def test_boosted_trees_in_passes_over_rows_are_those_of_rows_sent_on(monkeypatch):
+    x, y, fold, rows = _random_rows(6000, [64, 3, 40, 3, 2])
+    monkeypatch.setattr(T, "SLICE_ROWS", 1000)
+    scans, plain = [], T._Scan
+    monkeypatch.setattr(T, "_Scan", lambda *a: scans.append(a) or plain(*a))
+    for spec in ({"held": 1}, {"subsample": 0.7, "min_samples_leaf": 5}, {"max_depth": 6, "max_features": "sqrt", "min_samples_split": 50}):
+        spec = {"kind": "gb", "n_estimators": 5, "learning_rate": 0.3, "max_depth": 3, "wanted": [(0, 5, 0)], "stops": [(None, 2)], **spec}
+        found = []
+        for many in (10, 1 << 20):
+            monkeypatch.setattr(T, "PAIRED_ROWS", many)
+            rows = T.Rows.of([64, 3, 40, 3, 2], 6000, [(x[a:a + 700].tobytes(), y[a:a + 700].tobytes(), fold[a:a + 700].tobytes(), np.arange(a, min(a + 700, 6000)).tobytes())
+                                                      for a in range(0, 6000, 700)])
+            found.append({part: v for _, part, v in T._boost_whole(rows, spec, [64, 3, 40, 3, 2])})
+        assert found[0].keys() == found[1].keys() and all(np.allclose(found[0][k], found[1][k], rtol=1e-9) for k in found[0])
+    assert len(scans) == 15
+
+
+def test_forest_predictions_travel_in_short_rows_and_rounds_in_waves(frame, monkeypatch):
+    sizes, kept, widths = [len(e) + 1 for e in frame[1]], [], []
+    forests = [{"kind": "rf", "n_estimators": 4, "held": 0, "max_depth": d} for d in (3, None)]
+    whole = T.fit_all(_blocks(frame), sizes, forests)
+    plain, rounds = T.written, T._grown_in_rounds
+    monkeypatch.setattr(T, "SAID_ROWS", 100)
+    monkeypatch.setattr(T, "written", lambda df, name: kept.append((name, plain(df, name))) or kept[-1][1])
+    again = T.fit_all(_blocks(frame), sizes, forests)
+    longest = dict(kept)["tree-chunks"].selectExpr("max(length(sums))").first()[0]
+    assert longest == 2 * 100 * 8
+    assert all(np.allclose(a[k], b[k], rtol=1e-9) for a, b in zip(whole, again) for k in a)
+    monkeypatch.setattr(T, "BLOCK_ROWS", 200)
+    monkeypatch.setattr(T, "ROUND_MODELS", 2)
+    monkeypatch.setattr(T, "_grown_in_rounds", lambda blocks, sizes, growths: widths.append(len(growths)) or rounds(blocks, sizes, growths))
+    T.fit_all(_blocks(frame), sizes, [{"kind": "gb", "n_estimators": 1, "max_depth": d} for d in (1, 2, 3)])
+    assert widths == [2, 1]
